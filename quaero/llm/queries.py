@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaero.llm.bpe import encode_documents
+from quaero.llm.formatting_dups import one_per_paper, same_papers
+from quaero.llm.lookalikes import changed_records, one_form
 from quaero.llm.packing import pack_documents
+from quaero.llm.residue import residue, without_residue
 from quaero.llm.top_items import top_items
 from quaero.session import table
 
@@ -16,10 +19,27 @@ N = 10
 CAPACITY = 2048
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_papers(table(spark, d, "collection_data"))
+
+
+def p2_papers(spark: SparkSession, d: str) -> DataFrame:
+    return one_per_paper(table(spark, d, "collection_data"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return top_items(table(spark, d, "run_entries"), N).select("run_name", "qid", "docid")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    posts = changed_records(table(spark, d, "en_train"), "qid", "text", "en_train")
+    return posts.unionByName(changed_records(table(spark, d, "collection_data"), "pubkey", "abstract", "collection_data"))
+
+
+def p6_forms(spark: SparkSession, d: str) -> DataFrame:
+    return one_form(table(spark, d, "en_train"), "qid", "text").distinct()
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_documents(table(spark, d, "documents"))
 
@@ -39,8 +59,24 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue(table(spark, d, "documents")).select("doc_id")
+
+
+def p9_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Documents to exclude by kind of residue."""
+    return residue(table(spark, d, "documents")).groupBy("kind").agg(F.count("*").alias("documents"))
+
+
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    return without_residue(table(spark, d, "documents"))
+
+
+QUERIES = [p2_found, p2_papers, p4_found, p6_found, p6_forms, p7_ids, p8_packed, p8_fill, p9_found, p9_kinds, p9_clean]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p7_ids, p8_packed, p8_fill)}
+    return {f.__name__: f for f in QUERIES}
 
 
 P4_SQL = """
@@ -59,5 +95,16 @@ SELECT run_name, qid, docid FROM t WHERE place <= 10
 """
 
 
+P2_KEYS = """
+WITH s AS (
+  SELECT pubkey, regexp_replace(replace(upper(title), 'ß', 'SS'), '[^\\p{L}\\p{N}]+', '', 'g') AS a, regexp_replace(replace(upper(abstract), 'ß', 'SS'), '[^\\p{L}\\p{N}]+', '', 'g') AS b
+  FROM collection_data
+), k AS (SELECT pubkey, least(a, b) || ' ' || greatest(a, b) AS paper FROM s WHERE a <> '' AND b <> '')
+"""
+P2_SQL = P2_KEYS + """, h AS (SELECT paper, min(pubkey) AS head FROM k GROUP BY paper)
+SELECT DISTINCT head AS pubkey_a, pubkey AS pubkey_b FROM k JOIN h USING (paper) WHERE pubkey <> head
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_SQL}
+    return {"p2_found": P2_SQL, "p4_found": P4_SQL}

@@ -32,6 +32,8 @@ from quaero.session import written
 SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
 LAST_RANK = 2147483647
 SALTS = 16
+#: Bytes of one group key in a broadcast table.
+GROUP_BYTES = 100
 
 
 def _prepared(df: DataFrame, run: str, query: str, item: str, score: str, rank: str) -> DataFrame:
@@ -59,11 +61,20 @@ def _best(rows: DataFrame, n: int) -> DataFrame:
 
 
 def _only(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows of the listed groups; salted, so that a hot group is spread when the list is too large to broadcast."""
+    """Rows of the listed groups.
+
+    A list of a checked small size is broadcast; beyond it both sides are
+    shuffled, salted by the item, so that a hot group is spread.
+    """
+    spark = rows.sparkSession
+    most = int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+    if groups.count() * GROUP_BYTES <= most:
+        few = groups.select(F.col("g1").alias("h1"), F.col("g2").alias("h2"))
+        return rows.join(F.broadcast(few), rows.g1.eqNullSafe(few.h1) & rows.g2.eqNullSafe(few.h2), "left_semi")
     salted = groups.select(F.col("g1").alias("h1"), F.col("g2").alias("h2"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("hs"))
     left = rows.withColumn("s", F.pmod(F.hash("item"), F.lit(SALTS)))
     on = left.g1.eqNullSafe(salted.h1) & left.g2.eqNullSafe(salted.h2) & (left.s == salted.hs)
-    return left.join(salted, on, "left_semi").drop("s")
+    return left.join(salted.hint("merge"), on, "left_semi").drop("s")
 
 
 def top_items(
@@ -74,7 +85,7 @@ def top_items(
     item: str = "docid",
     score: str = "score",
     rank: str = "rank",
-    shares: tuple[float, ...] = (0.35, 0.75),
+    shares: tuple[float, ...] = (0.45, 0.8),
 ) -> DataFrame:
     """(run, query, item, score, rank, place) of the n first items of each group.
 
