@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaero.session import written
+
 RECURS, SOURCES = 3, 2
 
 # Names between marks that templates use, as regular expressions.
@@ -155,18 +157,20 @@ def residue_groups(seen: DataFrame) -> DataFrame:
     return g.select("hash", kind.alias("kind"), "copies", "sources").where("kind is not null")
 
 
-def _judged(df: DataFrame, text: str, source: str) -> DataFrame:
-    seen = with_evidence(df, text, source)
+def _judged(seen: DataFrame) -> DataFrame:
     groups = residue_groups(seen).select(F.col("hash").alias("_hash"), F.col("kind").alias("_group"), F.col("copies").alias("_copies"))
     joined = seen.join(groups, F.col("_seen.hash") == F.col("_hash"), "left")
     return joined.withColumn("_kind", F.when(F.col("_seen.placeholder"), "placeholder").otherwise(F.col("_group")))
 
 
 def residue(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(key, kind, copies) of the documents to exclude; copies counts the texts of the same masked form, where the text is residue as a whole."""
-    return _judged(df, text, source).where("_kind is not null").select(key, F.col("_kind").alias("kind"), F.col("_copies").alias("copies"))
+    """The texts are read once; what the rules saw in them is written out and judged.
+
+    (key, kind, copies) of the documents to exclude; copies counts the texts of the same masked form, where the text is residue as a whole."""
+    seen = written(with_evidence(df.select(key, text, source), text, source).select(key, "_seen"), "seen")
+    return _judged(seen).where("_kind is not null").select(key, F.col("_kind").alias("kind"), F.col("_copies").alias("copies"))
 
 
 def without_residue(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of ``df`` that are not residue."""
-    return _judged(df, text, source).where("_kind is null").select(*[F.col(c) for c in df.columns])
+    return _judged(with_evidence(df, text, source)).where("_kind is null").select(*[F.col(c) for c in df.columns])
