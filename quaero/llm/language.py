@@ -52,7 +52,7 @@ SPELLINGS = {
     "it": ["it", "ita", "italian"],
 }
 
-_LINK = re.compile(r"https?://\S+|www\.\S+|[@#]\w+|&\w+;")
+_LINK = re.compile(r"https?://\S+|www\.\S+|[@#]\w+|&\w+;", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _CUT = re.compile(r"(?<=[.!?…])[\s\"'”»)]+(?=\S)|\n+|\s[/|—–\-]+\s|[«»“”„\"()\[\]¿¡]+|(?<=[:;])\s+(?=[A-ZÀ-ÝÄÖÜ])")
 

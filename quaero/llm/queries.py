@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from quaero.llm.bpe import encode_documents
 from quaero.llm.formatting_dups import one_per_paper, same_papers
+from quaero.llm.language import contents, mislabelled, post_languages, post_segments
 from quaero.llm.lookalikes import changed_records, one_form
 from quaero.llm.packing import pack_documents
+from quaero.llm.pair_defects import pair_defects
 from quaero.llm.residue import residue, without_residue
 from quaero.llm.top_items import top_items
 from quaero.session import table
@@ -19,6 +21,43 @@ N = 10
 CAPACITY = 2048
 
 
+def _dictionaries(spark: SparkSession, d: str) -> dict[str, bytes]:
+    return contents(table(spark, d, "lang_samples"), table(spark, d, "documents").select("doc_id", "lang", "text"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    by = _dictionaries(spark, d)
+    fr = mislabelled(table(spark, d, "final_fr_test"), by, "final_fr_test")
+    return fr.unionByName(mislabelled(table(spark, d, "final_de_test"), by, "final_de_test"))
+
+
+def p1_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every segment of every post with its language and confidence."""
+    by = _dictionaries(spark, d)
+    fr = post_segments(table(spark, d, "final_fr_test"), by)
+    return fr.unionByName(post_segments(table(spark, d, "final_de_test"), by)).distinct()
+
+
+def p1_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Every language of every post with its confidence."""
+    by = _dictionaries(spark, d)
+    fr = post_languages(table(spark, d, "final_fr_test"), by)
+    return fr.unionByName(post_languages(table(spark, d, "final_de_test"), by))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _defects(spark, d).where("place = 1").select("qid", "defect")
+
+
+def p3_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every defect type that fires, in order."""
+    return _defects(spark, d)
+
+
+def _defects(spark: SparkSession, d: str) -> DataFrame:
+    return pair_defects(table(spark, d, "final_fr_tradottoen_test"), _dictionaries(spark, d))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return same_papers(table(spark, d, "collection_data"))
 
@@ -72,7 +111,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_residue(table(spark, d, "documents"))
 
 
-QUERIES = [p2_found, p2_papers, p4_found, p6_found, p6_forms, p7_ids, p8_packed, p8_fill, p9_found, p9_kinds, p9_clean]
+QUERIES = [p1_found, p1_segments, p1_languages, p3_found, p3_all, p2_found, p2_papers, p4_found, p6_found, p6_forms, p7_ids, p8_packed, p8_fill, p9_found, p9_kinds, p9_clean]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
