@@ -14,6 +14,7 @@ from quaero.llm.lookalikes import changed_records, one_form
 from quaero.llm.packing import pack_documents
 from quaero.llm.pair_defects import pair_defects
 from quaero.llm.residue import residue, without_residue
+from quaero.llm.split_overlap import overlaps
 from quaero.llm.top_items import top_items
 from quaero.session import table
 
@@ -70,6 +71,23 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return top_items(table(spark, d, "run_entries"), N).select("run_name", "qid", "docid")
 
 
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return overlaps(table(spark, d, "en_train"), table(spark, d, "en_eval"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _overlaps(spark, d).select(F.least("train_id", "eval_id").alias("train_qid"), F.greatest("train_id", "eval_id").alias("eval_qid")).distinct()
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs and records that overlap, for each split and source."""
+    e = table(spark, d, "en_eval").select(F.col("qid").alias("eval_id"), "split", "source").dropDuplicates(["eval_id"])
+    return (
+        _overlaps(spark, d).join(e, "eval_id").groupBy("split", "source")
+        .agg(F.count("*").alias("pairs"), F.sum((F.col("distance") == 0).cast("int")).alias("exact"), F.countDistinct("eval_id").alias("eval_records"), F.countDistinct("train_id").alias("train_records"))
+    )
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     posts = changed_records(table(spark, d, "en_train"), "qid", "text", "en_train")
     return posts.unionByName(changed_records(table(spark, d, "collection_data"), "pubkey", "abstract", "collection_data"))
@@ -111,7 +129,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_residue(table(spark, d, "documents"))
 
 
-QUERIES = [p1_found, p1_segments, p1_languages, p3_found, p3_all, p2_found, p2_papers, p4_found, p6_found, p6_forms, p7_ids, p8_packed, p8_fill, p9_found, p9_kinds, p9_clean]
+QUERIES = [p1_found, p1_segments, p1_languages, p3_found, p3_all, p2_found, p2_papers, p4_found, p5_found, p5_report, p6_found, p6_forms, p7_ids, p8_packed, p8_fill, p9_found, p9_kinds, p9_clean]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
