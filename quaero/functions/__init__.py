@@ -1 +1 @@
-
+"""Scalar functions: text analysis, arrays and vectors, JSON, distributions."""

@@ -1 +1 @@
-
+"""Relational operators of ranked retrieval and its evaluation."""
