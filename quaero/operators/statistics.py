@@ -196,4 +196,5 @@ def correlations(table: DataFrame, y: str, xs: list[str]) -> DataFrame:
 def residuals(scores: DataFrame) -> DataFrame:
     """(system, qid, residual) of the additive block design."""
     avg = lambda *p: F.avg("score").over(Window.partitionBy(*p))
-    return scores.select("system", "qid", F.round(F.col("score") - avg("system") - avg("qid") + avg(F.lit(0)), 9).alias("residual"))
+    g = scores.agg(F.avg("score").alias("g"))
+    return scores.crossJoin(F.broadcast(g)).select("system", "qid", F.round(F.col("score") - avg("system") - avg("qid") + F.col("g"), 9).alias("residual"))

@@ -1 +1 @@
-
+"""Readers and writers of corpora, queries, runs, qrels and reports."""
