@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,7 +37,6 @@ def first_object(text: str | None) -> str | None:
 
 
 def balanced_object(c: C) -> Column:
-    import pandas as pd
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:

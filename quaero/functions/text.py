@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,7 +110,6 @@ def clean_translation(c: C) -> Column:
 
 def ascii_folded(c: C) -> Column:
     """NFKD, then only ASCII; Arrow batches, as there is no built-in."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def fold(s: pd.Series) -> pd.Series:
@@ -213,7 +213,6 @@ def _porter(word: str) -> str:
 
 def stemmed(tokens: C) -> Column:
     """Porter stems of a token list; Arrow batches with a memo of distinct words."""
-    import pandas as pd
 
     @F.pandas_udf("array<string>")
     def stem(s: pd.Series) -> pd.Series:
@@ -328,7 +327,6 @@ def long_form(token: Column) -> Column:
 
 def emoji_names(c: C) -> Column:
     """Emoji become their Unicode names between spaces; Arrow batches."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def name(s: pd.Series) -> pd.Series:
@@ -396,8 +394,9 @@ def slug(c: C) -> Column:
 
 
 def vocabulary_words(c: C) -> Column:
-    """Distinct lower-case runs of three letters or more."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(col(c)), F.lit(r"(\b[a-z]{3,}\b)")))
+    """Distinct lower-case words of three or more letters a to z and nothing else."""
+    w = F.regexp_extract_all(F.lower(col(c)), F.lit(r"([\p{L}\p{N}_]+)"))
+    return F.array_distinct(F.filter(w, lambda x: F.rlike(x, F.lit("^[a-z]{3,}$"))))
 
 
 def format_bytes(c: C) -> Column:

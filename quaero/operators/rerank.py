@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +19,6 @@ def overlap_scorer(query: Column, text: Column) -> Column:
 
 def model_scorer(score: Callable[[list[str], list[str]], list[float]], fallback: float = 0.5) -> Callable[[Column, Column], Column]:
     """A scorer column of a Python model, called with Arrow batches; a batch that runs out of memory gets ``fallback``."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def run(q: pd.Series, t: pd.Series) -> pd.Series:

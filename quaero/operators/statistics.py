@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,7 +142,6 @@ def wilcoxon(scores: DataFrame) -> DataFrame:
 
 def with_normal_p(table: DataFrame, z: str = "z") -> DataFrame:
     """Adds the two-sided normal p-value of a table of system pairs; z = 0 gives 1."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def p(s: pd.Series) -> pd.Series:

@@ -1 +1 @@
-
+"""The named queries over the driver's tables, each with its DuckDB twin where SQL can state it."""

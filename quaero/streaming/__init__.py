@@ -1 +1 @@
-
+"""Additional to the batch operators: the same plans over streams."""
