@@ -22,6 +22,8 @@ from collections.abc import Iterable, Iterator
 from itertools import accumulate, chain
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
 
 #: Folder of the public vocabularies; a parameter of every operator here.
 FOLDER = "/opt/tokenizers"
@@ -181,9 +183,6 @@ def encode_documents(df, key: str = "doc_id", text: str = "text", folder: str =
 
 def decode_documents(df, ids: str = "ids", folder: str = FOLDER, name: str = VOCABULARY):
     """Adds the column ``text`` decoded from ``ids``; null ids give null."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         v = vocabulary(folder, name)
