@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quaero.functions.vectors import once
+
 C = Column | str
 EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{FE0F}\x{200D}\x{E0020}-\x{E007F}]"
 # A short English stop list for the simple analyzers (a parameter everywhere).
@@ -237,7 +239,7 @@ def analyzed(c: C, stop: list[str] = STOPWORDS, keep_mentions: bool = True, spli
     if not keep_mentions:
         x = F.regexp_replace(x, r"https?://\S+\s?|(?U)@\w+\s?|#", "")
     x = ascii_folded(x) if fold else x
-    pattern = r"((?U)[\p{L}\p{N}_]+(?:['’\-][\p{L}\p{N}_]+)*)" if split_words else r"((?U)[\p{L}\p{N}_]+(?:['’][\p{L}\p{N}_]+)*)"
+    pattern = r"((?U)[\p{L}\p{N}_]+(?:['’\-][\p{L}\p{N}_]+)*+)" if split_words else r"((?U)[\p{L}\p{N}_]+(?:['’][\p{L}\p{N}_]+)*+)"
     t = F.regexp_extract_all(x, F.lit(pattern))
     if split_words:
         parts = lambda w: F.split(F.regexp_replace(F.regexp_replace(w, r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})", " "), r"[_'’\-]", " "), " ")
@@ -249,21 +251,20 @@ def analyzed(c: C, stop: list[str] = STOPWORDS, keep_mentions: bool = True, spli
 
 def multilingual_tokens(c: C, stop: list[str] = STOPWORDS) -> Column:
     """Latin words with inner apostrophe or hyphen, lower case, possessive off, three letters at least, stop words out."""
-    t = F.regexp_extract_all(col(c), F.lit(r"([A-Za-zÀ-ÿ0-9]+(?:['\-][A-Za-zÀ-ÿ0-9]+)*)"))
+    t = F.regexp_extract_all(col(c), F.lit(r"([A-Za-zÀ-ÿ0-9]+(?:['\-][A-Za-zÀ-ÿ0-9]+)*+)"))
     t = F.transform(t, lambda w: F.regexp_replace(F.lower(w), "'s$", ""))
     return F.filter(_without(t, stop), lambda w: F.length(w) >= 3)
 
 
 def first_by_lower(a: Column) -> Column:
     """Distinct without regard to case; the first spelling stays."""
-    pairs = F.transform(a, lambda w, i: F.struct(F.lower(w).alias("l"), i.alias("i"), w.alias("w")))
-    lows = F.transform(a, lambda w: F.lower(w))
-    return F.transform(F.filter(pairs, lambda p: F.array_position(lows, p["l"]) == p["i"] + 1), lambda p: p["w"])
+    both = F.struct(a.alias("a"), F.transform(a, lambda w: F.lower(w)).alias("low"))
+    return once(both, lambda s: F.filter(s["a"], lambda w, i: F.array_position(s["low"], F.lower(w)) == i + 1))
 
 
 def query_terms(c: C, stop: list[str] = STOPWORDS, most: int = 12) -> Column:
     """Terms with a digit, hyphen, capital or more than five letters first, the others after; distinct without case; at most ``most``."""
-    t = F.regexp_extract_all(col(c), F.lit(r"([A-Za-zÀ-ÿ0-9]+(?:['\-][A-Za-zÀ-ÿ0-9]+)*)"))
+    t = F.regexp_extract_all(col(c), F.lit(r"([A-Za-zÀ-ÿ0-9]+(?:['\-][A-Za-zÀ-ÿ0-9]+)*+)"))
     t = F.filter(t, lambda w: (F.length(w) >= 3) & ~F.lower(w).isin(stop or [""]))
     t = first_by_lower(t)
     primary = lambda w: F.rlike(w, F.lit(r"[0-9\-]|^[A-ZÀ-ÖØ-Þ]")) | (F.length(w) > 5)

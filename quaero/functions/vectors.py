@@ -14,10 +14,15 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed once, though ``use`` reads it inside lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
 def unit(a: Column) -> Column:
     """L2-normalised; the zero vector stays."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    both = F.struct(a.alias("v"), norm(a).alias("n"))
+    return once(both, lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x.cast("double") / s["n"]).otherwise(x.cast("double"))))
 
 
 def max_sim(q: Column, d: Column) -> Column:
@@ -28,7 +33,7 @@ def max_sim(q: Column, d: Column) -> Column:
 
 def blocks(a: Column, width: int) -> Column:
     """A vector cut into rows of ``width``: a list of token vectors."""
-    return F.transform(F.sequence(F.lit(0), (F.size(a) / width).cast("int") - 1), lambda i: F.slice(a, i * width + 1, width))
+    return once(a, lambda v: F.transform(F.sequence(F.lit(0), (F.size(v) / width).cast("int") - 1), lambda i: F.slice(v, i * width + 1, width)))
 
 
 def sigmoid(x: Column) -> Column:

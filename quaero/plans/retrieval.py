@@ -9,7 +9,7 @@ from quaero.functions.text import simple_tokens
 from quaero.functions.vectors import blocks
 from quaero.operators import dense, fusion, index, rerank
 from quaero.plans import tables as t
-from quaero.session import table
+from quaero.session import table, written
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -155,7 +155,7 @@ hy AS (SELECT qid, docid, round(de.score * CAST(0.5 AS DOUBLE) + sp.score * CAST
 def hybrid_linear(spark, d):
     from quaero.functions.vectors import unit
 
-    pool = _dense_ranked(spark, d)
+    pool = written(_dense_ranked(spark, d), "pool")
     e = table(spark, d, "embeddings").select("vec_id", blocks(unit(F.col("embedding")), 8).alias("tokens"))
     late = dense.late_interaction(pool, e.withColumnRenamed("vec_id", "qid"), e.withColumnRenamed("vec_id", "docid"))
     return _out(dense.hybrid(pool, _sparse(spark, d, pool), late, 5))
