@@ -41,7 +41,7 @@ _LABEL = re.compile(
     r"(?:(?:here is|this is|voici|hier ist|aquí está|ecco) )?(?:the |la |die |il )?(?:english(?: (?:translation|version|text))?|translation(?: (?:in|into|to) english)?|translated text|note|answer|output|response|result|traduction|übersetzung|traducción|traduzione|anglais|englisch|inglés|inglese)\s*(?:\([a-z]+\))?\s*[*_]*\s*(?::|\n|$))[\s*_]*",
     re.I,
 )
-_TAIL = re.compile(r"(?:\s*(?:https?://\S+|www\.\S+|#\w+))+[\s.,;]*$", re.I)
+_TAIL = re.compile(r"(?:https?://\S+|www\.\S+|#\w+)", re.I)
 _QUOTES = "\"'“”„«»‘’`*_ \t\r\n​"
 # Phrases that decline, on lower-case text with plain apostrophes.
 _REFUSALS = re.compile(
@@ -76,7 +76,13 @@ def without_label(text: str) -> str:
 
 def body(text: str) -> str:
     """Without closing links and hashtags, outer quotes and spaces."""
-    return _TAIL.sub("", text.strip(_QUOTES)).strip(_QUOTES)
+    t = text.strip(_QUOTES)
+    end = len(t)
+    for m in reversed(list(re.finditer(r"\S+", t))):
+        if not _TAIL.fullmatch(m.group().rstrip(".,;")):
+            break
+        end = m.start()
+    return t[:end].strip(_QUOTES)
 
 
 def key(text: str) -> str:
@@ -118,7 +124,7 @@ def truncated(prompt: str, answer: str) -> bool:
     for o, e in (("(", ")"), ("“", "”"), ("«", "»"), ("[", "]")):
         if a.count(o) > a.count(e) and p.count(o) <= p.count(e):
             return True
-    np_, na = (len(re.findall(r"[.!?…]+(?=\s|$|[\"”»)])", x)) for x in (p, a))
+    np_, na = (len(re.findall(r"(?<![.!?…])[.!?…]++(?=\s|$|[\"”»)])", x)) for x in (p, a))
     share = sum(map(str.isalpha, a)) / sum(map(str.isalpha, p))
     return share < SHORT or na < np_ and share < FEWER or na < np_ - 1
 

@@ -29,8 +29,8 @@ from quaero.session import written
 RECURS, SOURCES = 3, 2
 
 # Names between marks that templates use, as regular expressions.
-NAME = r"[A-Za-z][A-Za-z0-9]*(?:[._\- ][A-Za-z0-9]+)*"
-SNAKE = r"[A-Za-z][A-Za-z0-9]*(?:[._][A-Za-z0-9]+)*"
+NAME = r"[A-Za-z][A-Za-z0-9]{0,40}(?:[._\- ][A-Za-z0-9]{1,40}){0,8}"
+SNAKE = r"[A-Za-z][A-Za-z0-9]{0,40}(?:[._][A-Za-z0-9]{1,40}){0,8}"
 PLACEHOLDERS = [
     r"\{\{\s*" + NAME + r"\s*\}\}",
     r"\{%\s*" + NAME + r"\s*%\}",
@@ -39,9 +39,9 @@ PLACEHOLDERS = [
     r"\[\[\s*" + NAME + r"\s*\]\]",
     r"<<\s*" + NAME + r"\s*>>",
     r"@@" + SNAKE + r"@@",
-    r"(?<![A-Za-z0-9_$\\}])\{\s*[A-Za-z][A-Za-z0-9]+(?:[._][A-Za-z0-9]+)*\s*\}(?![A-Za-z{])",
-    r"(?<![A-Za-z0-9%])%[A-Za-z]{2,}(?:[._][A-Za-z0-9]+)*%(?![A-Za-z0-9])",
-    r"(?<![A-Za-z0-9_])__(?!(?:init|main|name|file|doc|dict|class|call|new|str|repr|len|iter|next|enter|exit|all|version|slots|eq|hash|del|getattr|setattr|getitem|setitem|contains|future|import|builtins|module|annotations)__)[A-Za-z][A-Za-z0-9]*(?:[._][A-Za-z0-9]+)*__(?![A-Za-z0-9_])",
+    r"(?<![A-Za-z0-9_$\\}])\{\s*[A-Za-z][A-Za-z0-9]{1,40}(?:[._][A-Za-z0-9]{1,40}){0,8}\s*\}(?![A-Za-z{])",
+    r"(?<![A-Za-z0-9%])%[A-Za-z]{2,40}(?:[._][A-Za-z0-9]{1,40}){0,8}%(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9_])__(?!(?:init|main|name|file|doc|dict|class|call|new|str|repr|len|iter|next|enter|exit|all|version|slots|eq|hash|del|getattr|setattr|getitem|setitem|contains|future|import|builtins|module|annotations)__)[A-Za-z][A-Za-z0-9]{0,40}(?:[._][A-Za-z0-9]{1,40}){0,8}__(?![A-Za-z0-9_])",
     r"(?i)\[\s*(?:insert|enter|add|your|put)\s[^\]\[]{1,60}\]",
     r"(?i)\[[^\]\[]{1,60}\s(?:to be added|to be completed|to be announced|goes here|here)\]",
     r"(?i)<\s*(?:your|insert|enter)\s[^<>]{1,60}>",
@@ -67,7 +67,7 @@ MESSAGES = [
     r"gateway timeout", r"the upstream [a-z]+ did not answer in time",
     r"we could not (?:retrieve|load|find) the [a-z]+(?: 0)?", r"it may have been moved or deleted",
     r"traceback \(most recent call last\)", r"file \"[^\"]+\", line 0(?:, in [a-z_<>]+)?", r"(?:key|value|type|index|attribute|name|runtime|import)error: [^\n]{0,80}",
-    r"(?:[a-z_]+\.)+[a-z]*(?:exception|error)(?: at (?:[a-z_]+\.)*[a-z_]+)?(?:\([a-z_]+\.[a-z]+:0\))?", r"at (?:[a-z_]+\.)+[a-z_]+\([a-z_]+\.[a-z]+:0\)",
+    r"(?:[a-z_]{1,60}\.){1,12}[a-z]{0,60}(?:exception|error)(?: at (?:[a-z_]{1,60}\.){0,12}[a-z_]{1,60})?(?:\([a-z_]+\.[a-z]+:0\))?", r"at (?:[a-z_]{1,60}\.){1,12}[a-z_]{1,60}\([a-z_]+\.[a-z]+:0\)",
     r"(?:please )?(?:enable|turn on|activate) (?:javascript|scripts|cookies)(?: and (?:javascript|scripts|cookies))?(?: (?:to|in) [a-z ]{1,60})?(?: and reload)?",
     r"(?:this|the) (?:site|page|archive) requires (?:javascript|scripts|cookies)", r"javascript is (?:disabled|required|turned off)(?: in your browser)?", r"some parts of the [a-z]+ will not work",
     r"your browser does not (?:run|support) (?:scripts|javascript)(?:, so the [a-z]+ cannot be shown)?", r"you need a browser with javascript(?: support)?(?: to [a-z ]{1,40})?",
@@ -78,7 +78,7 @@ MESSAGES = [
 FILLER = [
     r"blindtext(?:, der später ersetzt wird)?", r"(?:dies )?ist (?:ein )?(?:blindtext|platzhaltertext|platzhalter)", r"ceci est un texte de remplissage", r"texte de remplissage", r"(?:este )?(?:es un )?texto de relleno", r"(?:questo è un )?testo (?:di riempimento|segnaposto)",
     r"text goes here", r"your [a-z]+ will appear in this box", r"this is (?:a )?(?:sample|dummy|placeholder|filler) text(?: for layout only)?", r"replace this paragraph with the body of the article", r"(?:sample|dummy|placeholder|filler) text(?: for layout only)?", r"insert text here", r"content coming soon", r"coming soon", r"lorem ipsum",
-    r"(?:tbd|tba|todo|asdf|qwerty|foo bar|xxx+(?: xx+)*)(?: (?:tbd|tba|todo|asdf|qwerty|xx+))*",
+    r"(?:tbd|tba|todo|asdf|qwerty|foo bar|xxx++(?: xx++)*+)(?: (?:tbd|tba|todo|asdf|qwerty|xx++))*+",
 ]
 # The words of the usual mock-Latin filler.
 LATIN = (
@@ -97,10 +97,10 @@ def masked(text: Column | str) -> Column:
     """Lower case, heading and menu line off, addresses, codes, dates and numbers as 0, white space folded."""
     c = F.lower(text)
     c = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    c = F.regexp_replace(c, r"(?m)^[^\n|.!?]{1,30}(?:\|[^\n|.!?]{1,30})+$", "")
+    c = F.regexp_replace(c, r"(?m)^[^\n|.!?]{1,30}(?:\|[^\n|.!?]{1,30})++$", "")
     c = F.regexp_replace(c, r"^[^\n.!?:;,0-9(\"]{3,60}\n+(?=\S)", "")
-    c = F.regexp_replace(c, r"https?://\S+|www\.\S+|[\w.+\-]+@[\w\-]+\.[\w.]+", "0")
-    c = F.regexp_replace(c, r"\b(?=[0-9a-f]*[0-9])[0-9a-f]{6,}\b|\d+(?:[.,:/\-]\d+)*", "0")
+    c = F.regexp_replace(c, r"https?://\S+|www\.\S+|[\w.+\-]{1,64}@[\w\-]{1,64}\.[\w.]{1,64}", "0")
+    c = F.regexp_replace(c, r"\b(?=[0-9a-f]*[0-9])[0-9a-f]{6,}\b|\d+(?:[.,:/\-]\d+)*+", "0")
     c = F.regexp_replace(c, r"[ \t\r\f]+", " ")
     return F.regexp_replace(c, r"(?U)^\s+|\s+$|(?<=\n) | (?=\n)", "")
 
@@ -171,6 +171,7 @@ def residue(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
     return _judged(seen).where("_kind is not null").select(key, F.col("_kind").alias("kind"), F.col("_copies").alias("copies"))
 
 
-def without_residue(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of ``df`` that are not residue."""
-    return _judged(with_evidence(df, text, source)).where("_kind is null").select(*[F.col(c) for c in df.columns])
+def without_residue(df: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of ``df`` that are not residue, with all their columns, whatever their names."""
+    held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text).alias("text"), F.col(source).alias("source"))
+    return _judged(with_evidence(held)).where("_kind is null").select("row.*")
