@@ -1,0 +1,96 @@
+"""Readers and writers on literal files."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from quaero.functions.text import simple_tokens
+from quaero.operators import index
+from quaero.sources import readers, sinks
+from quaero.streaming import serving
+
+
+def put(tmp_path, name, content):
+    p = tmp_path / name
+    p.write_text(content if isinstance(content, str) else json.dumps(content), encoding="utf-8")
+    return str(p)
+
+
+def rows(df, *cols):
+    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=str)
+
+
+def test_papers_and_corpus(spark, tmp_path):
+    p = put(tmp_path, "c.json", [{"pubkey": 1, "title": " A ", "abstract": "b"}, {"cord_uid": "x", "title": "", "abstract": None}, {"title": "no id"}, {"pubkey": 1, "title": "Z", "abstract": ""}])
+    d = readers.papers(spark, p)
+    assert rows(d, "docid") == [("1",), ("1",), ("x",)]
+    assert rows(readers.corpus(d), "docid", "text") == [("1", "A b")]
+    with pytest.raises(ValueError):
+        readers.corpus(d.where("docid = 'x'"))
+
+
+def test_queries(spark, tmp_path):
+    p = put(tmp_path, "expanded_queries_en.json", [{"index": 7, "text": "t", "original": " ", "expanded": "e", "pubkey": 9, "extra": {}}, {"qid": "b", "text": ""}])
+    assert rows(readers.queries(spark, p), "qid", "query", "gold", "language") == [("7", "e", "9", "en")]
+    with pytest.raises(ValueError):
+        readers.queries(spark, p, strict=True)
+    m = put(tmp_path, "m.json", {"a": "one", "b": {"text": "two"}, "c": {}})
+    assert rows(readers.query_map(spark, m), "qid", "query") == [("a", "one"), ("b", "two")]
+
+
+def test_runs(spark, tmp_path):
+    a = put(tmp_path, "a.json", {"q": ["d1", "d2", "d1"], "r": {"x": 0.2, "y": 0.9, "z": {"rank": "1", "score": 0.1}}})
+    got = rows(readers.read_run(spark, a, "s"), "qid", "docid", "rank")
+    assert got == [("q", "d1", 1), ("q", "d2", 2), ("r", "x", 3), ("r", "y", 2), ("r", "z", 1)]
+    t = put(tmp_path, "t.txt", "# c\n\nq Q0 d2 1 0.5 tag\nq Q0 d1 2 0.4 tag\nr d9 1 0.3\nu d7\nu d8\n")
+    assert rows(readers.read_run(spark, t, "s"), "qid", "docid", "rank") == [("q", "d1", 2), ("q", "d2", 1), ("r", "d9", 1), ("u", "d7", 1), ("u", "d8", 2)]
+    j = put(tmp_path, "j.jsonl", '{"query_id": 3, "document_id": "d", "similarity": "0.5"}\n{"query_id": 3, "docno": "e", "value": 0.7}\n')
+    assert rows(readers.read_run(spark, j, "s"), "qid", "docid", "rank") == [("3", "d", 2), ("3", "e", 1)]
+    assert readers.discover_runs(spark, str(tmp_path)).count() == 1
+
+
+def test_small_files(spark, tmp_path):
+    q = put(tmp_path, "q.json", {"a": {"d": 1}})
+    assert rows(readers.qrels(spark, q), "qid", "docid", "relevance") == [("a", "d", 1)]
+    assert readers.stopwords(spark, put(tmp_path, "s.txt", "# x\n The \n\nand\n")) == ["and", "the"]
+    assert readers.stopwords(spark, str(tmp_path / "none.txt")) == []
+    g = put(tmp_path, "g.tsv", "post_id\ttweet_text\tcord_uid\n1\thi there\tx\n")
+    assert rows(readers.ground_truth_tsv(spark, g), "qid", "query", "gold") == [("1", "hi there", "x")]
+    d = put(tmp_path, "d.json", {"w": [{"term": "v", "score": 0.7}]})
+    assert readers.dictionary(spark, d).first().synonyms[0].term == "v"
+    c = put(tmp_path, "t.json", {"en->fr": {"a": "b"}})
+    assert rows(readers.translation_cache(spark, c), "direction", "source", "target") == [("en->fr", "a", "b")]
+    m = put(tmp_path, "m.json", {"per_query": [{"qid": "a", "first_relevant_rank": 1, "mrr@5": 1.0, "precision@1": 1.0, "hit@1": 1.0}]})
+    assert rows(readers.metric_rows(spark, m, ["mrr@5", "f1@1"], "s"), "metric", "score") == [("f1@1", 1.0), ("mrr@5", 1.0)]
+    bad = put(tmp_path, "bad.jsonl", '{"a": "1"}\n{oops\n')
+    assert sum(r._corrupt_record is not None for r in readers.json_lines(spark, bad, "a string", strict=False).collect()) == 1
+
+
+def test_sinks(spark, tmp_path):
+    run = spark.createDataFrame([("s", "q", f"d{i}", i) for i in range(1, 8)], "system string, qid string, docid string, rank int")
+    assert sinks.submission_rows(run).first().preds == "[d1, d2, d3, d4, d5]"
+    sinks.write_rankings_json(run, str(tmp_path / "r"))
+    line = spark.read.text(str(tmp_path / "r")).first().value
+    assert json.loads(line)["q"][0] == "d1"
+    sinks.write_json_lines(run.withColumn("_x", F.lit(1)), str(tmp_path / "jl"))
+    assert "_x" not in spark.read.json(str(tmp_path / "jl")).columns
+    assert not sinks.write_csv(run.limit(0), str(tmp_path / "none"))
+    sinks.write_submission(run, str(tmp_path / "sub"))
+    sinks.write_run(run, str(tmp_path / "run"))
+    assert spark.read.parquet(str(tmp_path / "run")).count() == 7
+    f = tmp_path / "x.json"
+    f.write_text("")
+    assert sinks.free_name(str(f)).endswith("x_1.json") and sinks.default_output("a/b.json") == "a/b_eval.json"
+    assert "d1" in sinks.report(spark, "T", {"run": run})
+    assert spark.createDataFrame([("12",), ("a1",)], "i string").select(sinks.export_id(F.col("i")).alias("i")).collect()[0].i == 12
+
+
+def test_query_stream(spark, tmp_path):
+    docs = spark.createDataFrame([("d1", "red fox"), ("d2", "blue dog")], "docid string, t string")
+    fields = {"t": simple_tokens("t")}
+    (tmp_path / "in").mkdir()
+    put(tmp_path / "in", "a.json", '{"qid": "q", "query": "fox"}\n')
+    s = serving.score_stream(serving.query_files(spark, str(tmp_path / "in")), index.postings(docs, "docid", fields), index.field_statistics(docs, fields), simple_tokens("query"), str(tmp_path / "out"), str(tmp_path / "ck"))
+    s.awaitTermination(60)
+    assert rows(spark.read.parquet(str(tmp_path / "out")), "qid", "docid") == [("q", "d1")]
