@@ -7,9 +7,10 @@ narrow. Links, mentions, hashtags and digits are masked first.
 
 Labelled rows: all clean sentences given as reference, and at most
 ``SAMPLE`` texts of each declared language of a feed (those with the smallest
-hash of their key), of which only chunks are used that the reference
-dictionaries give to the declared language. This bounded sample fits the
-classifier only; every post is classified whole.
+hash of their key), of which only those are used that the reference
+dictionaries too give to the declared language, first as whole texts, then
+chunk by chunk. This bounded sample fits the classifier only; every post is
+classified whole.
 
 A post is cut into chunks at sentence ends, line ends, separators, quotation
 marks and brackets. Neighbouring chunks of one language form a segment;
@@ -35,9 +36,10 @@ from pyspark.sql import functions as F
 LANGUAGES = ("en", "fr", "de", "es", "it")
 #: Texts of a feed, for each language, that may fit the dictionaries.
 SAMPLE = 400
-LEVEL = 12
+#: Search of the compressor: a binary tree that finds matches of four bytes in the whole dictionary.
+SEARCH = {"window_log": 18, "hash_log": 17, "chain_log": 17, "search_log": 7, "min_match": 4}
 #: Least share by which the second best encoding must be longer, and the words below which a chunk has no language of its own.
-MARGIN, SHORT = 0.06, 3
+MARGIN, SHORT = 0.03, 3
 #: Words in a row from which a language counts in a post.
 RUN = 6
 #: Bytes of encoding that lower the odds of a language to 1/e.
@@ -78,12 +80,13 @@ class Classifier:
     def __init__(self, contents: dict[str, bytes]) -> None:
         import zstandard
 
+        params = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=0, write_checksum=0, write_dict_id=0, **SEARCH)
         self.by = {}
         for lang, content in sorted(contents.items()):
             if content:
                 d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=LEVEL)
-                self.by[lang] = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+                d.precompute_compress(compression_params=params)
+                self.by[lang] = zstandard.ZstdCompressor(dict_data=d, compression_params=params)
         self.known: dict[bytes, tuple[str | None, float]] = {}
 
     def language(self, chunk: str) -> tuple[str | None, float]:
@@ -140,15 +143,21 @@ def contents(reference: DataFrame, feed: DataFrame | None = None, sample: int =
     for lang in LANGUAGES:
         some = usable.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         declared += [(lang, r.text) for r in some.select("text").collect()]
-    for _ in range(2):
-        c = Classifier(base)
-        more: dict[str, dict[bytes, None]] = {k: dict.fromkeys(sorted({masked(x) for x in v})) for k, v in clean.items()}
-        for lang, text in declared:
-            for x in chunks(text):
-                if words(x) >= RUN and c.language(x)[0] == lang:
-                    more[lang][masked(x)] = None
-        base = {k: b"".join(v) for k, v in more.items()}
-    return base
+    # First by whole texts, as the reference is small: a text must be shortest in its declared language. Then chunk by chunk.
+    c = Classifier(base)
+    kept: dict[str, dict[bytes, None]] = {k: dict.fromkeys(sorted({masked(x) for x in v})) for k, v in clean.items()}
+    more = {k: dict(v) for k, v in kept.items()}
+    agreed = []
+    for lang, text in declared:
+        parts = [x for x in chunks(text) if words(x) >= RUN]
+        total = {k: sum(len(z.compress(masked(x))) for x in parts) for k, z in c.by.items()}
+        if parts and min(total, key=lambda k: (total[k], k)) == lang:
+            agreed.append((lang, parts))
+            more[lang].update(dict.fromkeys(masked(x) for x in parts if c.language(x)[0] in (lang, None)))
+    c = Classifier({k: b"".join(v) for k, v in more.items()})
+    for lang, parts in agreed:
+        kept[lang].update(dict.fromkeys(masked(x) for x in parts if c.language(x)[0] == lang))
+    return {k: b"".join(v) for k, v in kept.items()}
 
 
 def label_language(label: Column | str) -> Column:
