@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quaero.functions.text import clean_post
-from quaero.operators import quality
+from quaero.operators import augmentation, quality
 from quaero.operators import training as tr
 from quaero.plans import tables as t
 from quaero.plans.retrieval import DENSE, _dense_ranked
@@ -193,3 +193,40 @@ def interleaved_sets(spark, d):
     a = table(spark, d, "en_train").select("qid").where("qid is not null").distinct()
     b = table(spark, d, "en_eval").select("qid").where("qid is not null").distinct()
     return tr.interleaved(a, b, "qid")
+
+
+@query("SELECT DISTINCT 'fr->en' AS direction, text AS source FROM final_fr_test WHERE trim(text) <> '' AND text NOT IN (SELECT text_original FROM final_fr_tradottoen_test WHERE text_original IS NOT NULL)")
+def translation_cache_misses(spark, d):
+    want = table(spark, d, "final_fr_test").select(F.lit("fr->en").alias("direction"), F.col("text").alias("source"))
+    cache = table(spark, d, "final_fr_tradottoen_test").select(F.lit("fr->en").alias("direction"), F.col("text_original").alias("source"))
+    return augmentation.cache_misses(want, cache)
+
+
+@query("""WITH c AS (SELECT text_original AS s, text AS t FROM final_fr_tradottoen_test WHERE text_original IS NOT NULL AND text IS NOT NULL), j AS (SELECT a.s AS text, b.s AS variant FROM c a JOIN c b ON a.t = b.t WHERE trim(b.s) <> '')
+SELECT DISTINCT text, variant FROM j WHERE lower(trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g'))) <> lower(trim(regexp_replace(variant, '[\\s\\p{Z}]+', ' ', 'g')))""")
+def back_translation_pairs(spark, d):
+    """Prompts that share an answer, as forward and backward translations."""
+    c = table(spark, d, "final_fr_tradottoen_test").where("text_original is not null and text is not null")
+    f = c.select(F.col("text_original").alias("source"), F.col("text").alias("target"))
+    b = c.select(F.col("text").alias("source"), F.col("text_original").alias("target"))
+    return augmentation.back_translations(f.select(F.col("source").alias("text")), f, b)
+
+
+GRID_W = [(0.5, 0.15, 0.35), (0.35, 0.15, 0.5), (0.45, 0.1, 0.45), (0.4, 0.2, 0.4), (0.5, 0.1, 0.4), (1.0, 0.0, 0.0)]
+THREE = ["dense_m3_b0001", "sparse_m3_b0001", "colbert_m3_b0001"]
+
+
+@query(f"""WITH {t.RUNS}, {t.GOLDS}, m AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM runs WHERE score IS NOT NULL AND system IN {tuple(THREE)} WINDOW w AS (PARTITION BY system, qid)),
+x AS (SELECT qid, docid, {', '.join(f"sum(CASE WHEN system = '{s}' THEN CASE WHEN hi - lo > 1e-12 THEN (score - lo) / (hi - lo) ELSE 0 END ELSE 0 END) AS x{i}" for i, s in enumerate(THREE))} FROM m GROUP BY qid, docid),
+g AS (SELECT * FROM (VALUES {', '.join(f"({i}, CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), CAST({c} AS DOUBLE))" for i, (a, b, c) in enumerate(GRID_W))}) v(trial, w0, w1, w2)),
+s AS (SELECT trial, qid, docid, round(x0 * w0 + x1 * w1 + x2 * w2, 9) AS score FROM x, g), r AS (SELECT *, row_number() OVER (PARTITION BY trial, qid ORDER BY score DESC, docid) AS rank FROM s),
+h AS (SELECT trial, count(DISTINCT r.qid) AS hits FROM r JOIN golds USING (qid, docid) WHERE rank <= 10 GROUP BY trial), n AS (SELECT count(DISTINCT qid) AS n FROM runs WHERE system IN {tuple(THREE)} AND qid IN (SELECT qid FROM golds))
+SELECT CAST(trial AS BIGINT) AS trial, w0, w1, w2, round(coalesce(hits, 0) / CAST(greatest(n, 1) AS DOUBLE), 6) AS recall, coalesce(hits, 0) AS hits FROM g LEFT JOIN h USING (trial), n""")
+def fusion_weight_search(spark, d):
+    w = augmentation.weight_search(t.runs(spark, d), t.golds(spark, d), THREE, GRID_W)
+    return _long(w, "trial", "hits").withColumn("recall", F.round("recall", 6))
+
+
+@query()
+def eval_groups_topped_up(spark, d):
+    return augmentation.topped_up(_pairs(spark, d), 12)

@@ -151,3 +151,18 @@ def test_quality(spark):
 def test_empty_run(spark):
     e = spark.createDataFrame([], "run_name string, qid string, docid string, rank int, score double")
     assert fusion.normal_run(e).count() == 0 and fusion.reciprocal_rank_fusion(fusion.normal_run(e)).count() == 0
+
+
+def test_augmentation(spark):
+    from quaero.operators import augmentation as a
+
+    cache = spark.createDataFrame([("x", "a", "A")], "direction string, source string, target string")
+    req = spark.createDataFrame([("x", "a"), ("x", "b"), ("x", " "), ("x", "b")], "direction string, source string")
+    assert [tuple(r) for r in a.cache_misses(req, cache).collect()] == [("x", "b")]
+    assert {(r.source, r.target) for r in a.translated(req, cache).collect()} == {("a", "A"), ("b", None), (" ", None)}
+    f = spark.createDataFrame([("un", "one"), ("le", "the")], "source string, target string")
+    b = spark.createDataFrame([("one", "un un"), ("the", "LE ")], "source string, target string")
+    assert [tuple(r) for r in a.back_translations(f.selectExpr("source as text"), f, b).collect()] == [("un", "un un")]
+    g = spark.createDataFrame([("q", "p", 1), ("q", "n", 0), ("r", "s", 1)], "qid string, docid string, label int")
+    assert {tuple(r) for r in a.topped_up(g, 2, buckets=1).collect()} == {("q", "n", "own"), ("q", "s", "other"), ("r", "p", "other")}
+    assert a.capped_sample(g, "qid", 1).count() == 1
