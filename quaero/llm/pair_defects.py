@@ -30,10 +30,12 @@ from quaero.llm import language as lang
 TYPES = ("empty", "refusal", "copy", "wrong_language", "truncated")
 #: Words from which a sentence is a full one.
 SENTENCE = 4
-#: Least share of the prompt's letters in an answer that ends without a mark, as its prompt does.
+#: Confidence from which a sentence shorter than SURE words is taken as foreign.
+SURE, CONFIDENT = 6, 0.95
+#: Least share of the letters of a prompt without numbers.
 SHORT = 0.6
-#: The same where the answer also has fewer sentences.
-FEWER = 0.8
+#: Letters after the prompt's last number that count, and the share of them below which the answer has lost its end.
+TAIL, LOST = 30, 0.5
 
 # Labels and role markers that models leave before an answer.
 _LABEL = re.compile(
@@ -93,6 +95,15 @@ def numbers(text: str) -> list[str]:
     return [re.sub(r"[.,]", ".", x) for x in _NUMBER.findall(lang._LINK.sub(" ", text))]
 
 
+def after_number(text: str, number: str) -> int:
+    """Letters after the last place of a number."""
+    at = 0
+    for m in _NUMBER.finditer(text):
+        if re.sub(r"[.,]", ".", m.group()) == number:
+            at = m.end()
+    return sum(map(str.isalpha, text[at:]))
+
+
 def sentences(text: str) -> list[str]:
     return [c for c in lang.chunks(text) if lang.words(c) >= SENTENCE]
 
@@ -103,8 +114,8 @@ def foreign(text: str, c: lang.Classifier, target: str = "en") -> bool:
         other = sum(1 for ch in s if ch.isalpha() and ord(ch) > 0x24F)
         if other > 0.5 * sum(map(str.isalpha, s)):
             return True
-        got, _ = c.language(s)
-        if got is not None and got != target:
+        got, sure = c.language(s)
+        if got is not None and got != target and (lang.words(s) >= SURE or sure >= CONFIDENT):
             return True
     return bool(re.search(r"[一-鿿぀-ヿ가-힯]{8,}", text))
 
@@ -124,9 +135,10 @@ def truncated(prompt: str, answer: str) -> bool:
     for o, e in (("(", ")"), ("“", "”"), ("«", "»"), ("[", "]")):
         if a.count(o) > a.count(e) and p.count(o) <= p.count(e):
             return True
-    np_, na = (len(re.findall(r"(?<![.!?…])[.!?…]++(?=\s|$|[\"”»)])", x)) for x in (p, a))
-    share = sum(map(str.isalpha, a)) / sum(map(str.isalpha, p))
-    return share < SHORT or na < np_ and share < FEWER or na < np_ - 1
+    if wanted:
+        rest, left = after_number(p, wanted[-1]), after_number(a, wanted[-1])
+        return rest >= TAIL and left < LOST * rest
+    return sum(map(str.isalpha, a)) < SHORT * sum(map(str.isalpha, p))
 
 
 def defects(prompt: str | None, answer: str | None, c: lang.Classifier, target: str = "en") -> list[str]:
