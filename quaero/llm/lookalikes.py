@@ -41,6 +41,9 @@ WIDE = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\x{3001}\x{3002}"
 INVISIBLE = r"[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x{1D173}-\x{1D17A}\x{E0000}-\x{E007F}\x{E0100}-\x{E01EF}]"
 SPACES = r"[\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}]"
 
+#: Rows that DuckDB holds at a time.
+SLICE = 2048
+
 
 def _compatibility() -> tuple[str, str]:
     """Characters of the styled and full-width blocks with their one usual character."""
@@ -109,21 +112,23 @@ def one_form(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, form, changed) of every row."""
     import pyarrow as pa
 
-    kind = df.schema[key].dataType.simpleString()
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind, df_type = df.schema[key].dataType.simpleString(), to_arrow_type(df.schema[key].dataType)
     sql = f"SELECT k, x AS form, coalesce(x <> original, false) AS changed FROM ({FORM})"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        con = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
+        con = duckdb.connect(config={"threads": 1})
+        schema = pa.schema([(key, df_type), ("form", pa.string()), ("changed", pa.bool_())])
         for b in batches:
-            if not b.num_rows:
-                continue
-            con.register("batch", pa.Table.from_arrays([b.column(0), b.column(1).cast(pa.string())], names=["k", "x"]))
-            out = con.sql(sql).to_arrow_table()
-            con.unregister("batch")
-            schema = pa.schema([(key, b.schema.field(0).type), ("form", pa.string()), ("changed", pa.bool_())])
-            yield from out.rename_columns([key, "form", "changed"]).cast(schema).combine_chunks().to_batches()
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
+                con.register("batch", pa.Table.from_arrays([part.column(0), part.column(1).cast(pa.string())], names=["k", "x"]))
+                out = con.sql(sql).to_arrow_table()
+                con.unregister("batch")
+                yield from out.rename_columns([key, "form", "changed"]).cast(schema).combine_chunks().to_batches()
 
     return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, form string, changed boolean")
 
