@@ -44,7 +44,7 @@ from quaero.session import shared_folder, written
 
 EDITS = 3
 #: Classes in a shard of the index, and training classes in a streamed block.
-SHARD, BLOCK = 25_000, 8_000
+SHARD, BLOCK = 50_000, 10_000
 #: Occurrences below which a stretch is rare.
 RARE = 8
 
