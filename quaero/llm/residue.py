@@ -21,6 +21,8 @@ of its own; an empty table gives no rows; extra columns stay in the corpus.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,6 +92,13 @@ LATIN = (
 ).split()
 #: Words of a weaker sign.
 WEAK = r"javascript|script|browser|navigateur|navegador|cookie|\berror\b|erreur|fehler|errore|server|\bpage\b|seite|página|pagina|access|denied|not found|unavailable|sign in|log ?in|captcha|placeholder|platzhalter|relleno|remplissage|riempimento|sample text|exception|timeout|session|reload"
+#: One of these is in every text that can be a message, filler or carry a weaker sign; a cheap test before the patterns.
+NEAR = (
+    "script browser navigateur navegador cookie error erreur fehler errore server page seite página pagina access denied not&found unavailable sign&in login log&in captcha placeholder platzhalter relleno remplissage "
+    "riempimento segnaposto text exception timeout session reload traceback tbd tba todo asdf qwerty xxx lorem appear replace deleted went&wrong oops requests denegado negato refusé verweigert retrieve paragraph introuvable "
+    "coming&soon foo&bar forbidden gateway bad&request unauthorized file&\" (request (reference (code reference code wait&"
+).split()
+NEAR = tuple(w.replace("&", " ") for w in NEAR)
 SENTENCE = r"(?<=[.!?:;])\s+|\n+"
 
 
@@ -129,10 +138,10 @@ def _weak(m: Column) -> Column:
 
 def with_evidence(df: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
     """All columns of ``df`` and a struct ``_seen``: hash of the masked text, placeholder, message and weaker sign."""
-    m = F.col("_masked")
-    near = F.rlike(m, F.lit(WEAK + r"|text|error|traceback|tbd|tba|todo|asdf|qwerty|xxx|lorem|appear|replace|deleted|went wrong|oops|requests|denegado|negato|refusé|verweigert|active|retrieve|paragraph|zugriff|introuvable|coming soon|foo bar"))
+    m, near = F.col("_masked"), F.col("_near")
     blank = F.col(text).isNull() | ~F.rlike(text, F.lit(r"(?U)\S"))
-    return df.withColumn("_masked", masked(text)).withColumn(
+    signs = reduce(lambda x, y: x | y, [F.col("_masked").contains(w) for w in NEAR])
+    return df.withColumn("_masked", masked(text)).withColumn("_near", signs).withColumn(
         "_seen",
         F.when(
             ~blank,
@@ -145,7 +154,7 @@ def with_evidence(df: DataFrame, text: str = "text", source: str = "source") ->
                 F.when(near, _weak(m)).otherwise(False).alias("weak"),
             ),
         ),
-    ).drop("_masked")
+    ).drop("_masked", "_near")
 
 
 def residue_groups(seen: DataFrame) -> DataFrame:
