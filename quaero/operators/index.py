@@ -28,6 +28,13 @@ def field_statistics(docs: DataFrame, fields: dict[str, Column]) -> DataFrame:
     return docs.select(F.explode(lists).alias("x")).groupBy("x.field").agg(F.count("*").alias("n"), F.avg("x.dl").alias("avgdl"))
 
 
+def statistics_of(posts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(field, n, avgdl) from postings that exist already, so that no text is tokenised again."""
+    n = docs.agg(F.count("*").alias("n"))
+    total = posts.groupBy("field").agg(F.sum("tf").alias("t"))
+    return total.crossJoin(F.broadcast(n)).select("field", "n", (F.col("t") / F.col("n")).alias("avgdl"))
+
+
 def document_frequencies(posts: DataFrame) -> DataFrame:
     return posts.groupBy("field", "term").agg(F.count("*").alias("df"))
 

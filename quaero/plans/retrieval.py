@@ -26,8 +26,10 @@ def query(sql: str | None = None):
 
 
 def _setup(spark: SparkSession, d: str):
+    """Query terms, the postings (written once, read by every step that needs them) and their statistics."""
     c = t.corpus(spark, d)
-    return index.query_terms(t.topics(spark, d), "qid", simple_tokens("query")), index.postings(c, "docid", t.fields()), index.field_statistics(c, t.fields())
+    posts = written(index.postings(c, "docid", t.fields()), "postings")
+    return index.query_terms(t.topics(spark, d), "qid", simple_tokens("query")), posts, index.statistics_of(posts, c)
 
 
 def _out(df: DataFrame) -> DataFrame:
