@@ -424,3 +424,18 @@ def prompt(query: C, passage: C, style: str = "question") -> Column:
     if style == "instruct":
         return F.concat(F.lit("<Instruct>: Given a web search query, retrieve relevant passages that answer the query\n<Query>: "), q, F.lit("\n<Document>: "), p)
     return F.concat(F.lit("question:"), q, F.lit(" \n \n passage:"), p)
+
+
+def expansion_request(query: C, lang: str, previous_error: C | None = None) -> Column:
+    """Prompt that asks a model for the five views of a query as JSON; an error of the last try is echoed."""
+    ask = F.format_string(
+        "Expand the search query below (language: %s). Answer with one JSON object with exactly the keys keywords, sparse, embedding, colbert, expanded; each value is a string that is not empty.\nQuery: %s", F.lit(lang), col(query)
+    )
+    if previous_error is None:
+        return ask
+    e = col(previous_error)
+    return F.when(e.isNull(), ask).otherwise(F.concat(ask, F.lit("\nThe last answer was rejected: "), e))
+
+
+def translation_request(query: C, source: str, target: str = "English") -> Column:
+    return F.concat(F.lit(f"Translate the following {source} text to {target}. Output the translation and nothing else.\n"), col(query))

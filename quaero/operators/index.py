@@ -156,3 +156,12 @@ def synonym_dictionary(docs: DataFrame, tokens: Column, size: int = 32, window:
     near = dense_topk(v, v, "word", "vec", most + 1).where("qid <> docid")
     near = near.where(F.col("score") >= threshold)
     return near.groupBy(F.col("qid").alias("term")).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("m"), F.col("docid").alias("t")))), lambda x: F.struct(x["t"].alias("term"), (-x["m"]).alias("score"))).alias("synonyms"))
+
+
+def first_tokens(hits: DataFrame, docs: DataFrame, text: str, id_: str, most: int = 15) -> DataFrame:
+    """(qid, terms): the first distinct white-space tokens of each query's hits, by rank and place."""
+    t = hits.join(docs.select(F.col(id_).alias("docid"), F.split(F.trim(text), r"\s+").alias("a")), "docid").select("qid", "rank", F.posexplode("a").alias("at", "term")).where("term <> ''")
+    one = t.groupBy("qid", "term").agg(F.min(F.struct("rank", "at")).alias("k"))
+    w = Window.partitionBy("qid").orderBy("k", "term")
+    top = one.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= most)
+    return top.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("terms"))

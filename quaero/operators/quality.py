@@ -78,3 +78,18 @@ def vocabulary_drift(a: DataFrame, b: DataFrame, words: Column) -> DataFrame:
     j = va.join(vb, "w", "full")
     both = F.sum((F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int"))
     return j.agg(F.count("a").alias("size_a"), F.count("b").alias("size_b"), both.alias("shared"), F.round(ratio(both, F.count("*")), 9).alias("jaccard"))
+
+
+def exact_records(df: DataFrame, strings: list[str], index: str = "index") -> DataFrame:
+    """(index, issue) of output rows whose string columns are null or blank, whose index repeats or is outside 0..n-1."""
+    n = df.agg(F.count("*").alias("n"))
+    blank = [F.when(F.col(c).isNull() | (F.trim(c) == ""), F.lit(f"blank {c}")) for c in strings]
+    a = df.select(index, F.explode(F.array_compact(F.array(*blank))).alias("issue"))
+    b = df.groupBy(index).agg(F.count("*").alias("c")).where("c > 1").select(index, F.lit("repeated index").alias("issue"))
+    c = df.crossJoin(F.broadcast(n)).where((F.col(index) < 0) | (F.col(index) >= F.col("n"))).select(index, F.lit("index outside").alias("issue"))
+    return a.unionByName(b).unionByName(c)
+
+
+def expected_fallback(wanted: int, run_candidates: float) -> float:
+    """Negatives of a query that its runs are expected not to give."""
+    return max(0.0, wanted - run_candidates)

@@ -151,3 +151,39 @@ def interleaved(a: DataFrame, b: DataFrame, key: str, seed: str = "42", window:
 def reuse_of_negatives(negatives: DataFrame, n: int = 10) -> DataFrame:
     """(docid, uses): the documents used most often as negatives."""
     return negatives.groupBy("docid").agg(F.count("*").alias("uses")).orderBy(F.col("uses").desc(), "docid").limit(n)
+
+
+def gold_of(queries: DataFrame, qrels: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(qid, docid): the query's own gold if the corpus has it, else its first positive in the qrels by id."""
+    c = corpus.select("docid").distinct()
+    own = queries.where("gold is not null").select("qid", F.col("gold").alias("docid")).join(c, "docid", "left_semi").groupBy("qid").agg(F.min("docid").alias("own"))
+    other = qrels.where("relevance > 0").join(c, "docid", "left_semi").groupBy("qid").agg(F.min("docid").alias("other"))
+    return queries.select("qid").distinct().join(own, "qid", "left").join(other, "qid", "left").select("qid", F.coalesce("own", "other").alias("docid")).where("docid is not null")
+
+
+def union_editions(editions: dict[str, DataFrame]) -> DataFrame:
+    """(qid, docid, ...) of several editions, query ids prefixed by the edition; each (qid, docid) once."""
+    from functools import reduce
+
+    parts = [df.withColumn("qid", F.concat(F.lit(f"{name}_"), F.col("qid"))) for name, df in editions.items()]
+    return reduce(DataFrame.unionByName, parts).dropDuplicates(["qid", "docid"])
+
+
+def first_come_negatives(run: DataFrame, golds: DataFrame, order: list[str], n: int) -> DataFrame:
+    """(qid, docid, place): negatives run after run in a given order, without fusion; each document once."""
+    at = F.array_position(F.array(*map(F.lit, order)), F.col("system"))
+    r = run.where(F.col("system").isin(order)).join(golds.select("qid", "docid"), ["qid", "docid"], "left_anti")
+    one = r.groupBy("qid", "docid").agg(F.min(F.struct(at.alias("a"), "rank")).alias("k"))
+    w = Window.partitionBy("qid").orderBy("k.a", "k.rank", "docid")
+    return one.select("qid", "docid", F.row_number().over(w).alias("place")).where(F.col("place") <= n)
+
+
+def used_at_most(negatives: DataFrame, most: int, seed: str = "42") -> DataFrame:
+    """Each document as a negative of at most ``most`` queries, those first in hash order. The sequential rule of a greedy builder depends on row order; this one does not."""
+    w = Window.partitionBy("docid").orderBy(hash_order(seed, "qid", "docid"))
+    return negatives.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")
+
+
+def sequential_index(df: DataFrame, order: list[str], name: str = "index") -> DataFrame:
+    """Adds 0, 1, 2, ... over the whole table in an order."""
+    return global_rank(df, order).withColumn(name, (F.col("rank") - 1).cast("bigint")).drop("rank")

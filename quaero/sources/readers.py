@@ -199,3 +199,34 @@ def translation_cache(spark: SparkSession, path: str) -> DataFrame:
 
 def many(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
+
+
+def training_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(qid, query, pos, neg, hard_neg, pos_ids, neg_ids, variant) of JSON lines in either dialect (positive/negatives or pos/neg/hard_neg); rows without a query or a positive are an error."""
+    a = "array<string>"
+    schema = f"qid string, query string, variant string, pos {a}, neg {a}, hard_neg {a}, positive string, negatives {a}, pos_pubkeys {a}, neg_pubkeys {a}, gold_pubkey string"
+    df = spark.read.schema(schema).json(path, mode="FAILFAST")
+    none = F.array().cast("array<string>")
+    filled = lambda c: F.filter(F.transform(F.coalesce(c, none), lambda x: strip(x)), lambda x: x.isNotNull() & (x != ""))
+    out = df.select(
+        identifier("qid").alias("qid"), strip("query").alias("query"), filled(F.coalesce("pos", F.array("positive"))).alias("pos"), filled(F.coalesce("neg", "negatives")).alias("neg"), filled(F.col("hard_neg")).alias("hard_neg"),
+        filled(F.coalesce("pos_pubkeys", F.array("gold_pubkey"))).alias("pos_ids"), filled(F.col("neg_pubkeys")).alias("neg_ids"), "variant",
+    )
+    bad = out.where("query is null or query = '' or size(pos) = 0").limit(1).count()
+    if bad:
+        raise ValueError("a training row has no query or no positive")
+    return out
+
+
+def search_filters(text: Column) -> Column:
+    """struct(text, venue, author) of a query that names ``venue:"..."`` or ``author:...``; the filters leave the text; the author goes on to the end."""
+    venue = F.nullif(F.lower(F.regexp_extract(text, r'(?i)venue:\s*"([^"]+)"', 1)), F.lit(""))
+    venue = F.coalesce(venue, F.nullif(F.lower(F.regexp_extract(text, r"(?i)venue:\s*([^\s\"]\S*)", 1)), F.lit("")))
+    author = F.nullif(F.lower(strip(F.regexp_extract(text, r"(?i)author:\s*(.+)$", 1))), F.lit(""))
+    rest = strip(F.regexp_replace(F.regexp_replace(text, r"(?i)author:\s*.+$", ""), r'(?i)venue:\s*(?:"[^"]*"|\S+)', ""))
+    return F.struct(rest.alias("text"), venue.alias("venue"), author.alias("author"))
+
+
+def compatible(a: Column, b: Column) -> Column:
+    """Equal, or at least one unknown."""
+    return a.isNull() | b.isNull() | (a == b)

@@ -166,3 +166,22 @@ def test_augmentation(spark):
     g = spark.createDataFrame([("q", "p", 1), ("q", "n", 0), ("r", "s", 1)], "qid string, docid string, label int")
     assert {tuple(r) for r in a.topped_up(g, 2, buckets=1).collect()} == {("q", "n", "own"), ("q", "s", "other"), ("r", "p", "other")}
     assert a.capped_sample(g, "qid", 1).count() == 1
+
+
+def test_small_training_helpers(spark):
+    q = spark.createDataFrame([("a", "d1"), ("b", "gone"), ("c", None)], "qid string, gold string")
+    qrels = spark.createDataFrame([("b", "d2", 1), ("b", "d1", 0), ("c", "gone", 1)], "qid string, docid string, relevance int")
+    corpus = spark.createDataFrame([("d1",), ("d2",)], "docid string")
+    assert {tuple(r) for r in training.gold_of(q, qrels, corpus).collect()} == {("a", "d1"), ("b", "d2")}
+    e = spark.createDataFrame([("a", "d1"), ("a", "d1")], "qid string, docid string")
+    assert {r.qid for r in training.union_editions({"2025": e, "2026": e}).collect()} == {"2025_a", "2026_a"}
+    run = spark.createDataFrame([("s", "a", "d2", 1), ("s", "a", "d1", 2), ("t", "a", "d3", 1), ("t", "a", "d2", 2)], "system string, qid string, docid string, rank int")
+    got = training.first_come_negatives(run, e, ["t", "s"], 5).orderBy("place").collect()
+    assert [r.docid for r in got] == ["d3", "d2"]
+    assert training.used_at_most(spark.createDataFrame([(f"q{i}", "d") for i in range(9)], "qid string, docid string"), 4).count() == 4
+    assert sorted(r["index"] for r in training.sequential_index(run, ["system", "docid"]).collect()) == [0, 1, 2, 3]
+    bad = spark.createDataFrame([(0, "x"), (0, " "), (7, "y")], "index int, text string")
+    assert {tuple(r) for r in quality.exact_records(bad, ["text"]).collect()} == {(0, "blank text"), (0, "repeated index"), (7, "index outside")}
+    hits = spark.createDataFrame([("q", "a", 1), ("q", "b", 2)], "qid string, docid string, rank int")
+    docs = spark.createDataFrame([("a", "x y x"), ("b", "y z w")], "docid string, t string")
+    assert index.first_tokens(hits, docs, "t", "docid", 3).first().terms == ["x", "y", "z"]

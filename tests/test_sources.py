@@ -94,3 +94,15 @@ def test_query_stream(spark, tmp_path):
     s = serving.score_stream(serving.query_files(spark, str(tmp_path / "in")), index.postings(docs, "docid", fields), index.field_statistics(docs, fields), simple_tokens("query"), str(tmp_path / "out"), str(tmp_path / "ck"))
     s.awaitTermination(60)
     assert rows(spark.read.parquet(str(tmp_path / "out")), "qid", "docid") == [("q", "d1")]
+
+
+def test_training_rows_and_filters(spark, tmp_path):
+    p = put(tmp_path, "t.jsonl", '{"qid": "1", "query": " q ", "pos": ["a"], "neg": ["b", " "], "hard_neg": ["c"]}\n{"qid": "2", "query": "r", "positive": "p", "negatives": ["n"]}\n')
+    got = {r.qid: r for r in readers.training_rows(spark, p).collect()}
+    assert got["1"].neg == ["b"] and got["1"].hard_neg == ["c"] and got["2"].pos == ["p"] and got["2"].neg == ["n"] and got["2"].query == "r"
+    with pytest.raises(ValueError):
+        readers.training_rows(spark, put(tmp_path, "u.jsonl", '{"qid": "1", "query": "q", "pos": []}\n'))
+    f = spark.createDataFrame([('heart risk venue:"The Lancet" author: A. Smith',), ("plain",), ("x venue:bmj",)], "t string").select(readers.search_filters(F.col("t")).alias("f")).collect()
+    assert [tuple(r.f) for r in f] == [("heart risk", "the lancet", "a. smith"), ("plain", None, None), ("x", "bmj", None)]
+    c = spark.createDataFrame([("a", None), ("a", "a"), ("a", "b")], "x string, y string").select(readers.compatible(F.col("x"), F.col("y")).alias("c")).collect()
+    assert [r.c for r in c] == [True, True, False]
