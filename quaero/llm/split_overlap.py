@@ -33,7 +33,6 @@ folder; workers read them there.
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +43,7 @@ from quaero.session import shared_folder, written
 
 EDITS = 3
 #: Classes in a shard of the index, and training classes in a streamed block.
-SHARD, BLOCK = 50_000, 10_000
+SHARD, BLOCK = 32_000, 10_000
 #: Occurrences below which a stretch is rare.
 RARE = 8
 
@@ -96,15 +95,17 @@ class Index:
         steps = np.sort(before * (n + 1) + np.arange(n))
         return cls(alphabet=alphabet, steps=steps, places=order.astype(np.int32), text=text, starts=starts.astype(np.int32), names=np.array(names, "S32"))
 
-    def dumps(self) -> bytes:
-        b = io.BytesIO()
-        np.savez(b, **{k: getattr(self, k) for k in self.FIELDS})
-        return b.getvalue()
+    #: Types of the fields as stored.
+    KINDS = {"alphabet": "<i8", "steps": "<i8", "places": "<i4", "text": "<i4", "starts": "<i4", "names": "S32"}
+
+    def dumps(self) -> dict[str, bytes]:
+        """The fields as bytes, one column each."""
+        return {k: np.ascontiguousarray(getattr(self, k), self.KINDS[k]).tobytes() for k in self.FIELDS}
 
     @classmethod
-    def loads(cls, b: bytes) -> Index:
-        with np.load(io.BytesIO(b)) as z:
-            return cls(**{k: z[k] for k in cls.FIELDS})
+    def loads(cls, row: dict) -> Index:
+        """From buffers of the fields, without copying them."""
+        return cls(**{k: np.frombuffer(row[k], cls.KINDS[k]) for k in cls.FIELDS})
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         """Symbols of word hashes, -1 for words that do not occur."""
@@ -261,10 +262,10 @@ def near_classes(train: DataFrame, evaluation: DataFrame, edits: int = EDITS) ->
 
         pdf = pdf.sort_values("c")
         index = Index.build(pdf["c"].tolist(), pdf["h"].tolist())
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "data": [index.dumps()]})
+        return pd.DataFrame({k: [v] for k, v in index.dumps().items()})
 
     sharded = ev.withColumn("shard", F.pmod(F.xxhash64("c"), F.lit(shards)).cast("int")).repartition(shards, "shard")
-    held = written(sharded.groupBy("shard").applyInPandas(build, "shard int, data binary"), "index")
+    held = written(sharded.groupBy("shard").applyInPandas(build, ", ".join(f"{k} binary" for k in Index.FIELDS)), "index")
     place = sorted(f for f in held.inputFiles())
     names = "t string, e string, distance int, spans int, covered int"
 
@@ -285,10 +286,10 @@ def near_classes(train: DataFrame, evaluation: DataFrame, edits: int = EDITS) ->
         for uri in place:
             where, path = fs.FileSystem.from_uri(uri)
             with where.open_input_file(path) as f:
-                for batch in pq.ParquetFile(f).iter_batches(batch_size=1, columns=["data"]):
-                    for data in batch.column(0):
-                        index = Index.loads(data.as_py())
-                        rows = [(keys[i], e.decode(), d, s, n) for i, e, d, s, n in search(index, flat, offsets, edits)]
+                for batch in pq.ParquetFile(f).iter_batches(batch_size=1, columns=list(Index.FIELDS)):
+                    for i in range(batch.num_rows):
+                        index = Index.loads({k: batch.column(k)[i].as_buffer() for k in Index.FIELDS})
+                        rows = [(keys[j], e.decode(), d, s, n) for j, e, d, s, n in search(index, flat, offsets, edits)]
                         if rows:
                             yield pd.DataFrame(rows, columns=["t", "e", "distance", "spans", "covered"])
 

@@ -314,7 +314,7 @@ def test_distance():
         assert split_overlap.distance(a, b, 3) == min(4, lev(a, b))
 
 
-@pytest.mark.parametrize("rare, shard", [(8, 50_000), (1, 7)])
+@pytest.mark.parametrize("rare, shard", [(8, 32_000), (1, 7)])
 def test_overlap(spark, monkeypatch, rare, shard):
     monkeypatch.setattr(split_overlap, "RARE", rare)
     monkeypatch.setattr(split_overlap, "SHARD", shard)
