@@ -48,8 +48,8 @@ PLACEHOLDERS = [
     r"(?i)\[[^\]\[]{1,60}\s(?:to be added|to be completed|to be announced|goes here|here)\]",
     r"(?i)<\s*(?:your|insert|enter)\s[^<>]{1,60}>",
 ]
-#: What every placeholder holds; a cheap test before the patterns.
-MARKS = r"[{\[<]|@@\w|%\w+%|__\w"
+#: What every placeholder holds; a cheap test before the patterns. Names between percent signs hold dots too.
+MARKS = r"[{\[<]|@@\w|%[\w.]+%|__\w"
 # Phrases of messages and notices, on masked lower-case text (0 stands for a number or code).
 MESSAGES = [
     r"(?:http )?(?:error|erreur|fehler|errore)? ?:?0 ?[:\-]? ?(?:bad gateway|forbidden|not found|internal server error|service unavailable|gateway timeout|bad request|unauthorized|too many requests|page not found)",

@@ -213,6 +213,19 @@ def test_residue_recurs_and_is_linear(spark):
     assert 3 in flagged and 6 not in flagged
 
 
+NAMES = ["title", "claim.text", "main_claim", "paper.first_author.name"]
+FORMS = ["{{ %s }}", "{%% %s %%}", "<%%= %s %%>", "${%s}", "[[%s]]", "<<%s>>", "@@%s@@", "{%s}", "%%%s%%", "__%s__", "[insert %s]", "[%s here]", "<your %s>"]
+
+
+def test_every_placeholder_form_passes_the_cheap_test(spark):
+    assert len(FORMS) == len(residue.PLACEHOLDERS)
+    rows = [(i, f"Peer review is still open, {f % n} but the ratio stayed.") for i, f in enumerate(FORMS) for n in NAMES]
+    df = spark.createDataFrame(rows, "i int, text string")
+    alone = F.element_at(F.array(*[F.rlike("text", F.lit(p)) for p in residue.PLACEHOLDERS]), F.col("i") + 1)
+    seen = df.select("text", alone.alias("alone"), F.rlike("text", F.lit(residue.MARKS)).alias("marked"), residue.has_placeholder("text").alias("found")).collect()
+    assert [r.text for r in seen if not (r.alone and r.marked and r.found)] == []
+
+
 # --- 1: languages
 
 SENT = {
