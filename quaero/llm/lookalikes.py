@@ -136,3 +136,8 @@ def one_form(df: DataFrame, key: str, text: str) -> DataFrame:
 def changed_records(df: DataFrame, key: str, text: str, src: str) -> DataFrame:
     """(src, rec_key) of the records whose text had to change; no row twice."""
     return one_form(df, key, text).where("changed").select(F.lit(src).alias("src"), F.col(key).alias("rec_key")).distinct()
+
+
+def forms(df: DataFrame, key: str, text: str, src: str) -> DataFrame:
+    """(src, rec_key, form, changed) of every record; no row twice."""
+    return one_form(df, key, text).select(F.lit(src).alias("src"), F.col(key).alias("rec_key"), "form", "changed").distinct()

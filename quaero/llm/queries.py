@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quaero.llm.bpe import encode_documents
 from quaero.llm.formatting_dups import one_per_paper, same_papers
 from quaero.llm.language import contents, mislabelled, post_languages, post_segments
-from quaero.llm.lookalikes import changed_records, one_form
+from quaero.llm.lookalikes import changed_records, forms
 from quaero.llm.packing import pack_documents
 from quaero.llm.pair_defects import pair_defects
 from quaero.llm.residue import residue, without_residue
@@ -94,7 +94,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_forms(spark: SparkSession, d: str) -> DataFrame:
-    return one_form(table(spark, d, "en_train"), "qid", "text").distinct()
+    """Every post and every abstract in one form."""
+    posts = forms(table(spark, d, "en_train"), "qid", "text", "en_train")
+    return posts.unionByName(forms(table(spark, d, "collection_data"), "pubkey", "abstract", "collection_data"))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -38,3 +38,16 @@ def test_query(spark, con, name):
 )
 def test_columns(spark, name, columns):
     assert q.queries()[name](spark, D).columns == columns
+
+
+def test_forms_of_both_tables(spark):
+    """p6_forms gives every post and every abstract; its changed rows are p6_found."""
+    f = q.queries()["p6_forms"](spark, D)
+    assert f.columns == ["src", "rec_key", "form", "changed"]
+    rows = f.collect()
+    assert len(set(rows)) == len(rows)
+    for src, key in (("en_train", "qid"), ("collection_data", "pubkey")):
+        want = {r[0] for r in spark.read.parquet(f"{D}/{src}.parquet").select(key).collect()}
+        assert {r.rec_key for r in rows if r.src == src} == want
+    found = {tuple(r) for r in q.queries()["p6_found"](spark, D).collect()}
+    assert found and {(r.src, r.rec_key) for r in rows if r.changed} == found
