@@ -96,7 +96,8 @@ WEAK = r"javascript|script|browser|navigateur|navegador|cookie|\berror\b|erreur|
 NEAR = (
     "script browser navigateur navegador cookie error erreur fehler errore server page seite página pagina access denied not&found unavailable sign&in login log&in captcha placeholder platzhalter relleno remplissage "
     "riempimento segnaposto text exception timeout session reload traceback tbd tba todo asdf qwerty xxx lorem appear replace deleted went&wrong oops requests denegado negato refusé verweigert retrieve paragraph introuvable "
-    "coming&soon foo&bar forbidden gateway bad&request unauthorized file&\" (request (reference (code reference code wait&"
+    "coming&soon foo&bar forbidden gateway bad&request unauthorized file&\" request (request (reference (code reference code wait& "
+    "permission try&again notified could&not will&not&work did&not&answer :0) ref&0 ref&: ref&# ref: ref# ref0"
 ).split()
 NEAR = tuple(w.replace("&", " ") for w in NEAR)
 SENTENCE = r"(?<=[.!?:;])\s+|\n+"

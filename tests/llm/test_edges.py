@@ -2,6 +2,7 @@
 
 import collections
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -226,6 +227,52 @@ def test_every_placeholder_form_passes_the_cheap_test(spark):
     assert [r.text for r in seen if not (r.alone and r.marked and r.found)] == []
 
 
+def least(pattern):
+    """What a pattern takes with every repetition at its least: one text for each way through its alternatives."""
+
+    def ways(items):
+        texts = [""]
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                more = [chr(arg)]
+            elif name == "NOT_LITERAL":
+                more = ["q"]
+            elif name == "IN":
+                kind, first = arg[0]
+                more = ["q" if str(kind) in ("NEGATE", "RANGE") else chr(first)]
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+                more = [w * arg[0] for w in ways(arg[2])] if arg[0] else [""]
+            elif name == "SUBPATTERN":
+                more = ways(arg[3])
+            elif name == "BRANCH":
+                more = [w for b in arg[1] for w in ways(b)]
+            else:
+                raise ValueError(name)
+            texts = [t + m for t in texts for m in more]
+        return texts
+
+    return ways(re._parser.parse(pattern))
+
+
+def test_every_phrase_passes_the_near_test():
+    alone = [t for p in residue.MESSAGES + residue.FILLER for t in least(p)]
+    assert len(alone) > 150
+    # A number in brackets only follows other phrases; by itself it is no message.
+    assert [t for t in alone if t != "0)" and not any(w in t for w in residue.NEAR)] == []
+
+
+PHRASES = [
+    ("We could not load the article. Please try again later.", True), ("Access denied\nYou do not have permission to view this record.", True), ("Access denied\nRef: 8123", True), ("Our team has been notified.", True), ("The upstream host did not answer in time.", True),
+    ("Some parts of the archive will not work.", True), ("at org.site.view(page.java:12)", True), ("(12)", False), ("We could not find the gene. It was notified to the registry.", False), ("Patients were asked to try again.", False), ("See ref: 12 for the request 3 of the board.", False),
+]
+
+
+def test_whole_phrases_are_residue(spark):
+    got_ = {r.doc_id for r in residue.residue(docs(spark, [t for t, _ in PHRASES])).collect()}
+    assert got_ == {i for i, (_, y) in enumerate(PHRASES) if y}
+
+
 # --- 1: languages
 
 SENT = {
