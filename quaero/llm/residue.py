@@ -44,9 +44,9 @@ PLACEHOLDERS = [
     r"(?<![A-Za-z0-9_$\\}])\{\s*[A-Za-z][A-Za-z0-9]{1,40}(?:[._][A-Za-z0-9]{1,40}){0,8}\s*\}(?![A-Za-z{])",
     r"(?<![A-Za-z0-9%])%[A-Za-z]{2,40}(?:[._][A-Za-z0-9]{1,40}){0,8}%(?![A-Za-z0-9])",
     r"(?<![A-Za-z0-9_])__(?!(?:init|main|name|file|doc|dict|class|call|new|str|repr|len|iter|next|enter|exit|all|version|slots|eq|hash|del|getattr|setattr|getitem|setitem|contains|future|import|builtins|module|annotations)__)[A-Za-z][A-Za-z0-9]{0,40}(?:[._][A-Za-z0-9]{1,40}){0,8}__(?![A-Za-z0-9_])",
-    r"(?i)\[\s*(?:insert|enter|add|your|put)\s[^\]\[]{1,60}\]",
-    r"(?i)\[[^\]\[]{1,60}\s(?:to be added|to be completed|to be announced|goes here|here)\]",
-    r"(?i)<\s*(?:your|insert|enter)\s[^<>]{1,60}>",
+    r"(?i)\[\s*(?:insert|enter|add|your|put)\s[^\]\[]++\]",
+    r"(?i)\[[^\]\[]++(?<=[^\]\[]\s(?:to be added|to be completed|to be announced|goes here|here))\]",
+    r"(?i)<\s*(?:your|insert|enter)\s[^<>]++>",
 ]
 #: What every placeholder holds; a cheap test before the patterns. Names between percent signs hold dots too.
 MARKS = r"[{\[<]|@@\w|%[\w.]+%|__\w"

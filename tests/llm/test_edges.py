@@ -273,6 +273,19 @@ def test_whole_phrases_are_residue(spark):
     assert got_ == {i for i, (_, y) in enumerate(PHRASES) if y}
 
 
+BRACKETS = [
+    ("[Insert a short description of the main findings of this study and its limitations here]", True), ("[a summary of the main findings of this study and of all its limitations goes here]", True), ("see <your full title as it should stand in the printed list of all accepted papers>", True),
+    ("[the abstract of the second study, which is longer than all others, to be added]", True), ("[insert " + "a long note " * 20_000 + "]", True), ("[" + "word " * 50_000 + "here]", True), ("<your " + "word " * 50_000 + ">", True), ("[x here]", True),
+    ("[ here]", False), ("[here]", False), ("[insert " * 30_000, False), ("[" + "word here " * 40_000, False), ("<your " * 30_000, False), ("[insert " + "word " * 50_000, False), ("here] and [1] there", False),
+    ("A longer remark [which says that the samples were kept apart from each other over here, and more] stays.", False),
+]
+
+
+def test_brackets_of_any_length(spark):
+    df = spark.createDataFrame(list(enumerate(t for t, _ in BRACKETS)), "i int, text string")
+    assert [r.i for r in df.where(residue.has_placeholder("text")).sort("i").collect()] == [i for i, (_, y) in enumerate(BRACKETS) if y]
+
+
 # --- 1: languages
 
 SENT = {
