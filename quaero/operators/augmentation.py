@@ -39,17 +39,24 @@ def capped_sample(groups: DataFrame, key: str, n: int, seed: str = "42") -> Data
 
 
 def topped_up(groups: DataFrame, n: int, seed: str = "42", buckets: int = 64) -> DataFrame:
-    """(qid, docid, source): the negatives of each query, filled up to n with positives of other queries of the same hash bucket and the next ones.
+    """(qid, docid, source): the negatives of each query, filled up to n with positives of other queries, as long as there are any.
 
-    groups: (qid, docid, label). No pair of every query with every positive is
-    made: a query meets the positives of three of ``buckets`` buckets only.
+    groups: (qid, docid, label). The positives stand on a ring in hash order
+    (places are counted in ``buckets`` parts). A query starts at its own place
+    and meets as many as it lacks and as it must pass over, which is enough or
+    the whole ring. No pair of every query with every positive is made.
     """
     own = groups.where("label = 0").select("qid", "docid", F.lit("own").alias("source")).distinct()
     pos = groups.where("label = 1").select("docid").distinct().withColumn("b", F.pmod(F.xxhash64("docid"), F.lit(buckets)))
-    have = own.groupBy("qid").agg(F.count("*").alias("n"))
-    need = groups.select("qid").distinct().join(have, "qid", "left").where(F.coalesce("n", F.lit(0)) < n).select("qid")
-    q = need.withColumn("b", F.explode(F.array(*[F.pmod(F.xxhash64("qid") + i, F.lit(buckets)) for i in range(min(3, buckets))])))
-    fill = q.join(pos, "b").join(groups.select("qid", "docid"), ["qid", "docid"], "left_anti").select("qid", "docid", F.lit("other").alias("source")).distinct()
+    parts = pos.groupBy("b").agg(F.count("*").alias("size")).withColumn("before", F.sum("size").over(Window.orderBy("b")) - F.col("size"))
+    within = F.row_number().over(Window.partitionBy("b").orderBy(hash_order(seed, "docid"), "docid"))
+    ring = pos.withColumn("i", within).join(F.broadcast(parts), "b").select("docid", (F.col("before") + F.col("i") - 1).alias("place"))
+    total = parts.agg(F.sum("size").alias("total"))
+    have = groups.groupBy("qid").agg(F.countDistinct(F.when(F.col("label") == 0, F.col("docid"))).alias("n"), F.countDistinct("docid").alias("held"))
+    need = have.where(F.col("n") < n).crossJoin(F.broadcast(total)).where("total > 0")
+    steps = F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.col("total"), n - F.col("n") + F.col("held")) - 1))
+    q = need.select("qid", "total", steps.alias("i")).select("qid", F.pmod(F.pmod(F.xxhash64("qid"), F.col("total")) + F.col("i"), F.col("total")).alias("place"))
+    fill = q.join(ring, "place").join(groups.select("qid", "docid"), ["qid", "docid"], "left_anti").select("qid", "docid", F.lit("other").alias("source")).distinct()
     w = Window.partitionBy("qid").orderBy(F.col("source") != "own", hash_order(seed, "qid", "docid"))
     return own.unionByName(fill).withColumn("k", F.row_number().over(w)).where((F.col("k") <= n) | (F.col("source") == "own")).select("qid", "docid", "source")
 

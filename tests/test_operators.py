@@ -185,3 +185,17 @@ def test_small_training_helpers(spark):
     hits = spark.createDataFrame([("q", "a", 1), ("q", "b", 2)], "qid string, docid string, rank int")
     docs = spark.createDataFrame([("a", "x y x"), ("b", "y z w")], "docid string, t string")
     assert index.first_tokens(hits, docs, "t", "docid", 3).first().terms == ["x", "y", "z"]
+
+
+@pytest.mark.parametrize("queries", [3, 46, 200])
+def test_groups_are_topped_up_as_far_as_positives_go(spark, queries):
+    """Whatever the number of positives, a group is full or holds every positive of the others."""
+    from quaero.operators import augmentation as a
+
+    rows = [(f"q{i}", f"p{i}", 1) for i in range(queries)] + [("q0", f"p{i}", 0) for i in range(1, queries, 2)] + [("q1", f"n{i}", 0) for i in range(5)]
+    got = a.topped_up(spark.createDataFrame(rows, "qid string, docid string, label int"), 12).collect()
+    assert len({(r.qid, r.docid) for r in got}) == len(got) and not {(r.qid, r.docid) for r in got if r.source == "other"} & {x[:2] for x in rows}
+    for i in range(queries):
+        own = sum(x[0] == f"q{i}" and x[2] == 0 for x in rows)
+        free = queries - 1 - (own if i == 0 else 0)
+        assert sum(r.qid == f"q{i}" for r in got) == max(own, min(12, own + free)), i
