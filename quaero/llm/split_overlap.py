@@ -1,7 +1,7 @@
 """Records of evaluation splits that stand, exactly or almost, in the training split.
 
 Both sides are reduced to classes of equal word sequences. The evaluation
-classes are cut into shards of bounded size, and each shard gets a compressed
+classes are cut into shards of bounded size, and each shard gets an uncompressed
 full-text index over words: a suffix array by prefix doubling and the
 positions of each word in the Burrows-Wheeler transform, so that one step of
 backward search is one binary search. The training classes are streamed
