@@ -81,10 +81,10 @@ fr AS (SELECT p.* FROM p LEFT JOIN g USING (qid, key) LEFT JOIN (SELECT qid, doc
 o AS (SELECT *, row_number() OVER (PARTITION BY qid, key ORDER BY place) AS k FROM fr), w AS (SELECT qid, docid, row_number() OVER (PARTITION BY qid ORDER BY place) AS n FROM o WHERE k = 1)"""
 
 
-def _fused(spark, d, n=10):
+def _fused(spark, d, n=10, fill=None):
     c = t.corpus(spark, d)
     texts = c.select("docid", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit(""))).alias("text")).groupBy("docid").agg(F.min("text").alias("text"))
-    return tr.fused_negatives(t.runs(spark, d), t.golds(spark, d), texts, n)
+    return tr.fused_negatives(t.runs(spark, d), t.golds(spark, d), texts, n, fill=fill)
 
 
 @query(FUSED + " SELECT qid, docid, CAST(1 AS BIGINT) AS stage, n AS place FROM w WHERE n <= 10")
@@ -92,6 +92,24 @@ def neg_fused(spark, d):
     return _long(_fused(spark, d), "stage", "place")
 
 
+def _fused_filled(spark, d, n=10):
+    """Random documents follow where the runs hold fewer than n, or nothing, for a query of the runs or a judged one."""
+    q = t.runs(spark, d).select("qid").union(t.judged(spark, d).select("qid")).where("qid is not null")
+    fill = tr.random_negatives(q, t.corpus(spark, d).select("docid"), t.golds(spark, d), 2 * n)
+    return _fused(spark, d, n, fill)
+
+
+@query()
+def neg_fused_filled(spark, d):
+    return _long(_fused_filled(spark, d), "stage", "place")
+
+
+@query()
+def build_quality_filled(spark, d):
+    b = quality.build_quality(_fused_filled(spark, d), 10)
+    return b.select("rows", *[F.round(c, 6).alias(c) for c in b.columns if c != "rows"])
+
+
 @query()
 def neg_random(spark, d):
     return tr.random_negatives(t.judged(spark, d), t.corpus(spark, d).select("docid"), t.golds(spark, d), 5)

@@ -50,3 +50,15 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "IsNotNull(text)" in plan and "pubkey" not in plan
     plan = QUERIES["rrf_fusion"](spark, D)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_fallback_fills_every_query(spark):
+    """Ten negatives for every query; those of the runs stay as they are."""
+    rows = QUERIES["neg_fused_filled"](spark, D).collect()
+    per = {}
+    for r in rows:
+        per.setdefault(r.qid, []).append(r.docid)
+    assert all(len(set(v)) == 10 == len(v) for v in per.values())
+    assert {tuple(r) for r in rows if r.stage == 1} == {tuple(r) for r in QUERIES["neg_fused"](spark, D).collect()}
+    q = QUERIES["build_quality_filled"](spark, D).first()
+    assert q.rows == len(per) and q.rows_underfilled == 0 and q.avg_fallback > 0 and q.rows_with_fallback > 0
