@@ -1,7 +1,10 @@
-"""Tolerant JSON: the first balanced object of a text, and exact-key checks."""
+"""Tolerant JSON: the first object of a text, and exact-key checks."""
 
 from __future__ import annotations
 
+import json
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,31 +15,29 @@ from quaero.functions.text import C, col, strip
 VIEWS = ("keywords", "sparse", "embedding", "colbert", "expanded")
 
 
+_DECODER = json.JSONDecoder()
+
+
 def first_object(text: str | None) -> str | None:
-    """The first balanced {...} of a text; braces inside strings do not count."""
-    if not text:
-        return None
-    start = text.find("{")
-    if start < 0:
-        return None
-    depth, quoted, escaped = 0, False, False
-    for i in range(start, len(text)):
-        ch = text[i]
-        if quoted:
-            quoted = escaped or ch != '"'
-            escaped = ch == "\\" and not escaped
-        elif ch == '"':
-            quoted = True
-        elif ch == "{":
-            depth += 1
-        elif ch == "}":
-            depth -= 1
-            if not depth:
-                return text[start : i + 1]
+    """The first JSON object that stands in a text; None if there is none, or if the text ends inside it.
+
+    The decoder itself says where an object that begins at a brace ends. Where
+    it fails before the end of the text, the next brace is tried.
+    """
+    found = re.finditer(r"\{(?=\s*[\"}])", text or "")
+    for brace in found:
+        try:
+            return text[brace.start() : _DECODER.raw_decode(text, brace.start())[1]]
+        except RecursionError:
+            return None
+        except json.JSONDecodeError as e:
+            if e.pos >= len(text.rstrip()) or e.msg.startswith("Unterminated"):
+                return None
     return None
 
 
 def balanced_object(c: C) -> Column:
+    """``first_object`` of a column, over Arrow batches."""
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
@@ -49,7 +50,8 @@ def parsed_payload(c: C) -> Column:
     """VARIANT of a model's JSON answer: code fence off, else the first balanced object; null if there is none."""
     bare = F.regexp_replace(strip(c), r"(?s)^```(?:json)?\s*|\s*```$", "")
     whole = F.try_parse_json(bare)
-    return F.coalesce(F.when(bare.startswith("{"), whole), F.try_parse_json(balanced_object(c)))
+    whole = F.when(bare.startswith("{"), whole)
+    return F.coalesce(whole, F.try_parse_json(balanced_object(F.when(whole.isNull(), col(c)))))
 
 
 def valid_payload(json_text: Column, keys: tuple[str, ...] = VIEWS) -> Column:

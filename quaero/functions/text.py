@@ -353,7 +353,7 @@ def entity_cues(c: C) -> Column:
     plain = PLAIN_TITLECASE
     titled = lambda t: F.rlike(t, F.lit(r"^[A-Z]")) & (F.upper(t) != t) & ~t.isin(plain)
     single = F.size(F.filter(tokens, lambda t, i: (i > 0) & (F.length(t) > 2) & titled(t)))
-    both = F.zip_with(tokens, F.slice(tokens, 2, 1_000_000), lambda a, b: titled(a) & titled(b))
+    both = F.zip_with(tokens, F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))), lambda a, b: titled(a) & titled(b))
     pairs = F.size(F.filter(both, lambda p: p)) * 2
     return orgs + authors + acronyms + single + pairs
 

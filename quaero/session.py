@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables that ``written`` made and ``drop_written`` has not deleted.
+_WRITTEN: list[str] = []
+
+
 def build_session(cpus: str = "*", app: str = "quaero", **conf: str) -> SparkSession:
     """A local session with the settings the tests and the bench use."""
     b = (
@@ -36,13 +43,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    ``spark.checkpoint.dir`` of the session is used as it is; only where it is
-    unset (local tests) a temporary folder of this machine is made and set.
+    ``spark.checkpoint.dir`` of the session is used as it is. Only where it is
+    unset and the session is local, a temporary folder of this machine is made
+    and set; on a cluster an unset folder is an error, since each executor
+    would write to a disk of its own.
     """
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
         where = "file://" + tempfile.mkdtemp(prefix="quaero-")
+        atexit.register(shutil.rmtree, where[len("file://") :], ignore_errors=True)
         sc.setCheckpointDir(where)
     return where
 
@@ -52,9 +64,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
     This cuts lineage durably (a lost executor costs nothing that was
     written) and, unlike a checkpoint, gives the planner the true size of the
-    table, so that broadcasts stay behind Spark's size threshold.
+    table, so that broadcasts stay behind Spark's size threshold. The table
+    lives as long as the session: it is deleted when the JVM ends, or by
+    ``drop_written``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/quaero-{label}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Deletes the tables that ``written`` made in this process and gives their number; results that still read them must be stored before."""
+    n = 0
+    while _WRITTEN:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
+    return n

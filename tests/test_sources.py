@@ -106,3 +106,19 @@ def test_training_rows_and_filters(spark, tmp_path):
     assert [tuple(r.f) for r in f] == [("heart risk", "the lancet", "a. smith"), ("plain", None, None), ("x", "bmj", None)]
     c = spark.createDataFrame([("a", None), ("a", "a"), ("a", "b")], "x string, y string").select(readers.compatible(F.col("x"), F.col("y")).alias("c")).collect()
     assert [r.c for r in c] == [True, True, False]
+
+
+def test_shared_folder_needs_a_setting_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from quaero import session
+
+    sc = SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda k: None), getCheckpointDir=lambda: None, master="spark://a:7077")
+    with pytest.raises(RuntimeError):
+        session.shared_folder(SimpleNamespace(sparkContext=sc))
+    t = session.written(spark.range(5), "t")
+    files = t.inputFiles()
+    assert t.count() == 5 and session.drop_written(spark) >= 1
+    import os
+
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)

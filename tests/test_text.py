@@ -70,3 +70,14 @@ def test_payload_with_noise(spark):
     v = one(spark, json_text.parsed_payload(F.lit('Sure!\n{"keywords": "a"} thanks')))
     assert v is not None
     assert one(spark, json_text.parsed_payload(F.lit("no json"))) is None
+
+
+def test_first_object():
+    f = json_text.first_object
+    assert f('say {x} and {"a": "{", "b": [{"c": 1}]} and {"d": 2}') == '{"a": "{", "b": [{"c": 1}]}'
+    assert [f(v) for v in (None, "", "no", "{", '{"a": {"b": 1}', '{"a": "x', '{"a":' * 100_000, "{" * 300_000)] == [None] * 8
+    assert f("{}") == "{}" and f('```json\n{"a": "q\\"}"}\n```') == '{"a": "q\\"}"}'
+
+
+def test_title_pairs_of_long_texts(spark):
+    assert one(spark, x.entity_cues("t"), "We saw " + "ab " * 30_000 + "Ann Lee") == one(spark, x.entity_cues("t"), "We saw ab Ann Lee")
