@@ -15,6 +15,9 @@ through every shard in blocks, all texts of a block in lock step:
   the occurrences of EDITS + 1 stretches are all candidates. If a text has no
   so many rare stretches, it is cut into EDITS + 1 equal ones, and all their
   occurrences are taken. Nothing is capped.
+* A text of at most EDITS words is near every sequence of at most EDITS words;
+  a longer partner shares a word with it and has at most 2 * EDITS words, so
+  its candidates come from a list of the shard's short sequences by word.
 * Candidates are settled by the exact word edit distance.
 
 The spans and counts of maximal matches are merged for each training class.
@@ -24,8 +27,9 @@ Words: lower case, links and mentions dropped, every character that is no
 letter, mark or digit dropped, split at white space; hashtags are words.
 
 Defined results: null and blank texts, and texts without a word, have no
-partner. Texts of fewer than EDITS + 1 words match equal texts only. Copies on
-either side are one class, so a third of all rows being one text costs one
+partner. At three edits any two texts of at most three words are a pair, by the
+definition; they are all given (as pairs of classes until the last join). Copies
+on either side are one class, so a third of all rows being one text costs one
 search. Ties do not arise; repeated rows give no row twice; very long texts
 are read whole; empty tables give no rows. The index files lie in the shared
 folder; workers read them there.
@@ -150,32 +154,32 @@ def near(index: Index, flat: np.ndarray, offsets: np.ndarray, edits: int) -> np.
     return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
-def _candidates(index: Index, sym: np.ndarray, edits: int) -> tuple[set[int], int, int]:
-    """Sequences that may be near, with the number of maximal matches and the words they cover."""
+def matches(index: Index, sym: np.ndarray) -> tuple[int, int]:
+    """Number of maximal matches of a text, from its end, and the words they cover."""
+    lo, hi, spans, covered, run = 0, index.n, 0, 0, 0
+    for s in sym[::-1].tolist():
+        lo, hi = map(int, index.extend(np.int64(s), np.int64(lo), np.int64(hi))) if s >= 0 else (0, 0)
+        if lo < hi:
+            run += 1
+            continue
+        spans, covered, run = spans + (run > 0), covered + run, 0
+        lo, hi = 0, index.n
+    return spans + (run > 0), covered + run
+
+
+def _candidates(index: Index, sym: np.ndarray, edits: int) -> set[int]:
+    """Sequences that may be near a text of more than ``edits`` words."""
     n = len(sym)
-    found: set[int] = set()
     hits: list[tuple[int, int]] = []
-    closed, lo, hi, at, began = 0, 0, index.n, n - 1, n
-    mlo, mhi, spans, covered, run = 0, index.n, 0, 0, 0
-    while at >= 0:
+    closed, lo, hi, at = 0, 0, index.n, n - 1
+    while at >= 0 and closed <= edits:
         s = np.int64(sym[at])
-        if s < 0:
-            lo = hi = mlo = mhi = 0
-        else:
-            lo, hi = map(int, index.extend(s, np.int64(lo), np.int64(hi)))
-            mlo, mhi = map(int, index.extend(s, np.int64(mlo), np.int64(mhi)))
-        if mlo >= mhi:
-            spans, covered, run = spans + (run > 0), covered + run, 0
-            mlo, mhi = 0, index.n
-        else:
-            run += 1
+        lo, hi = map(int, index.extend(s, np.int64(lo), np.int64(hi))) if s >= 0 else (0, 0)
         at -= 1
         if hi - lo <= RARE:
-            if closed <= edits:
-                hits.append((lo, hi))
+            hits.append((lo, hi))
             closed += 1
-            lo, hi, began = 0, index.n, at + 1
-    spans, covered = spans + (run > 0), covered + run
+            lo, hi = 0, index.n
     if closed <= edits:
         hits = []
         cut = [n * i // (edits + 1) for i in range(edits + 2)]
@@ -189,10 +193,26 @@ def _candidates(index: Index, sym: np.ndarray, edits: int) -> tuple[set[int], in
                 if lo >= hi:
                     break
             hits.append((lo, hi))
+    found: set[int] = set()
     for lo, hi in hits:
         if hi > lo:
             found.update(index.sequences(lo, hi).tolist())
-    return found, spans, covered
+    return found
+
+
+class Brief:
+    """The short sequences of an index: all of at most ``edits`` words, and those of up to twice as many by word."""
+
+    def __init__(self, index: Index, edits: int) -> None:
+        size = np.diff(np.append(index.starts, index.n - 1)) - 1
+        self.least = np.flatnonzero(size <= edits).tolist()
+        self.by: dict[int, list[int]] = {}
+        for e in np.flatnonzero((size > edits) & (size <= 2 * edits)).tolist():
+            for s in set(index.sequence(e)):
+                self.by.setdefault(s, []).append(e)
+
+    def candidates(self, sym: np.ndarray) -> set[int]:
+        return set(self.least).union(*[self.by.get(s, ()) for s in sym.tolist()])
 
 
 def distance(a: list[int], b: list[int], most: int) -> int:
@@ -225,26 +245,19 @@ def distance(a: list[int], b: list[int], most: int) -> int:
 def search(index: Index, flat: np.ndarray, offsets: np.ndarray, edits: int) -> list[tuple[int, bytes, int, int, int]]:
     """(text, name of the sequence, distance, spans, covered words) of every near pair."""
     out = []
-    sizes = np.diff(offsets)
+    brief = None
     for i in near(index, flat, offsets.copy(), edits).tolist():
         sym = index.symbols(flat[offsets[i] : offsets[i + 1]])
-        n = int(sizes[i])
-        if n <= edits:
-            if (sym < 0).any():
-                continue
-            lo, hi = 0, index.n
-            for s in sym[::-1]:
-                lo, hi = map(int, index.extend(np.int64(s), np.int64(lo), np.int64(hi)))
-            for e in index.sequences(lo, hi).tolist() if hi > lo else []:
-                if index.sequence(e) == sym.tolist():
-                    out.append((i, index.names[e], 0, 1, n))
-            continue
-        found, spans, covered = _candidates(index, sym, edits)
+        if len(sym) <= edits:
+            brief = brief or Brief(index, edits)
+            found = brief.candidates(sym)
+        else:
+            found = _candidates(index, sym, edits)
         mine = sym.tolist()
-        for e in sorted(found):
-            theirs = index.sequence(e)
-            if len(theirs) > edits and (d := distance(mine, theirs, edits)) <= edits:
-                out.append((i, index.names[e], d, spans, covered))
+        near_ = [(e, d) for e in sorted(found) if (d := distance(mine, index.sequence(e), edits)) <= edits]
+        if near_:
+            spans, covered = matches(index, sym)
+            out += [(i, index.names[e], d, spans, covered) for e, d in near_]
     return out
 
 

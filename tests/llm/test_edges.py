@@ -365,7 +365,7 @@ def brute_pairs(a, b):
     out = set()
     for i, x in a:
         for j, y in b:
-            if x and y and (x == y if min(len(x), len(y)) <= 3 else split_overlap.distance(list(x), list(y), 3) <= 3):
+            if x and y and lev(x, y) <= 3:
                 out.add((i, j))
     return out
 
@@ -418,6 +418,17 @@ def test_overlap(spark, monkeypatch, rare, shard):
     assert {(x.train_id, x.eval_id) for x in rows} == want and len(rows) == len(want)
 
 
+def test_overlap_of_short_texts(spark):
+    """At most three changed words, however short the texts; either side may be the short one."""
+    texts = ["trial shows benefit", "trial shows clear benefit", "vaccine works well today", "vaccine works well", "masks reduce transmission indoors", "masks", "it is known that masks reduce transmission", "a b c d", "mask use", "we saw masks here today", "x y masks z v w q", "one two three four five six", "one seven"]
+    a = spark.createDataFrame([(f"t{i}", t) for i, t in enumerate(texts)], "qid string, text string")
+    b = spark.createDataFrame([(f"v{i}", t) for i, t in enumerate(texts)], "qid string, text string")
+    rows = split_overlap.overlaps(a, b).collect()
+    want = {(f"t{i}", f"v{j}"): lev(x.split(), y.split()) for i, x in enumerate(texts) for j, y in enumerate(texts)}
+    assert {(r.train_id, r.eval_id): r.distance for r in rows} == {k: d for k, d in want.items() if d <= 3}
+    assert len(rows) == len({(r.train_id, r.eval_id) for r in rows}) and ("t0", "v1") in {(r.train_id, r.eval_id) for r in rows}
+
+
 def test_overlap_many_copies_and_long(spark):
     schema = T.StructType([T.StructField("qid", T.StringType()), T.StructField("text", T.StringType())])
     long_ = " ".join(f"w{i % 977}" for i in range(30_000))
