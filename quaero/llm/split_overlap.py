@@ -43,22 +43,25 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaero.session import shared_folder, written
+from quaero.session import written
 
 EDITS = 3
-#: Classes in a shard of the index, and training classes in a streamed block.
-SHARD, BLOCK = 32_000, 10_000
+#: Evaluation rows in a shard of the index; training rows in a streamed block, at most and, while cores are idle, at least.
+SHARD, BLOCK, LEAST = 32_000, 40_000, 5_000
 #: Occurrences below which a stretch is rare.
 RARE = 8
 
 
 def words_of(text: Column | str) -> Column:
-    c = F.regexp_replace(F.lower(text), r"(?U)https?://\S+|www\.\S+|@\w+", " ")
-    c = F.regexp_replace(c, r"[^\p{L}\p{N}\p{M}\p{Z}\s]+", "")
-    return F.filter(F.split(c, r"(?U)[\s\p{Z}]+"), lambda w: w != "")
+    low = F.lower(text)
+    dressed = low.contains("://") | low.contains("www.") | low.contains("@")
+    c = F.when(dressed, F.regexp_replace(low, r"(?U)https?://\S+|www\.\S+|@\w+", " ")).otherwise(low)
+    c = F.regexp_replace(c, r"[^\p{L}\p{N}\p{M}\p{Z}\s\x{1c}-\x{1f}\x{85}]+", "")
+    return F.filter(F.split(c, r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]+"), lambda w: w != "")
 
 
 def _classed(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, c, h): the key, the digest of the words, and the words' hashes; a map without a shuffle."""
     w = df.select(F.col(key).alias("id"), words_of(text).alias("w")).where("id is not null and size(w) > 0")
     return w.select("id", F.md5(F.concat_ws(" ", "w").cast("binary")).alias("c"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
 
@@ -263,12 +266,12 @@ def search(index: Index, flat: np.ndarray, offsets: np.ndarray, edits: int) -> l
 
 def near_classes(train: DataFrame, evaluation: DataFrame, edits: int = EDITS) -> DataFrame:
     """(t, e, distance, spans, covered) of all near pairs of classes; inputs are (id, c, h) as of ``_classed``."""
-    spark = train.sparkSession
-    shared_folder(spark)
-    ev = written(evaluation.select("c", "h").dropDuplicates(["c"]), "eval")
-    tr = written(train.select("c", "h").dropDuplicates(["c"]), "train")
-    shards = max(1, -(-ev.count() // SHARD))
-    blocks = max(1, -(-tr.count() // BLOCK))
+    ev = evaluation.select("c", "h").dropDuplicates(["c"])
+    tr = train.select("c", "h").dropDuplicates(["c"])
+    # Rows bound the classes from above; both inputs are written tables, so these counts read no column.
+    shards = max(1, -(-evaluation.count() // SHARD))
+    rows, cores = train.count(), train.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-rows // BLOCK), min(cores, rows // LEAST))
 
     def build(pdf):
         import pandas as pd
@@ -310,9 +313,16 @@ def near_classes(train: DataFrame, evaluation: DataFrame, edits: int = EDITS) ->
 
 
 def overlaps(train: DataFrame, evaluation: DataFrame, train_key: str = "qid", eval_key: str = "qid", text: str = "text", edits: int = EDITS) -> DataFrame:
-    """(train_id, eval_id, distance, spans, covered) of every near pair of records; no row twice."""
-    a, b = _classed(train, train_key, text), _classed(evaluation, eval_key, text)
+    """(train_id, eval_id, distance, spans, covered) of every near pair of records; no row twice.
+
+    Each text is cut into words once; the keys of both sides that have no pair leave before anything of them is shuffled.
+    """
+    a, b = written(_classed(train, train_key, text), "train"), written(_classed(evaluation, eval_key, text), "eval")
     pairs = written(near_classes(a, b, edits), "pairs")
-    left = a.select(F.col("id").alias("train_id"), F.col("c").alias("t")).distinct()
-    right = b.select(F.col("id").alias("eval_id"), F.col("c").alias("e")).distinct()
-    return pairs.join(left, "t").join(right, "e").select("train_id", "eval_id", "distance", "spans", "covered").distinct()
+
+    def records(side: DataFrame, name: str, c: str) -> DataFrame:
+        r = side.select(F.col("id").alias(name), F.col("c").alias(c))
+        return r.join(pairs.select(c).distinct(), c, "left_semi").distinct()
+
+    joined = pairs.join(records(a, "train_id", "t"), "t").join(records(b, "eval_id", "e"), "e")
+    return joined.select("train_id", "eval_id", "distance", "spans", "covered").distinct()
