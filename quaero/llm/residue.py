@@ -1,22 +1,28 @@
 """Template residue and error-page text: what to exclude, and the corpus without it.
 
 1. Numbers, addresses, dates and hexadecimal codes are masked, case and white
-   space folded, a page heading and a menu line taken off.
-2. The masked texts are grouped by an exact hash; each group's copies and
-   sources are counted with map-side partial sums.
-3. Rules decide. A placeholder anywhere in a text is enough. A message text is
-   residue if nothing is left once known phrases (of messages, filler and
-   notices) are taken out. A text whose every sentence only carries a weaker
-   sign is residue if its group recurs: ``RECURS`` copies from
-   ``SOURCES`` sources.
-
-The groups that the rules name are joined back by their hash (a broadcast only
-below Spark's size threshold, else a sort-merge join with adaptive splitting
-of a hot hash).
+   space folded, a page heading and menu lines taken off. The masked text is
+   cut into sentences.
+2. A text is a candidate if every sentence carries a sign (``SIGNS``: words of
+   messages, notices and filler) and none reports (``ABOUT``), and the text holds
+   a phrase (``PHRASES``). Candidates are
+   grouped by exact hashes, of the whole text (its distinct sentences in order)
+   and of each sentence, and the copies and sources of each group are counted,
+   pre-aggregated by (text, source).
+3. Recurrence decides: a candidate is residue if its text, or each of its
+   sentences, stands in at least ``RECURS`` candidates from ``SOURCES`` sources.
+   Phrases alone decide nothing and name the kind.
+4. Three forms need no recurrence, as no content has them: a placeholder
+   anywhere in a text, mock Latin, and texts that begin with a status line, a
+   stack trace or nothing but dummy words (``SHAPES``).
+
+A text without a sign is no candidate, so masking and grouping are left out
+for it; that loses no group, as equal masked texts carry equal signs.
 
 Defined results: null, empty and blank texts are never residue; repeated texts
-share their verdict; very long texts are read whole; a null source is a source
-of its own; an empty table gives no rows; extra columns stay in the corpus.
+share their verdict; very long texts are read whole, and no name, bracket or
+heading is bounded in length; a null source is a source of its own; an empty
+table gives no rows; extra columns stay in the corpus.
 """
 
 from __future__ import annotations
@@ -28,60 +34,30 @@ from pyspark.sql import functions as F
 
 from quaero.session import written
 
+#: Copies and sources from which a masked text or sentence recurs widely.
 RECURS, SOURCES = 3, 2
 
-# Names between marks that templates use, as regular expressions.
-NAME = r"[A-Za-z][A-Za-z0-9]{0,40}(?:[._\- ][A-Za-z0-9]{1,40}){0,8}"
-SNAKE = r"[A-Za-z][A-Za-z0-9]{0,40}(?:[._][A-Za-z0-9]{1,40}){0,8}"
+# Names between marks that templates use, as regular expressions; possessive, so that names of any length stay linear.
+NAME = r"[A-Za-z][A-Za-z0-9]*+(?:[._\- ][A-Za-z0-9]++)*+"
+SNAKE = r"[A-Za-z][A-Za-z0-9]*+(?:[._][A-Za-z0-9]++)*+"
+DUNDER = "init|main|name|file|doc|dict|class|call|new|str|repr|len|iter|next|enter|exit|all|version|slots|eq|hash|del|getattr|setattr|getitem|setitem|contains|future|import|builtins|module|annotations"
 PLACEHOLDERS = [
-    r"\{\{\s*" + NAME + r"\s*\}\}",
-    r"\{%\s*" + NAME + r"\s*%\}",
-    r"<%=?\s*" + NAME + r"\s*%>",
-    r"\$\{\s*" + NAME + r"\s*\}",
-    r"\[\[\s*" + NAME + r"\s*\]\]",
-    r"<<\s*" + NAME + r"\s*>>",
+    r"\{\{\s*+" + NAME + r"\s*+\}\}",
+    r"\{%\s*+" + NAME + r"\s*+%\}",
+    r"<%=?\s*+" + NAME + r"\s*+%>",
+    r"\$\{\s*+" + NAME + r"\s*+\}",
+    r"\[\[\s*+" + NAME + r"\s*+\]\]",
+    r"<<\s*+" + NAME + r"\s*+>>",
     r"@@" + SNAKE + r"@@",
-    r"(?<![A-Za-z0-9_$\\}])\{\s*[A-Za-z][A-Za-z0-9]{1,40}(?:[._][A-Za-z0-9]{1,40}){0,8}\s*\}(?![A-Za-z{])",
-    r"(?<![A-Za-z0-9%])%[A-Za-z]{2,40}(?:[._][A-Za-z0-9]{1,40}){0,8}%(?![A-Za-z0-9])",
-    r"(?<![A-Za-z0-9_])__(?!(?:init|main|name|file|doc|dict|class|call|new|str|repr|len|iter|next|enter|exit|all|version|slots|eq|hash|del|getattr|setattr|getitem|setitem|contains|future|import|builtins|module|annotations)__)[A-Za-z][A-Za-z0-9]{0,40}(?:[._][A-Za-z0-9]{1,40}){0,8}__(?![A-Za-z0-9_])",
+    r"(?<![A-Za-z0-9_$\\}])\{\s*+[A-Za-z][A-Za-z0-9]++(?:[._][A-Za-z0-9]++)*+\s*+\}(?![A-Za-z{])",
+    r"(?<![A-Za-z0-9%])%[A-Za-z]{2,}+(?:[._][A-Za-z0-9]++)*+%(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9_])__(?!(?:" + DUNDER + r")__)" + SNAKE + r"__(?![A-Za-z0-9_])",
     r"(?i)\[\s*(?:insert|enter|add|your|put)\s[^\]\[]++\]",
     r"(?i)\[[^\]\[]++(?<=[^\]\[]\s(?:to be added|to be completed|to be announced|goes here|here))\]",
     r"(?i)<\s*(?:your|insert|enter)\s[^<>]++>",
 ]
 #: What every placeholder holds; a cheap test before the patterns. Names between percent signs hold dots too.
 MARKS = r"[{\[<]|@@\w|%[\w.]+%|__\w"
-# Phrases of messages and notices, on masked lower-case text (0 stands for a number or code).
-MESSAGES = [
-    r"(?:http )?(?:error|erreur|fehler|errore)? ?:?0 ?[:\-]? ?(?:bad gateway|forbidden|not found|internal server error|service unavailable|gateway timeout|bad request|unauthorized|too many requests|page not found)",
-    r"(?:error|erreur|fehler|errore) 0 ?[:\-.]?",
-    r"please try again later(?: or contact the site owner)?",
-    r"the page you (?:asked for|requested) (?:could not be|was not) found(?: on this server)?",
-    r"(?:reference|code|request|ref)[ :#]*0",
-    r"\(?(?:request|reference|code)? ?0\)",
-    r"la page demandée est introuvable", r"cette page (?:n'existe pas|est introuvable)",
-    r"die angeforderte seite wurde nicht gefunden", r"(?:la )?página (?:solicitada )?no (?:se ha encontrado|encontrada|se encuentra)", r"(?:la )?pagina richiesta non è stata trovata", r"pagina non trovata",
-    r"(?:oops!? )?something went wrong(?: while loading (?:this|the) [a-z ]{1,30})?", r"oops",
-    r"access denied", r"accès refusé", r"zugriff verweigert", r"acceso denegado", r"accesso negato",
-    r"you do not have permission to (?:open|view|access|see) this [a-z]+",
-    r"(?:your )?session has expired", r"(?:please )?(?:sign|log) in again(?: to [a-z ]{1,40})?",
-    r"too many requests(?: from your network)?", r"wait 0 seconds",
-    r"service temporarily unavailable", r"our team has been notified",
-    r"gateway timeout", r"the upstream [a-z]+ did not answer in time",
-    r"we could not (?:retrieve|load|find) the [a-z]+(?: 0)?", r"it may have been moved or deleted",
-    r"traceback \(most recent call last\)", r"file \"[^\"]+\", line 0(?:, in [a-z_<>]+)?", r"(?:key|value|type|index|attribute|name|runtime|import)error: [^\n]{0,80}",
-    r"(?:[a-z_]{1,60}\.){1,12}[a-z]{0,60}(?:exception|error)(?: at (?:[a-z_]{1,60}\.){0,12}[a-z_]{1,60})?(?:\([a-z_]+\.[a-z]+:0\))?", r"at (?:[a-z_]{1,60}\.){1,12}[a-z_]{1,60}\([a-z_]+\.[a-z]+:0\)",
-    r"(?:please )?(?:enable|turn on|activate) (?:javascript|scripts|cookies)(?: and (?:javascript|scripts|cookies))?(?: (?:to|in) [a-z ]{1,60})?(?: and reload)?",
-    r"(?:this|the) (?:site|page|archive) requires (?:javascript|scripts|cookies)", r"javascript is (?:disabled|required|turned off)(?: in your browser)?", r"some parts of the [a-z]+ will not work",
-    r"your browser does not (?:run|support) (?:scripts|javascript)(?:, so the [a-z]+ cannot be shown)?", r"you need a browser with javascript(?: support)?(?: to [a-z ]{1,40})?",
-    r"checking your browser(?: before you access the [a-z]+)?",
-    r"veuillez activer (?:javascript|les cookies)(?: pour [a-zà-ÿ' ]{1,60})?", r"(?:bitte )?aktivieren sie (?:javascript|cookies)(?:, um [a-zà-ÿ ]{1,60})?", r"(?:por favor,? )?active (?:javascript|las cookies)(?: en su navegador)?(?: para [a-zà-ÿ ]{1,60})?", r"(?:si prega di )?(?:attivare|attiva|abilita|abilitare) (?:javascript|i cookie)(?: nel (?:tuo )?browser)?(?: per [a-zà-ÿ' ]{1,60})?",
-]
-# Filler sentences.
-FILLER = [
-    r"blindtext(?:, der später ersetzt wird)?", r"(?:dies )?ist (?:ein )?(?:blindtext|platzhaltertext|platzhalter)", r"ceci est un texte de remplissage", r"texte de remplissage", r"(?:este )?(?:es un )?texto de relleno", r"(?:questo è un )?testo (?:di riempimento|segnaposto)",
-    r"text goes here", r"your [a-z]+ will appear in this box", r"this is (?:a )?(?:sample|dummy|placeholder|filler) text(?: for layout only)?", r"replace this paragraph with the body of the article", r"(?:sample|dummy|placeholder|filler) text(?: for layout only)?", r"insert text here", r"content coming soon", r"coming soon", r"lorem ipsum",
-    r"(?:tbd|tba|todo|asdf|qwerty|foo bar|xxx++(?: xx++)*+)(?: (?:tbd|tba|todo|asdf|qwerty|xx++))*+",
-]
 # The words of the usual mock-Latin filler.
 LATIN = (
     "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor tempus incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi "
@@ -90,98 +66,127 @@ LATIN = (
     "malesuada fames ac turpis egestas vitae ultrices posuere cubilia curae proin sapien massa augue lectus ligula libero justo urna vel diam risus nibh leo purus eros ante felis metus orci neque fusce praesent "
     "suspendisse interdum cursus gravida lacinia sollicitudin blandit condimentum fermentum phasellus etiam at eget nec per vivamus maecenas quisque cras"
 ).split()
-#: Words of a weaker sign.
-WEAK = r"javascript|script|browser|navigateur|navegador|cookie|\berror\b|erreur|fehler|errore|server|\bpage\b|seite|página|pagina|access|denied|not found|unavailable|sign in|log ?in|captcha|placeholder|platzhalter|relleno|remplissage|riempimento|sample text|exception|timeout|session|reload"
-#: One of these is in every text that can be a message, filler or carry a weaker sign; a cheap test before the patterns.
-NEAR = (
-    "script browser navigateur navegador cookie error erreur fehler errore server page seite página pagina access denied not&found unavailable sign&in login log&in captcha placeholder platzhalter relleno remplissage "
-    "riempimento segnaposto text exception timeout session reload traceback tbd tba todo asdf qwerty xxx lorem appear replace deleted went&wrong oops requests denegado negato refusé verweigert retrieve paragraph introuvable "
-    "coming&soon foo&bar forbidden gateway bad&request unauthorized file&\" request (request (reference (code reference code wait& "
-    "permission try&again notified could&not will&not&work did&not&answer :0) ref&0 ref&: ref&# ref: ref# ref0"
-).split()
-NEAR = tuple(w.replace("&", " ") for w in NEAR)
-SENTENCE = r"(?<=[.!?:;])\s+|\n+"
+# Signs of messages, notices and filler, on lower-case text, masked or not.
+SIGNS = (
+    r"\b(?:javascript|scripts?\b|cookie|browser|navigateur|navegador|captcha|error|erreur|fehler|exception|traceback|timeout|timed out|gateway|server|page|seite\b|p[aá]gina|not found|introuvable|nicht gefunden|encontrad|trovat"
+    r"|acc[eè]s|zugriff|denied|refus|verweiger|denegad|negato|forbidden|unauthori[sz]ed|permission|session|sign in|log ?in|unavailable|try again|requests|went wrong|oops|reload|notified|moved or deleted"
+    r"|not work|not answer|could not|cannot be|wait [0-9]|(?:request|reference|code|ref|id)[ :#]*+[0-9a-f\-]*[0-9]"
+    r"|placeholder|platzhalter|blindtext|relleno|remplissage|riempimento|segnaposto|(?:sample|dummy|filler) text|goes here|coming soon|lorem ipsum|replace this|appear (?:in this|here)|(?:tbd|tba|todo)\b)"
+    r"|(?:error|exception)\b|\", line [0-9]"
+)
+# Phrases, one of which a message, notice or filler text must hold, on masked text (0 stands for a number or code).
+NOTICE = r"(?:enable|turn on|activate|require[sd]?|need|disabled|support|run|activer|aktivieren|activ[ae]r?|attiv\w+|abilit\w+)\b.{0,60}(?:script|cookie|browser)|(?:script|cookie)s?\b.{0,40}(?:disabled|required|turned off)|checking your browser"
+FILLER = r"placeholder|platzhalter|blindtext|relleno|remplissage|riempimento|segnaposto|(?:sample|dummy|filler) text|goes here|coming soon|lorem ipsum|replace this|appear (?:in this|here)|\b(?:tbd|tba|todo)\b"
+ERROR = (
+    r"not found|introuvable|nicht gefunden|encontrad|non .{0,10}trovat|access denied|acc[eè]s refus|zugriff verweiger|acceso denegad|accesso negato|forbidden|permission to|session (?:has )?expired|unavailable|try again later|too many requests"
+    r"|went wrong|(?:error|erreur|fehler|errore) 0|timeout|not answer|could not (?:be )?(?:load|retrieve|find|found)|cannot be (?:displayed|shown|found|loaded)|moved or deleted|been notified|will not work|traceback|exception|server error|bad gateway|bad request|unauthori[sz]ed"
+)
+PHRASES = f"{NOTICE}|{FILLER}|{ERROR}"
+# The reason phrases of HTTP status codes that error pages show.
+REASONS = "bad request|unauthorized|payment required|forbidden|not found|method not allowed|request timeout|gone|too many requests|internal server error|not implemented|bad gateway|service unavailable|gateway timeout"
+#: Beginnings of a masked text that no content has: a status line or a stack trace.
+SHAPES = (
+    r"^(?:http(?:/0)? ?)?(?:(?:error|status) ?)?0 ?[:\-]? ?(?:" + REASONS + r")\b(?= ?[.!\n]|$)|^(?:http )?error ?:? ?0 ?[:\-]? ?(?:" + REASONS + r")\b(?= ?[.!\n]|$)"
+    r"|^traceback \(most recent call last\)|^(?:[a-z_]\w*+\.)+\w*?(?:exception|error)\b(?=\s*(?:at|:|\n|$))|^at (?:[a-z_]\w*+\.)++\w++\(\w++\.[a-z]++:0\)"
+)
+#: Words of a sentence that reports on such things instead of showing them.
+ABOUT = r"\b(?:we\b(?! could not| can ?not| can't| are sorry)|(?:was|were)\b(?! not found| not available)|rated|measured|asked to|percent|participants|patients|readers|study|studies)\b"
+#: Nothing but dummy words.
+DUMMY = r"^\s*+(?:tbd|tba|todo|asdf|qwerty|xxx++|foo bar)(?:[\s.,;]++(?:tbd|tba|todo|asdf|qwerty|xx++|foo bar))*+[\s.]*+$"
 
 
 def masked(text: Column | str) -> Column:
-    """Lower case, heading and menu line off, addresses, codes, dates and numbers as 0, white space folded."""
+    """Lower case, heading and menu lines off, addresses, codes, dates and numbers as 0, white space folded."""
     c = F.lower(text)
-    c = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    c = F.regexp_replace(c, r"(?m)^[^\n|.!?]{1,30}(?:\|[^\n|.!?]{1,30})++$", "")
-    c = F.regexp_replace(c, r"^[^\n.!?:;,0-9(\"]{3,60}\n+(?=\S)", "")
+    c = F.regexp_replace(c, r"(?U)^\s++|\s++$", "")
+    c = F.regexp_replace(c, r"(?m)^[^\n|.!?]++(?:\|[^\n|.!?]++)++$", "")
+    c = F.regexp_replace(c, r"^[^\n.!?:;,0-9(\"]{3,}+\n++(?=\S)", "")
     c = F.regexp_replace(c, r"https?://\S+|www\.\S+|[\w.+\-]{1,64}@[\w\-]{1,64}\.[\w.]{1,64}", "0")
     c = F.regexp_replace(c, r"\b(?=[0-9a-f]*[0-9])[0-9a-f]{6,}\b|\d+(?:[.,:/\-]\d+)*+", "0")
     c = F.regexp_replace(c, r"[ \t\r\f]+", " ")
     return F.regexp_replace(c, r"(?U)^\s+|\s+$|(?<=\n) | (?=\n)", "")
 
 
-def has_placeholder(text: Column | str) -> Column:
-    return F.when(F.rlike(text, F.lit(MARKS)), F.rlike(text, F.lit("|".join(f"(?:{p})" for p in PLACEHOLDERS)))).otherwise(False)
+def sentences(m: Column) -> Column:
+    """The distinct sentences of a masked text that hold a letter, in order, without their end; words repeated on end once."""
+    s = F.transform(F.split(m, r"(?<=[.!?])\s+|\n+"), lambda x: F.regexp_replace(F.regexp_replace(x, r"[\s.!?:;]+$", ""), r"\b(\w++)(?: \1\b)++", "$1"))
+    return F.array_distinct(F.filter(s, lambda x: F.rlike(x, F.lit(r"\p{L}"))))
+
 
+def has_placeholder(text: Column | str) -> Column:
+    c = F.col(text) if isinstance(text, str) else text
+    some = reduce(lambda x, y: x | y, [c.contains(m) for m in ("{", "[", "<", "%", "@@", "__")])
+    return F.when(some & F.rlike(c, F.lit(MARKS)), F.rlike(c, F.lit("|".join(f"(?:{p})" for p in PLACEHOLDERS)))).otherwise(False)
 
-def _message(m: Column) -> Column:
-    """Whether nothing but phrases is left."""
-    rest = F.regexp_replace(m, r"(?<![a-zà-ÿ0-9])(?:" + "|".join(MESSAGES + FILLER) + r")(?![a-zà-ÿ])", "\u0001")
-    return rest.contains("\u0001") & ~F.rlike(rest, F.lit(r"[\p{L}\p{N}]"))
 
+def _mock_latin(words: Column) -> Column:
+    """Whether at least four fifths of at least four words, cut at what is no letter from a to z, are of the mock Latin."""
+    n = F.size(words) - (F.element_at(words, 1) == "").cast("int") - (F.element_at(words, -1) == "").cast("int")
+    return (n >= 4) & (F.size(F.filter(words, lambda w: w.isin(LATIN))) >= 0.8 * n)
 
-def _mock_latin(m: Column) -> Column:
-    words = F.filter(F.split(m, r"[^a-z]+"), lambda w: w != "")
-    known = F.filter(words, lambda w: w.isin(LATIN))
-    return (F.size(words) >= 4) & (F.size(known) >= 0.8 * F.size(words))
 
+def _last(low: Column) -> Column:
+    """A piece of a text that holds its last sentence, or the whole text if that is a menu line or without a letter.
 
-def _weak(m: Column) -> Column:
-    """Whether every sentence carries a weaker sign."""
-    s = F.filter(F.split(m, SENTENCE), lambda x: F.rlike(x, F.lit(r"\p{L}")))
-    return (F.size(s) > 0) & F.forall(s, lambda x: F.rlike(x, F.lit(WEAK)))
+    Every sentence of a candidate carries a sign, so does the last; most texts leave by this short test."""
+    trimmed = F.regexp_replace(low, r"(?U)\s+$", "")
+    tail = F.substring_index(F.substring_index(trimmed, "\n", -1), ". ", -1)
+    return F.when(tail.contains("|") | ~F.rlike(tail, F.lit(r"\p{L}")), low).otherwise(tail)
 
 
 def with_evidence(df: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
-    """All columns of ``df`` and a struct ``_seen``: hash of the masked text, placeholder, message and weaker sign."""
-    m, near = F.col("_masked"), F.col("_near")
-    blank = F.col(text).isNull() | ~F.rlike(text, F.lit(r"(?U)\S"))
-    signs = reduce(lambda x, y: x | y, [F.col("_masked").contains(w) for w in NEAR])
-    return df.withColumn("_masked", masked(text)).withColumn("_near", signs).withColumn(
-        "_seen",
-        F.when(
-            ~blank,
-            F.struct(
-                F.xxhash64(m).alias("hash"),
-                F.col(source).alias("source"),
-                has_placeholder(text).alias("placeholder"),
-                F.when(near, _message(m)).otherwise(False).alias("message"),
-                _mock_latin(m).alias("latin"),
-                F.when(near, _weak(m)).otherwise(False).alias("weak"),
-            ),
-        ),
-    ).drop("_masked", "_near")
-
-
-def residue_groups(seen: DataFrame) -> DataFrame:
-    """(hash, kind, copies, sources) of the groups that are residue as a whole."""
-    s = seen.where("_seen is not null").select("_seen.*")
-    per = s.groupBy("hash", "source").agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("message", "latin", "weak")])
-    g = per.groupBy("hash").agg(F.sum("n").alias("copies"), F.count("*").alias("sources"), *[F.max(c).alias(c) for c in ("message", "latin", "weak")])
-    kind = F.when(F.col("message"), "message").when(F.col("latin"), "filler").when(F.col("weak") & (F.col("copies") >= RECURS) & (F.col("sources") >= SOURCES), "recurring")
-    return g.select("hash", kind.alias("kind"), "copies", "sources").where("kind is not null")
+    """All columns of ``df`` and a struct ``_seen``: what the rules see in a text, and the hashes of a candidate; null for a blank text and one without any sign."""
+    t = df.withColumn("_low", F.lower(text)).withColumn("_w", F.split("_low", r"[^a-z]+")).withColumn("_t", _last(F.col("_low")))
+    t = t.withColumn("_m", F.when(F.rlike("_t", F.lit(SIGNS)), masked(text)))
+    t = t.withColumn("_s", sentences(F.col("_m")))
+    signed = (F.size("_s") > 0) & F.forall("_s", lambda x: F.rlike(x, F.lit(SIGNS)) & ~F.rlike(x, F.lit(ABOUT)))
+    t = t.withColumn("_signed", F.coalesce(signed, F.lit(False)))
+    phrase = F.col("_signed") & (F.rlike("_m", F.lit(PHRASES)) | F.rlike("_low", F.lit(PHRASES)))
+    kind = F.when(F.rlike("_m", F.lit(NOTICE)), "notice").when(F.rlike("_m", F.lit(FILLER)), "filler").otherwise("message")
+    shape = F.coalesce(F.col("_signed") & F.rlike("_m", F.lit(SHAPES)), F.lit(False)) | F.rlike("_low", F.lit(DUMMY))
+    seen = F.struct(
+        has_placeholder(text).alias("placeholder"), F.coalesce(_mock_latin(F.col("_w")), F.lit(False)).alias("latin"), shape.alias("shape"),
+        F.when(phrase, F.xxhash64("_s")).alias("hash"), F.when(phrase, F.transform("_s", lambda x: F.xxhash64(x))).alias("units"),
+        F.when(phrase, kind).when(shape, F.coalesce(F.when(F.col("_signed"), kind), F.lit("filler"))).alias("kind"), F.col(source).alias("source"),
+    )
+    t = t.withColumn("_seen", F.when(F.rlike(text, F.lit(r"(?U)\S")), seen))
+    some = F.col("_seen.placeholder") | F.col("_seen.latin") | F.col("_seen.shape") | F.col("_seen.hash").isNotNull()
+    return t.withColumn("_seen", F.when(some, F.col("_seen"))).drop("_low", "_w", "_t", "_m", "_s", "_signed")
+
+
+def recurring_groups(seen: DataFrame) -> DataFrame:
+    """(hash, rule, copies, sources) of the candidates' groups that recur, as a whole text or sentence by sentence."""
+    s = seen.where("_seen.hash is not null").select("_seen.hash", "_seen.units", "_seen.source")
+    per = written(s.groupBy("hash", "source").agg(F.count("*").alias("n"), F.first("units").alias("units")), "candidates")
+    texts = per.groupBy("hash").agg(F.sum("n").alias("copies"), F.count("*").alias("sources"), F.first("units").alias("units"))
+    wide = lambda n: (F.col(n) >= RECURS) & (F.col("sources") >= SOURCES)
+    units = per.select(F.explode("units").alias("unit"), "source", "n").groupBy("unit", "source").agg(F.sum("n").alias("n"))
+    known = units.groupBy("unit").agg(F.sum("n").alias("n"), F.count("*").alias("sources")).where(wide("n")).select("unit")
+    parts = texts.select("hash", F.explode("units").alias("unit")).join(known, "unit").groupBy("hash").agg(F.count("*").alias("known"))
+    rule = F.when(wide("copies"), "recurring text").when(F.col("known") == F.size("units"), "recurring sentences")
+    return texts.join(parts, "hash", "left").select("hash", rule.alias("rule"), "copies", "sources").where("rule is not null")
 
 
 def _judged(seen: DataFrame) -> DataFrame:
-    groups = residue_groups(seen).select(F.col("hash").alias("_hash"), F.col("kind").alias("_group"), F.col("copies").alias("_copies"))
+    groups = recurring_groups(seen).select(F.col("hash").alias("_hash"), F.col("rule").alias("_group"), F.col("copies").alias("_copies"), F.col("sources").alias("_sources"))
     joined = seen.join(groups, F.col("_seen.hash") == F.col("_hash"), "left")
-    return joined.withColumn("_kind", F.when(F.col("_seen.placeholder"), "placeholder").otherwise(F.col("_group")))
+    x = F.col("_seen")
+    return joined.withColumn("_rule", F.when(x["placeholder"], "placeholder").when(x["latin"], "mock latin").when(F.col("_group").isNotNull(), F.col("_group")).when(x["shape"], "shape"))
 
 
 def residue(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The texts are read once; what the rules saw in them is written out and judged.
+    """The texts are read once; what the rules saw in the few that show anything is written out and judged.
 
-    (key, kind, copies) of the documents to exclude; copies counts the texts of the same masked form, where the text is residue as a whole."""
-    seen = written(with_evidence(df.select(key, text, source), text, source).select(key, "_seen"), "seen")
-    return _judged(seen).where("_kind is not null").select(key, F.col("_kind").alias("kind"), F.col("_copies").alias("copies"))
+    (key, kind, rule, copies, sources) of the documents to exclude. ``rule`` says
+    what took a row: placeholder, mock latin, shape, recurring text or recurring
+    sentences; copies and sources count the texts of the same masked form, where
+    the group recurs."""
+    seen = written(with_evidence(df.select(key, text, source), text, source).where("_seen is not null").select(key, "_seen"), "seen")
+    kind = F.when(F.col("_rule") == "placeholder", "placeholder").when(F.col("_rule") == "mock latin", "filler").otherwise(F.col("_seen.kind"))
+    return _judged(seen).where("_rule is not null").select(key, kind.alias("kind"), F.col("_rule").alias("rule"), F.col("_copies").alias("copies"), F.col("_sources").alias("sources"))
 
 
 def without_residue(df: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
     """The rows of ``df`` that are not residue, with all their columns, whatever their names."""
     held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text).alias("text"), F.col(source).alias("source"))
-    return _judged(with_evidence(held)).where("_kind is null").select("row.*")
+    return _judged(with_evidence(held)).where("_rule is null").select("row.*")
