@@ -1,11 +1,17 @@
 """Defects of prompt and answer pairs, by ordered rules that all report.
 
 Rules, in order: ``empty`` (no words, or nothing but a label or role marker),
-``refusal`` (declines, in several languages), ``copy`` (repeats the prompt up
-to case, spacing, punctuation, a leading label or role marker, and closing
-links and hashtags), ``wrong_language`` (a full sentence in another language or
-script), ``truncated`` (unclosed, abrupt, or without the end of the prompt's
-content). Every rule that fires is emitted; the first is the pair's defect.
+``refusal`` (declines, in several languages, and gives little besides), ``copy``
+(the prompt, the prompt with more after it, or a beginning of it, up to case,
+spacing, punctuation, a leading label or role marker, and closing links and
+hashtags), ``wrong_language`` (a full sentence in another language or script),
+``truncated`` (unclosed, abrupt, or without the end of the prompt's content).
+Every rule that fires is emitted; the first is the pair's defect.
+
+The end of the content is found by anchors: names and numbers that stand in
+both texts, paired in order. What follows the prompt's last paired anchor must
+have a counterpart after the same anchor in the answer. An anchor that is
+missing (a number written out, a name left out) proves nothing by itself.
 
 A prompt wholly in the target language may be repeated. The languages of
 sentences come from the compression classifier of ``language``.
@@ -20,6 +26,7 @@ the distinct at the end.
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -32,10 +39,14 @@ TYPES = ("empty", "refusal", "copy", "wrong_language", "truncated")
 SENTENCE = 4
 #: Confidence from which a sentence shorter than SURE words is taken as foreign.
 SURE, CONFIDENT = 6, 0.95
-#: Least share of the letters of a prompt without numbers.
+#: Least share of the letters of a prompt that an answer has.
 SHORT = 0.6
-#: Letters after the prompt's last number that count, and the share of them below which the answer has lost its end.
+#: Letters after the last anchor of a prompt that count, and the share of them below which the answer has lost its end.
 TAIL, LOST = 30, 0.5
+#: Letters and digits from which a copied beginning counts.
+COPIED = 25
+#: Share of the prompt's letters below which the sentences beside a refusal are no answer.
+BESIDE = 0.5
 
 # Labels and role markers that models leave before an answer.
 _LABEL = re.compile(
@@ -45,11 +56,13 @@ _LABEL = re.compile(
 )
 _TAIL = re.compile(r"(?:https?://\S+|www\.\S+|#\w+)", re.I)
 _QUOTES = "\"'“”„«»‘’`*_ \t\r\n​"
+#: Who declines: the first person or the assistant shortly before, or nobody at the beginning of a sentence.
+_WHO = r"(?:^\W*(?:(?:sorry|note|unfortunately|regrettably|apologies)\W+)*|\b(?:i|i'm|i'd|i'll|we|we're|we'd|we'll|assistant|model|system)\b[^.!?]{0,40}?)"
 # Phrases that decline, on lower-case text with plain apostrophes.
 _REFUSALS = re.compile(
     "|".join(
         [
-            r"(?:can(?:no|')t|cannot|can not|could not|am unable to|'m unable to|not able to|unable to|am not going to|will not|won't|won't be able to|must decline to|have to decline to|decline to|refuse to|rather not|not allowed to|not permitted to|prefer not to|not comfortable) (?:be able to )?(?:translat|render|provide|process|assist|comply|fulfil|fulfill|complete|help (?:with|you with)|produce|answer|do that|do this|respond|offer)",
+            _WHO + r"(?:can(?:no|')t|cannot|can not|could not|am unable to|'m unable to|not able to|unable to|am not going to|will not|won't|won't be able to|must decline to|have to decline to|decline to|refuse to|rather not|not allowed to|not permitted to|prefer not to|not comfortable) (?:be able to )?(?:translat|render|provid|process|assist|comply|fulfil|fulfill|complet|help (?:with|you with)|produc|answer|do that|do this|respond|offer)",
             r"(?:i'm|i am|we are|the assistant is) (?:sorry|afraid|not permitted|not allowed|unable|not able)(?:,| to| but)? (?:but )?(?:i |we )?(?:can(?:no|')t|cannot|am unable|won't|translat|process|assist|provide|help)",
             r"i (?:must|have to|need to) (?:refuse|decline|pass)", r"no translation (?:can|could|will|may) be", r"request (?:declined|denied|refused|rejected)", r"i cannot comply", r"have to pass on this", r"isn't something i'm allowed to", r"against (?:my|our) (?:policy|policies|guidelines)", r"as an? (?:ai|large )?(?:language )?model,? i",
             r"(?:je|nous) (?:ne )?(?:peux|pouvons|suis|sommes)(?: malheureusement)? pas (?:en mesure de |autorisée? à |capable de )?(?:vous )?(?:traduire|aider (?:avec|pour)|répondre|donner suite|fournir|traiter)", r"je (?:dois|préfère) (?:refuser|décliner|ne pas traduire)", r"je refuse de", r"demande refusée",
@@ -91,17 +104,27 @@ def key(text: str) -> str:
     return "".join(c for c in body(text).casefold() if c.isalnum())
 
 
-def numbers(text: str) -> list[str]:
-    return [re.sub(r"[.,]", ".", x) for x in _NUMBER.findall(lang._LINK.sub(" ", text))]
+def anchors(text: str) -> list[tuple[str, int]]:
+    """(form, end) of the numbers and names of a text, in order; decimal commas as points."""
+    found = [(re.sub(r"[.,]", ".", m.group()), m.end()) for m in _NUMBER.finditer(text)]
+    found += [(m.group().casefold(), m.end()) for m in _NAME.finditer(text)]
+    return sorted(found, key=lambda x: x[1])
 
 
-def after_number(text: str, number: str) -> int:
-    """Letters after the last place of a number."""
-    at = 0
-    for m in _NUMBER.finditer(text):
-        if re.sub(r"[.,]", ".", m.group()) == number:
-            at = m.end()
-    return sum(map(str.isalpha, text[at:]))
+def letters(text: str) -> int:
+    return sum(map(str.isalpha, text))
+
+
+def tails(prompt: str, answer: str) -> tuple[int, int]:
+    """Letters after the prompt's last anchor that the answer has too, and after its counterpart; of the whole texts if they share none."""
+    there: dict[str, deque[int]] = {}
+    for form, end in anchors(answer):
+        there.setdefault(form, deque()).append(end)
+    last = (0, 0)
+    for form, end in anchors(prompt):
+        if there.get(form):
+            last = (end, there[form].popleft())
+    return letters(prompt[last[0] :]), letters(answer[last[1] :])
 
 
 def sentences(text: str) -> list[str]:
@@ -126,19 +149,31 @@ def truncated(prompt: str, answer: str) -> bool:
         return False
     if re.search(r"(?:…|\.\.\.)$", a) and not re.search(r"(?:…|\.\.\.)$", p):
         return True
-    have = set(numbers(a))
-    wanted = numbers(p)
-    if wanted and any(n not in have for n in wanted):
-        return True
     if _ENDS.search(p) and not _ENDS.search(a):
         return True
     for o, e in (("(", ")"), ("“", "”"), ("«", "»"), ("[", "]")):
         if a.count(o) > a.count(e) and p.count(o) <= p.count(e):
             return True
-    if wanted:
-        rest, left = after_number(p, wanted[-1]), after_number(a, wanted[-1])
-        return rest >= TAIL and left < LOST * rest
-    return sum(map(str.isalpha, a)) < SHORT * sum(map(str.isalpha, p))
+    rest, left = tails(p, a)
+    return rest >= TAIL and left < LOST * rest or letters(a) < SHORT * letters(p)
+
+
+def refuses(prompt: str, answer: str) -> bool:
+    """Whether an answer declines: a sentence says so that the prompt does not say, and little stands beside it; or it speaks of the task, is short and holds nothing of the prompt."""
+    plain = lambda t: t.replace("’", "'").lower()
+    parts = [plain(c).strip() for c in lang.chunks(answer)]
+    said = [c for c in parts if _REFUSALS.search(c)]
+    if said and not any(_REFUSALS.search(plain(c).strip()) for c in lang.chunks(prompt)):
+        beside = sum(letters(c) for c in parts if not _REFUSALS.search(c) and not _TASK.search(c))
+        return beside < BESIDE * max(1, letters(prompt))
+    own = {f for f, _ in anchors(prompt)}
+    return bool(own) and not own & {f for f, _ in anchors(answer)} and letters(answer) < SHORT * letters(prompt) and bool(_TASK.search(plain(answer)))
+
+
+def copies(prompt: str, answer: str) -> bool:
+    """Whether one text begins with the other, which must be long enough to be no chance."""
+    p, a = key(prompt), key(answer)
+    return bool(p) and (p == a or min(len(p), len(a)) >= COPIED and (a.startswith(p) or p.startswith(a)))
 
 
 def defects(prompt: str | None, answer: str | None, c: lang.Classifier, target: str = "en") -> list[str]:
@@ -150,15 +185,12 @@ def defects(prompt: str | None, answer: str | None, c: lang.Classifier, target:
         return ["empty"]
     out = []
     p = prompt or ""
-    low = a.replace("’", "'").lower()
-    shared = set(numbers(p)) & set(numbers(a))
-    carried = shared or set(_NAME.findall(p)) & set(_NAME.findall(a))
-    if len(shared) < 2 and (_REFUSALS.search(low) or not carried and len(numbers(p)) > 1 and _TASK.search(low)):
+    if refuses(lang._LINK.sub(" ", p), lang._LINK.sub(" ", a)):
         out.append("refusal")
-    if key(a) == key(p) and key(p):
-        if foreign(p, c, target):
+    if copies(p, a):
+        if foreign(min(p, a, key=lambda t: len(key(t))), c, target):
             out.append("copy")
-        else:
+        elif key(p) == key(a):
             return out
     if foreign(a, c, target):
         out.append("wrong_language")
