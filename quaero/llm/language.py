@@ -5,9 +5,9 @@ sentences. A chunk of text belongs to the language whose dictionary gives the
 smallest encoding; the chunk is rejected when the margin to the second is
 narrow. Links, mentions, hashtags and digits are masked first.
 
-Labelled rows: all clean sentences given as reference, and at most
-``SAMPLE`` texts of each declared language of a feed (those with the smallest
-hash of their key), of which only those are used that the reference
+Labelled rows: at most ``REFERENCE`` clean sentences of each language, and at
+most ``SAMPLE`` texts of each declared language of a feed (those with the
+smallest hash of their key, of ``LENGTHS`` characters), of which only those are used that the reference
 dictionaries too give to the declared language, first as whole texts, then
 chunk by chunk. This bounded sample fits the classifier only; every post is
 classified whole.
@@ -30,12 +30,12 @@ import math
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LANGUAGES = ("en", "fr", "de", "es", "it")
-#: Texts of a feed, for each language, that may fit the dictionaries.
-SAMPLE = 400
+#: Texts of a feed and of the reference table, for each language, that may fit the dictionaries, and the characters of such a text of the feed.
+SAMPLE, REFERENCE, LENGTHS = 400, 1_000, (80, 4_000)
 #: Search of the compressor: a binary tree that finds matches of four bytes in the whole dictionary.
 SEARCH = {"window_log": 18, "hash_log": 17, "chain_log": 17, "search_log": 7, "min_match": 4}
 #: Least share by which the second best encoding must be longer, and the words below which a chunk has no language of its own.
@@ -125,24 +125,28 @@ def segments(text: str | None, c: Classifier) -> list[tuple[str, int, int, float
     return [(o[0], o[1], o[1], o[3], o[4]) for o in out]
 
 
-def contents(reference: DataFrame, feed: DataFrame | None = None, sample: int = SAMPLE) -> dict[str, bytes]:
-    """The dictionary content of each language; bounded by ``sample`` texts of the feed and the reference table.
+def contents(reference: DataFrame, feed: DataFrame | None = None, sample: int = SAMPLE, key: str = "doc_id", lengths: tuple[int, int] = LENGTHS) -> dict[str, bytes]:
+    """The dictionary content of each language, from at most ``sample`` texts of it in the feed and ``REFERENCE`` in the reference table.
 
-    reference: (lang, text), small and right. feed: (key, lang, text) as declared.
+    reference: (lang, text), right. feed: (key, lang, text) as declared; texts
+    of other ``lengths`` (characters, from and to) do not fit the dictionaries.
     """
-    rows = reference.where("text is not null").select("lang", "text").distinct().collect()
+
+    def some(df: DataFrame, n: int, *order: Column | str) -> list:
+        """The first n rows of each language: a limit inside each partition, then one sort of what is left."""
+        w = Window.partitionBy("lang").orderBy(*order)
+        return df.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).orderBy("lang", "k").select("lang", "text").collect()
+
+    known = reference.where(F.col("text").isNotNull() & F.col("lang").isin(*LANGUAGES)).select("lang", "text").distinct()
     clean: dict[str, list[str]] = {x: [] for x in LANGUAGES}
-    for r in rows:
-        if r.lang in clean:
-            clean[r.lang].extend(chunks(r.text))
+    for r in some(known, REFERENCE, F.xxhash64("text"), "text"):
+        clean[r.lang].extend(chunks(r.text))
     base = {k: b"".join(sorted({masked(x) for x in v})) for k, v in clean.items()}
     if feed is None:
         return base
-    declared: list[tuple[str, str]] = []
-    usable = feed.where("text is not null and length(text) between 80 and 4000")
-    for lang in LANGUAGES:
-        some = usable.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        declared += [(lang, r.text) for r in some.select("text").collect()]
+    usable = feed.where(F.length("text").between(*lengths) & F.col("lang").isin(*LANGUAGES)).select(F.col(key).alias("key"), "lang", "text")
+    declared = [(r.lang, r.text) for r in some(usable, sample, F.xxhash64("key"), "key", "text")]
+    declared.sort(key=lambda x: LANGUAGES.index(x[0]))
     # First by whole texts, as the reference is small: a text must be shortest in its declared language. Then chunk by chunk.
     c = Classifier(base)
     kept: dict[str, dict[bytes, None]] = {k: dict.fromkeys(sorted({masked(x) for x in v})) for k, v in clean.items()}
@@ -194,8 +198,8 @@ def post_languages(df: DataFrame, dictionaries: dict[str, bytes], key: str = "qi
 def mislabelled(df: DataFrame, dictionaries: dict[str, bytes], src: str, key: str = "qid", text: str = "text", label: str = "lang") -> DataFrame:
     """(src, key, lang): the languages of each post whose label is missing or wrong or that has several.
 
-    The label travels with the post as a prefix of nothing: it is kept next to
-    the key through the map, so no join is needed.
+    The label goes through the map next to the key and the text, so no join is
+    needed.
     """
     kind = df.schema[key].dataType.simpleString()
     held = df.sparkSession.sparkContext.broadcast(dictionaries)
