@@ -2,17 +2,23 @@
 
 Two records are copies when two text fields hold the same letters and digits
 in the same order (letter case, white space, punctuation and symbols
-ignored), the fields possibly exchanged.
+ignored), the fields possibly exchanged. Combining marks belong to their
+letters: they count, and composed and decomposed letters are one.
 
-1. Class by cheap invariants: the stripped lengths of both fields (smaller
-   first) and a short letter histogram over both. Classes are counted with
-   map-side partial sums; classes of one member are done.
-2. Only rows in classes of several members meet the costly key, a SHA-256 of
-   the two stripped fields in sorted order, and are grouped by it.
+1. Class by the cheapest invariant: how many letters A to Z and digits either
+   field holds in upper case (smaller first), one ``translate`` a field.
+2. Rows in classes of several keys meet a letter histogram over both fields.
+3. Rows still in classes of several keys meet the costly key, a SHA-256 of the
+   two stripped fields in sorted order, and are grouped by it.
+
+Every level counts its classes with map-side partial sums (least and largest
+key), and classes of one key are done. The rows that pass the first level are
+written once, with the histogram; the last level reads them there.
 
 The smallest id of a class is its representative. The group of a third of all
-rows costs partial sums only: counts, minima and the join of members to their
-representative (split by the adaptive skew join), never a list of members.
+rows costs partial sums only: minima, maxima, counts and the join of members to
+their representative (split by the adaptive skew join), never a list of
+members.
 
 Defined results: rows with a null or blank field, or a field without any
 letter or digit, are no copies of anything; a null id is ignored; re-delivered
@@ -26,35 +32,46 @@ from pyspark.sql import functions as F
 
 from quaero.session import written
 
-#: Characters of the letter histogram.
-HISTOGRAM = "ETAOINSRH0159"
+#: Letters and digits of the first level, and the characters of the histogram.
+PLAIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+HISTOGRAM = ("EQ", "TJ", "AX", "OZ", "IK", "NV", "SB", "RP", "013579")
+
+
+def upper(c: Column | str) -> Column:
+    """Upper case (which also folds sharp s and final sigma); letters with combining marks are composed."""
+    c = F.upper(c)
+    composed = F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))
+    return F.when((F.octet_length(c) > F.length(c)) & F.rlike(c, F.lit(r"\p{M}")), composed).otherwise(c)
 
 
-def stripped(c: Column | str) -> Column:
-    """Letters and digits in upper case (which also folds sharp s and final sigma)."""
-    return F.regexp_replace(F.upper(c), r"[^\p{L}\p{N}]+", "")
+def stripped(c: Column) -> Column:
+    """The letters, digits and marks of a text in upper case; variation selectors and the grapheme joiner show nothing and go."""
+    return F.regexp_replace(c, r"[^\p{L}\p{N}\p{M}]+|[\x{FE00}-\x{FE0F}\x{34F}\x{E0100}-\x{E01EF}]+", "")
 
 
-def _histogram(c: Column) -> Column:
-    """Counts of the listed characters, folded to one number."""
-    n = F.length(c)
-    return F.xxhash64(*[n - F.length(F.replace(c, F.lit(x), F.lit(""))) for x in HISTOGRAM])
+def _count(c: Column | str, letters: str) -> Column:
+    """How many of the letters a text holds."""
+    return F.length(c) - F.length(F.translate(c, letters, ""))
+
+
+def _crowded(df: DataFrame, *by: str) -> DataFrame:
+    """The rows of ``df`` whose class has several keys."""
+    several = df.groupBy(*by).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select(*by)
+    return df.join(written(several, "classes"), list(by), "left_semi")
 
 
 def paper_classes(df: DataFrame, key: str = "pubkey", first: str = "title", second: str = "abstract") -> DataFrame:
     """(key, rows, paper): the members of classes of several keys, with the digest that names their class."""
-    base = df.select(F.col(key).alias("id"), stripped(first).alias("a"), stripped(second).alias("b")).where("id is not null and a <> '' and b <> ''")
-    la, lb = F.length("a"), F.length("b")
-    cheap = base.select("id", "a", "b", F.least(la, lb).alias("short"), F.greatest(la, lb).alias("long"), _histogram(F.concat("a", "b")).alias("letters"))
-    several = (
-        cheap.groupBy("short", "long", "letters")
-        .agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-        .where("lo <> hi")
-        .select("short", "long", "letters")
-    )
-    left = cheap.join(written(several, "classes"), ["short", "long", "letters"], "left_semi")
+    base = df.select(F.col(key).alias("id"), F.col(first).alias("x"), F.col(second).alias("y")).where("id is not null and x is not null and y is not null")
+    base = base.select("id", upper("x").alias("a"), upper("y").alias("b"))
+    na, nb = _count("a", PLAIN), _count("b", PLAIN)
+    counted = base.withColumn("na", na).withColumn("nb", nb).select("id", "a", "b", F.least("na", "nb").alias("few"), F.greatest("na", "nb").alias("many"))
+    both = F.concat("a", "b")
+    passed = written(_crowded(counted, "few", "many").withColumn("letters", F.xxhash64(*[_count(both, x) for x in HISTOGRAM])), "passed")
+    left = _crowded(passed, "few", "many", "letters").select("id", stripped(F.col("a")).alias("a"), stripped(F.col("b")).alias("b"))
+    shown = left.where(F.rlike("a", F.lit(r"[\p{L}\p{N}]")) & F.rlike("b", F.lit(r"[\p{L}\p{N}]")))
     digest = F.sha2(F.concat_ws(" ", F.least("a", "b"), F.greatest("a", "b")), 256)
-    return written(left.groupBy(digest.alias("paper"), "id").agg(F.count("*").alias("rows")), "keyed")
+    return written(shown.groupBy(digest.alias("paper"), "id").agg(F.count("*").alias("rows")), "keyed")
 
 
 def same_papers(df: DataFrame, key: str = "pubkey", first: str = "title", second: str = "abstract") -> DataFrame:

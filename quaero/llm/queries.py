@@ -154,11 +154,10 @@ SELECT run_name, qid, docid FROM t WHERE place <= 10
 """
 
 
-P2_KEYS = """
-WITH s AS (
-  SELECT pubkey, regexp_replace(replace(upper(title), 'ß', 'SS'), '[^\\p{L}\\p{N}]+', '', 'g') AS a, regexp_replace(replace(upper(abstract), 'ß', 'SS'), '[^\\p{L}\\p{N}]+', '', 'g') AS b
-  FROM collection_data
-), k AS (SELECT pubkey, least(a, b) || ' ' || greatest(a, b) AS paper FROM s WHERE a <> '' AND b <> '')
+P2_STRIP = "regexp_replace(nfc_normalize(replace(upper({}), 'ß', 'SS')), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+|[\\x{{FE00}}-\\x{{FE0F}}\\x{{34F}}\\x{{E0100}}-\\x{{E01EF}}]+', '', 'g')"
+P2_KEYS = f"""
+WITH s AS (SELECT pubkey, {P2_STRIP.format("title")} AS a, {P2_STRIP.format("abstract")} AS b FROM collection_data),
+k AS (SELECT pubkey, least(a, b) || ' ' || greatest(a, b) AS paper FROM s WHERE regexp_matches(a, '[\\p{{L}}\\p{{N}}]') AND regexp_matches(b, '[\\p{{L}}\\p{{N}}]'))
 """
 P2_SQL = P2_KEYS + """, h AS (SELECT paper, min(pubkey) AS head FROM k GROUP BY paper)
 SELECT DISTINCT head AS pubkey_a, pubkey AS pubkey_b FROM k JOIN h USING (paper) WHERE pubkey <> head
