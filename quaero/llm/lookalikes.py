@@ -1,18 +1,27 @@
 """One consistent form of texts that look alike, computed by DuckDB inside Arrow partitions.
 
-The embedded SQL of ``FORM`` applies, in this order: compatibility forms
-(full-width forms, ligatures, styled letters), invisible characters, spaces
-that look like a space, look-alike letters of other scripts, and NFC. A text
-that differs from its form holds a character in the place of a usual one.
+The embedded SQL of ``form_sql`` applies, in this order: compatibility forms
+(full-width and half-width forms, ligatures, styled, squared and circled
+letters, Roman numerals, presentation forms, radicals), invisible characters,
+spaces that look like a space, look-alike letters of other scripts, and NFC. A
+text that differs from its form holds a character in the place of a usual one.
 
 What stays: emoji sequences (joiners and selectors inside them), joiners
 inside scripts that use them, words of another script in that script, Greek
 letters used as symbols, superscripts, typographic quotes, dashes, ellipses.
 
-Look-alike letters are read by word: in a word with a Latin letter each
-look-alike is replaced. Words without Latin letters are taken in runs (cut at
-closing marks); a run with a letter that has no Latin look-alike is genuine text and stays, any
-other run is replaced.
+The compatibility forms come from the Unicode character database by a rule
+(``_compatibility``); the look-alike letters are the listed ones and, inside
+words with a Latin letter, all that the public confusables data give one Latin
+letter for (``confusables``, from the ICU library in Spark).
+
+Look-alike letters are read by word (hyphens and slashes part words): in a word
+with a Latin letter each look-alike is replaced. Words without Latin letters are
+taken in runs (cut at closing marks); a run with a letter that has no listed
+look-alike is genuine text and stays, any other run is replaced.
+
+The private characters that the SQL uses as marks are escaped first where a
+text holds them, and come out as they went in.
 
 Defined results: null gives null and is never changed; the empty text stays;
 repeated rows give the same form; very long texts are processed whole; extra
@@ -23,8 +32,9 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Letters of other scripts that look like a Latin letter.
@@ -45,40 +55,96 @@ SPACES = r"[\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}]"
 SLICE = 2048
 
 
-def _compatibility() -> tuple[str, str]:
-    """Characters of the styled and full-width blocks with their one usual character."""
-    spans = [(0xFF01, 0xFF5E), (0x1D400, 0x1D7FF), (0x2100, 0x214F), (0x2160, 0x217F)]
-    keep = set("℃℉№℠™Ω℮")
-    a, b = [], []
-    for lo, hi in spans:
-        for c in map(chr, range(lo, hi + 1)):
-            k = unicodedata.normalize("NFKC", c)
-            if c not in keep and len(k) == 1 and k != c and k.isascii():
-                a.append(c)
-                b.append(k)
-    return "".join(a), "".join(b)
-
-
-def _sql() -> str:
+#: Tags of the compatibility forms that look like other characters; superscripts, subscripts and fractions do not.
+TAGS = ("<wide>", "<narrow>", "<font>", "<compat>", "<square>", "<circle>", "<initial>", "<medial>", "<final>", "<isolated>", "<vertical>", "<small>")
+#: Blocks without such forms: spacing accents, general punctuation, Greek symbol letters, pictographs, phrases in one Arabic letter.
+APART = ((0x00A0, 0x00BF), (0x02B0, 0x02FF), (0x037A, 0x03FF), (0x1FBD, 0x1FFE), (0x2000, 0x206F), (0x20A8, 0x20A8), (0x24C2, 0x24C2), (0x3000, 0x3000), (0x3297, 0x3299), (0xFDF0, 0xFDFD), (0x1F000, 0x1FAFF))
+#: Full-width punctuation that is usual after a character of a wide script.
+WIDE_MARKS = "！（），：；？"
+
+
+@lru_cache
+def _compatibility() -> dict[str, str]:
+    """Characters of compatibility forms with their usual characters."""
+    out = {}
+    for c in map(chr, [*range(0xA0, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200)]):
+        k = unicodedata.normalize("NFKC", c)
+        letterlike = 0x2100 <= ord(c) <= 0x214F
+        if k == c or not unicodedata.decomposition(c).startswith(TAGS) or any(lo <= ord(c) <= hi for lo, hi in APART):
+            continue
+        # Of the letter-like symbols only styled single letters are read as letters; a form that begins with a space is a spacing accent.
+        if k[0] == " " or letterlike and not (len(k) == 1 and k.isascii()) or not letterlike and "\u2044" in k:
+            continue
+        out[c] = k
+    return out
+
+
+#: Scripts whose look-alikes count in words with a Latin letter; Greek letters there are symbols, but for the listed ones.
+SCRIPTS = ((0x0400, 0x052F), (0x0531, 0x058F), (0x10D0, 0x10FF), (0x13A0, 0x13FF), (0x2C80, 0x2CFF), (0x2D30, 0x2D7F), (0xA4D0, 0xA4FF), (0xA640, 0xA69F), (0xAB70, 0xABBF))
+_SEEN: dict[str, str] = {}
+
+
+def confusables(spark: SparkSession) -> dict[str, str]:
+    """Letters of SCRIPTS that the confusables data take for one Latin letter. The data have one form for l, I and 1: a letter that is not lower case is I."""
+    if not _SEEN:
+        checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+        for c in (chr(x) for lo, hi in SCRIPTS for x in range(lo, hi + 1)):
+            if unicodedata.category(c).startswith("L"):
+                k = checker.getSkeleton(c)
+                if len(k) == 1 and k.isascii() and k.isalpha():
+                    _SEEN[c] = "I" if k == "l" and not c.islower() else k
+    return _SEEN
+
+
+def _class(chars: str) -> str:
+    """A character class of RE2, in ranges."""
+    codes, out = sorted(map(ord, set(chars))), []
+    for c in codes:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out) + "]"
+
+
+#: First private character that serves as a mark, the number of marks, and where escaped ones stand.
+MARK, MARKS, ESCAPED = 0xF0000, 0x30, 0xF0100
+
+
+def form_sql(more: dict[str, str]) -> str:
+    """The SQL over a table ``batch`` (k, x); ``more``: look-alikes inside words with a Latin letter."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    wide, plain = _compatibility()
+    mark = lambda i: chr(MARK + i)
+    forms_ = _compatibility()
+    single = {c: k for c, k in forms_.items() if len(k) == 1}
+    long_ = {c: k for c, k in forms_.items() if len(k) > 1}
     src = CYRILLIC[0] + GREEK[0] + ARMENIAN[0] + VARIANT[0]
     dst = CYRILLIC[1] + GREEK[1] + ARMENIAN[1] + VARIANT[1]
+    more = {c: k for c, k in more.items() if c not in src}
     letters = src
-    # Full-width punctuation after a character of a wide script is usual there: moved aside to private characters.
-    punct, aside = "！（），：；？", "".join(map(chr, range(0xF0001, 0xF0008)))
-    has_wide = f"regexp_matches(x, '[\\x{{FF01}}-\\x{{FF5E}}\\x{{FB00}}-\\x{{FB06}}\\x{{2100}}-\\x{{217F}}\\x{{1D400}}-\\x{{1D7FF}}\\x{{3000}}]')"
+    # Marks that a text holds itself become the first mark and a character far from all marks.
+    held = f"[{mark(0)}-{mark(MARKS - 1)}]"
+    e = f"regexp_replace(x, '({held})', '{mark(0)}\\1', 'g')"
+    pairs = f"regexp_extract_all({e}, '{mark(0)}{held}|[^{mark(0)}]+')"
+    s0 = f"CASE WHEN regexp_matches(x, '{held}') THEN array_to_string(list_transform({pairs}, lambda p: CASE WHEN p[1] = '{mark(0)}' THEN '{mark(0)}' || chr(unicode(p[2]) + {ESCAPED - MARK}) ELSE p END), '') ELSE x END"
+    back = f"regexp_extract_all(x, '{mark(0)}.|[^{mark(0)}]+')"
+    s6 = f"CASE WHEN contains(x, '{mark(0)}') THEN array_to_string(list_transform({back}, lambda p: CASE WHEN p[1] = '{mark(0)}' THEN chr(unicode(p[2]) - {ESCAPED - MARK}) ELSE p END), '') ELSE x END"
+    # Full-width punctuation after a character of a wide script is usual there: moved aside to marks.
+    aside = "".join(mark(1 + i) for i in range(len(WIDE_MARKS)))
     t = "x"
-    for p, a in zip(punct, aside):
+    for p, a in zip(WIDE_MARKS, aside):
         t = f"regexp_replace({t}, '([{WIDE}]){p}', '\\1{a}', 'g')"
-    t = f"translate({t}, {q(wide)}, {q(plain)})"
-    for lig in map(chr, range(0xFB00, 0xFB07)):
-        t = f"replace({t}, '{lig}', '{unicodedata.normalize('NFKC', lig).replace(chr(0x17F), 's')}')"
+    t = f"translate({t}, {q(''.join(single))}, {q(''.join(single.values()))})"
+    # Forms of several characters: the text is cut at them, each piece that is one is looked up.
+    names = "[" + ", ".join(map(q, long_)) + "]"
+    values = "[" + ", ".join(map(q, long_.values())) + "]"
     t = f"regexp_replace({t}, '([^{WIDE}])\\x{{3000}}', '\\1 ', 'g')"
-    t = f"translate({t}, {q(aside)}, {q(punct)})"
-    s1 = f"CASE WHEN {has_wide} THEN {t} ELSE x END"
+    t = f"translate({t}, {q(aside)}, {q(WIDE_MARKS)})"
+    s1 = f"CASE WHEN regexp_matches(x, '{_class(''.join(single) + chr(0x3000))}') THEN {t} ELSE x END"
+    cut = f"regexp_extract_all(x, '{_class(''.join(long_))}|{_class(''.join(long_)).replace('[', '[^', 1)}+')"
+    s2 = f"CASE WHEN regexp_matches(x, '{_class(''.join(long_))}') THEN array_to_string(list_transform({cut}, lambda p: coalesce({values}[list_position({names}, p)], p)), '') ELSE x END"
     # Joiners and selectors of emoji and joining scripts are moved aside, the other invisible characters dropped.
-    zwj, zwnj, vs, vt = (chr(0xF0010 + i) for i in range(4))
+    zwj, zwnj, vs, vt = (mark(0x10 + i) for i in range(4))
     mods = r"\x{1F3FB}-\x{1F3FF}" + vs + vt
     u = "x"
     u = f"regexp_replace({u}, '([{EMOJI}0-9#*]|[\\x{{1F3FB}}-\\x{{1F3FF}}])\\x{{FE0F}}', '\\1{vs}', 'g')"
@@ -89,25 +155,22 @@ def _sql() -> str:
         u = f"regexp_replace({u}, '([{JOINED}]\\pM*)\\x{{200C}}', '\\1{zwnj}', 'g')"
     u = f"regexp_replace({u}, '{INVISIBLE}', '', 'g')"
     u = f"translate({u}, {q(zwj + zwnj + vs + vt)}, {q(chr(0x200D) + chr(0x200C) + chr(0xFE0F) + chr(0xFE0E))})"
-    s2 = f"CASE WHEN regexp_matches(x, '{INVISIBLE}') THEN {u} ELSE x END"
-    s3 = f"regexp_replace(x, '{SPACES}', ' ', 'g')"
+    s3 = f"CASE WHEN regexp_matches(x, '{INVISIBLE}') THEN {u} ELSE x END"
+    s4 = f"regexp_replace(x, '{SPACES}', ' ', 'g')"
     # Words with a Latin letter are marked, which cuts the text into marked words and spans without Latin letters.
-    on, off = chr(0xF0020), chr(0xF0021)
-    marked = f"regexp_replace(x, '([^\\s]*\\p{{Latin}}[^\\s]*)', '{on}\\1{off}', 'g')"
+    on, off = mark(0x20), mark(0x21)
+    marked = f"regexp_replace(x, '([^\\s/‐‑–—-]*\\p{{Latin}}[^\\s/‐‑–—-]*)', '{on}\\1{off}', 'g')"
     spans = f"regexp_extract_all({marked}, '{on}[^{off}]*{off}|[^{on}.!?»”\")]+|[.!?»”\")]+')"
-    one = f"CASE WHEN s[1] <> '{on}' AND regexp_matches(regexp_replace(s, '[{letters}]', '', 'g'), '[{FOREIGN}]') THEN s ELSE translate(s, {q(src)}, {q(dst)}) END"
+    words = f"translate(translate(s, {q(src)}, {q(dst)}), {q(''.join(more))}, {q(''.join(more.values()))})"
+    one = f"CASE WHEN s[1] = '{on}' THEN {words} WHEN regexp_matches(regexp_replace(s, '[{letters}]', '', 'g'), '[{FOREIGN}]') THEN s ELSE translate(s, {q(src)}, {q(dst)}) END"
     v = f"translate(array_to_string(list_transform({spans}, lambda s: {one}), ''), '{on}{off}', '')"
-    s4 = f"CASE WHEN regexp_matches(x, '[{letters}]') THEN {v} ELSE x END"
-    s5 = "nfc_normalize(x)"
+    s5 = f"CASE WHEN regexp_matches(x, '{_class(letters + ''.join(more))}') THEN {v} ELSE x END"
     sql = "SELECT k, x AS original, x FROM batch"
-    for s in (s1, s2, s3, s4, s5):
+    for s in (s0, s1, s2, s3, s4, s5, s6, "nfc_normalize(x)"):
         sql = f"SELECT k, original, {s} AS x FROM ({sql})"
     return sql
 
 
-FORM = _sql()
-
-
 def one_form(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, form, changed) of every row."""
     import pyarrow as pa
@@ -115,7 +178,7 @@ def one_form(df: DataFrame, key: str, text: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind, df_type = df.schema[key].dataType.simpleString(), to_arrow_type(df.schema[key].dataType)
-    sql = f"SELECT k, x AS form, coalesce(x <> original, false) AS changed FROM ({FORM})"
+    sql = f"SELECT k, x AS form, coalesce(x <> original, false) AS changed FROM ({form_sql(confusables(df.sparkSession))})"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
