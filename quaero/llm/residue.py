@@ -91,6 +91,8 @@ SHAPES = (
 )
 #: Words of a sentence that reports on such things instead of showing them.
 ABOUT = r"\b(?:we\b(?! could not| can ?not| can't| are sorry)|(?:was|were)\b(?! not found| not available)|rated|measured|asked to|percent|participants|patients|readers|study|studies)\b"
+#: White space of any kind.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 #: Nothing but dummy words.
 DUMMY = r"^\s*+(?:tbd|tba|todo|asdf|qwerty|xxx++|foo bar)(?:[\s.,;]++(?:tbd|tba|todo|asdf|qwerty|xx++|foo bar))*+[\s.]*+$"
 
@@ -129,7 +131,7 @@ def _last(low: Column) -> Column:
     """A piece of a text that holds its last sentence, or the whole text if that is a menu line or without a letter.
 
     Every sentence of a candidate carries a sign, so does the last; most texts leave by this short test."""
-    trimmed = F.regexp_replace(low, r"(?U)\s+$", "")
+    trimmed = F.rtrim(low, F.lit(SPACES))
     tail = F.substring_index(F.substring_index(trimmed, "\n", -1), ". ", -1)
     return F.when(tail.contains("|") | ~F.rlike(tail, F.lit(r"\p{L}")), low).otherwise(tail)
 
@@ -181,7 +183,8 @@ def residue(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
     what took a row: placeholder, mock latin, shape, recurring text or recurring
     sentences; copies and sources count the texts of the same masked form, where
     the group recurs."""
-    seen = written(with_evidence(df.select(key, text, source), text, source).where("_seen is not null").select(key, "_seen"), "seen")
+    # The condition stands behind the written table: pushed into the map, it would compute what the rules saw twice.
+    seen = written(with_evidence(df.select(key, text, source), text, source).select(key, "_seen"), "seen").where("_seen is not null")
     kind = F.when(F.col("_rule") == "placeholder", "placeholder").when(F.col("_rule") == "mock latin", "filler").otherwise(F.col("_seen.kind"))
     return _judged(seen).where("_rule is not null").select(key, kind.alias("kind"), F.col("_rule").alias("rule"), F.col("_copies").alias("copies"), F.col("_sources").alias("sources"))
 
