@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from quaero.llm import bpe, formatting_dups, language, lookalikes, packing, pair_defects, residue, split_overlap, top_items
 
-CLASH = ["w", "c", "h", "id", "key", "item", "g1", "minus", "_seen", "_masked", "row", "size", "curve", "piece", "said", "form", "changed", "n", "k", "place"]
+CLASH = ["w", "c", "h", "id", "key", "item", "g1", "minus", "_seen", "_masked", "row", "size", "curve", "piece", "said", "form", "changed", "n", "k", "place", "few", "many", "letters", "a", "b", "_m", "_s", "_w", "_low"]
 
 
 def clashing(df):
@@ -152,6 +152,8 @@ def test_formatting_dups(spark):
     ]
     df = clashing(spark.createDataFrame(rows, PAPER))
     assert got(formatting_dups.same_papers(df), "pubkey_a", "pubkey_b") == [("20", "21"), ("3", "4"), ("3", "5")]
+    marks = spark.createDataFrame([("1", "की दवा", "x y"), ("2", "कि दवा", "x y"), ("3", "Cafe\u0301 noir", "x y"), ("4", "CAFÉ noir", "X-Y"), ("5", "Cafe noir", "x y"), ("6", "की, दवा", "(x y)"), ("7", "a\ufe0fb", "❤\ufe0f c"), ("8", "ab", "C")], PAPER)
+    assert got(formatting_dups.same_papers(marks), "pubkey_a", "pubkey_b") == [("1", "6"), ("3", "4"), ("7", "8")]
     one = {r.pubkey: (r.copies, r.rows) for r in formatting_dups.one_per_paper(df).collect()}
     assert one["3"] == (3, 4) and one["9"] == (1, 1) and one["7"] == (1, 1) and "4" not in one
     assert formatting_dups.same_papers(df.limit(0)).count() == 0
@@ -163,7 +165,8 @@ ALIKE = [
     ("ok café", "ok café"), ("café", "café"), ("ﬁnd ｗｉｄｅ！", "find wide!"), ("zero​width so­ft", "zerowidth soft"), ("no break", "no break"), ("Аccording іs", "According is"),
     ("gives а ratio", "gives a ratio"), ("he said «вопрос закрыт».", "he said «вопрос закрыт»."), ("«ΝΕΡΟ ΚΑΙ ΦΩΣ»", "«ΝΕΡΟ ΚΑΙ ΦΩΣ»"), ("α-helix, Δ and β-sheet", "α-helix, Δ and β-sheet"),
     ("👩‍🔬 ❤️ 🧑🏽‍⚕️ 👨‍👩‍👧 1️⃣", "👩‍🔬 ❤️ 🧑🏽‍⚕️ 👨‍👩‍👧 1️⃣"), ("m² at 10⁻³ “so” – more…", "m² at 10⁻³ “so” – more…"), ("測定は二回、行われた。はい！", "測定は二回、行われた。はい！"), ("tha‍t", "that"),
-    ("said «вопрос закрыт». А naïve", "said «вопрос закрыт». A naïve"), ("ɡive օne ӏink", "give one link"), ("𝔘𝔫𝔦 𝟙𝟚", "Uni 12"), ("", ""), (None, None), ("می‌خواهم", "می‌خواهم"), ("a" * 300_000 + "​", "a" * 300_000),
+    ("said «вопрос закрыт». А naïve", "said «вопрос закрыт». A naïve"), ("ɡive օne ӏink", "give one link"), ("𝔘𝔫𝔦 𝟙𝟚", "Uni 12"), ("ｱｲｳ ｶﾞ", "アイウ ガ"), ("type Ⅱ, 5 ㎏, ￥9, ①", "type II, 5 kg, ¥9, 1"), ("Ꭰpple ꓚell", "Dpple Cell"), ("Ꭰ Ꭱ", "Ꭰ Ꭱ"), ("a\U000F0010b \U000F0000 \U000F0001 \U000F0100", "a\U000F0010b \U000F0000 \U000F0001 \U000F0100"), ("\U000F0002 ﬁn\u200bd \U000F0021", "\U000F0002 find \U000F0021"),
+    ("витамин-D и рак", "витамин-D и рак"), ("а-level раtient-rероrted", "a-level patient-reported"), ("µ-opioid, ϕ, № 5 at 3 ℃ ½ ™", "µ-opioid, ϕ, № 5 at 3 ℃ ½ ™"), ("⼀⽇", "一日"), ("", ""), (None, None), ("می‌خواهم", "می‌خواهم"), ("a" * 300_000 + "​", "a" * 300_000),
 ]
 
 
@@ -334,7 +337,13 @@ PAIRS = [
     (FR, FR.split(". ")[0] + ". The ratio stayed at 2.50 in adults.", ["wrong_language"]),
     (FR, EN.split(". ")[0] + ".", ["truncated"]), (FR, EN[:60], ["truncated"]), (FR, EN[:60] + "…", ["truncated"]), (None, EN, []), ("", EN, []), (None, None, ["empty"]),
     ("Désolé, mais je ne peux pas y croire. " + FR, "Sorry, but I cannot believe it. " + EN, []),
+    (FR, "I cannot translate this text about 40 patients and 12 weeks.", ["refusal"]), (FR, FR + " And this is what the model adds.", ["copy"]), (FR, FR[:60], ["copy"]), (FR, "Output: « " + FR.split(". ")[0].lower() + " »", ["copy"]),
+    (EN, EN.split(". ")[0] + ".", ["truncated"]), (EN + " " + EN, EN, ["truncated"]),
+    ("Une étude montre que 40 % des patients ont guéri après 3 semaines de traitement.", "A study shows that forty percent of patients recovered after three weeks of treatment.", []),
+    ("Une étude montre que 40 % des patients ont guéri après 3 semaines. Les autres patients ont gardé des symptômes pendant des mois.", "A study shows that forty percent of patients recovered after three weeks.", ["truncated"]),
+    ("Les auteurs n'ont pas pu fournir de données sur 40 patients.", "The authors could not provide data on 40 patients.", []), ("Nous ne pouvons pas traiter ce cas à Barin.", "We cannot process this case in Barin.", []), (FR, "Sorry, unable to process this one.", ["refusal"]),
 ]
+EVERY = [(FR, FR[:60], ["copy", "wrong_language", "truncated"]), (FR, FR, ["copy", "wrong_language"]), (FR, "Ich kann diesen Text leider nicht übersetzen, denn er ist zu lang (", ["refusal", "wrong_language", "truncated"])]
 
 
 def test_pairs(spark, dictionaries):
@@ -346,6 +355,8 @@ def test_pairs(spark, dictionaries):
     for i, (p, a, want) in enumerate(PAIRS):
         assert [found[str(i)].get(1)] == (want or [None]), (p, a)
     assert "long" not in found and "tags" not in found
+    c = language.Classifier(dictionaries)
+    assert [pair_defects.defects(p, a, c) for p, a, _ in EVERY] == [w for _, _, w in EVERY]
     assert all(sorted(v.values(), key=pair_defects.TYPES.index) == [v[k] for k in sorted(v)] for v in found.values())
     assert pair_defects.pair_defects(df.limit(0), dictionaries).count() == 0
 
