@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quaero.functions.text import normalize_ws
 from quaero.operators.fusion import min_max
-from quaero.operators.training import hash_order
+from quaero.operators.training import drawn, hash_order
 
 
 def cache_misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
@@ -22,15 +22,28 @@ def translated(requests: DataFrame, cache: DataFrame, fresh: DataFrame | None =
     return requests.join(one, ["direction", "source"], "left")
 
 
-def back_translations(texts: DataFrame, forward: DataFrame, backward: DataFrame) -> DataFrame:
+def back_translations(texts: DataFrame, forward: DataFrame, backward: DataFrame, most: int | None = None, seed: str = "42") -> DataFrame:
     """(text, variant): each text through a pivot language and back, where the result differs from the text beyond white space; distinct.
 
-    texts: (text); forward and backward: (source, target).
+    texts: (text); forward and backward: (source, target). Texts that share a
+    pivot and the variants of that pivot meet in distinct pairs only. ``most``
+    limits the variants of a text, by hash order; a pivot that many texts share
+    then sends each of them only its first most + 1 variants (one may be the
+    text itself), so the result grows with the texts and not with their square.
     """
-    f = forward.select(F.col("source").alias("text"), F.col("target").alias("pivot"))
-    b = backward.select(F.col("source").alias("pivot"), F.col("target").alias("variant"))
-    j = texts.select("text").distinct().join(f, "text").join(b, "pivot")
-    return j.where((F.trim("variant") != "") & (F.lower(normalize_ws("variant")) != F.lower(normalize_ws("text")))).select("text", "variant").distinct()
+    same = lambda c: F.lower(normalize_ws(c))
+    f = forward.select(F.col("source").alias("text"), F.col("target").alias("pivot")).join(texts.select("text").distinct(), "text", "left_semi").distinct()
+    b = backward.select(F.col("source").alias("pivot"), F.col("target").alias("variant")).where(F.trim("variant") != "").distinct()
+    if most is not None:
+        # One variant for each normal form, then the first ones of a pivot.
+        b = b.groupBy("pivot", same("variant").alias("form")).agg(F.min("variant").alias("variant"))
+        w = Window.partitionBy("pivot").orderBy(hash_order(seed, "form"), "form")
+        b = b.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most + 1).drop("k", "form")
+    j = f.join(b, "pivot").where(same("variant") != same("text")).select("text", "variant").distinct()
+    if most is None:
+        return j
+    v = Window.partitionBy("text").orderBy(hash_order(seed, "variant"), "variant")
+    return j.withColumn("k", F.row_number().over(v)).where(F.col("k") <= most).select("text", "variant")
 
 
 def capped_sample(groups: DataFrame, key: str, n: int, seed: str = "42") -> DataFrame:
@@ -38,27 +51,21 @@ def capped_sample(groups: DataFrame, key: str, n: int, seed: str = "42") -> Data
     return groups.select(key).distinct().withColumn("h", hash_order(seed, key)).orderBy("h", key).limit(n).drop("h")
 
 
-def topped_up(groups: DataFrame, n: int, seed: str = "42", buckets: int = 64) -> DataFrame:
+def topped_up(groups: DataFrame, n: int, seed: str = "42") -> DataFrame:
     """(qid, docid, source): the negatives of each query, filled up to n with positives of other queries, as long as there are any.
 
-    groups: (qid, docid, label). The positives stand on a ring in hash order
-    (places are counted in ``buckets`` parts). A query starts at its own place
-    and meets as many as it lacks and as it must pass over, which is enough or
-    the whole ring. No pair of every query with every positive is made.
+    groups: (qid, docid, label). The positives stand on a ring in hash order. A
+    query starts at its own place and meets as many as it lacks and as it must
+    pass over, which is enough or the whole ring. No pair of every query with
+    every positive is made.
     """
     own = groups.where("label = 0").select("qid", "docid", F.lit("own").alias("source")).distinct()
-    pos = groups.where("label = 1").select("docid").distinct().withColumn("b", F.pmod(F.xxhash64("docid"), F.lit(buckets)))
-    parts = pos.groupBy("b").agg(F.count("*").alias("size")).withColumn("before", F.sum("size").over(Window.orderBy("b")) - F.col("size"))
-    within = F.row_number().over(Window.partitionBy("b").orderBy(hash_order(seed, "docid"), "docid"))
-    ring = pos.withColumn("i", within).join(F.broadcast(parts), "b").select("docid", (F.col("before") + F.col("i") - 1).alias("place"))
-    total = parts.agg(F.sum("size").alias("total"))
     have = groups.groupBy("qid").agg(F.countDistinct(F.when(F.col("label") == 0, F.col("docid"))).alias("n"), F.countDistinct("docid").alias("held"))
-    need = have.where(F.col("n") < n).crossJoin(F.broadcast(total)).where("total > 0")
-    steps = F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.col("total"), n - F.col("n") + F.col("held")) - 1))
-    q = need.select("qid", "total", steps.alias("i")).select("qid", F.pmod(F.pmod(F.xxhash64("qid"), F.col("total")) + F.col("i"), F.col("total")).alias("place"))
-    fill = q.join(ring, "place").join(groups.select("qid", "docid"), ["qid", "docid"], "left_anti").select("qid", "docid", F.lit("other").alias("source")).distinct()
-    w = Window.partitionBy("qid").orderBy(F.col("source") != "own", hash_order(seed, "qid", "docid"))
-    return own.unionByName(fill).withColumn("k", F.row_number().over(w)).where((F.col("k") <= n) | (F.col("source") == "own")).select("qid", "docid", "source")
+    need = have.where(F.col("n") < n).select("qid", (n - F.col("n") + F.col("held")).alias("steps"))
+    fill = drawn(need, groups.where("label = 1"), seed).join(groups.select("qid", "docid"), ["qid", "docid"], "left_anti").select("qid", "docid", F.lit("other").alias("source"), "step")
+    w = Window.partitionBy("qid").orderBy(F.col("source") != "own", "step", "docid")
+    both = own.withColumn("step", F.lit(-1).cast("bigint")).unionByName(fill)
+    return both.withColumn("k", F.row_number().over(w)).where((F.col("k") <= n) | (F.col("source") == "own")).select("qid", "docid", "source")
 
 
 def weight_search(run: DataFrame, golds: DataFrame, systems: list[str], grid: list[tuple[float, ...]], k: int = 10) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaero.functions.text import normalize_ws
+from quaero.session import written
 
 
 def hash_order(seed: str, *keys: str) -> Column:
@@ -30,8 +31,11 @@ def split_by_query(queries: DataFrame, seed: str = "42", train: float = 0.8, dev
 
 
 def global_rank(df: DataFrame, order: list[str]) -> DataFrame:
-    """Adds ``rank`` from 1 over the whole table without a single-task window: range sort, sizes of the partitions before, ranks inside."""
-    s = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    """Adds ``rank`` from 1 over the whole table without a single-task window: range sort, sizes of the partitions before, ranks inside.
+
+    The range-sorted rows are written once with their partition's number, so that sizes and ranks see the same cut, and no row is sorted by range twice.
+    """
+    s = written(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranged")
     sizes = s.groupBy("_p").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select("_p", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
@@ -39,6 +43,33 @@ def global_rank(df: DataFrame, order: list[str]) -> DataFrame:
     return s.withColumn("_i", inside).join(F.broadcast(before), "_p").withColumn("rank", F.col("_before") + F.col("_i")).drop("_p", "_i", "_before")
 
 
+def hash_number(seed: str, *keys: str) -> Column:
+    """A number below 2^32 from the same hash."""
+    return F.conv(F.substring(hash_order(seed, *keys), 1, 8), 16, 10).cast("bigint")
+
+
+def ring(docs: DataFrame, seed: str = "42", digits: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(docid, place): the distinct documents in hash order from 0, and their number as one row (total).
+
+    Places are counted in parts by the first digits of the hash, so no task sees the whole order.
+    """
+    d = docs.select("docid").where("docid is not null").distinct().withColumn("h", hash_order(seed, "docid")).withColumn("b", F.substring("h", 1, digits))
+    parts = d.groupBy("b").agg(F.count("*").alias("size")).withColumn("before", F.sum("size").over(Window.orderBy("b")) - F.col("size"))
+    within = F.row_number().over(Window.partitionBy("b").orderBy("h", "docid"))
+    # At most 16^digits parts.
+    places = d.withColumn("i", within).join(F.broadcast(parts), "b").select("docid", (F.col("before") + F.col("i") - 1).alias("place"))
+    return places, parts.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
+
+
+def drawn(need: DataFrame, docs: DataFrame, seed: str = "42") -> DataFrame:
+    """(qid, docid, step): for each (qid, steps) as many documents of the ring as ``steps``, from the query's own place on; the whole ring if it is shorter."""
+    places, total = ring(docs, seed)
+    q = need.select("qid", "steps").crossJoin(F.broadcast(total)).where("total > 0 and steps > 0")
+    steps = F.explode(F.sequence(F.lit(0).cast("bigint"), F.least("steps", "total") - 1))
+    q = q.select("qid", "total", steps.alias("step")).select("qid", "step", F.pmod(F.pmod(hash_number(seed, "qid"), F.col("total")) + F.col("step"), F.col("total")).alias("place"))
+    return q.join(places, "place").select("qid", "docid", "step")
+
+
 def candidate_negatives(run: DataFrame, golds: DataFrame, corpus: DataFrame, depth: int | None = None, per_run: int | None = None) -> DataFrame:
     """(system, qid, docid, rank, pos): a run's documents that are in the corpus and no positives, renumbered; ``depth`` cuts before, ``per_run`` after the filters."""
     r = run if depth is None else run.where(F.col("rank") <= depth)
@@ -83,22 +114,18 @@ def fused_negatives(run: DataFrame, golds: DataFrame, texts: DataFrame, n: int,
     return first.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("qid", "docid", "stage", "place")
 
 
-def random_negatives(queries: DataFrame, corpus: DataFrame, golds: DataFrame, n: int, seed: str = "42", blocks: int = 64) -> DataFrame:
-    """(qid, docid): n random documents of each query that are no positives.
+def random_negatives(queries: DataFrame, corpus: DataFrame, golds: DataFrame, n: int, seed: str = "42") -> DataFrame:
+    """(qid, docid): n random documents of each query that are no positives; fewer only where the corpus has no more.
 
-    The corpus is put in hash order and cut into buckets of about n + slack
-    documents; a query draws from the bucket its own hash names and, only if
-    that is short, from the next. No pair of every query with every document
-    is made.
+    The corpus stands on a ring in hash order. A query starts at its own place
+    and meets n documents and as many as it has positives, so that n are left.
+    No pair of every query with every document is made.
     """
-    docs = corpus.select("docid").distinct()
-    total = docs.count()
-    size = max(1, min(total, 2 * n + 4))
-    buckets = max(1, total // size)
-    d = docs.withColumn("b", F.pmod(F.xxhash64(F.lit(seed), "docid"), F.lit(buckets)))
-    q = queries.select("qid").distinct().withColumn("b", F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(seed), "qid") + i, F.lit(buckets)) for i in range(min(3, buckets))])))
-    got = q.join(d, "b").join(golds.select("qid", "docid"), ["qid", "docid"], "left_anti").select("qid", "docid").distinct()
-    w = Window.partitionBy("qid").orderBy(hash_order(seed, "qid", "docid"))
+    q = queries.select("qid").where("qid is not null").distinct()
+    own = golds.select("qid", "docid").distinct()
+    need = q.join(own.groupBy("qid").agg(F.count("*").alias("own")), "qid", "left").select("qid", (F.coalesce("own", F.lit(0)) + n).cast("bigint").alias("steps"))
+    got = drawn(need, corpus, seed).join(own, ["qid", "docid"], "left_anti")
+    w = Window.partitionBy("qid").orderBy("step")
     return got.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).select("qid", "docid")
 
 

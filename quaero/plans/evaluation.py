@@ -10,6 +10,7 @@ from quaero.operators import metrics as m
 from quaero.operators import statistics as st
 from quaero.plans import tables as t
 from quaero.plans.retrieval import DENSE, _dense_ranked
+from quaero.plans.texts import cues_sql
 from quaero.session import table
 
 Q: dict = {}
@@ -118,10 +119,10 @@ def query_length_buckets(spark, d):
     return m.by_bucket(_per(spark, d), _texts(spark, d), b).select("system", "bucket", "queries", F.round("mean", 6).alias("mean"), F.round("ci95", 6).alias("ci95"))
 
 
-@query()
+@query(PER + f""", {QTEXT}, b AS (SELECT qid, CASE WHEN {cues_sql('text')} >= 4 THEN 'entity-rich' ELSE 'entity-sparse' END AS bucket FROM qx)""" + BUCKET)
 def entity_cue_buckets(spark, d):
     b = F.when(entity_cues("text") >= 4, "entity-rich").otherwise("entity-sparse")
-    return m.by_bucket(_per(spark, d), _texts(spark, d), b)
+    return m.by_bucket(_per(spark, d), _texts(spark, d), b).select("system", "bucket", "queries", F.round("mean", 6).alias("mean"), F.round("ci95", 6).alias("ci95"))
 
 
 @query(f"WITH {QTEXT} SELECT CAST(floor(length(text) / 20) * 20 AS BIGINT) AS bin, count(*) AS n FROM qx GROUP BY 1")

@@ -69,7 +69,11 @@ def text_clean_by_category(spark, d):
     return _posts(spark, d).select("qid", x.clean_by_category("text").alias("text"))
 
 
-@query()
+# A mention or hashtag counts where no word character stands before it (ASCII for the boundary, any script inside).
+BARE = "regexp_replace(text, '(^|[^A-Za-z0-9_])[@#](" + W + "+)', '\\1\\2', 'g')"
+
+
+@query(f"WITH {t.POSTS} SELECT qid, {ws(f'regexp_replace({BARE}, $a${EMOJI}$a$, $a$$a$, $a$g$a$)')} AS text FROM posts")
 def text_clean_query(spark, d):
     return _posts(spark, d).select("qid", x.clean_query("text").alias("text"))
 
@@ -112,18 +116,38 @@ def query_terms_priority(spark, d):
     return t.topics(spark, d).select("qid", F.array_join(x.query_terms("query"), "; ").alias("terms"))
 
 
-@query()
-def query_views(spark, d):
-    v = t.topics(spark, d).select("qid", x.expansion_views("query").alias("v"))
-    return v.select("qid", "v.*")
+TERMS = f"""tt AS (SELECT qid, list_filter({MULTI}, lambda w: length(w) >= 3 AND NOT list_contains({t.STOP_SQL}, lower(w))) AS a FROM shared_topics),
+dd AS (SELECT qid, list_filter(a, lambda w, i: list_position(list_transform(a, lambda v: lower(v)), lower(w)) = i) AS a FROM tt),
+tl AS (SELECT qid, list_slice(list_concat(list_filter(a, lambda w: regexp_matches(w, '[0-9\\-]|^[A-ZÀ-ÖØ-Þ]') OR length(w) > 5), list_filter(a, lambda w: NOT (regexp_matches(w, '[0-9\\-]|^[A-ZÀ-ÖØ-Þ]') OR length(w) > 5))), 1, 12) AS a FROM dd)"""
+PLURAL = "CASE WHEN length(w) > 4 AND lower(w) LIKE '%ies' THEN regexp_replace(lower(w), 'ies$', 'y') WHEN length(w) > 4 AND lower(w) LIKE '%es' THEN regexp_replace(lower(w), 'es$', '') WHEN length(w) > 4 AND lower(w) LIKE '%s' THEN regexp_replace(lower(w), 's$', '') END"
+SPELLINGS = f"list_filter([w, CASE WHEN lower(w) <> w THEN lower(w) END, CASE WHEN w LIKE '%-%' THEN replace(w, '-', '') END, CASE WHEN w LIKE '%-%' THEN replace(w, '-', ' ') END, {PLURAL}], lambda x: x IS NOT NULL AND x <> '')"
 
 
-@query()
+def distinct_in_order(a: str) -> str:
+    return f"list_filter({a}, lambda x, i: list_position({a}, x) = i)"
+
+
+@query(f"""WITH {TERMS}, u AS (SELECT DISTINCT unnest(a) AS w FROM tl), v AS (SELECT w, {SPELLINGS} AS s FROM u)
+SELECT w AS term, array_to_string({distinct_in_order('s')}, ' | ') AS variants FROM v""")
 def term_variants(spark, d):
     w = t.topics(spark, d).select(F.explode(x.query_terms("query")).alias("term")).distinct()
     return w.select("term", F.array_join(x.term_variants(F.col("term")), " | ").alias("variants"))
 
 
+VIEWS = f"""WITH {TERMS}, q AS (SELECT qid, {ws('text')} AS q, a FROM tl JOIN shared_topics USING (qid)),
+sp AS (SELECT qid, list(s ORDER BY i, j) AS s FROM (SELECT qid, i, unnest(s) AS s, generate_subscripts(s, 1) AS j FROM (SELECT qid, i, {distinct_in_order(SPELLINGS)} AS s FROM (SELECT qid, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM tl))) GROUP BY qid),
+v AS (SELECT qid, q, a, coalesce(nullif(array_to_string(a, '; '), ''), q) AS keywords, coalesce(nullif(array_to_string({distinct_in_order('s')}, ' ; '), ''), q) AS sparse,
+ 'Relevant document discussing ' || coalesce(nullif(array_to_string(list_slice(a, 1, 8), ', '), ''), q) || '; it addresses the search intent and related scientific or factual evidence.' AS embedding,
+ array_to_string(list_filter([q, array_to_string({distinct_in_order('a')}, ' ')], lambda x: x <> ''), ' ; ') AS colbert FROM q LEFT JOIN sp USING (qid))
+SELECT qid, keywords, sparse, embedding, colbert, {ws("keywords || '. ' || embedding || ' Lexical hints: ' || sparse || '. Token hints: ' || colbert || '.'")} AS expanded FROM v"""
+
+
+@query(VIEWS)
+def query_views(spark, d):
+    v = t.topics(spark, d).select("qid", x.expansion_views("query").alias("v"))
+    return v.select("qid", "v.*")
+
+
 VOC = "list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z]{3,}'))))"
 
 
@@ -132,9 +156,22 @@ def tokens_vocabulary(spark, d):
     return _posts(spark, d).select("qid", F.array_join(F.array_sort(x.vocabulary_words("text")), " ").alias("words"))
 
 
-@query()
+def cues_sql(c: str) -> str:
+    """The score of signs of named entities of a text."""
+    quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    tokens = f"list_transform(regexp_extract_all({c}, '[@#]?[A-Za-z][A-Za-z0-9.''-]*(?:-[A-Za-z0-9.''-]+)?'), lambda k: regexp_replace(k, '^[@#]+|[@#]+$', '', 'g'))"
+    titled = lambda k: f"(regexp_matches({k}, '^[A-Z]') AND upper({k}) <> {k} AND NOT list_contains({quoted(x.PLAIN_TITLECASE)}, {k}))"
+    orgs = f"2 * len(list_filter({quoted(x.ORGANISATIONS)}, lambda o: regexp_matches({c}, '\\b' || o || '\\b')))"
+    authors = f"CASE WHEN regexp_matches({c}, '\\b[A-Z][a-z]+\\s+et\\s+al\\b|\\bby\\s+[A-Z][a-z]+|\\bfrom\\s+[A-Z][a-z]+') THEN 2 ELSE 0 END"
+    acronyms = f"len(list_filter(regexp_extract_all({c}, '\\b[A-Z]{{2,}}(?:[-/]?\\d+)?\\b|\\b[A-Z]\\.[A-Z](?:\\.)?\\b'), lambda k: k <> 'RT'))"
+    single = f"len(list_filter({tokens}, lambda k, i: i > 1 AND length(k) > 2 AND {titled('k')}))"
+    pairs = f"2 * len(list_filter(list_zip({tokens}, list_slice({tokens}, 2, len({tokens}))), lambda p: p[2] IS NOT NULL AND {titled('p[1]')} AND {titled('p[2]')}))"
+    return f"{orgs} + {authors} + {acronyms} + {single} + {pairs}"
+
+
+@query(f"WITH {t.POSTS} SELECT qid, CAST({cues_sql('text')} AS BIGINT) AS score FROM posts")
 def entity_cue_score(spark, d):
-    return _posts(spark, d).select("qid", x.entity_cues("text").alias("score"))
+    return _posts(spark, d).select("qid", x.entity_cues("text").cast("bigint").alias("score"))
 
 
 @query(f"WITH {t.POSTS}, h AS (SELECT qid, unnest(regexp_extract_all(text, '#[A-Za-z0-9_]+')) AS tag FROM posts) SELECT lower(tag) AS tag, count(*) AS uses, count(DISTINCT qid) AS posts FROM h GROUP BY 1")
@@ -143,7 +180,8 @@ def hashtag_counts(spark, d):
     return h.groupBy(F.lower("tag").alias("tag")).agg(F.count("*").alias("uses"), F.countDistinct("qid").alias("posts"))
 
 
-@query()
+@query(f"""WITH {t.POSTS}, h AS (SELECT DISTINCT unnest(regexp_extract_all(text, '#[A-Za-z0-9_]+')) AS tag FROM posts)
+SELECT tag, lower(array_to_string(regexp_extract_all(regexp_replace(regexp_replace(tag, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([A-Z]*)[A-Z]([0-9_])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+'), ' ')) AS words FROM h""")
 def hashtag_words(spark, d):
     h = _posts(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit("(#[A-Za-z0-9_]+)"))).alias("tag")).distinct()
     return h.select("tag", F.array_join(x.split_hashtag("tag"), " ").alias("words"))

@@ -9,6 +9,7 @@ from quaero.operators import augmentation, quality
 from quaero.operators import training as tr
 from quaero.plans import tables as t
 from quaero.plans.retrieval import DENSE, _dense_ranked
+from quaero.plans.texts import EMOJI, S
 from quaero.session import table
 from quaero.sources import sinks
 
@@ -110,7 +111,19 @@ def build_quality_filled(spark, d):
     return b.select("rows", *[F.round(c, 6).alias(c) for c in b.columns if c != "rows"])
 
 
-@query()
+RING = """{r} AS (SELECT docid, row_number() OVER (ORDER BY md5('42_' || docid), docid) - 1 AS place, count(*) OVER () AS total FROM (SELECT DISTINCT docid FROM {src} WHERE docid IS NOT NULL))"""
+START = "CAST('0x' || substr(md5('42_' || qid), 1, 8) AS BIGINT)"
+
+
+def drawn_sql(need: str, ring: str, out: str) -> str:
+    """CTE (qid, docid, step) for a CTE (qid, steps)."""
+    return f"""{out}s AS (SELECT qid, step, (CAST('0x' || substr(md5('42_' || qid), 1, 8) AS BIGINT) % total + step) % total AS place FROM {need}, (SELECT max(total) AS total FROM {ring}) tt, LATERAL (SELECT unnest(range(0, least(steps, total))) AS step)),
+{out} AS (SELECT qid, docid, step FROM {out}s JOIN {ring} USING (place))"""
+
+
+@query(f"""WITH {t.GOLDS}, {t.JUDGED}, docs AS (SELECT DISTINCT pubkey AS docid FROM collection_data), {RING.format(r="rg", src="docs")},
+nd AS (SELECT j.qid, coalesce(n, 0) + 5 AS steps FROM judged j LEFT JOIN (SELECT qid, count(*) AS n FROM golds GROUP BY qid) USING (qid)), {drawn_sql("nd", "rg", "dr")}
+SELECT qid, docid FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY step) AS k FROM dr ANTI JOIN golds USING (qid, docid)) WHERE k <= 5""")
 def neg_random(spark, d):
     return tr.random_negatives(t.judged(spark, d), t.corpus(spark, d).select("docid"), t.golds(spark, d), 5)
 
@@ -131,7 +144,12 @@ def split_by_query(spark, d):
 W = r"[\p{L}\p{M}\p{Nd}\p{Pc}\x{200c}\x{200d}]"
 
 
-@query()
+CLEANED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'http\\S+|www\\S+', '', 'g'), '@" + W + "+', '', 'g'), '#(" + W + "+)', '\\1', 'g'), '" + EMOJI + "', '', 'g'), '" + S + "+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+@query(f"""WITH {t.POSTS}, v AS (SELECT qid, regexp_replace(regexp_replace(text, '{S}+', ' ', 'g'), '^ | $', '', 'g') AS a, {CLEANED} AS b FROM posts),
+r AS (SELECT qid, 0 AS i, 'original' AS variant, a AS text FROM v UNION ALL SELECT qid, 1, 'cleaned', b FROM v UNION ALL SELECT qid, 2, 'lowered', lower(b) FROM v)
+SELECT qid, arg_min(variant, i) AS variant, text FROM r WHERE text <> '' GROUP BY qid, text""")
 def variant_rows(spark, d):
     """Original and cleaned texts of posts; equal texts of a query once."""
     p = t.posts(spark, d).select("qid", F.col("text").alias("original"), clean_post("text").alias("cleaned"), F.lower(clean_post("text")).alias("lowered"))
@@ -206,7 +224,10 @@ def corpus_export_rows(spark, d):
     return sinks.corpus_rows(t.corpus(spark, d), ["docid", "title", "abstract", "venue", "authors"])
 
 
-@query()
+@query("""WITH a AS (SELECT qid, row_number() OVER (ORDER BY md5('42_' || qid), qid) / CAST(count(*) OVER () AS DOUBLE) AS pl, md5('42_' || qid) AS h FROM (SELECT DISTINCT qid FROM en_train WHERE qid IS NOT NULL)),
+b AS (SELECT qid, row_number() OVER (ORDER BY md5('42_' || qid), qid) / CAST(count(*) OVER () AS DOUBLE) AS pl, md5('42_' || qid) AS h FROM (SELECT DISTINCT qid FROM en_eval WHERE qid IS NOT NULL)),
+u AS (SELECT *, row_number() OVER (ORDER BY pl, src, qid) AS r FROM (SELECT qid, 'a' AS src, pl, h FROM a UNION ALL SELECT qid, 'b', pl, h FROM b)), k AS (SELECT *, (r - 1) // 128 AS block FROM u)
+SELECT qid, src, block * 128 + row_number() OVER (PARTITION BY block ORDER BY h, src) AS place FROM k""")
 def interleaved_sets(spark, d):
     a = table(spark, d, "en_train").select("qid").where("qid is not null").distinct()
     b = table(spark, d, "en_eval").select("qid").where("qid is not null").distinct()
@@ -245,6 +266,9 @@ def fusion_weight_search(spark, d):
     return _long(w, "trial", "hits").withColumn("recall", F.round("recall", 6))
 
 
-@query()
+@query(PAIRS + f""", own AS (SELECT DISTINCT qid, docid FROM pr WHERE label = 0), hv AS (SELECT qid, count(DISTINCT CASE WHEN label = 0 THEN docid END) AS n, count(DISTINCT docid) AS held FROM pr GROUP BY qid),
+po AS (SELECT docid FROM pr WHERE label = 1), {RING.format(r="rg", src="po")}, nd AS (SELECT qid, 12 - n + held AS steps FROM hv WHERE n < 12), {drawn_sql("nd", "rg", "dr")},
+fi AS (SELECT qid, docid, step FROM dr ANTI JOIN pr USING (qid, docid)), bo AS (SELECT qid, docid, 'own' AS source, -1 AS step FROM own UNION ALL SELECT qid, docid, 'other', step FROM fi)
+SELECT qid, docid, source FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY source <> 'own', step, docid) AS k FROM bo) WHERE k <= 12 OR source = 'own'""")
 def eval_groups_topped_up(spark, d):
     return augmentation.topped_up(_pairs(spark, d), 12)

@@ -164,7 +164,7 @@ def test_augmentation(spark):
     b = spark.createDataFrame([("one", "un un"), ("the", "LE ")], "source string, target string")
     assert [tuple(r) for r in a.back_translations(f.selectExpr("source as text"), f, b).collect()] == [("un", "un un")]
     g = spark.createDataFrame([("q", "p", 1), ("q", "n", 0), ("r", "s", 1)], "qid string, docid string, label int")
-    assert {tuple(r) for r in a.topped_up(g, 2, buckets=1).collect()} == {("q", "n", "own"), ("q", "s", "other"), ("r", "p", "other")}
+    assert {tuple(r) for r in a.topped_up(g, 2).collect()} == {("q", "n", "own"), ("q", "s", "other"), ("r", "p", "other")}
     assert a.capped_sample(g, "qid", 1).count() == 1
 
 
