@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quaero.functions.text import simple_tokens
+from quaero.functions.text import STOPWORDS, expansion_views, simple_tokens
 from quaero.functions.vectors import blocks
 from quaero.operators import dense, fusion, index, rerank
 from quaero.plans import tables as t
-from quaero.session import table, written
+from quaero.plans.texts import VIEWS
+from quaero.session import fingerprint, table, there, written
+from quaero.sources.readers import search_filters
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -25,11 +27,32 @@ def query(sql: str | None = None):
     return add
 
 
+_STORED: dict[tuple, index.Stored] = {}
+
+
+def stored(spark: SparkSession, d: str) -> index.Stored:
+    """The index over a directory's corpus: built by the first query that needs it, read by all later ones of the session while the corpus files are the same."""
+    c = t.papers(spark, d)
+    key = (spark.sparkContext.applicationId, fingerprint(c))
+    if key not in _STORED or not there(spark, _STORED[key].path):
+        _STORED[key] = index.stored(c, "docid", t.fields())
+    return _STORED[key]
+
+
 def _setup(spark: SparkSession, d: str):
-    """Query terms, the postings (written once, read by every step that needs them) and their statistics."""
-    c = t.corpus(spark, d)
-    posts = written(index.postings(c, "docid", t.fields()), "postings")
-    return index.query_terms(t.topics(spark, d), "qid", simple_tokens("query")), posts, index.statistics_of(posts, c)
+    """Query terms, and the stored postings with their statistics and frequencies."""
+    i = stored(spark, d)
+    return index.query_terms(t.topics(spark, d), "qid", simple_tokens("query")), i.posts, i.statistics, i.frequencies
+
+
+def _search(spark: SparkSession, d: str, boosts: dict[str, float] | None = None) -> DataFrame:
+    terms, p, s, f = _setup(spark, d)
+    return index.bm25_scores(terms, p, s, boosts, frequencies=f)
+
+
+def _two_pass(spark: SparkSession, d: str) -> DataFrame:
+    terms, p, s, f = _setup(spark, d)
+    return index.two_pass(terms, p, s, docs_used=5, terms_used=10, k=100, frequencies=f)
 
 
 def _out(df: DataFrame) -> DataFrame:
@@ -42,32 +65,50 @@ OUT = "SELECT qid, docid, round(score, 6) AS score, rank FROM "
 
 @query(BASE + t.bm25_sql("qt") + ", " + t.ranked_sql("sc", "h", 100) + " " + OUT + "h")
 def bm25_topk(spark, d):
-    return _out(index.ranked(index.bm25_scores(*_setup(spark, d)), 100))
+    return _out(index.ranked(_search(spark, d), 100))
 
 
 @query(BASE + t.bm25_sql("qt", title=3.0) + ", " + t.ranked_sql("sc", "h", 50) + " " + OUT + "h")
 def bm25_field_boost(spark, d):
-    return _out(index.ranked(index.bm25_scores(*_setup(spark, d), boosts={"title": 3.0}), 50))
+    return _out(index.ranked(_search(spark, d, {"title": 3.0}), 50))
+
+
+def clause_sql(text: str, weight: float, src: str) -> str:
+    return f"SELECT qid, term, count(*) AS qtf, CAST({weight} AS DOUBLE) AS weight FROM (SELECT qid, unnest({t.tokens_sql(text)}) AS term FROM {src}) GROUP BY qid, term"
 
 
-CLAUSES = f"""WITH {t.CORPUS}, {t.POSTINGS},
-qt AS (SELECT qid, term, count(*) AS qtf, CAST(0.3 AS DOUBLE) AS weight FROM (SELECT qid, unnest({t.tokens_sql('text')}) AS term FROM shared_topics) GROUP BY qid, term
- UNION ALL SELECT qid, term, count(*), CAST(12.6 AS DOUBLE) FROM (SELECT qid, unnest({t.tokens_sql("regexp_replace(text, ' and .*$', '')")}) AS term FROM shared_topics) GROUP BY qid, term), """
+CLAUSES = f"""WITH {t.CORPUS}, {t.POSTINGS}, vw AS ({VIEWS}),
+qt AS ({clause_sql('text', 0.3, 'shared_topics')} UNION ALL {clause_sql('expanded', 12.6, 'vw')} UNION ALL {clause_sql('sparse', 20.0, 'vw')}), """
 
 
 @query(CLAUSES + t.bm25_sql("qt") + ", " + t.ranked_sql("sc", "h", 50) + " " + OUT + "h")
 def bm25_weighted_clauses(spark, d):
-    _, p, s = _setup(spark, d)
-    first = simple_tokens(F.regexp_replace("query", " and .*$", ""))
-    terms = index.weighted_clauses(t.topics(spark, d), "qid", {"original": (simple_tokens("query"), 0.3), "expanded": (first, 12.6)})
-    return _out(index.ranked(index.bm25_scores(terms, p, s), 50))
+    """Original, expanded and sparse text of each query as three weighted clauses."""
+    i = stored(spark, d)
+    q = t.topics(spark, d).withColumn("v", expansion_views("query"))
+    terms = index.weighted_clauses(q, "qid", {"original": (simple_tokens("query"), 0.3), "expanded": (simple_tokens("v.expanded"), 12.6), "sparse": (simple_tokens("v.sparse"), 20.0)})
+    return _out(index.ranked(index.bm25_scores(terms, i.posts, i.statistics, frequencies=i.frequencies), 50))
+
+
+FILTERED = f"""WITH {t.CORPUS}, {t.POSTINGS}, vw AS ({VIEWS}), qt AS ({clause_sql('text', 2.0, 'shared_topics')} UNION ALL {clause_sql('expanded', 1.0, 'vw')}), """
+
+
+@query(FILTERED + t.bm25_sql("qt") + """, f AS (SELECT sc.* FROM sc JOIN corpus c USING (docid) WHERE lower(c.venue) = 'open letters in health' AND contains(lower(coalesce(c.authors, '')), 'a')), """ + t.ranked_sql("f", "h", 20) + " " + OUT + "h")
+def bm25_parsed_filters(spark, d):
+    """Two weighted clauses; venue and author are named in the query's text, parsed, and must hold."""
+    i = stored(spark, d)
+    named = t.topics(spark, d).select("qid", search_filters(F.concat("query", F.lit(' venue:"Open Letters in Health" author: A'))).alias("f"))
+    q = named.select("qid", F.col("f.text").alias("query"), "f.venue", "f.author").withColumn("v", expansion_views("query"))
+    terms = index.weighted_clauses(q, "qid", {"original": (simple_tokens("query"), 2.0), "expanded": (simple_tokens("v.expanded"), 1.0)})
+    scores = index.bm25_scores(terms, i.posts, i.statistics, frequencies=i.frequencies)
+    return _out(index.ranked(index.must_hold(scores, q, t.papers(spark, d)), 20))
 
 
 @query(BASE + t.bm25_sql("qt") + ", f AS (SELECT * FROM sc WHERE docid IN (SELECT docid FROM corpus WHERE lower(venue) = 'open letters in health')), " + t.ranked_sql("f", "h", 20) + " " + OUT + "h")
 def bm25_filtered(spark, d):
     """A venue as a condition that must hold."""
-    must = t.corpus(spark, d).where(F.lower("venue") == "open letters in health").select("docid")
-    return _out(index.ranked(index.bm25_scores(*_setup(spark, d)).join(must, "docid", "left_semi"), 20))
+    must = t.papers(spark, d).where(F.lower("venue") == "open letters in health").select("docid")
+    return _out(index.ranked(_search(spark, d).join(must, "docid", "left_semi"), 20))
 
 
 PRF = BASE + t.bm25_sql("qt") + ", " + t.ranked_sql("sc", "h", 5) + """, fb AS (SELECT qid, term, sum(tf) AS freq FROM h JOIN po USING (docid) WHERE (qid, term) NOT IN (SELECT qid, term FROM qt) GROUP BY qid, term),
@@ -76,8 +117,8 @@ ft AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fre
 
 @query(PRF + " SELECT qid, term, CAST(freq AS BIGINT) AS freq, pos FROM ft")
 def prf_terms(spark, d):
-    terms, p, s = _setup(spark, d)
-    first = index.ranked(index.bm25_scores(terms, p, s), 5)
+    terms, p, s, f = _setup(spark, d)
+    first = index.ranked(index.bm25_scores(terms, p, s, frequencies=f), 5)
     return index.feedback_terms(first, p, 5, 10, terms).select("qid", "term", "freq", F.col("pos").cast("bigint").alias("pos"))
 
 
@@ -86,7 +127,7 @@ PRF2 = PRF + ", q2 AS (SELECT qid, term, qtf, weight FROM qt UNION ALL SELECT qi
 
 @query(PRF2 + " " + OUT + "h2")
 def prf_two_pass(spark, d):
-    return _out(index.two_pass(*_setup(spark, d), docs_used=5, terms_used=10, k=100))
+    return _out(_two_pass(spark, d))
 
 
 @query("""SELECT qid, CASE WHEN n <= 2 THEN 'SHORT_QUERY' WHEN n >= 5 THEN 'LONG_QUERY' WHEN regexp_matches(lower(text), 'vaccine|covid|medical|disease') THEN 'SCIENTIFIC_MEDICAL' ELSE 'BALANCED' END AS preset
@@ -95,13 +136,37 @@ def prf_adaptive_config(spark, d):
     return t.topics(spark, d).select("qid", index.preset_of(F.col("query")).alias("preset"))
 
 
+def _preset_sql(n: int) -> str:
+    return f"CASE preset " + " ".join(f"WHEN '{k}' THEN {v[n]}" for k, v in index.PRESETS.items()) + " END"
+
+
+@query(BASE + t.bm25_sql("qt") + f""", ps AS (SELECT qid, CASE WHEN n <= 2 THEN 'SHORT_QUERY' WHEN n >= 5 THEN 'LONG_QUERY' WHEN regexp_matches(lower(text), 'vaccine|covid|medical|disease') THEN 'SCIENTIFIC_MEDICAL' ELSE 'BALANCED' END AS preset FROM (SELECT qid, text, len(regexp_split_to_array(trim(text), '\\s+')) AS n FROM shared_topics)),
+h AS (SELECT * FROM (SELECT sc.*, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank, preset FROM sc JOIN ps USING (qid)) WHERE rank <= {_preset_sql(0)}),
+fb AS (SELECT qid, preset, term, sum(tf) AS freq FROM h JOIN po USING (docid) WHERE (qid, term) NOT IN (SELECT qid, term FROM qt) GROUP BY ALL),
+ft AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY freq DESC, term) AS pos FROM fb) WHERE pos <= {_preset_sql(1)}),
+q2 AS (SELECT qid, term, qtf, weight FROM qt UNION ALL SELECT qid, term, 1, CAST(1 AS DOUBLE) FROM ft), {t.bm25_sql("q2", "sc2")},
+h2 AS (SELECT * FROM (SELECT sc2.*, preset, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM sc2 JOIN ps USING (qid)) WHERE rank <= {_preset_sql(2)}) SELECT qid, docid, round(score, 6) AS score, rank, preset FROM h2""")
+def prf_adaptive(spark, d):
+    """Two-pass feedback, each query under the preset of its own text."""
+    a = index.adaptive(t.topics(spark, d), "qid", "query", simple_tokens("query"), stored(spark, d))
+    return a.select("qid", "docid", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"), "preset")
+
+
+@query(PRF + """ SELECT s.qid, CASE WHEN count(term) > 0 THEN any_value(s.text) || ' OR ' || string_agg(term, ' OR ' ORDER BY pos) ELSE any_value(s.text) END AS text FROM shared_topics s LEFT JOIN ft USING (qid) GROUP BY s.qid""")
+def prf_query_text(spark, d):
+    """The text of the second search, as a search engine would be given it."""
+    terms, p, s, f = _setup(spark, d)
+    more = index.feedback_terms(index.ranked(index.bm25_scores(terms, p, s, frequencies=f), 5), p, 5, 10, terms)
+    lists = more.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("terms"))
+    q = t.topics(spark, d).join(lists, "qid", "left")
+    return q.select("qid", index.feedback_text(F.col("query"), F.coalesce("terms", F.array().cast("array<string>"))).alias("text"))
+
+
 @query(PRF2 + ", b1 AS (SELECT qid, docid, rank, 0 AS src FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM sc) WHERE rank <= 20)"
   + """, u AS (SELECT qid, docid, min((src, rank)) AS a FROM (SELECT * FROM b1 UNION ALL SELECT qid, docid, rank, 1 FROM h2) GROUP BY qid, docid)
 SELECT qid, docid, row_number() OVER (PARTITION BY qid ORDER BY a, docid) AS rank FROM u""")
 def union_ordered_dedup(spark, d):
-    terms, p, s = _setup(spark, d)
-    first = index.ranked(index.bm25_scores(terms, p, s), 20)
-    return index.ordered_union(first, index.two_pass(terms, p, s, 5, 10, 100)).select("qid", "docid", F.col("rank").cast("bigint").alias("rank"))
+    return index.ordered_union(index.ranked(_search(spark, d), 20), _two_pass(spark, d)).select("qid", "docid", F.col("rank").cast("bigint").alias("rank"))
 
 
 VEC = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM v)"
@@ -230,7 +295,7 @@ def _texts(spark, d):
 
 @query(RERANK)
 def rerank_stable(spark, d):
-    run = index.ranked(index.bm25_scores(*_setup(spark, d)), 50).withColumn("system", F.lit("bm25"))
+    run = index.ranked(_search(spark, d), 50).withColumn("system", F.lit("bm25"))
     out = rerank.rerank(run, t.topics(spark, d), _texts(spark, d))
     return out.select("system", "qid", "docid", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
@@ -259,25 +324,30 @@ o AS (SELECT qid, term, weight, row_number() OVER (PARTITION BY qid ORDER BY p)
 SELECT qid, term, CAST(weight AS BIGINT) AS weight, pos FROM o WHERE pos <= 15""")
 def expansion_terms(spark, d):
     """Weighted terms of the five nearest documents; here the similarity is the reciprocal rank."""
-    terms, p, s = _setup(spark, d)
-    hits = index.ranked(index.bm25_scores(terms, p, s), 5).withColumn("score", 1.0 / F.col("rank"))
+    terms, p, s, f = _setup(spark, d)
+    hits = index.ranked(index.bm25_scores(terms, p, s, frequencies=f), 5).withColumn("score", 1.0 / F.col("rank"))
     out = index.neighbour_terms(hits, t.corpus(spark, d), simple_tokens("abstract"), "docid", terms)
     return out.select("qid", "term", F.col("weight").cast("bigint").alias("weight"), F.col("pos").cast("bigint").alias("pos"))
 
 
 @query()
 def synonym_dictionary(spark, d):
-    return index.synonym_dictionary(t.corpus(spark, d), simple_tokens("abstract")).select("term", F.size("synonyms").alias("synonyms"))
+    """A word model of the whole corpus and the near words of every term of its vocabulary."""
+    return index.synonym_dictionary(t.corpus(spark, d), simple_tokens("abstract"), stop=STOPWORDS).select("term", F.size("synonyms").alias("synonyms"))
 
 
-@query(f"""WITH {t.TOPIC_TERMS}, {t.CORPUS}, dc AS (SELECT tt AS term, list_slice(list_sort(list_distinct(list(ta))), 1, 5) AS syn FROM (SELECT docid, unnest({t.tokens_sql('title')}) AS tt FROM corpus) JOIN (SELECT docid, unnest({t.tokens_sql('venue')}) AS ta FROM corpus) USING (docid) GROUP BY tt),
-x AS (SELECT qid, unnest(list_concat([term], list_slice(coalesce(syn, []), 1, 3))) AS s FROM qt LEFT JOIN dc USING (term)) SELECT qid, array_to_string(list_sort(list_distinct(list(s))), ' ') AS terms FROM x GROUP BY qid""")
+@query(f"""WITH {t.TOPIC_TERMS}, {t.CORPUS}, ti AS (SELECT DISTINCT docid, unnest({t.tokens_sql('title')}) AS tt FROM corpus), ve AS (SELECT DISTINCT docid, unnest({t.tokens_sql('venue')}) AS ta FROM corpus),
+n AS (SELECT tt, count(*) AS n FROM ti GROUP BY tt), c AS (SELECT tt, ta, count(*) AS c FROM ti JOIN ve USING (docid) GROUP BY tt, ta), sc AS (SELECT tt, ta, round(c / CAST(n AS DOUBLE), 6) AS s FROM c JOIN n USING (tt)),
+k AS (SELECT *, row_number() OVER (PARTITION BY tt ORDER BY s DESC, ta) AS k FROM sc),
+x AS (SELECT qid, term AS s FROM qt UNION SELECT qid, ta FROM qt JOIN k ON tt = term WHERE k <= 3 AND s >= 0.2) SELECT qid, array_to_string(list_sort(list_distinct(list(s))), ' ') AS terms FROM x GROUP BY qid""")
 def synonym_expand(spark, d):
-    """Dictionary expansion; the dictionary pairs title words with words of the venue."""
+    """Dictionary expansion; the dictionary gives each title word the words of the venues it stands with, scored by their share of its papers. The first three count, if they reach the threshold."""
     c = t.corpus(spark, d)
-    a = c.select("docid", F.explode(simple_tokens("title")).alias("term"))
-    b = c.select("docid", F.explode(simple_tokens("venue")).alias("s"))
-    dic = a.distinct().join(b.distinct(), "docid").groupBy("term").agg(F.slice(F.array_sort(F.collect_set("s")), 1, 5).alias("syn"))
-    dic = dic.select("term", F.transform("syn", lambda x: F.struct(x.alias("term"), F.lit(1.0).alias("score"))).alias("synonyms"))
+    a = written(c.select("docid", F.explode(simple_tokens("title")).alias("term")).distinct(), "words")
+    b = c.select("docid", F.explode(simple_tokens("venue")).alias("s")).distinct()
+    both = a.join(b, "docid").groupBy("term", "s").agg(F.count("*").alias("c")).join(a.groupBy("term").agg(F.count("*").alias("n")), "term")
+    w = Window.partitionBy("term").orderBy(F.col("score").desc(), "s")
+    best = both.select("term", "s", F.round(F.col("c") / F.col("n"), 6).alias("score")).withColumn("k", F.row_number().over(w)).where("k <= 5")
+    dic = best.groupBy("term").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s", "score"))), lambda x: F.struct(x["s"].alias("term"), x["score"].alias("score"))).alias("synonyms"))
     terms = index.query_terms(t.topics(spark, d), "qid", simple_tokens("query"))
-    return index.synonym_terms(terms, dic, 3, 0.6).select("qid", F.array_join("terms", " ").alias("terms"))
+    return index.synonym_terms(terms, dic, 3, 0.2).select("qid", F.array_join("terms", " ").alias("terms"))

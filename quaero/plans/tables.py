@@ -13,8 +13,18 @@ WS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(160) || c
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each paper key; re-delivered rows are equal but for their load time."""
-    return table(spark, d, "collection_data").select(F.col("pubkey").alias("docid"), "title", "abstract", "venue", "authors").distinct()
+    """One row for each paper key; re-delivered rows are equal but for their load time, so that the key alone is compared."""
+    return papers(spark, d).dropDuplicates(["docid"])
+
+
+def papers(spark: SparkSession, d: str) -> DataFrame:
+    """Every delivered row of the corpus."""
+    return table(spark, d, "collection_data").select(F.col("pubkey").alias("docid"), "title", "abstract", "venue", "authors")
+
+
+def keys(spark: SparkSession, d: str) -> DataFrame:
+    """The paper keys alone."""
+    return papers(spark, d).select("docid").distinct()
 
 
 def topics(spark: SparkSession, d: str) -> DataFrame:

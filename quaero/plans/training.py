@@ -46,7 +46,7 @@ def gold_semi_join(spark, d):
 @query(f"WITH {t.RUNS}, {t.CORPUS} SELECT system, count(*) AS entries, count(DISTINCT docid) AS documents FROM runs WHERE docid NOT IN (SELECT docid FROM corpus) GROUP BY system")
 def gold_anti_join(spark, d):
     """Documents of runs that the corpus lacks."""
-    r = t.runs(spark, d).join(t.corpus(spark, d).select("docid"), "docid", "left_anti")
+    r = t.runs(spark, d).join(t.keys(spark, d), "docid", "left_anti")
     return r.groupBy("system").agg(F.count("*").alias("entries"), F.countDistinct("docid").alias("documents"))
 
 
@@ -61,7 +61,7 @@ def doc_dedup_first(spark, d):
 
 def _cand(spark, d):
     r = t.runs(spark, d).where("system = 'hybrid_513_b0001'")
-    return tr.candidate_negatives(r, t.golds(spark, d), t.corpus(spark, d).select("docid").distinct())
+    return tr.candidate_negatives(r, t.golds(spark, d), t.keys(spark, d))
 
 
 CAND = f"""WITH {t.RUNS}, {t.GOLDS}, {t.CORPUS}, cd AS (SELECT system, qid, docid, rank, row_number() OVER (PARTITION BY system, qid ORDER BY rank) AS pos FROM runs WHERE system = 'hybrid_513_b0001' AND docid IN (SELECT docid FROM corpus) AND (qid, docid) NOT IN (SELECT qid, docid FROM golds)),
@@ -96,7 +96,7 @@ def neg_fused(spark, d):
 def _fused_filled(spark, d, n=10):
     """Random documents follow where the runs hold fewer than n, or nothing, for a query of the runs or a judged one."""
     q = t.runs(spark, d).select("qid").union(t.judged(spark, d).select("qid")).where("qid is not null")
-    fill = tr.random_negatives(q, t.corpus(spark, d).select("docid"), t.golds(spark, d), 2 * n)
+    fill = tr.random_negatives(q, t.keys(spark, d), t.golds(spark, d), 2 * n)
     return _fused(spark, d, n, fill)
 
 
@@ -125,7 +125,7 @@ def drawn_sql(need: str, ring: str, out: str) -> str:
 nd AS (SELECT j.qid, coalesce(n, 0) + 5 AS steps FROM judged j LEFT JOIN (SELECT qid, count(*) AS n FROM golds GROUP BY qid) USING (qid)), {drawn_sql("nd", "rg", "dr")}
 SELECT qid, docid FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY step) AS k FROM dr ANTI JOIN golds USING (qid, docid)) WHERE k <= 5""")
 def neg_random(spark, d):
-    return tr.random_negatives(t.judged(spark, d), t.corpus(spark, d).select("docid"), t.golds(spark, d), 5)
+    return tr.random_negatives(t.judged(spark, d), t.keys(spark, d), t.golds(spark, d), 5)
 
 
 @query(FUSED + """, per AS (SELECT qid, count(*) AS a FROM w WHERE n <= 10 GROUP BY qid)

@@ -59,20 +59,40 @@ def shared_folder(spark: SparkSession) -> str:
     return where
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is written there is deleted when the JVM ends, or by ``drop_written``."""
+    path = f"{shared_folder(spark).rstrip('/')}/quaero-{label}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    _WRITTEN.append(path)
+    return path
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where))
+
+
+def fingerprint(df: DataFrame) -> tuple:
+    """Paths, lengths and times of the files behind a table."""
+    spark = df.sparkSession
+    out = []
+    for f in sorted(df.inputFiles()):
+        where = spark._jvm.org.apache.hadoop.fs.Path(f)
+        st = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
+        out.append((f, st.getLen(), st.getModificationTime()))
+    return tuple(out)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts lineage durably (a lost executor costs nothing that was
     written) and, unlike a checkpoint, gives the planner the true size of the
-    table, so that broadcasts stay behind Spark's size threshold. The table
-    lives as long as the session: it is deleted when the JVM ends, or by
-    ``drop_written``.
+    table, so that broadcasts stay behind Spark's size threshold.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/quaero-{label}-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    _WRITTEN.append(path)
+    path = shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
