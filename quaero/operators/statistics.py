@@ -8,20 +8,23 @@ of the final rows come from distribution functions on the driver.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaero.functions import distributions as dist
+from quaero.session import written
 
 
 def summary(scores: DataFrame) -> DataFrame:
     """(system, queries, mean, median, std_dev, min, max); the deviation of one value is 0."""
     s = F.col("score")
+    middle = _median(counted(scores), ["system"], "score", "c")
     return scores.groupBy("system").agg(
-        F.count("*").alias("queries"), F.round(F.avg(s), 9).alias("mean"), F.median(s).alias("median"), F.round(F.coalesce(F.stddev_samp(s), F.lit(0.0)), 9).alias("std_dev"), F.min(s).alias("min"), F.max(s).alias("max")
-    )
+        F.count("*").alias("queries"), F.round(F.avg(s), 9).alias("mean"), F.round(F.coalesce(F.stddev_samp(s), F.lit(0.0)), 9).alias("std_dev"), F.min(s).alias("min"), F.max(s).alias("max")
+    ).join(middle, "system").select("system", "queries", "mean", "median", "std_dev", "min", "max")
 
 
 def with_t_interval(stats: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -36,6 +39,21 @@ def with_t_interval(stats: DataFrame, alpha: float = 0.05) -> DataFrame:
     return stats.withColumn("ci_low", F.round(F.col("mean") - half, 9)).withColumn("ci_high", F.round(F.col("mean") + half, 9))
 
 
+def required_blocks(scores: DataFrame, most: int = 5) -> DataFrame:
+    """The scores, if every system has one row for the same queries and no score is null; else ValueError with counts and samples of what is wrong."""
+    twice = scores.groupBy("system", "qid").agg(F.count("*").alias("n")).where("n > 1")
+    n = scores.select("system").distinct().count()
+    short = scores.groupBy("qid").agg(F.countDistinct("system").alias("n")).where(F.col("n") < n)
+    issues = []
+    for name, bad, shown in (("rows given twice", twice, ["system", "qid"]), ("queries that a system lacks", short, ["qid"]), ("rows without a score", scores.where("score is null or isnan(score)"), ["system", "qid"])):
+        some = bad.select(*shown).orderBy(*shown).limit(most).collect()
+        if some:
+            issues.append(f"{bad.count()} {name}, as {', '.join('/'.join(map(str, r)) for r in some)}")
+    if issues:
+        raise ValueError("; ".join(issues))
+    return scores
+
+
 def checked_blocks(scores: DataFrame) -> DataFrame:
     """(systems, queries, rows, duplicates, complete): one row."""
     per = scores.groupBy("system", "qid").agg(F.count("*").alias("n"))
@@ -77,6 +95,11 @@ def _system_pairs(scores: DataFrame) -> DataFrame:
     return a.join(b, "qid").where("group1 < group2").select("qid", "group1", "group2", F.round(F.col("y") - F.col("x"), 9).alias("d"))
 
 
+def difference_counts(scores: DataFrame) -> DataFrame:
+    """(group1, group2, d, c): how many queries of a pair of systems have each difference; map-side partial sums, so that what follows sees distinct differences only."""
+    return _system_pairs(scores).groupBy("group1", "group2", "d").agg(F.count("*").alias("c"))
+
+
 def tukey(scores: DataFrame) -> DataFrame:
     """(group1, group2, mean_diff, q): differences of means in units of the standard error of complete blocks."""
     means = scores.groupBy("system").agg(F.avg("score").alias("m"), F.count("*").alias("b"))
@@ -94,6 +117,30 @@ def tukey_p_values(table: DataFrame, k: int, df: float, alpha: float = 0.05) ->
     return spark.createDataFrame(rows, "group1 string, group2 string, mean_diff double, q double, p double, reject boolean")
 
 
+def tukey_report(scores: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """The full table of a blocked design: (group1, group2, mean1, mean2, mean_diff, se, q, q_critical, ci_low, ci_high, p, reject, queries, alpha); one row for each pair of systems.
+
+    Blocks that are not complete are refused.
+    """
+    required_blocks(scores)
+    spark = scores.sparkSession
+    # One row a system and three of the analysis: small by the number of systems.
+    means = {r.system: (r.m, r.b) for r in scores.groupBy("system").agg(F.avg("score").alias("m"), F.count("*").alias("b")).collect()}
+    e = anova(scores).where("source = 'residual'").first()
+    k, b = len(means), min((x[1] for x in means.values()), default=0)
+    schema = "group1 string, group2 string, mean1 double, mean2 double, mean_diff double, se double, q double, q_critical double, ci_low double, ci_high double, p double, reject boolean, queries bigint, alpha double"
+    if k < 2 or not e or not e.df:
+        return spark.createDataFrame([], schema)
+    se, crit, rows = math.sqrt(max(e.sum_sq, 0.0) / e.df / b), dist.studentised_range_quantile(1 - alpha, k, e.df), []
+    for x in sorted(means):
+        for y in sorted(means):
+            if x < y:
+                d = means[y][0] - means[x][0]
+                q = abs(d) / se if se > 0 else (math.inf if d else 0.0)
+                rows.append((x, y, means[x][0], means[y][0], d, se, q, crit, d - crit * se, d + crit * se, dist.studentised_range_tail(q, k, e.df), q > crit, b, alpha))
+    return spark.createDataFrame(rows, schema)
+
+
 def friedman(scores: DataFrame) -> DataFrame:
     """(systems, queries, statistic, note): tie-corrected; fewer than three systems give no statistic, all equal give 0."""
     by = Window.partitionBy("qid")
@@ -119,25 +166,44 @@ def friedman_p_value(table: DataFrame) -> DataFrame:
 
 
 def wilcoxon(scores: DataFrame) -> DataFrame:
-    """(group1, group2, n, wins, losses, ties, mean_diff, median_diff, w, z) of every pair: signed ranks with zeros ranked (Pratt), two-sided, no continuity correction.
+    """(group1, group2, n, wins, losses, ties, mean_diff, ci_low, ci_high, median_diff, w, z) of every pair: signed ranks with zeros ranked (Pratt), two-sided, no continuity correction.
 
     wins: queries where group2 is better. All differences zero: w = 0, z = 0.
+    The interval is the normal one of the mean difference. The windows run over
+    the counts of distinct differences, written once, not over queries.
     """
-    d = _system_pairs(scores)
-    by = Window.partitionBy("group1", "group2")
-    a = F.abs("d")
-    ranked = d.withColumn("a", a).withColumn("r", F.rank().over(by.orderBy("a")) + (F.count("*").over(Window.partitionBy("group1", "group2", "a")) - 1) / 2.0)
-    ties = ranked.where("a > 0").groupBy("group1", "group2", "a").agg(F.count("*").alias("t")).groupBy("group1", "group2").agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tt"))
-    g = ranked.groupBy("group1", "group2").agg(
-        F.count("*").alias("n"), F.sum((F.col("d") > 0).cast("int")).alias("wins"), F.sum((F.col("d") < 0).cast("int")).alias("losses"), F.sum((F.col("d") == 0).cast("int")).alias("ties"),
-        F.round(F.avg("d"), 9).alias("mean_diff"), F.median("d").alias("median_diff"),
-        F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("down"),
-    ).join(ties, ["group1", "group2"], "left")
+    counts = written(difference_counts(scores), "differences")
+    pair = ["group1", "group2"]
+    a = counts.groupBy(*pair, F.abs("d").alias("a")).agg(F.sum("c").alias("t"), F.sum(F.when(F.col("d") > 0, F.col("c")).otherwise(0)).alias("u"), F.sum(F.when(F.col("d") < 0, F.col("c")).otherwise(0)).alias("v"))
+    below = F.sum("t").over(Window.partitionBy(*pair).orderBy("a").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("t")
+    ranked = a.withColumn("r", below + (F.col("t") + 1) / 2.0)
+    t = F.col("t").cast("double")
+    g = ranked.groupBy(*pair).agg(
+        F.sum("t").alias("n"), F.sum("u").alias("wins"), F.sum("v").alias("losses"), F.sum(F.when(F.col("a") == 0, F.col("t")).otherwise(0)).alias("ties"),
+        F.sum(F.col("u") * F.col("r")).alias("up"), F.sum(F.col("v") * F.col("r")).alias("down"), F.sum(F.when(F.col("a") > 0, t * t * t - t).otherwise(0.0)).alias("tt"),
+    )
+    c, x = F.col("c"), F.col("d")
+    moments = counts.groupBy(*pair).agg(F.sum(c * x).alias("s1"), F.sum(c * x * x).alias("s2"))
+    g = g.join(moments, pair).join(_median(counts, pair, "d", "c"), pair)
     n, z = F.col("n").cast("double"), F.col("ties").cast("double")
+    mean = F.col("s1") / n
+    half = F.when(n > 1, 1.96 * F.sqrt(F.greatest((F.col("s2") - n * mean * mean) / (n - 1), F.lit(0.0))) / F.sqrt(n)).otherwise(0.0)
     mu = n * (n + 1) / 4 - z * (z + 1) / 4
-    var = (n * (n + 1) * (2 * n + 1) - z * (z + 1) * (2 * z + 1) - 0.5 * F.coalesce("tt", F.lit(0))) / 24
+    var = (n * (n + 1) * (2 * n + 1) - z * (z + 1) * (2 * z + 1) - 0.5 * F.col("tt")) / 24
     w = F.least("up", "down")
-    return g.select("group1", "group2", "n", "wins", "losses", "ties", "mean_diff", "median_diff", w.alias("w"), F.round(F.when(var > 0, (w - mu) / F.sqrt(var)).otherwise(0.0), 6).alias("z"))
+    return g.select(
+        *pair, "n", "wins", "losses", "ties", F.round(mean, 9).alias("mean_diff"), F.round(mean - half, 9).alias("ci_low"), F.round(mean + half, 9).alias("ci_high"),
+        F.col("median").alias("median_diff"), w.alias("w"), F.round(F.when(var > 0, (w - mu) / F.sqrt(var)).otherwise(0.0), 6).alias("z"),
+    )
+
+
+def _median(counts: DataFrame, by: list[str], value: str, count: str) -> DataFrame:
+    """(by, median) from counts of distinct values: the mean of the two middle ones where their number is even."""
+    w = Window.partitionBy(*by)
+    upto = F.sum(count).over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    c = counts.withColumn("_u", upto).withColumn("_n", F.sum(count).over(w))
+    at = lambda k: F.min(F.when(F.col("_u") >= k, F.col(value)))
+    return c.groupBy(*by).agg(((at(F.floor((F.col("_n") + 1) / 2)) + at(F.floor((F.col("_n") + 2) / 2))) / 2).alias("median"))
 
 
 def with_normal_p(table: DataFrame, z: str = "z") -> DataFrame:
@@ -183,9 +249,17 @@ def symmetric_matrix(pairs: DataFrame, value: str) -> DataFrame:
 
 
 def five_numbers(scores: DataFrame) -> DataFrame:
-    """(system, lowest, q1, median, q3, highest): the data behind a box plot."""
-    q = lambda p: F.expr(f"percentile(score, {p}D)")
-    return scores.groupBy("system").agg(F.min("score").alias("lowest"), F.round(q(0.25), 9).alias("q1"), F.round(q(0.5), 9).alias("median"), F.round(q(0.75), 9).alias("q3"), F.max("score").alias("highest"))
+    """(system, lowest, q1, median, q3, highest): the data behind a box plot; quartiles between two values are interpolated. From counts of distinct scores."""
+    w = Window.partitionBy("system")
+    c = counted(scores).withColumn("_n", F.sum("c").over(w)).withColumn("_u", F.sum("c").over(w.orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+    def at(p: float) -> Column:
+        h = (F.col("_n") - 1) * p
+        value = lambda k: F.min(F.when(F.col("_u") >= k + 1, F.col("score")))
+        part = F.max(h - F.floor(h))
+        return F.round(value(F.floor(h)) * (1 - part) + value(F.ceil(h)) * part, 9)
+
+    return c.groupBy("system").agg(F.min("score").alias("lowest"), at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"), F.max("score").alias("highest"))
 
 
 def correlations(table: DataFrame, y: str, xs: list[str]) -> DataFrame:
@@ -194,7 +268,44 @@ def correlations(table: DataFrame, y: str, xs: list[str]) -> DataFrame:
 
 
 def residuals(scores: DataFrame) -> DataFrame:
-    """(system, qid, residual) of the additive block design."""
-    avg = lambda *p: F.avg("score").over(Window.partitionBy(*p))
+    """(system, qid, residual) of the additive block design. The system means are one row a system and joined, not computed over a system's rows in one task."""
+    by = lambda k, name: scores.groupBy(k).agg(F.avg("score").alias(name))
     g = scores.agg(F.avg("score").alias("g"))
-    return scores.crossJoin(F.broadcast(g)).select("system", "qid", F.round(F.col("score") - avg("system") - avg("qid") + F.col("g"), 9).alias("residual"))
+    j = scores.join(by("system", "ms"), "system").join(by("qid", "mq"), "qid").crossJoin(F.broadcast(g))
+    return j.select("system", "qid", F.round(F.col("score") - F.col("ms") - F.col("mq") + F.col("g"), 9).alias("residual"))
+
+
+def counted(scores: DataFrame) -> DataFrame:
+    """(system, score, c): counts of the distinct scores of a system."""
+    return scores.groupBy("system", "score").agg(F.count("*").alias("c"))
+
+
+def least_squares(table: DataFrame, y: str, xs: list[str]) -> DataFrame:
+    """(term, coefficient, r2): ordinary least squares of y on the columns and an intercept.
+
+    The cluster sums products in one pass; the normal equations of the few columns are solved on the driver.
+    """
+    import numpy as np
+
+    names = ["", *xs]
+    col = lambda n: F.lit(1.0) if not n else F.col(n).cast("double")
+    full = table.where(" and ".join(f"`{c}` is not null" for c in [y, *xs]))
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    r = full.agg(*[F.sum(col(names[i]) * col(names[j])).alias(f"p{i}_{j}") for i, j in pairs], *[F.sum(col(n) * col(y)).alias(f"q{i}") for i, n in enumerate(names)], F.sum(col(y) * col(y)).alias("yy")).first()
+    if not r["p0_0"]:
+        raise ValueError("no complete row")
+    a = np.zeros((len(names), len(names)))
+    for i, j in pairs:
+        a[i, j] = a[j, i] = r[f"p{i}_{j}"]
+    b = np.array([r[f"q{i}"] for i in range(len(names))])
+    beta = np.linalg.lstsq(a, b, rcond=None)[0]
+    total = r["yy"] - b[0] * b[0] / a[0, 0]
+    error = r["yy"] - 2 * beta @ b + beta @ a @ beta
+    r2 = float(1 - error / total) if total > 1e-12 else 0.0
+    return table.sparkSession.createDataFrame([(n or "intercept", round(float(v), 9), round(r2, 9)) for n, v in zip(names, beta)], "term string, coefficient double, r2 double")
+
+
+def by_metric(long: DataFrame, test, metrics: list[str]) -> DataFrame:
+    """The rows of ``test``, a function of (system, qid, score), for each metric of a long table, with the metric's name in front."""
+    parts = [test(long.where(F.col("metric") == m).select("system", "qid", "score")) for m in metrics]
+    return reduce(DataFrame.unionByName, [p.select(F.lit(m).alias("metric"), *p.columns) for m, p in zip(metrics, parts)])

@@ -11,7 +11,7 @@ from quaero.operators import statistics as st
 from quaero.plans import tables as t
 from quaero.plans.retrieval import DENSE, _dense_ranked
 from quaero.plans.texts import cues_sql
-from quaero.session import table
+from quaero.session import table, written
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -143,9 +143,16 @@ def summary_by_system(spark, d):
     return s.withColumns({c: F.round(c, 6) for c in ("mean", "std_dev")})
 
 
-@query()
+# The t quantile at 0.975 as a series about the normal one, in the reciprocal of the degrees of freedom.
+Z, NU = "CAST(1.959963984540054 AS DOUBLE)", "CAST(n - 1 AS DOUBLE)"
+T_QUANTILE = f"({Z} + ({Z}^3 + {Z}) / (4 * {NU}) + (5 * {Z}^5 + 16 * {Z}^3 + 3 * {Z}) / (96 * {NU}^2) + (3 * {Z}^7 + 19 * {Z}^5 + 17 * {Z}^3 - 15 * {Z}) / (384 * {NU}^3))"
+
+
+@query(SC + f""", s AS (SELECT system, count(*) AS n, avg(score) AS m, median(score) AS md, round(coalesce(stddev_samp(score), 0), 9) AS sd, min(score) AS lo, max(score) AS hi FROM sc GROUP BY system)
+SELECT system, n AS queries, round(m, 6) AS mean, md AS median, round(sd, 6) AS std_dev, lo AS min, hi AS max, round(m - {T_QUANTILE} * sd / sqrt(n), 6) AS ci_low, round(m + {T_QUANTILE} * sd / sqrt(n), 6) AS ci_high FROM s""")
 def summary_t_interval(spark, d):
-    return st.with_t_interval(st.summary(_scores(spark, d)))
+    s = st.with_t_interval(st.summary(_scores(spark, d)))
+    return s.withColumns({c: F.round(c, 6) for c in ("mean", "std_dev", "ci_low", "ci_high")})
 
 
 @query(SC + " SELECT count(DISTINCT system) AS systems, count(DISTINCT qid) AS queries, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS duplicates, sum(n) = count(DISTINCT system) * count(DISTINCT qid) AND sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) = 0 AS complete FROM (SELECT system, qid, count(*) AS n FROM sc GROUP BY system, qid)")
@@ -162,9 +169,20 @@ def anova_blocks(spark, d):
     return st.anova(_scores(spark, d))
 
 
-@query()
+def simpson(density: str, upto: str, steps: int = 4000) -> str:
+    """The integral of a density of t from 0 to a value, by Simpson's rule."""
+    terms = f"list_transform(range(0, {steps + 1}), lambda i: CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {density.format(t=f'(greatest(i, 1e-9) * ({upto}) / {steps})')})"
+    return f"(list_sum({terms}) * ({upto}) / {3 * steps})"
+
+
+F_TAIL = "greatest(0, 1 - " + simpson("exp(lgamma(a + b) - lgamma(a) - lgamma(b) + (a - 1) * ln({t}) + (b - 1) * ln(1 - {t}))", "least(x, 0.999999)", 20000) + ")"
+
+
+@query(ANOVA + f""", r AS (SELECT 'system' AS source, a AS ss, da AS df, a / da / (e / de) AS f, de FROM y UNION ALL SELECT 'query', c, dc, c / dc / (e / de), de FROM y),
+gx AS (SELECT *, df / CAST(2 AS DOUBLE) AS a, de / CAST(2 AS DOUBLE) AS b, df * f / (df * f + de) AS x FROM r)
+SELECT source, round(ss, 6) AS sum_sq, CAST(df AS BIGINT) AS df, round(f, 6) AS f, round({F_TAIL}, 4) AS p FROM gx UNION ALL SELECT 'residual', round(e, 6), CAST(de AS BIGINT), NULL, NULL FROM y""")
 def anova_p_values(spark, d):
-    return st.anova_p_values(st.anova(_scores(spark, d)))
+    return st.anova_p_values(st.anova(_scores(spark, d))).withColumn("p", F.round("p", 4))
 
 
 @query(ANOVA + """, mm AS (SELECT system, avg(score) AS m, count(*) AS b FROM sc GROUP BY system) SELECT i.system AS group1, j.system AS group2, round(j.m - i.m, 6) AS mean_diff, round(round(abs(j.m - i.m) / sqrt((SELECT round(e, 6) / de FROM y) / i.b), 5), 4) AS q FROM mm i JOIN mm j ON i.system < j.system""")
@@ -179,35 +197,44 @@ def tukey_hsd(spark, d):
     return st.tukey_p_values(st.tukey(s), r.systems, (r.systems - 1) * (r.queries - 1))
 
 
-@query(SC + """, r AS (SELECT system, qid, score, rank() OVER (PARTITION BY qid ORDER BY score) + (count(*) OVER (PARTITION BY qid, score) - 1) / CAST(2 AS DOUBLE) AS r FROM sc),
+CHI_TAIL = "greatest(0, 1 - " + simpson("exp((k / 2 - 1) * ln({t}) - {t} / 2 - k / 2 * ln(2) - lgamma(k / 2))", "c") + ")"
+FRIEDMAN = SC + """, r AS (SELECT system, qid, score, rank() OVER (PARTITION BY qid ORDER BY score) + (count(*) OVER (PARTITION BY qid, score) - 1) / CAST(2 AS DOUBLE) AS r FROM sc),
 s AS (SELECT sum(s * s) AS ss, count(*) AS k FROM (SELECT sum(r) AS s FROM r GROUP BY system)), t AS (SELECT sum(t * t * t - t) AS tt, count(DISTINCT qid) AS n FROM (SELECT qid, count(*) AS t FROM sc GROUP BY qid, score))
-SELECT k AS systems, n AS queries, CASE WHEN k < 3 THEN NULL WHEN 1 - tt / (CAST(n AS DOUBLE) * k * (k * k - 1)) <= 1e-12 THEN 0 ELSE round((12 / (CAST(n AS DOUBLE) * k * (k + 1)) * ss - 3 * n * (k + 1)) / (1 - tt / (CAST(n AS DOUBLE) * k * (k * k - 1))), 4) END AS statistic, CASE WHEN k < 3 THEN 'fewer than three systems' ELSE '' END AS note FROM s, t""")
+SELECT k AS systems, n AS queries, CASE WHEN k < 3 THEN NULL WHEN 1 - tt / (CAST(n AS DOUBLE) * k * (k * k - 1)) <= 1e-12 THEN 0 ELSE round((12 / (CAST(n AS DOUBLE) * k * (k + 1)) * ss - 3 * n * (k + 1)) / (1 - tt / (CAST(n AS DOUBLE) * k * (k * k - 1))), 4) END AS statistic, CASE WHEN k < 3 THEN 'fewer than three systems' ELSE '' END AS note FROM s, t"""
+
+
+@query(FRIEDMAN)
 def friedman(spark, d):
     return st.friedman(_scores(spark, d)).withColumn("statistic", F.round("statistic", 4))
 
 
-@query()
+@query(f"WITH fr AS ({FRIEDMAN}), c AS (SELECT *, statistic AS c, CAST(systems - 1 AS DOUBLE) AS k FROM fr) SELECT systems, queries, statistic, CASE WHEN statistic = 0 THEN 1 ELSE round({CHI_TAIL}, 6) END AS p, note FROM c")
 def friedman_p_value(spark, d):
-    return st.friedman_p_value(st.friedman(_scores(spark, d)))
+    return st.friedman_p_value(st.friedman(_scores(spark, d))).withColumns({"statistic": F.round("statistic", 4), "p": F.round("p", 6)})
 
 
 WIL = SC + """, dd AS (SELECT a.system AS group1, b.system AS group2, round(b.score - a.score, 9) AS d FROM sc a JOIN sc b ON a.qid = b.qid AND a.system < b.system),
 rk AS (SELECT *, abs(d) AS a, rank() OVER (PARTITION BY group1, group2 ORDER BY abs(d)) + (count(*) OVER (PARTITION BY group1, group2, abs(d)) - 1) / CAST(2 AS DOUBLE) AS r FROM dd),
 ti AS (SELECT group1, group2, sum(t * t * t - t) AS tt FROM (SELECT group1, group2, a, count(*) AS t FROM rk WHERE a > 0 GROUP BY ALL) GROUP BY group1, group2),
-gr AS (SELECT group1, group2, count(*) AS n, sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS wins, sum(CASE WHEN d < 0 THEN 1 ELSE 0 END) AS losses, sum(CASE WHEN d = 0 THEN 1 ELSE 0 END) AS ties, round(avg(d), 6) AS mean_diff, round(median(d), 6) AS median_diff, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS up, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS down FROM rk GROUP BY group1, group2),
+gr AS (SELECT group1, group2, count(*) AS n, sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS wins, sum(CASE WHEN d < 0 THEN 1 ELSE 0 END) AS losses, sum(CASE WHEN d = 0 THEN 1 ELSE 0 END) AS ties, round(avg(d), 6) AS mean_diff, round(avg(d) - CAST(1.96 AS DOUBLE) * coalesce(stddev_samp(d), 0) / sqrt(count(*)), 6) AS ci_low, round(avg(d) + CAST(1.96 AS DOUBLE) * coalesce(stddev_samp(d), 0) / sqrt(count(*)), 6) AS ci_high, round(median(d), 6) AS median_diff, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS up, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS down FROM rk GROUP BY group1, group2),
 wi AS (SELECT *, least(up, down) AS w, CAST(n AS DOUBLE) * (n + 1) / 4 - CAST(ties AS DOUBLE) * (ties + 1) / 4 AS mu, (CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) - CAST(ties AS DOUBLE) * (ties + 1) * (2 * ties + 1) - coalesce(tt, 0) / CAST(2 AS DOUBLE)) / 24 AS var FROM gr LEFT JOIN ti USING (group1, group2)),
 wz AS (SELECT *, CASE WHEN var > 0 THEN round((w - mu) / sqrt(var), 6) ELSE 0 END AS z FROM wi)"""
 
 
-@query(WIL + " SELECT group1, group2, n, CAST(wins AS BIGINT) AS wins, CAST(losses AS BIGINT) AS losses, CAST(ties AS BIGINT) AS ties, mean_diff, median_diff, w, round(z, 4) AS z FROM wz")
+@query(WIL + " SELECT group1, group2, n, CAST(wins AS BIGINT) AS wins, CAST(losses AS BIGINT) AS losses, CAST(ties AS BIGINT) AS ties, mean_diff, ci_low, ci_high, median_diff, w, round(z, 4) AS z FROM wz")
 def wilcoxon_pratt(spark, d):
     w = st.wilcoxon(_scores(spark, d))
-    return w.withColumns({"mean_diff": F.round("mean_diff", 6), "median_diff": F.round("median_diff", 6), "z": F.round("z", 4)})
+    return w.withColumns({"mean_diff": F.round("mean_diff", 6), "ci_low": F.round("ci_low", 6), "ci_high": F.round("ci_high", 6), "median_diff": F.round("median_diff", 6), "z": F.round("z", 4)})
 
 
-@query()
+NORMAL_TAIL = "greatest(0, 1 - 2 / sqrt(2 * pi()) * " + simpson("exp(-{t} * {t} / 2)", "least(abs(z), 12)") + ")"
+
+
+@query(WIL + f""", p AS (SELECT group1, group2, w, z, {NORMAL_TAIL} AS p FROM wz), s AS (SELECT *, least(p * (count(*) OVER () - row_number() OVER (ORDER BY p) + 1), 1) AS step FROM p)
+SELECT group1, group2, w, round(z, 4) AS z, round(p, 6) AS p, round(max(step) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING), 6) AS p_holm, max(step) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING) < 0.05 AS reject FROM s""")
 def wilcoxon_holm(spark, d):
-    return st.holm(st.with_normal_p(st.wilcoxon(_scores(spark, d))))
+    t_ = st.holm(st.with_normal_p(st.wilcoxon(_scores(spark, d))))
+    return t_.select("group1", "group2", "w", F.round("z", 4).alias("z"), F.round("p", 6).alias("p"), F.round("p_holm", 6).alias("p_holm"), "reject")
 
 
 @query(WIL + """, p AS (SELECT group1, group2, round(exp(-abs(z)), 6) AS p FROM wz), s AS (SELECT *, least(p * (count(*) OVER () - row_number() OVER (ORDER BY p) + 1), 1) AS step FROM p)
@@ -255,3 +282,38 @@ def block_residuals(spark, d):
 def param_corr(spark, d):
     c = st.correlations(_per(spark, d), "recall_100", ["mrr_5", "ndcg_10", "ap"])
     return c.select(*[F.round(x, 4).alias(x) for x in c.columns])
+
+
+@query(ANOVA + """, mm AS (SELECT system, avg(score) AS m, count(*) AS b FROM sc GROUP BY system)
+SELECT i.system AS group1, j.system AS group2, round(i.m, 6) AS mean1, round(j.m, 6) AS mean2, round(j.m - i.m, 6) AS mean_diff, round(sqrt((SELECT round(e, 6) / de FROM y) / i.b), 6) AS se, i.b AS queries FROM mm i JOIN mm j ON i.system < j.system""")
+def tukey_means(spark, d):
+    """The part of the full comparison table that plain SQL can state; p-values and limits are in ``tukey_table``."""
+    r = st.tukey_report(_scores(spark, d))
+    return r.select("group1", "group2", *[F.round(c, 6).alias(c) for c in ("mean1", "mean2", "mean_diff", "se")], "queries")
+
+
+@query()
+def tukey_table(spark, d):
+    """All fourteen columns for each pair of systems."""
+    return st.tukey_report(_scores(spark, d))
+
+
+@query(PER + """, x AS (SELECT recall_100 AS y, mrr_5 AS a, ap AS b FROM per),
+m AS (SELECT count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, covar_pop(y, a) AS ya, covar_pop(y, b) AS yb, covar_pop(a, b) AS ab, var_pop(a) AS aa, var_pop(b) AS bb, var_pop(y) AS yy FROM x),
+s AS (SELECT *, (ya * bb - yb * ab) / (aa * bb - ab * ab) AS ba, (yb * aa - ya * ab) / (aa * bb - ab * ab) AS bb2 FROM m), f AS (SELECT *, my - ba * ma - bb2 * mb AS b0, (ba * ya + bb2 * yb) / yy AS r2 FROM s)
+SELECT 'intercept' AS term, round(b0, 5) AS coefficient, round(r2, 5) AS r2 FROM f UNION ALL SELECT 'mrr_5', round(ba, 5), round(r2, 5) FROM f UNION ALL SELECT 'ap', round(bb2, 5), round(r2, 5) FROM f""")
+def param_regression(spark, d):
+    r = st.least_squares(_per(spark, d), "recall_100", ["mrr_5", "ap"])
+    return r.withColumns({"coefficient": F.round("coefficient", 5), "r2": F.round("r2", 5)})
+
+
+def _metric_test(metric: str) -> str:
+    return WIL.replace(SC, PER + f", sc AS (SELECT system, qid, {metric} AS score FROM per)") + f" SELECT '{metric}' AS metric, group1, group2, CAST(wins AS BIGINT) AS wins, CAST(losses AS BIGINT) AS losses, w, round(z, 4) AS z FROM wz"
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({_metric_test(x)})" for x in ("mrr_5", "ap")))
+def metrics_tested(spark, d):
+    """The paired test for several metrics, from one table of per-query metrics."""
+    long = m.long_form(written(_per(spark, d), "per"), ["mrr_5", "ap"])
+    out = st.by_metric(long, st.wilcoxon, ["mrr_5", "ap"])
+    return out.select("metric", "group1", "group2", "wins", "losses", "w", F.round("z", 4).alias("z"))

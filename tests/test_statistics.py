@@ -92,3 +92,44 @@ def test_blocks(scores):
     assert st.checked_blocks(scores).first().complete
     r = st.checked_blocks(scores.where("not (system = 'a' and qid = 'q1')")).first()
     assert not r.complete and r.rows == 159
+
+
+def test_medians_and_quartiles_from_counts(spark):
+    r = random.Random(9)
+    rows = [(s, f"q{i}", r.choice([0.0, 0.1, 0.5, 1.0])) for s in "abc" for i in range({"a": 7, "b": 8, "c": 1}[s])]
+    df = spark.createDataFrame(rows, "system string, qid string, score double")
+    for x, y in zip(sorted(st.five_numbers(df).collect()), sorted(st.summary(df).collect())):
+        v = np.array([s for k, _, s in rows if k == x.system])
+        assert [x.lowest, x.q1, x.median, x.q3, x.highest] == pytest.approx([v.min(), *np.quantile(v, [0.25, 0.5, 0.75]), v.max()]) and y.median == pytest.approx(np.median(v))
+
+
+def test_blocks_are_required(spark, scores):
+    assert st.required_blocks(scores) is scores
+    with pytest.raises(ValueError, match="1 queries that a system lacks, as q1"):
+        st.required_blocks(scores.where("not (system = 'a' and qid = 'q1')"))
+    with pytest.raises(ValueError, match="40 rows given twice, as a/q0"):
+        st.required_blocks(scores.unionByName(scores.where("system = 'a'")))
+    with pytest.raises(ValueError, match="without a score"):
+        st.required_blocks(scores.selectExpr("system", "qid", "if(qid = 'q3', null, score) as score"))
+
+
+def test_tukey_report(scores):
+    t = {(r.group1, r.group2): r for r in st.tukey_report(scores).collect()}
+    old = {(r.group1, r.group2): r for r in st.tukey_p_values(st.tukey(scores), 4, 117).collect()}
+    assert len(t) == 6 and len(next(iter(t.values()))) == 14
+    for k, r in t.items():
+        assert r.q == pytest.approx(old[k].q, abs=1e-4) and r.reject == old[k].reject and r.p == pytest.approx(old[k].p, abs=1e-4)
+        assert r.reject == (r.ci_low > 0 or r.ci_high < 0) and r.mean2 - r.mean1 == pytest.approx(r.mean_diff)
+
+
+def test_least_squares(spark):
+    rows = [(float(i), float(i * i % 7), 2 + 3.0 * i - 0.5 * (i * i % 7)) for i in range(50)] + [(None, 1.0, 1.0)]
+    got = {r.term: r for r in st.least_squares(spark.createDataFrame(rows, "a double, b double, y double"), "y", ["a", "b"]).collect()}
+    assert [round(got[k].coefficient, 6) for k in ("intercept", "a", "b")] == [2, 3, -0.5] and got["a"].r2 == pytest.approx(1)
+
+
+def test_by_metric(scores):
+    from pyspark.sql import functions as F
+
+    long = scores.withColumn("metric", F.lit("x")).unionByName(scores.withColumn("metric", F.lit("y")))
+    assert st.by_metric(long, st.summary, ["x", "y"]).count() == 8
