@@ -10,14 +10,15 @@ from quaero.functions.text import identifier
 MISSING = 2147483647
 
 
-def normal_run(entries: DataFrame, run: str = "run_name", query: str = "qid", item: str = "docid", score: str = "score", rank: str = "rank") -> DataFrame:
+def normal_run(entries: DataFrame, run: str = "run_name", query: str = "qid", item: str = "docid", score: str = "score", rank: str = "rank", position: str | None = None) -> DataFrame:
     """(system, qid, docid, rank, score): one row for each document, best rank and score, renumbered from 1.
 
-    Blank documents go; a rank below 1 or null comes after all others; NaN
-    counts as no score. Order: rank, score falling with nulls last, docid.
+    Blank documents go; a rank below 1 or null is replaced by the entry's
+    ``position`` where the entries have an order; a table has none, so there it
+    comes after all others. NaN counts as no score. Order: rank, score falling with nulls last, docid.
     """
     s = F.when(~F.isnan(score), F.col(score))
-    r = F.when(F.col(rank) >= 1, F.col(rank)).otherwise(MISSING)
+    r = F.when(F.col(rank) >= 1, F.col(rank)).otherwise(F.col(position).cast("int") if position else MISSING)
     one = (
         entries.select(F.col(run).alias("system"), F.col(query).alias("qid"), identifier(item).alias("docid"), r.alias("r"), s.alias("s"))
         .where("docid is not null").groupBy("system", "qid", "docid").agg(F.min("r").alias("r"), F.max("s").alias("score"))

@@ -6,8 +6,6 @@ windows and sums then run on as many rows as there are hits.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,5 +93,56 @@ def histogram(values: DataFrame, value: str, width: int) -> DataFrame:
     return values.groupBy((F.floor(F.col(value) / width) * width).cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def unioned(*parts: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+def candidate_mrr(scored: DataFrame, k: int = 10) -> DataFrame:
+    """(queries, skipped, mrr) over lists of positives and negatives (qid, docid, label, score): the reciprocal rank of the first positive among the first k by score, ties by docid.
+
+    Queries without a negative or without a positive are skipped and counted.
+    """
+    has = scored.groupBy("qid").agg(F.max("label").alias("p"), F.min("label").alias("n"))
+    w = Window.partitionBy("qid").orderBy(F.col("score").desc_nulls_last(), "docid")
+    top = scored.withColumn("r", F.row_number().over(w)).where((F.col("r") <= k) & (F.col("label") > 0)).groupBy("qid").agg(F.min("r").alias("r"))
+    both = (F.col("p") > 0) & (F.col("n") <= 0)
+    j = has.withColumn("both", both).join(top, "qid", "left")
+    used = F.sum(F.col("both").cast("int"))
+    return j.agg(F.coalesce(used, F.lit(0)).alias("queries"), F.sum((~F.col("both")).cast("int")).alias("skipped"), F.round(F.coalesce(F.sum(F.when(F.col("both"), F.coalesce(1.0 / F.col("r"), F.lit(0.0)))) / used, F.lit(0.0)), 9).alias("mrr"))
+
+
+#: Other names under which metrics are asked for.
+ALIASES = {"map": "ap", "mrr": "mrr_5", "ndcg": "ndcg_10", "f1": "f1_1", "p_1": "precision_1"}
+
+
+def metric_name(name: str) -> str:
+    """The column of a metric, from its name with any of @, - or _ before the cut-off, or an alias; an unknown one is an error."""
+    n = name.lower().replace("@", "_").replace("-", "_")
+    n = ALIASES.get(n, n)
+    if n not in METRICS:
+        raise ValueError(f"no metric {name}; there are {', '.join(METRICS)}")
+    return n
+
+
+def metric_delta(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(metric, first, second, delta) of two metric sets (metric, value), by name; a metric that one lacks has null."""
+    j = a.select("metric", F.col("value").alias("first")).join(b.select("metric", F.col("value").alias("second")), "metric", "full")
+    return j.withColumn("delta", F.round(F.col("second") - F.col("first"), 9))
+
+
+def micro_average(per: DataFrame, languages: DataFrame, metrics: list[str]) -> DataFrame:
+    """(system, language, queries, metrics...) for each language, and for all queries together as language ``all``: every query weighs the same."""
+    j = per.join(languages.select("qid", "language"), "qid")
+    cols = [F.count("*").alias("queries"), *[F.round(F.avg(m), 9).alias(m) for m in metrics]]
+    return j.groupBy("system", "language").agg(*cols).unionByName(j.groupBy("system").agg(*cols).withColumn("language", F.lit("all")))
+
+
+def synthetic_scores(run: DataFrame, top: int) -> DataFrame:
+    """A run without scores with top - rank + 1 as its score, so that tools that sort by score keep its order."""
+    return run.withColumn("score", (F.lit(top + 1) - F.col("rank")).cast("double"))
+
+
+def length_summary(values: DataFrame, value: str, width: int) -> DataFrame:
+    """(bin, n, total, median): the histogram, with the number of values and their median cut to an integer, from counts of distinct values."""
+    c = values.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("bigint").alias("v")).agg(F.count("*").alias("c"))
+    w = Window.orderBy("v")
+    u = c.withColumn("u", F.sum("c").over(w)).withColumn("t", F.sum("c").over(Window.partitionBy()))
+    at = lambda k: F.min(F.when(F.col("u") >= k, F.col("v")))
+    m = u.agg(F.max("t").alias("total"), F.floor((at(F.floor((F.col("t") + 1) / 2)) + at(F.floor((F.col("t") + 2) / 2))) / 2).alias("median"))
+    return histogram(values.where(F.col(value).isNotNull()), value, width).crossJoin(F.broadcast(m))

@@ -17,8 +17,11 @@ def hash_order(seed: str, *keys: str) -> Column:
     return F.md5(F.concat_ws("_", F.lit(seed), *[F.col(k).cast("string") for k in keys]))
 
 
-def split_by_query(queries: DataFrame, seed: str = "42", train: float = 0.8, dev: float = 0.1) -> DataFrame:
-    """(qid, split): every query in one split, sizes cut to integers, the rest is test."""
+def split_by_query(queries: DataFrame, seed: str = "42", train: float = 0.8, dev: float = 0.1, least_dev: int = 0, filled: bool = False) -> DataFrame:
+    """(qid, split): every query in one split, sizes cut to integers, the rest is test.
+
+    ``least_dev``: a floor of the dev split, taken from train. ``filled``: an empty split is an error.
+    """
     if not (0 < train < 1 and 0 < dev < 1 and train + dev < 1):
         raise ValueError("the ratios must be between 0 and 1 and leave a test split")
     q = queries.select("qid").where("qid is not null").distinct()
@@ -27,9 +30,22 @@ def split_by_query(queries: DataFrame, seed: str = "42", train: float = 0.8, dev
     ordered = q.withColumn("h", hash_order(seed, "qid"))
     r = global_rank(ordered, ["h", "qid"])
     a, b = int(n * train), int(n * dev)
+    if b < least_dev:
+        a, b = max(0, a - (least_dev - b)), min(n, least_dev)
+    if filled and not (a and b and n - a - b):
+        raise ValueError(f"{n} queries leave a split empty")
     return r.select("qid", F.when(F.col("rank") <= a, "train").when(F.col("rank") <= a + b, "dev").otherwise("test").alias("split"))
 
 
+def split_rows(df: DataFrame, keys: list[str], dev: float = 0.1, seed: str = "42") -> DataFrame:
+    """The rows with ``split``: int(n * dev) of them in dev, by hash order of the keys, the rest in train; rows, not queries, are split."""
+    if not 0 < dev < 1:
+        raise ValueError("the ratio must be between 0 and 1")
+    r = global_rank(df.withColumn("_h", hash_order(seed, *keys)), ["_h", *keys])
+    n = df.count()
+    return r.withColumn("split", F.when(F.col("rank") <= int(n * dev), "dev").otherwise("train")).drop("_h", "rank")
+
+
 def global_rank(df: DataFrame, order: list[str]) -> DataFrame:
     """Adds ``rank`` from 1 over the whole table without a single-task window: range sort, sizes of the partitions before, ranks inside.
 
@@ -79,39 +95,83 @@ def candidate_negatives(run: DataFrame, golds: DataFrame, corpus: DataFrame, dep
     return r if per_run is None else r.where(F.col("pos") <= per_run)
 
 
-def offset_negatives(candidates: DataFrame, hard: tuple[int, int] = (1, 5), soft: tuple[int, int] = (10, 5)) -> DataFrame:
-    """(qid, docid, kind, pos): hard negatives after an offset, soft ones from the middle; a slice that falls short goes back to the head, queries with too few candidates go.
+def offset_negatives(candidates: DataFrame, hard: tuple[int, int] = (1, 5), soft: tuple[int, int] = (10, 5), by: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """(by..., docid, kind, pos): hard negatives after an offset, soft ones from the middle; a slice that falls short goes back to the head, lists with too few candidates go.
 
-    ``hard`` and ``soft`` are (offset, number).
+    ``hard`` and ``soft`` are (offset, number); ``by`` names a list: a query of one run, or ("system", "qid") of several.
     """
     (ho, hn), (so, sn) = hard, soft
-    n = F.count("*").over(Window.partitionBy("qid"))
+    n = F.count("*").over(Window.partitionBy(*by))
     c = candidates.withColumn("n", n).where(F.col("n") >= hn + 2)
     start = F.when(F.col("n") >= ho + hn, ho).otherwise(0)
     is_hard = (F.col("pos") > start) & (F.col("pos") <= start + hn)
     is_soft = (F.col("pos") > so) & (F.col("pos") <= so + sn) & ~is_hard
-    return c.where(is_hard | is_soft).select("qid", "docid", F.when(is_hard, "hard").otherwise("soft").alias("kind"), "pos")
+    return c.where(is_hard | is_soft).select(*by, "docid", F.when(is_hard, "hard").otherwise("soft").alias("kind"), "pos")
+
 
+def merged_negatives(negatives: DataFrame) -> DataFrame:
+    """(qid, docid, kind) of negatives of several runs; a document that is hard in one run is hard."""
+    return negatives.groupBy("qid", "docid").agg(F.min("kind").alias("kind"))
 
-def fused_negatives(run: DataFrame, golds: DataFrame, texts: DataFrame, n: int, c: int = 60, seed: str = "42", fill: DataFrame | None = None) -> DataFrame:
-    """(qid, docid, stage, place): exactly up to n negatives of each query.
 
-    Candidates of all runs by fusion evidence, then random documents; one for
-    each normalised text, none with the text of a positive. texts: (docid,
-    text). ``fill``: (qid, docid) random candidates, at least 2n of a query.
+def text_keys(texts: DataFrame) -> DataFrame:
+    """(docid, key): equal keys for texts that are equal but for case and white space."""
+    return texts.select("docid", F.md5(F.lower(normalize_ws("text"))).alias("key"))
+
+
+def fused_negatives(run: DataFrame, golds: DataFrame, texts: DataFrame, n: int, c: int = 60, seed: str = "42", fill: DataFrame | None = None, base: DataFrame | None = None) -> DataFrame:
+    """(qid, docid, stage, place, support): up to n negatives of each query.
+
+    1: candidates of all runs by fusion evidence; 2: ``base`` negatives (qid,
+    docid, pos) of an earlier set; 3 (2 without base): ``fill`` (qid, docid).
+    One for each normalised text, none with the text of a positive. texts:
+    (docid, text). support: the runs that have the document, null in later stages.
     """
     from quaero.operators.fusion import reciprocal_rank_fusion
 
-    t = texts.select("docid", F.md5(F.lower(normalize_ws("text"))).alias("key"))
-    pool = reciprocal_rank_fusion(run, c).select("qid", "docid", F.lit(1).alias("stage"), F.col("place").cast("string").alias("o"), F.col("place").alias("p"))
+    t = text_keys(texts)
+    none = F.lit(None).cast("bigint")
+    pool = reciprocal_rank_fusion(run, c).select("qid", "docid", F.lit(1).alias("stage"), F.lit("").alias("o"), F.col("place").alias("p"), "support")
+    later = 2
+    if base is not None:
+        pool = pool.unionByName(base.select("qid", "docid", F.lit(2).alias("stage"), F.lit("").alias("o"), F.col("pos").cast("int").alias("p"), none.alias("support")))
+        later = 3
     if fill is not None:
-        pool = pool.unionByName(fill.select("qid", "docid", F.lit(2).alias("stage"), hash_order(seed, "qid", "docid").alias("o"), F.lit(0).alias("p")))
+        pool = pool.unionByName(fill.select("qid", "docid", F.lit(later).alias("stage"), hash_order(seed, "qid", "docid").alias("o"), F.lit(0).alias("p"), none.alias("support")))
     pool = pool.join(t, "docid")
     positive = golds.join(t, "docid").select("qid", "key").distinct()
     free = pool.join(positive, ["qid", "key"], "left_anti").join(golds.select("qid", "docid"), ["qid", "docid"], "left_anti")
     first = free.withColumn("k", F.row_number().over(Window.partitionBy("qid", "key").orderBy("stage", "p", "o", "docid"))).where("k = 1")
     w = Window.partitionBy("qid").orderBy("stage", "p", "o", "docid")
-    return first.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("qid", "docid", "stage", "place")
+    return first.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("qid", "docid", "stage", "place", "support")
+
+
+def filled_negatives(queries: DataFrame, run: DataFrame, golds: DataFrame, texts: DataFrame, n: int, base: DataFrame | None = None, c: int = 60, seed: str = "42") -> DataFrame:
+    """(qid, docid, stage, place, support): exactly n negatives of each query, fewer only where the corpus has no more.
+
+    Stages 1 and 2 as in ``fused_negatives``; stage 3 are random documents of
+    the ring, for the queries that are short only. A query that is still short
+    (its draws were positives, or equal in text) draws twice as many in the
+    next round, until it is full or has met the whole ring.
+    """
+    keys = written(text_keys(texts), "keys")
+    own = golds.select("qid", "docid").distinct()
+    positive = own.join(keys, "docid").select("qid", "key").distinct()
+    chosen = written(fused_negatives(run, golds, texts, n, c, seed, base=base), "chosen")
+    asked = written(queries.select("qid").where("qid is not null").distinct(), "asked")
+    total, steps = keys.count(), 2 * n + 8
+    while True:
+        have = chosen.groupBy("qid").agg(F.count("*").alias("have"))
+        short = written(asked.join(have, "qid", "left").fillna(0, ["have"]).where(F.col("have") < n), "short")
+        if short.isEmpty() or steps >= 2 * total:
+            return chosen
+        used = chosen.join(short.select("qid"), "qid", "left_semi").join(keys, "docid").select("qid", "key").distinct()
+        got = drawn(short.select("qid", F.lit(steps).cast("bigint").alias("steps")), keys, seed).join(keys, "docid")
+        got = got.join(own, ["qid", "docid"], "left_anti").join(positive.unionByName(used), ["qid", "key"], "left_anti")
+        once = got.withColumn("k", F.row_number().over(Window.partitionBy("qid", "key").orderBy("step"))).where("k = 1")
+        more = once.join(short, "qid").withColumn("place", F.col("have").cast("int") + F.row_number().over(Window.partitionBy("qid").orderBy("step"))).where(F.col("place") <= n)
+        chosen = written(chosen.unionByName(more.select("qid", "docid", F.lit(3).alias("stage"), "place", F.lit(None).cast("bigint").alias("support"))), "chosen")
+        steps *= 2
 
 
 def random_negatives(queries: DataFrame, corpus: DataFrame, golds: DataFrame, n: int, seed: str = "42") -> DataFrame:
@@ -214,3 +274,23 @@ def used_at_most(negatives: DataFrame, most: int, seed: str = "42") -> DataFrame
 def sequential_index(df: DataFrame, order: list[str], name: str = "index") -> DataFrame:
     """Adds 0, 1, 2, ... over the whole table in an order."""
     return global_rank(df, order).withColumn(name, (F.col("rank") - 1).cast("bigint")).drop("rank")
+
+
+def candidate_lists(pairs: DataFrame, most: int) -> DataFrame:
+    """(qid, pos array, docs array) of labelled pairs (qid, docid, label): positives, and all documents with the positives first; at most ``most`` documents of a query are listed.
+
+    Ranked before they are collected, so a list never holds more than ``most``.
+    """
+    once = pairs.groupBy("qid", "docid").agg(F.max("label").alias("label"))
+    w = Window.partitionBy("qid").orderBy(F.col("label").desc(), "docid")
+    top = once.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
+    a = F.array_sort(F.collect_list(F.struct("k", "docid", "label")))
+    g = top.groupBy("qid").agg(a.alias("a"))
+    return g.select("qid", F.transform(F.filter("a", lambda x: x["label"] > 0), lambda x: x["docid"]).alias("pos"), F.transform("a", lambda x: x["docid"]).alias("docs"))
+
+
+def negative_statistics(negatives: DataFrame, golds_run: DataFrame) -> DataFrame:
+    """One row (negatives, mean_rank, overlap, overlap_rate): mean rank of the negatives, and how many stand in a second list (qid, docid) too."""
+    j = negatives.join(golds_run.select("qid", "docid").distinct().withColumn("_in", F.lit(1)), ["qid", "docid"], "left")
+    n = F.count("*")
+    return j.agg(n.alias("negatives"), F.round(F.avg("rank"), 9).alias("mean_rank"), F.count("_in").alias("overlap"), F.round(F.count("_in") / F.greatest(n, F.lit(1)), 9).alias("overlap_rate"))

@@ -221,7 +221,7 @@ VA, VB = VOC.replace("text", "abstract"), VOC
 
 
 @query(f"""WITH {t.CORPUS}, {t.POSTS}, a AS (SELECT DISTINCT unnest({VA}) AS w FROM corpus), b AS (SELECT DISTINCT unnest({VB}) AS w FROM posts), j AS (SELECT a.w AS a, b.w AS b FROM a FULL JOIN b ON a.w = b.w)
-SELECT count(a) AS size_a, count(b) AS size_b, CAST(sum(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS shared, round(sum(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 6) AS jaccard FROM j""")
+SELECT count(a) AS size_a, count(b) AS size_b, CAST(sum(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS shared, round(sum(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 6) AS jaccard, (SELECT round(avg(len({VA})), 6) FROM corpus) AS mean_a, (SELECT round(avg(len({VB})), 6) FROM posts) AS mean_b FROM j""")
 def vocab_jaccard(spark, d):
     a = t.corpus(spark, d).select(F.col("abstract").alias("text"))
     v = quality.vocabulary_drift(a, _posts(spark, d).select("text"), x.vocabulary_words("text"))

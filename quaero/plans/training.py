@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quaero.functions.text import clean_post
-from quaero.operators import augmentation, quality
+from quaero.operators import augmentation, fusion, quality
 from quaero.operators import training as tr
 from quaero.plans import tables as t
 from quaero.plans.retrieval import DENSE, _dense_ranked
 from quaero.plans.texts import EMOJI, S
-from quaero.session import table
+from quaero.session import table, written
 from quaero.sources import sinks
 
 Q: dict = {}
@@ -64,9 +64,21 @@ def _cand(spark, d):
     return tr.candidate_negatives(r, t.golds(spark, d), t.keys(spark, d))
 
 
-CAND = f"""WITH {t.RUNS}, {t.GOLDS}, {t.CORPUS}, cd AS (SELECT system, qid, docid, rank, row_number() OVER (PARTITION BY system, qid ORDER BY rank) AS pos FROM runs WHERE system = 'hybrid_513_b0001' AND docid IN (SELECT docid FROM corpus) AND (qid, docid) NOT IN (SELECT qid, docid FROM golds)),
-cn AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM cd), ch AS (SELECT *, CASE WHEN n >= 6 THEN 1 ELSE 0 END AS s FROM cn WHERE n >= 7),
-ng AS (SELECT qid, docid, CASE WHEN pos > s AND pos <= s + 5 THEN 'hard' ELSE 'soft' END AS kind, pos FROM ch WHERE pos > s AND pos <= s + 5 OR pos > 10 AND pos <= 15)"""
+def cand_sql(where: str, by: str) -> str:
+    """CTEs of a run's usable candidates and of their offset negatives na (by..., docid, kind, pos)."""
+    return f"""cd AS (SELECT system, qid, docid, rank, row_number() OVER (PARTITION BY system, qid ORDER BY rank) AS pos FROM runs WHERE {where} docid IN (SELECT docid FROM corpus) AND (qid, docid) NOT IN (SELECT qid, docid FROM golds)),
+cn AS (SELECT *, count(*) OVER (PARTITION BY {by}) AS n FROM cd), ch AS (SELECT *, CASE WHEN n >= 6 THEN 1 ELSE 0 END AS s FROM cn WHERE n >= 7),
+na AS (SELECT {by}, docid, CASE WHEN pos > s AND pos <= s + 5 THEN 'hard' ELSE 'soft' END AS kind, pos FROM ch WHERE pos > s AND pos <= s + 5 OR pos > 10 AND pos <= 15)"""
+
+
+ONE_RUN = "system = 'hybrid_513_b0001' AND"
+TABLES = f"WITH {t.RUNS}, {t.GOLDS}, {t.CORPUS}"
+CAND = f"{TABLES}, {cand_sql(ONE_RUN, 'qid')}, ng AS (SELECT * FROM na)"
+CAND_ALL = f"{TABLES}, {cand_sql('', 'system, qid')}, ng AS (SELECT qid, docid, min(kind) AS kind FROM na GROUP BY qid, docid)"
+
+
+def _cand_all(spark, d):
+    return tr.candidate_negatives(t.runs(spark, d), t.golds(spark, d), t.keys(spark, d))
 
 
 @query(CAND + " SELECT qid, docid, kind, pos FROM ng")
@@ -74,12 +86,21 @@ def neg_offsets(spark, d):
     return _long(tr.offset_negatives(_cand(spark, d)), "pos")
 
 
-FUSED = f"""WITH {t.RUNS}, {t.GOLDS}, {t.CORPUS}, tx AS (SELECT docid, min(md5(lower(regexp_replace(regexp_replace(coalesce(title, '') || ' ' || coalesce(abstract, ''), '[\\s\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\p{{Z}}]+', ' ', 'g'), '^ | $', '', 'g')))) AS key FROM corpus GROUP BY docid),
-e AS (SELECT qid, docid, count(*) AS support, round(sum(CAST(1 AS DOUBLE) / (60 + rank)), 9) AS rrf, min(rank) AS br, round(avg(rank), 9) AS mr FROM runs GROUP BY qid, docid),
-f AS (SELECT qid, docid, row_number() OVER (PARTITION BY qid ORDER BY support DESC, rrf DESC, br, mr, docid) AS place FROM e),
-p AS (SELECT f.*, key FROM f JOIN tx USING (docid)), g AS (SELECT DISTINCT qid, key FROM golds JOIN tx USING (docid)),
-fr AS (SELECT p.* FROM p LEFT JOIN g USING (qid, key) LEFT JOIN (SELECT qid, docid, 1 AS y FROM golds) z USING (qid, docid) WHERE g.qid IS NULL AND y IS NULL),
-o AS (SELECT *, row_number() OVER (PARTITION BY qid, key ORDER BY place) AS k FROM fr), w AS (SELECT qid, docid, row_number() OVER (PARTITION BY qid ORDER BY place) AS n FROM o WHERE k = 1)"""
+# Keys of normalised texts, and the fused evidence of all runs.
+KEYS = """tx AS (SELECT docid, min(md5(lower(regexp_replace(regexp_replace(coalesce(title, '') || ' ' || coalesce(abstract, ''), '[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+', ' ', 'g'), '^ | $', '', 'g')))) AS key FROM corpus GROUP BY docid),
+g AS (SELECT DISTINCT qid, key FROM golds JOIN tx USING (docid))"""
+EVIDENCE = """e AS (SELECT qid, docid, count(*) AS support, round(sum(CAST(1 AS DOUBLE) / (60 + rank)), 9) AS rrf, min(rank) AS br, round(avg(rank), 9) AS mr FROM runs GROUP BY qid, docid),
+f AS (SELECT qid, docid, support, row_number() OVER (PARTITION BY qid ORDER BY support DESC, rrf DESC, br, mr, docid) AS place FROM e)"""
+
+
+def chosen_sql(pool: str) -> str:
+    """CTEs from a pool (qid, docid, stage, p, support) to w (..., place): one candidate for each text, none with a positive's."""
+    return f"""p AS (SELECT q.*, key FROM ({pool}) q JOIN tx USING (docid)), fr AS (SELECT p.* FROM p LEFT JOIN g USING (qid, key) LEFT JOIN (SELECT qid, docid, 1 AS y FROM golds) z USING (qid, docid) WHERE g.qid IS NULL AND y IS NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY qid, key ORDER BY stage, p, docid) AS k FROM fr), w AS (SELECT qid, docid, stage, support, row_number() OVER (PARTITION BY qid ORDER BY stage, p, docid) AS place FROM o WHERE k = 1)"""
+
+
+FROM_RUNS = "SELECT qid, docid, 1 AS stage, place AS p, support FROM f"
+FUSED = f"{TABLES}, {KEYS}, {EVIDENCE}, {chosen_sql(FROM_RUNS)}"
 
 
 def _fused(spark, d, n=10, fill=None):
@@ -88,27 +109,20 @@ def _fused(spark, d, n=10, fill=None):
     return tr.fused_negatives(t.runs(spark, d), t.golds(spark, d), texts, n, fill=fill)
 
 
-@query(FUSED + " SELECT qid, docid, CAST(1 AS BIGINT) AS stage, n AS place FROM w WHERE n <= 10")
+@query(FUSED + " SELECT qid, docid, CAST(stage AS BIGINT) AS stage, place FROM w WHERE place <= 10")
 def neg_fused(spark, d):
-    return _long(_fused(spark, d), "stage", "place")
+    return _long(_fused(spark, d), "stage", "place").select("qid", "docid", "stage", "place")
 
 
-def _fused_filled(spark, d, n=10):
-    """Random documents follow where the runs hold fewer than n, or nothing, for a query of the runs or a judged one."""
-    q = t.runs(spark, d).select("qid").union(t.judged(spark, d).select("qid")).where("qid is not null")
-    fill = tr.random_negatives(q, t.keys(spark, d), t.golds(spark, d), 2 * n)
-    return _fused(spark, d, n, fill)
-
-
-@query()
-def neg_fused_filled(spark, d):
-    return _long(_fused_filled(spark, d), "stage", "place")
+def _paper_texts(spark, d):
+    c = t.corpus(spark, d)
+    return c.select("docid", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit(""))).alias("text"))
 
 
-@query()
-def build_quality_filled(spark, d):
-    b = quality.build_quality(_fused_filled(spark, d), 10)
-    return b.select("rows", *[F.round(c, 6).alias(c) for c in b.columns if c != "rows"])
+def _fused_filled(spark, d, n=10):
+    """Candidates of all runs, then the offset negatives of one run, then random documents, for every query of the runs and every judged one."""
+    q = t.runs(spark, d).select("qid").union(t.judged(spark, d).select("qid"))
+    return tr.filled_negatives(q, t.runs(spark, d), t.golds(spark, d), _paper_texts(spark, d), n, base=tr.offset_negatives(_cand(spark, d)))
 
 
 RING = """{r} AS (SELECT docid, row_number() OVER (ORDER BY md5('42_' || docid), docid) - 1 AS place, count(*) OVER () AS total FROM (SELECT DISTINCT docid FROM {src} WHERE docid IS NOT NULL))"""
@@ -121,6 +135,41 @@ def drawn_sql(need: str, ring: str, out: str) -> str:
 {out} AS (SELECT qid, docid, step FROM {out}s JOIN {ring} USING (place))"""
 
 
+WITH_BASE = FROM_RUNS + " UNION ALL SELECT qid, docid, 2, pos, NULL FROM na"
+FILLED = f"""{TABLES}, {KEYS}, {EVIDENCE}, {cand_sql(ONE_RUN, 'qid')}, {chosen_sql(WITH_BASE)}, {t.JUDGED}, cu AS (SELECT * FROM w WHERE place <= 10),
+asked AS (SELECT DISTINCT qid FROM runs WHERE qid IS NOT NULL UNION SELECT qid FROM judged), sh AS (SELECT a.qid, coalesce(c, 0) AS have FROM asked a LEFT JOIN (SELECT qid, count(*) AS c FROM cu GROUP BY qid) USING (qid) WHERE coalesce(c, 0) < 10),
+{RING.format(r="rg", src="tx")}, nd AS (SELECT qid, (SELECT count(*) FROM tx) AS steps FROM sh), {drawn_sql("nd", "rg", "dr")},
+us AS (SELECT DISTINCT qid, key FROM cu JOIN tx USING (docid) UNION SELECT qid, key FROM g), ok AS (SELECT dr.qid, docid, step, key FROM dr JOIN tx USING (docid) ANTI JOIN golds USING (qid, docid)), ov AS (SELECT * FROM ok ANTI JOIN us USING (qid, key)),
+ou AS (SELECT *, row_number() OVER (PARTITION BY qid, key ORDER BY step) AS k FROM ov), mo AS (SELECT qid, docid, have + row_number() OVER (PARTITION BY qid ORDER BY step) AS place FROM ou JOIN sh USING (qid) WHERE k = 1),
+al AS (SELECT qid, docid, stage, place, support FROM cu UNION ALL SELECT qid, docid, 3, place, NULL FROM mo WHERE place <= 10)"""
+
+
+@query(FILLED + " SELECT qid, docid, CAST(stage AS BIGINT) AS stage, place FROM al")
+def neg_fused_filled(spark, d):
+    """Exactly ten negatives of every query."""
+    return _long(_fused_filled(spark, d), "stage", "place").select("qid", "docid", "stage", "place")
+
+
+MEASURES = """, cq AS (SELECT qid, count(*) AS cand, sum(CASE WHEN support > 1 THEN 1 ELSE 0 END) AS ov2 FROM (SELECT f.* FROM f JOIN tx USING (docid) ANTI JOIN golds USING (qid, docid)) GROUP BY qid),
+pq AS (SELECT qid, count(*) AS a, sum(CASE WHEN stage = 1 THEN 1 ELSE 0 END) AS r, sum(CASE WHEN stage > 1 THEN 1 ELSE 0 END) AS f, sum(CASE WHEN stage = 1 AND support > 1 THEN 1 ELSE 0 END) AS s FROM al GROUP BY qid),
+jq AS (SELECT pq.*, coalesce(cand, 0) AS cand, coalesce(ov2, 0) AS ov2, f AS x FROM pq LEFT JOIN cq USING (qid)) SELECT count(*) AS rows, CAST(10 AS BIGINT) AS capacity_per_run, CAST(10 AS BIGINT) AS capacity_per_row, CAST(0 AS BIGINT) AS least_fallback,
+round(avg(cand), 6) AS avg_candidates, round(avg(ov2), 6) AS avg_overlap_candidates, round(avg(a), 6) AS avg_selected, round(avg(r), 6) AS avg_run_negatives, round(avg(f), 6) AS avg_fallback, round(avg(x), 6) AS avg_excess_fallback,
+""" + ", ".join(f"round(sum(CASE WHEN {c} THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 6) AS {k}" for k, c in (("rows_with_run", "r > 0"), ("rows_with_overlap_candidates", "ov2 > 0"), ("rows_with_overlap_negatives", "s > 0"), ("rows_with_fallback", "f > 0"), ("rows_with_excess_fallback", "x > 0"), ("rows_only_fallback", "r = 0 AND f > 0"), ("rows_underfilled", "a < 10"))) + " FROM jq"
+
+
+def _measured(spark, d, negatives, per_run=None):
+    usable = fusion.reciprocal_rank_fusion(t.runs(spark, d)).join(t.keys(spark, d), "docid", "left_semi").join(t.golds(spark, d), ["qid", "docid"], "left_anti")
+    b = quality.build_quality(negatives, 10, usable.select("qid", "docid", "support"), runs=12, per_run=per_run)
+    whole = ("rows", "capacity_per_run", "capacity_per_row", "least_fallback")
+    return b.select(*whole, *[F.round(c, 6).alias(c) for c in b.columns if c not in whole])
+
+
+@query(FILLED + MEASURES)
+def build_quality_filled(spark, d):
+    """All measures of the filled set."""
+    return _measured(spark, d, written(_fused_filled(spark, d), "filled"))
+
+
 @query(f"""WITH {t.GOLDS}, {t.JUDGED}, docs AS (SELECT DISTINCT pubkey AS docid FROM collection_data), {RING.format(r="rg", src="docs")},
 nd AS (SELECT j.qid, coalesce(n, 0) + 5 AS steps FROM judged j LEFT JOIN (SELECT qid, count(*) AS n FROM golds GROUP BY qid) USING (qid)), {drawn_sql("nd", "rg", "dr")}
 SELECT qid, docid FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY step) AS k FROM dr ANTI JOIN golds USING (qid, docid)) WHERE k <= 5""")
@@ -128,11 +177,10 @@ def neg_random(spark, d):
     return tr.random_negatives(t.judged(spark, d), t.keys(spark, d), t.golds(spark, d), 5)
 
 
-@query(FUSED + """, per AS (SELECT qid, count(*) AS a FROM w WHERE n <= 10 GROUP BY qid)
-SELECT count(*) AS rows, round(avg(a), 6) AS avg_run_negatives, CAST(0 AS DOUBLE) AS avg_fallback, CAST(1 AS DOUBLE) AS rows_with_run, CAST(0 AS DOUBLE) AS rows_with_fallback, CAST(0 AS DOUBLE) AS rows_only_fallback, round(sum(CASE WHEN a < 10 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 6) AS rows_underfilled FROM per""")
+@query(FUSED + ", al AS (SELECT * FROM w WHERE place <= 10)" + MEASURES)
 def build_quality(spark, d):
-    b = quality.build_quality(_fused(spark, d), 10)
-    return b.select("rows", *[F.round(c, 6).alias(c) for c in b.columns if c != "rows"])
+    """All measures of the run candidates alone."""
+    return _measured(spark, d, written(_fused(spark, d), "fused"))
 
 
 @query("""WITH q AS (SELECT DISTINCT qid FROM en_train WHERE qid IS NOT NULL), r AS (SELECT qid, row_number() OVER (ORDER BY md5('42_' || qid), qid) AS r, count(*) OVER () AS n FROM q)
@@ -176,18 +224,31 @@ def positive_weight(spark, d):
     return tr.positive_weight(_pairs(spark, d)).withColumn("pos_weight", F.round("pos_weight", 6))
 
 
-@query(PAIRS + """, a AS (SELECT qid, sum(label) AS p, sum(1 - label) AS n, count(*) AS c, count(DISTINCT docid) AS dd FROM pr GROUP BY qid)
+PAIRS_ALL = CAND_ALL + PAIRS[len(CAND):]
+
+
+def _pairs_all(spark, d):
+    """Labelled pairs from the negatives of all runs together."""
+    neg = written(tr.merged_negatives(tr.offset_negatives(_cand_all(spark, d), by=("system", "qid"))), "negatives")
+    return tr.labelled_pairs(t.golds(spark, d).join(neg.select("qid").distinct(), "qid", "left_semi"), neg)
+
+
+@query(PAIRS_ALL + """, a AS (SELECT qid, sum(label) AS p, sum(1 - label) AS n, count(*) AS c, count(DISTINCT docid) AS dd FROM pr GROUP BY qid)
+, vk AS (SELECT qid, lower(regexp_replace(regexp_replace(title, '[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+', ' ', 'g'), '^ | $', '', 'g')) AS k, count(DISTINCT docid) AS d, count(DISTINCT label) AS l, count(DISTINCT CASE WHEN label = 0 THEN docid END) AS dn FROM pr JOIN corpus USING (docid) WHERE trim(title) <> '' GROUP BY ALL)
 SELECT qid, 'no positive' AS issue FROM a WHERE p = 0 UNION ALL SELECT qid, 'no negative' FROM a WHERE n = 0 UNION ALL SELECT qid, 'document twice' FROM a WHERE dd < c
 UNION ALL SELECT DISTINCT qid, 'positive as negative' FROM (SELECT qid, docid FROM pr GROUP BY qid, docid HAVING count(DISTINCT label) > 1)
-UNION ALL SELECT qid, 'short texts' FROM (SELECT qid, avg(coalesce(len(list_filter(regexp_split_to_array(title, '[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+'), lambda x: x <> '')), 0)) AS m FROM pr LEFT JOIN corpus USING (docid) GROUP BY qid) WHERE m < 8""")
+UNION ALL SELECT qid, 'short texts' FROM (SELECT qid, avg(coalesce(len(list_filter(regexp_split_to_array(title, '[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+'), lambda x: x <> '')), 0)) AS m FROM pr LEFT JOIN corpus USING (docid) GROUP BY qid) WHERE m < 8
+UNION ALL SELECT DISTINCT qid, 'no text' FROM pr LEFT JOIN corpus USING (docid) WHERE title IS NULL OR trim(title) = ''
+UNION ALL SELECT DISTINCT qid, 'equal negatives' FROM vk WHERE dn > 1 UNION ALL SELECT DISTINCT qid, 'text of a positive' FROM vk WHERE l > 1 AND d > 1""")
 def quality_violations(spark, d):
     texts = t.corpus(spark, d).select("docid", F.col("title").alias("text"))
-    return quality.violations(_pairs(spark, d), texts, 8.0)
+    return quality.violations(_pairs_all(spark, d), texts, 8.0)
 
 
-@query(CAND + " SELECT docid, count(*) AS uses FROM ng GROUP BY docid ORDER BY uses DESC, docid LIMIT 10")
+@query(CAND_ALL + " SELECT docid, count(*) AS uses FROM na GROUP BY docid ORDER BY uses DESC, docid LIMIT 10")
 def negatives_reused(spark, d):
-    return tr.reuse_of_negatives(tr.offset_negatives(_cand(spark, d)))
+    """Over the negatives of every run."""
+    return tr.reuse_of_negatives(tr.offset_negatives(_cand_all(spark, d), by=("system", "qid")))
 
 
 @query(DENSE + """, p AS (SELECT qid, min(score) AS p FROM sc JOIN embeddings a ON a.vec_id = qid JOIN embeddings b ON b.vec_id = docid AND a.label = b.label GROUP BY qid),
@@ -266,9 +327,9 @@ def fusion_weight_search(spark, d):
     return _long(w, "trial", "hits").withColumn("recall", F.round("recall", 6))
 
 
-@query(PAIRS + f""", own AS (SELECT DISTINCT qid, docid FROM pr WHERE label = 0), hv AS (SELECT qid, count(DISTINCT CASE WHEN label = 0 THEN docid END) AS n, count(DISTINCT docid) AS held FROM pr GROUP BY qid),
+@query(PAIRS_ALL + f""", own AS (SELECT DISTINCT qid, docid FROM pr WHERE label = 0), hv AS (SELECT qid, count(DISTINCT CASE WHEN label = 0 THEN docid END) AS n, count(DISTINCT docid) AS held FROM pr GROUP BY qid),
 po AS (SELECT docid FROM pr WHERE label = 1), {RING.format(r="rg", src="po")}, nd AS (SELECT qid, 12 - n + held AS steps FROM hv WHERE n < 12), {drawn_sql("nd", "rg", "dr")},
 fi AS (SELECT qid, docid, step FROM dr ANTI JOIN pr USING (qid, docid)), bo AS (SELECT qid, docid, 'own' AS source, -1 AS step FROM own UNION ALL SELECT qid, docid, 'other', step FROM fi)
 SELECT qid, docid, source FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY source <> 'own', step, docid) AS k FROM bo) WHERE k <= 12 OR source = 'own'""")
 def eval_groups_topped_up(spark, d):
-    return augmentation.topped_up(_pairs(spark, d), 12)
+    return augmentation.topped_up(_pairs_all(spark, d), 12)
