@@ -17,14 +17,15 @@ def _gain(rank: Column) -> Column:
     return 1.0 / F.log2(rank + 1.0)
 
 
-def per_query(run: DataFrame, qrels: DataFrame, grid: DataFrame) -> DataFrame:
+def per_query(run: DataFrame, qrels: DataFrame, grid: DataFrame, golds: DataFrame | None = None) -> DataFrame:
     """A row of metrics for each (system, qid) of ``grid``; a query that a run lacks counts with zeros and rank -1.
 
     run: (system, qid, docid, rank); qrels: (qid, docid), distinct. Precision
     is over k, never over the list's length; AP is over the whole list and all
-    relevant documents.
+    relevant documents. ``golds`` (qid, golds) gives the number of relevant
+    documents where ``qrels`` holds only those that were retrieved.
     """
-    golds = qrels.groupBy("qid").agg(F.count("*").alias("golds"))
+    golds = qrels.groupBy("qid").agg(F.count("*").alias("golds")) if golds is None else golds
     w = Window.partitionBy("system", "qid").orderBy("rank")
     hits = run.join(qrels.select("qid", "docid"), ["qid", "docid"]).withColumn("so_far", F.row_number().over(w))
     r = F.col("rank")

@@ -73,9 +73,17 @@ def metrics_aggregate(spark, d):
 MULTI = DENSE + """, golds AS (SELECT a.vec_id AS qid, b.vec_id AS docid FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id), runs AS (SELECT 'dense' AS system, qid, docid, rank FROM de), grid AS (SELECT DISTINCT 'dense' AS system, vec_id AS qid FROM embeddings), """ + _per_sql("grid", "golds", "runs")
 
 
-def _labels(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", "label")
-    return e.select(F.col("vec_id").alias("qid"), "label").join(e.select(F.col("vec_id").alias("docid"), "label"), "label").where("qid <> docid").select("qid", "docid")
+def _labels(spark, d, run: DataFrame) -> DataFrame:
+    """(qid, docid) of the retrieved rows whose vectors have the same label; pairs of a whole label are never made."""
+    e = table(spark, d, "embeddings").select("vec_id", "label").distinct()
+    q, b = e.select(F.col("vec_id").alias("qid"), F.col("label").alias("lq")), e.select(F.col("vec_id").alias("docid"), F.col("label").alias("ld"))
+    return run.select("qid", "docid").join(q, "qid").join(b, "docid").where("lq = ld").select("qid", "docid")
+
+
+def _same_label(spark, d) -> DataFrame:
+    """(qid, golds): how many other vectors have a vector's label, from counts."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), "label").distinct()
+    return e.join(e.groupBy("label").agg((F.count("*") - 1).alias("golds")), "label").where("golds > 0").select("qid", "golds")
 
 
 @query(MULTI + f" SELECT system, qid, CAST(first_rank AS BIGINT) AS first_rank, {SIX} FROM per")
@@ -83,7 +91,8 @@ def metrics_multi_gold(spark, d):
     """Several relevant documents: those of the query vector's label."""
     run = _dense_ranked(spark, d).withColumn("system", F.lit("dense"))
     grid = table(spark, d, "embeddings").select(F.lit("dense").alias("system"), F.col("vec_id").alias("qid")).distinct()
-    return m.per_query(run, _labels(spark, d), grid).select("system", "qid", F.col("first_rank").cast("bigint").alias("first_rank"), *[F.round(x, 6).alias(x) for x in m.METRICS])
+    run = written(run, "run")
+    return m.per_query(run, _labels(spark, d, run), grid, golds=_same_label(spark, d)).select("system", "qid", F.col("first_rank").cast("bigint").alias("first_rank"), *[F.round(x, 6).alias(x) for x in m.METRICS])
 
 
 @query(DENSE + """, g AS (SELECT de.*, CASE WHEN a.label = b.label THEN CASE WHEN de.docid % 2 = 0 THEN 2 ELSE 1 END ELSE 0 END AS grade FROM de JOIN embeddings a ON a.vec_id = qid JOIN embeddings b ON b.vec_id = docid),
@@ -91,7 +100,8 @@ x AS (SELECT *, pow(2, grade) - 1 AS gain, row_number() OVER (PARTITION BY qid O
 SELECT 'dense' AS system, qid, round(round(coalesce(sum(CASE WHEN rank <= 10 THEN gain / log2(rank + 1) ELSE 0 END) / nullif(sum(CASE WHEN best <= 10 THEN gain / log2(best + 1) ELSE 0 END), 0), 0), 9), 6) AS ndcg FROM x GROUP BY qid""")
 def ndcg_graded(spark, d):
     run = _dense_ranked(spark, d).withColumn("system", F.lit("dense"))
-    g = _labels(spark, d).withColumn("grade", F.when(F.col("docid") % 2 == 0, 2).otherwise(1))
+    run = written(run, "run")
+    g = _labels(spark, d, run).withColumn("grade", F.when(F.col("docid") % 2 == 0, 2).otherwise(1))
     return m.graded_ndcg(run, g, 10).select("system", "qid", F.round("ndcg", 6).alias("ndcg"))
 
 
@@ -317,3 +327,46 @@ def metrics_tested(spark, d):
     long = m.long_form(written(_per(spark, d), "per"), ["mrr_5", "ap"])
     out = st.by_metric(long, st.wilcoxon, ["mrr_5", "ap"])
     return out.select("metric", "group1", "group2", "wins", "losses", "w", F.round("z", 4).alias("z"))
+
+
+@query(f"""WITH {t.RUNS}, {t.GOLDS}, c AS (SELECT r.qid, r.docid, r.rank, CASE WHEN g.docid IS NULL THEN 0 ELSE 1 END AS label FROM runs r LEFT JOIN golds g USING (qid, docid) WHERE system = 'hybrid_513_b0001' AND rank <= 20),
+h AS (SELECT qid, max(label) AS p, min(label) AS n FROM c GROUP BY qid), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY 1 / CAST(rank AS DOUBLE) DESC, docid) AS r FROM c), f AS (SELECT qid, min(r) AS r FROM k WHERE label > 0 AND r <= 10 GROUP BY qid)
+SELECT CAST(sum(CASE WHEN p > 0 AND n <= 0 THEN 1 ELSE 0 END) AS BIGINT) AS queries, CAST(sum(CASE WHEN p > 0 AND n <= 0 THEN 0 ELSE 1 END) AS BIGINT) AS skipped, round(coalesce(sum(CASE WHEN p > 0 AND n <= 0 THEN coalesce(1 / CAST(r AS DOUBLE), 0) END) / sum(CASE WHEN p > 0 AND n <= 0 THEN 1 ELSE 0 END), 0), 6) AS mrr FROM h LEFT JOIN f USING (qid)""")
+def candidate_mrr(spark, d):
+    """Reciprocal ranks over lists of positives and negatives; lists without either are skipped."""
+    r = t.runs(spark, d).where("system = 'hybrid_513_b0001' and rank <= 20")
+    g = t.golds(spark, d).withColumn("label", F.lit(1))
+    c = r.join(g, ["qid", "docid"], "left").fillna(0, ["label"]).select("qid", "docid", "label", (1.0 / F.col("rank")).alias("score"))
+    return m.candidate_mrr(c, 10).withColumn("mrr", F.round("mrr", 6))
+
+
+@query(f"WITH {QTEXT}, b AS (SELECT CAST(floor(length(text) / 20) * 20 AS BIGINT) AS bin, count(*) AS n FROM qx GROUP BY 1) SELECT bin, n, (SELECT count(*) FROM qx) AS total, CAST((SELECT floor(median(length(text))) FROM qx) AS BIGINT) AS median FROM b")
+def length_summary(spark, d):
+    return m.length_summary(_texts(spark, d).select(F.length("text").alias("n_chars")), "n_chars", 20)
+
+
+LANGS = "la AS (SELECT DISTINCT qid, split AS language FROM en_eval WHERE split IS NOT NULL)"
+
+
+@query(PER + f""", {LANGS}, j AS (SELECT system, language, mrr_5, ap FROM per JOIN la USING (qid))
+SELECT system, language, count(*) AS queries, round(avg(mrr_5), 6) AS mrr_5, round(avg(ap), 6) AS ap FROM j GROUP BY ALL UNION ALL SELECT system, 'all', count(*), round(avg(mrr_5), 6), round(avg(ap), 6) FROM j GROUP BY system""")
+def micro_averages(spark, d):
+    """By split, which stands for the language here, and over all queries of the splits together."""
+    la = table(spark, d, "en_eval").where("split is not null").select("qid", F.col("split").alias("language")).distinct()
+    a = m.micro_average(_per(spark, d), la, ["mrr_5", "ap"])
+    return a.withColumns({c: F.round(c, 6) for c in ("mrr_5", "ap")})
+
+
+@query(PER + """, a AS (SELECT system, avg(mrr_5) AS mrr_5, avg(ap) AS ap, avg(ndcg_10) AS ndcg_10 FROM per GROUP BY system), u AS (SELECT system, 'mrr_5' AS metric, mrr_5 AS v FROM a UNION ALL SELECT system, 'ap', ap FROM a UNION ALL SELECT system, 'ndcg_10', ndcg_10 FROM a)
+SELECT x.metric, round(x.v, 6) AS first, round(y.v, 6) AS second, round(y.v - x.v, 6) AS delta FROM u x JOIN u y USING (metric) WHERE x.system = 'dense_m3_b0001' AND y.system = 'hybrid_513_b0001'""")
+def metric_deltas(spark, d):
+    """Two sets of metrics, asked for by their names in any spelling, and what changed."""
+    per = written(_per(spark, d), "per")
+    names = [m.metric_name(x) for x in ("MRR@5", "map", "nDCG-10")]
+
+    def one(system: str) -> DataFrame:
+        a = per.where(F.col("system") == system).agg(*[F.avg(x).alias(x) for x in names])
+        return a.select(F.expr(f"stack({len(names)}, " + ", ".join(f"'{x}', {x}" for x in names) + ") as (metric, value)"))
+
+    r = m.metric_delta(one("dense_m3_b0001"), one("hybrid_513_b0001"))
+    return r.select("metric", *[F.round(c, 6).alias(c) for c in ("first", "second", "delta")])

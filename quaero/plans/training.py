@@ -275,6 +275,40 @@ def several_golds(spark, d):
     return quality.one_gold(table(spark, d, "en_train"))
 
 
+@query("SELECT qid, count(DISTINCT pubkey) AS golds FROM (SELECT text AS qid, pubkey FROM en_train UNION ALL SELECT text, pubkey FROM en_eval) GROUP BY qid HAVING count(DISTINCT pubkey) > 1")
+def texts_with_several_golds(spark, d):
+    """The same gate with the text as the query: equal posts that name different papers."""
+    q = table(spark, d, "en_train").select("text", "pubkey").unionByName(table(spark, d, "en_eval").select("text", "pubkey"))
+    return quality.one_gold(q, qid="text")
+
+
+@query(PAIRS_ALL + """, o AS (SELECT qid, docid, max(label) AS label FROM pr GROUP BY qid, docid), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY label DESC, docid) AS k FROM o)
+SELECT qid, coalesce(string_agg(docid, ' ' ORDER BY k) FILTER (label > 0), '') AS pos, string_agg(docid, ' ' ORDER BY k) AS docs FROM k WHERE k <= 20 GROUP BY qid""")
+def candidate_lists(spark, d):
+    """Positives and documents of each query as lists of at most twenty."""
+    c = tr.candidate_lists(_pairs_all(spark, d), 20)
+    return c.select("qid", F.array_join("pos", " ").alias("pos"), F.array_join("docs", " ").alias("docs"))
+
+
+@query(CAND_ALL + """, s AS (SELECT DISTINCT qid, docid, pos FROM na WHERE system = 'hybrid_513_b0001'), o AS (SELECT DISTINCT qid, docid, 1 AS y FROM runs WHERE system = 'bm25_v2_b0001' OR system = (SELECT min(system) FROM runs))
+SELECT count(*) AS negatives, round(avg(pos), 6) AS mean_rank, count(y) AS overlap, round(count(y) / CAST(greatest(count(*), 1) AS DOUBLE), 6) AS overlap_rate FROM s LEFT JOIN o USING (qid, docid)""")
+def negative_statistics(spark, d):
+    """Mean place of one run's negatives, and how many of them the first run by name has too."""
+    neg = tr.offset_negatives(_cand(spark, d)).select("qid", "docid", F.col("pos").alias("rank"))
+    r = t.runs(spark, d)
+    first = r.agg(F.min("system")).first()[0]
+    s = tr.negative_statistics(neg, r.where(F.col("system").isin(first, "bm25_v2_b0001")))
+    return s.withColumns({c: F.round(c, 6) for c in ("mean_rank", "overlap_rate")})
+
+
+@query("""WITH p AS (SELECT DISTINCT qid, pubkey AS docid FROM en_train WHERE qid IS NOT NULL AND pubkey IS NOT NULL), r AS (SELECT *, row_number() OVER (ORDER BY md5('42_' || qid || '_' || docid), qid, docid) AS r, count(*) OVER () AS n FROM p)
+SELECT qid, docid, CASE WHEN r <= CAST(floor(n * 0.1) AS BIGINT) THEN 'dev' ELSE 'train' END AS split FROM r""")
+def split_by_row(spark, d):
+    """Rows, not queries, cut nine to one."""
+    p = table(spark, d, "en_train").where("qid is not null and pubkey is not null").select("qid", F.col("pubkey").alias("docid")).distinct()
+    return tr.split_rows(p, ["qid", "docid"])
+
+
 @query(f"WITH {t.RUNS} SELECT qid AS index, '[' || string_agg(docid, ', ' ORDER BY rank) || ']' AS preds FROM runs WHERE system = 'hybrid_513_b0001' AND rank <= 5 GROUP BY qid")
 def submission_rows(spark, d):
     return sinks.submission_rows(t.runs(spark, d).where("system = 'hybrid_513_b0001'"))
@@ -302,14 +336,16 @@ def translation_cache_misses(spark, d):
     return augmentation.cache_misses(want, cache)
 
 
-@query("""WITH c AS (SELECT text_original AS s, text AS t FROM final_fr_tradottoen_test WHERE text_original IS NOT NULL AND text IS NOT NULL), j AS (SELECT a.s AS text, b.s AS variant FROM c a JOIN c b ON a.t = b.t WHERE trim(b.s) <> '')
-SELECT DISTINCT text, variant FROM j WHERE lower(trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g'))) <> lower(trim(regexp_replace(variant, '[\\s\\p{Z}]+', ' ', 'g')))""")
+BOTH = "SELECT text FROM en_train WHERE text IS NOT NULL UNION ALL SELECT text FROM en_eval WHERE text IS NOT NULL"
+
+
+@query(f"""WITH p AS ({BOTH}), c AS (SELECT DISTINCT text, lower({CLEANED}) AS pv FROM p), n AS (SELECT text, pv, lower(regexp_replace(regexp_replace(text, '{S}+', ' ', 'g'), '^ | $', '', 'g')) AS form FROM c WHERE trim(text) <> '')
+SELECT DISTINCT a.text, b.text AS variant FROM n a JOIN n b USING (pv) WHERE a.form <> b.form""")
 def back_translation_pairs(spark, d):
-    """Prompts that share an answer, as forward and backward translations."""
-    c = table(spark, d, "final_fr_tradottoen_test").where("text_original is not null and text is not null")
-    f = c.select(F.col("text_original").alias("source"), F.col("text").alias("target"))
-    b = c.select(F.col("text").alias("source"), F.col("text_original").alias("target"))
-    return augmentation.back_translations(f.select(F.col("source").alias("text")), f, b)
+    """Variants of posts over a pivot: here the pivot is the cleaned post in lower case, which reposts in another dress share."""
+    p = table(spark, d, "en_train").select("text").unionByName(table(spark, d, "en_eval").select("text")).where("text is not null and trim(text) <> ''")
+    pivot = p.select(F.col("text").alias("source"), F.lower(clean_post("text")).alias("target")).distinct()
+    return augmentation.back_translations(p, pivot, pivot.select(F.col("target").alias("source"), F.col("source").alias("target")))
 
 
 GRID_W = [(0.5, 0.15, 0.35), (0.35, 0.15, 0.5), (0.45, 0.1, 0.45), (0.4, 0.2, 0.4), (0.5, 0.1, 0.4), (1.0, 0.0, 0.0)]
