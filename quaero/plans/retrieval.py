@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaero.functions.text import STOPWORDS, expansion_views, simple_tokens
-from quaero.functions.vectors import blocks
+from quaero.functions.vectors import blocks, unit
 from quaero.operators import dense, fusion, index, rerank
 from quaero.plans import tables as t
 from quaero.plans.texts import VIEWS
@@ -192,8 +192,6 @@ def dense_topk(spark, d):
 SELECT qid, docid, round(round(list_avg(list_transform(a.t, lambda x: list_max(list_transform(b.t, lambda y: list_inner_product(x, y))))), 9), 6) AS score
 FROM de JOIN tk a ON a.vec_id = qid JOIN tk b ON b.vec_id = docid""")
 def late_interaction(spark, d):
-    from quaero.functions.vectors import unit
-
     e = table(spark, d, "embeddings").select("vec_id", blocks(unit(F.col("embedding")), 8).alias("tokens"))
     s = dense.late_interaction(_dense_ranked(spark, d), e.withColumnRenamed("vec_id", "qid"), e.withColumnRenamed("vec_id", "docid"))
     return s.select("qid", "docid", F.round("score", 6).alias("score"))
@@ -204,8 +202,6 @@ sp AS (SELECT de.qid, de.docid, round(coalesce(sum(a.weight * b.weight), 0), 9)
 
 
 def _sparse(spark, d, pairs):
-    from quaero.functions.vectors import unit
-
     w = table(spark, d, "embeddings").select("vec_id", F.posexplode(unit(F.col("embedding"))).alias("token", "weight")).where("weight > 0.1")
     return dense.sparse_scores(pairs, w.withColumnRenamed("vec_id", "qid"), w.withColumnRenamed("vec_id", "docid"))
 
@@ -220,14 +216,29 @@ la AS (SELECT qid, docid, round(list_avg(list_transform(a.t, lambda x: list_max(
 hy AS (SELECT qid, docid, round(de.score * CAST(0.5 AS DOUBLE) + sp.score * CAST(0.15 AS DOUBLE) + la.score * CAST(0.35 AS DOUBLE), 9) AS score FROM de JOIN sp USING (qid, docid) JOIN la USING (qid, docid)), """
   + t.ranked_sql("hy", "h", 5) + " SELECT qid, docid, round(score, 6) AS score, rank FROM h")
 def hybrid_linear(spark, d):
-    from quaero.functions.vectors import unit
-
     pool = written(_dense_ranked(spark, d), "pool")
     e = table(spark, d, "embeddings").select("vec_id", blocks(unit(F.col("embedding")), 8).alias("tokens"))
     late = dense.late_interaction(pool, e.withColumnRenamed("vec_id", "qid"), e.withColumnRenamed("vec_id", "docid"))
     return _out(dense.hybrid(pool, _sparse(spark, d, pool), late, 5))
 
 
+VIEW = f"""WITH {VEC}, b AS (SELECT vec_id, label, e, list_transform(e, lambda x, i: x * (1 + (i % 3) * CAST(0.5 AS DOUBLE))) AS z FROM u), s AS (SELECT vec_id, list_transform(z, lambda x: x / sqrt(list_inner_product(z, z))) AS e FROM b),
+sc AS (SELECT a.vec_id AS qid, b.vec_id AS docid, round(list_inner_product(a.e, b.e), 9) AS score FROM u a, u b), de AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM sc) WHERE rank <= 15),
+wq AS (SELECT vec_id, i AS token, e[i] AS weight FROM s, range(1, 65) r(i) WHERE e[i] > 0.1), wd AS (SELECT vec_id, i AS token, e[i] AS weight FROM u, range(1, 65) r(i) WHERE e[i] > 0.1),
+sp AS (SELECT de.qid, de.docid, round(coalesce(sum(a.weight * b.weight), 0), 9) AS score FROM de LEFT JOIN (wq a JOIN wd b ON a.token = b.token) ON a.vec_id = de.qid AND b.vec_id = de.docid GROUP BY ALL),
+tq AS (SELECT vec_id, list_transform(range(0, 8), lambda i: e[8 * i + 1 : 8 * i + 8]) AS t FROM s), td AS (SELECT vec_id, list_transform(range(0, 8), lambda i: e[8 * i + 1 : 8 * i + 8]) AS t FROM u),
+la AS (SELECT qid, docid, round(list_avg(list_transform(a.t, lambda x: list_max(list_transform(b.t, lambda y: list_inner_product(x, y))))), 9) AS score FROM de JOIN tq a ON a.vec_id = qid JOIN td b ON b.vec_id = docid),
+hy AS (SELECT qid, docid, round(de.score * CAST(0.5 AS DOUBLE) + sp.score * CAST(0.15 AS DOUBLE) + la.score * CAST(0.35 AS DOUBLE), 9) AS score FROM de JOIN sp USING (qid, docid) JOIN la USING (qid, docid)), """
+
+
+@query(VIEW + t.ranked_sql("hy", "h", 5) + " SELECT qid, docid, round(score, 6) AS score, rank FROM h")
+def hybrid_views(spark, d):
+    """A view of the query for each signal: the sparse and the late signal read a reweighted vector."""
+    e = table(spark, d, "embeddings").select("vec_id", unit(F.col("embedding")).alias("dense"))
+    q = e.withColumn("other", F.transform("dense", lambda x, i: x * (1 + ((i + 1) % 3) * F.lit(0.5))))
+    return _out(dense.hybrid_search(q, e, "vec_id", 5, 3, views=("dense", "other", "other")))
+
+
 @query(f"WITH {t.RUNS} SELECT system, qid, docid, rank, score FROM runs")
 def run_normalize(spark, d):
     return t.runs(spark, d).withColumn("rank", F.col("rank").cast("bigint"))
