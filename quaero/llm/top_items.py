@@ -1,11 +1,13 @@
 """Top N items within every group, by descending score bands.
 
 Each run's scores are cut into range-partitioned bands (quantiles of that
-run). The bands are processed from the top: the rows of a band are reduced to
-the best row of each (group, item), the N best of each group are kept, and
-groups that have N distinct items are filled and leave. The next band is read
-only for the groups that are left. The last band takes everything that
-remains, rows without a score included, so no row is ever out of reach.
+run). The prepared rows are written once, a folder for each band, so that a
+band is one scan of its own rows. The bands are processed from the top: the
+rows of a band are reduced to the best row of each (group, item), the N best of
+each group are kept, and groups that have N distinct items are filled and
+leave. The next band is read only for the groups that are left. The last band
+takes everything that remains, rows without a score included, so no row is ever
+out of reach.
 Equal scores share a band, because a band is a condition on the score; ties
 at its edge are settled by the exact order inside the band.
 
@@ -23,10 +25,12 @@ empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaero.session import written
+from quaero.session import shared_path, there, written
 
 #: White space that strips from an item id.
 SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
@@ -91,36 +95,34 @@ def top_items(
 
     ``shares``: the top shares of a run's scores at which a new band begins.
     """
+    spark = df.sparkSession
     rows = _prepared(df, run, query, item, score, rank)
     cuts = written(rows.groupBy("g1").agg(F.percentile_approx("minus", list(shares), 200).alias("cuts")), "cuts")
-    banded = rows.join(cuts.withColumnRenamed("g1", "c1"), F.col("g1").eqNullSafe(F.col("c1")), "left").drop("c1")
-    low = F.lit(None)
+    banded = rows.join(cuts.withColumnRenamed("g1", "c1"), F.col("g1").eqNullSafe(F.col("c1")), "left")
+    band = F.lit(len(shares))
+    for b in reversed(range(len(shares))):
+        band = F.when(F.col("minus") <= F.col("cuts")[b], b).otherwise(band)
+    path = shared_path(spark, "bands")
+    schema = rows.schema
+    banded.select(*rows.columns, band.alias("band")).write.partitionBy("band").parquet(path)
+
+    def of_band(b: int) -> DataFrame:
+        where = f"{path}/band={b}"
+        return spark.read.schema(schema).parquet(where) if there(spark, where) else spark.createDataFrame([], schema)
+
     taken: list[DataFrame] = []
     left: DataFrame | None = None
     for b in range(len(shares) + 1):
-        inside = F.lit(True)
-        if b:
-            low = F.col("cuts")[b - 1]
-            inside = F.col("minus").isNull() | low.isNull() | (F.col("minus") > low)
-        if b < len(shares):
-            inside = inside & (F.col("minus") <= F.col("cuts")[b])
-        band = banded.where(inside).drop("cuts")
-        if left is not None:
-            band = _only(band, left)
-        part = written(_best(band, n), f"band{b}")
-        taken.append(part)
+        inside = of_band(b) if left is None else _only(of_band(b), left)
+        taken.append(written(_best(inside, n), f"band{b}"))
         if b == len(shares):
             break
-        so_far = taken[0]
-        for t in taken[1:]:
-            so_far = so_far.unionByName(t)
+        so_far = reduce(DataFrame.unionByName, taken)
         filled = so_far.groupBy("g1", "g2").agg(F.countDistinct("item").alias("n")).where(F.col("n") >= n).select("g1", "g2")
-        groups = rows.select("g1", "g2").distinct() if left is None else left
+        groups = spark.read.schema(schema).parquet(path).select("g1", "g2").distinct() if left is None else left
         f = filled.select(F.col("g1").alias("f1"), F.col("g2").alias("f2"))
         left = written(groups.join(f, groups.g1.eqNullSafe(f.f1) & groups.g2.eqNullSafe(f.f2), "left_anti"), f"left{b}")
-    got = taken[0]
-    for t in taken[1:]:
-        got = got.unionByName(t)
+    got = reduce(DataFrame.unionByName, taken)
     return _best(got.drop("place"), n).select(
         F.col("g1").alias(run),
         F.col("g2").alias(query),
