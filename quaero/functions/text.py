@@ -94,6 +94,7 @@ def clean_by_category(c: C, mention: str | None = None) -> Column:
     return normalize_ws(F.regexp_replace(unescape_entities(x), r"[\p{So}\p{Cs}\p{Sk}]", ""))
 
 
+# The patterns of ``clean_post``, ``reference_tokens``, ``entity_cues`` and ``path_language`` must match as they are.
 def reference_tokens(c: C) -> Column:
     """Tokens of an article: reference marks, database names and links go; lower-case letters, digits and hyphens stay."""
     x = F.regexp_replace(col(c), r"\[\d+\]|\(\d+\)|Google Scholar|Crossref|PubMed", " ")
@@ -400,6 +401,52 @@ def vocabulary_words(c: C) -> Column:
     return F.array_distinct(F.filter(w, lambda x: F.rlike(x, F.lit("^[a-z]{3,}$"))))
 
 
+def document_text(title: C, abstract: C, authors: C | None = None, style: str = "plain", other: C | None = None, most: int | None = None) -> Column:
+    """The text of a paper, white space folded; blank parts are left out, and without any part it is empty.
+
+    ``plain``: title abstract. ``dotted``: title. abstract. ``authors`` and
+    ``dotted_authors``: the same with ``Authors: ...`` behind; a dotted text needs
+    both parts, else it is the one there is, else ``other``. ``trimmed``: dotted,
+    without dots and spaces at its ends. ``merged``: plain, a part that repeats
+    another but for case is left out. ``most``: the characters that a model takes.
+    """
+    filled = lambda c: F.nullif(normalize_ws(c), F.lit(""))
+    a, b = filled(title), filled(abstract)
+    by = F.concat(F.lit("Authors: "), filled(authors)) if authors is not None else F.lit(None).cast("string")
+    dotted = F.coalesce(F.concat(a, F.lit(". "), b), a, b, filled(other) if other is not None else F.lit(None))
+    if style == "plain":
+        out = F.concat_ws(" ", a, b)
+    elif style == "authors":
+        out = F.concat_ws(" ", a, b, by)
+    elif style == "dotted":
+        out = F.coalesce(dotted, F.lit(""))
+    elif style == "dotted_authors":
+        out = F.concat_ws(" ", dotted, F.when(a.isNotNull() & b.isNotNull(), by))
+    elif style == "trimmed":
+        out = F.regexp_replace(F.coalesce(F.concat(F.coalesce(a, F.lit("")), F.lit(". "), F.coalesce(b, F.lit(""))), F.lit("")), r"^[. ]++|[. ]+$", "")
+    elif style == "merged":
+        out = F.array_join(first_by_lower(F.array_compact(F.array(a, b))), " ")
+    else:
+        raise ValueError(f"no style {style}")
+    return out if most is None else F.substring(out, 1, most)
+
+
+def keywords(c: C, stop: list[str] = STOPWORDS, tagger=None) -> Column:
+    """Keywords of a text, distinct and in order, joined by spaces.
+
+    ``tagger``: a function from the text column to a list of lower-case lemmas
+    of nouns and names (a model behind a pandas UDF). Without one, the terms
+    that ``query_terms`` puts first stand for nouns, with their plural ending off.
+    """
+    if tagger is not None:
+        lemmas = tagger(col(c))
+    else:
+        t = F.regexp_extract_all(col(c), F.lit(r"([A-Za-zÀ-ÿ0-9]+(?:['\-][A-Za-zÀ-ÿ0-9]+)*+)"))
+        t = F.filter(t, lambda w: (F.length(w) > 2) & (F.rlike(w, F.lit(r"[0-9\-]|^[A-ZÀ-ÖØ-Þ]")) | (F.length(w) > 5)))
+        lemmas = F.transform(t, lambda w: F.regexp_replace(F.regexp_replace(F.lower(w), "(?<=[a-z]{3})ies$", "y"), "(?<=[a-z]{3}[^s])s$", ""))
+    return F.array_join(F.array_distinct(_without(lemmas, stop)), " ")
+
+
 def format_bytes(c: C) -> Column:
     x = col(c).cast("double")
     out = F.format_string("%.1f TiB", x / 1024**4)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quaero.plans import evaluation, retrieval, streams, texts, training
+from quaero.plans import evaluation, files, retrieval, streams, texts, training
 
 
-MODULES = [retrieval, evaluation, texts, training, streams]
+MODULES = [retrieval, evaluation, texts, training, files, streams]
 
 
 def queries() -> dict[str, Callable]:

@@ -188,11 +188,19 @@ def hashtag_words(spark, d):
 
 
 @query(f"""WITH {t.CORPUS}, k AS (SELECT docid, nullif({ws('title')}, '') AS a, nullif({ws('abstract')}, '') AS b, nullif({ws('authors')}, '') AS c FROM corpus)
-SELECT docid, concat_ws(' ', a, b) AS plain, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN a || '. ' || b ELSE coalesce(a, b, '') END AS dotted, concat_ws(' ', a, b, CASE WHEN c IS NOT NULL THEN 'Authors: ' || c END) AS with_authors FROM k""")
+SELECT docid, concat_ws(' ', a, b) AS plain, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN a || '. ' || b ELSE coalesce(a, b, '') END AS dotted, concat_ws(' ', a, b, CASE WHEN c IS NOT NULL THEN 'Authors: ' || c END) AS with_authors,
+CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN concat_ws(' ', a || '. ' || b, 'Authors: ' || c) ELSE coalesce(a, b, '') END AS dotted_authors, left(regexp_replace(coalesce(a, '') || '. ' || coalesce(b, ''), '^[. ]+|[. ]+$', '', 'g'), 200) AS trimmed,
+CASE WHEN lower(a) = lower(b) THEN a ELSE concat_ws(' ', a, b) END AS merged FROM k""")
 def doc_text_variants(spark, d):
-    c = t.corpus(spark, d).select("docid", *[F.nullif(x.normalize_ws(n), F.lit("")).alias(k) for n, k in (("title", "a"), ("abstract", "b"), ("authors", "c"))])
-    dotted = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.concat("a", F.lit(". "), "b")).otherwise(F.coalesce("a", "b", F.lit("")))
-    return c.select("docid", F.concat_ws(" ", "a", "b").alias("plain"), dotted.alias("dotted"), F.concat_ws(" ", "a", "b", F.concat(F.lit("Authors: "), "c")).alias("with_authors"))
+    v = {"plain": "plain", "dotted": "dotted", "with_authors": "authors", "dotted_authors": "dotted_authors", "merged": "merged"}
+    return t.corpus(spark, d).select("docid", *[x.document_text("title", "abstract", "authors", s).alias(n) for n, s in v.items()], x.document_text("title", "abstract", style="trimmed", most=200).alias("trimmed"))
+
+
+@query(f"""WITH {t.POSTS}, w AS (SELECT qid, list_filter({MULTI}, lambda k: length(k) > 2 AND (regexp_matches(k, '[0-9\\-]|^[A-ZÀ-ÖØ-Þ]') OR length(k) > 5)) AS a FROM posts),
+l AS (SELECT qid, list_filter(list_transform(a, lambda k: regexp_replace(regexp_replace(lower(k), '([a-z]{{3}})ies$', '\\1y'), '([a-z]{{3}}[^s])s$', '\\1')), lambda k: NOT list_contains({t.STOP_SQL}, k)) AS a FROM w)
+SELECT qid, array_to_string({distinct_in_order('a')}, ' ') AS keywords FROM l""")
+def keyword_terms(spark, d):
+    return _posts(spark, d).select("qid", x.keywords("text").alias("keywords"))
 
 
 @query(f"""WITH q AS (SELECT DISTINCT qid, text FROM en_eval WHERE trim(text) <> ''), g AS (SELECT DISTINCT qid, pubkey FROM en_eval WHERE pubkey IS NOT NULL), {t.CORPUS},

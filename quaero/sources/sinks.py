@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import os
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaero.functions.text import strip
+from quaero.functions.text import path_language, path_split, strip
 
 
 def ranked_lists(run: DataFrame, most: int | None = None) -> DataFrame:
@@ -21,9 +23,17 @@ def write_run(run: DataFrame, path: str, mode: str = "errorifexists") -> None:
     run.write.mode(mode).partitionBy("system").parquet(path)
 
 
-def write_rankings_json(run: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One JSON object {qid: [docids]} on each line, one query a line, so that no task holds all queries."""
-    ranked_lists(run).select(F.to_json(F.create_map("qid", "preds")).alias("value")).write.mode(mode).text(path)
+def write_rankings_json(run: DataFrame, path: str, mode: str = "errorifexists", most: int | None = None) -> None:
+    """One JSON object {qid: [docids]} on each line, one query a line, so that no task holds all queries; ``most`` cuts a list before it is collected."""
+    ranked_lists(run, most).select(F.to_json(F.create_map("qid", "preds")).alias("value")).write.mode(mode).text(path)
+
+
+def rankings_object(run: DataFrame, most: int, limit: int = 100_000) -> str:
+    """The text of one JSON object {qid: [docids]}; for exchange with tools that read such a file. More than ``limit`` queries are an error: they belong into lines."""
+    rows = ranked_lists(run, most).orderBy("qid").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} queries; use write_rankings_json")
+    return json.dumps({r.qid: r.preds for r in rows}, ensure_ascii=False)
 
 
 def submission_rows(run: DataFrame, k: int = 5) -> DataFrame:
@@ -61,14 +71,44 @@ def append_trial(df: DataFrame, path: str) -> None:
     df.write.mode("append").csv(path, header=False)
 
 
-def metrics_document(per: DataFrame, totals: DataFrame, system: str) -> DataFrame:
-    """One row ``value``: JSON of metadata and aggregate metrics of a system."""
-    return totals.where(F.col("system") == system).select(F.to_json(F.struct(F.struct(F.col("system").alias("run"), F.col("queries").alias("queries")).alias("metadata"), F.struct(*[c for c in totals.columns if c not in ("system", "queries")]).alias("metrics"))).alias("value"))
+def metrics_document(per: DataFrame, totals: DataFrame, system: str, with_queries: bool = False) -> DataFrame:
+    """One row ``value``: JSON of metadata and aggregate metrics of a system; ``with_queries`` adds rows (kind, value) with each query's metrics, one JSON object each."""
+    one = totals.where(F.col("system") == system).select(F.to_json(F.struct(F.struct(F.col("system").alias("run"), F.col("queries").alias("queries")).alias("metadata"), F.struct(*[c for c in totals.columns if c not in ("system", "queries")]).alias("metrics"))).alias("value"))
+    if not with_queries:
+        return one
+    each = per.where(F.col("system") == system).select(F.lit("per_query").alias("kind"), F.to_json(F.struct(*[c for c in per.columns if c != "system"])).alias("value"))
+    return one.select(F.lit("metrics").alias("kind"), "value").unionByName(each)
+
+
+def write_checked_json(df: DataFrame, path: str, needed: list[str], mode: str = "errorifexists") -> int:
+    """JSON lines of rows whose ``needed`` columns are all filled, else ValueError before anything is written; gives their number. The committer renames whole files only."""
+    blank = [F.col(c).isNull() | (strip(F.col(c).cast("string")) == "") for c in needed]
+    bad = df.where(reduce(lambda a, b: a | b, blank)).limit(1).count() if blank else 0
+    if bad:
+        raise ValueError(f"rows without {', '.join(needed)}")
+    write_json_lines(df, path, mode)
+    return df.count()
+
 
+def export_set(parts: dict[str, DataFrame], folder: str, mode: str = "errorifexists") -> dict[str, int]:
+    """Writes each table as JSON lines below a folder, and a summary with their row counts; gives the counts."""
+    spark = next(iter(parts.values())).sparkSession
+    counts = {}
+    for name, df in parts.items():
+        write_json_lines(df, f"{folder}/{name}", mode)
+        counts[name] = spark.read.text(f"{folder}/{name}").count()
+    rows = spark.createDataFrame([(k, v) for k, v in counts.items()], "part string, rows bigint").coalesce(1)
+    rows.write.mode(mode).json(f"{folder}/summary")
+    return counts
 
-def manifest(coverage: DataFrame, paths: Column | None = None) -> DataFrame:
-    """Rows of a run manifest, the coverage with six digits."""
-    return coverage.select("system", "ranking_qids", "matched_qids", F.format_string("%.6f", "coverage").alias("coverage"), (paths if paths is not None else F.lit("")).alias("ranking_file"))
+
+def manifest(coverage: DataFrame, paths: Column | None = None, statistics: Column | None = None) -> DataFrame:
+    """Rows of a run manifest: coverage with six digits, split and language from the ranking file's path, and the path of its metrics."""
+    p = paths if paths is not None else F.lit("")
+    return coverage.select(
+        "system", path_split(p).alias("split"), path_language(p).alias("language"), "ranking_qids", "matched_qids", F.format_string("%.6f", "coverage").alias("coverage"),
+        p.alias("ranking_file"), (statistics if statistics is not None else F.lit("")).alias("metrics_file"),
+    )
 
 
 def export_id(c: Column) -> Column:
@@ -76,11 +116,6 @@ def export_id(c: Column) -> Column:
     return F.when(F.rlike(c, F.lit("^[0-9]+$")), c.try_cast("bigint"))
 
 
-def postings_table(posts: DataFrame, name: str, buckets: int = 64) -> None:
-    """The postings as a table bucketed by term, so that query joins need no shuffle of it."""
-    posts.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(name)
-
-
 def free_name(path: str) -> str:
     """The path, or with _1, _2, ... before its suffix, whichever does not exist."""
     stem, ext = os.path.splitext(path)
@@ -103,7 +138,3 @@ def report(spark: SparkSession, title: str, tables: dict[str, DataFrame], most:
         out += ["", name, "\t".join(t.columns)]
         out += ["\t".join("" if v is None else str(v) for v in r) for r in t.limit(most).collect()]
     return "\n".join(out) + "\n"
-
-
-def clean_cell(c: str) -> Column:
-    return strip(F.regexp_replace(c, r"[\t\r\n]+", " "))
