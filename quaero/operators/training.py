@@ -159,11 +159,11 @@ def filled_negatives(queries: DataFrame, run: DataFrame, golds: DataFrame, texts
     positive = own.join(keys, "docid").select("qid", "key").distinct()
     chosen = written(fused_negatives(run, golds, texts, n, c, seed, base=base), "chosen")
     asked = written(queries.select("qid").where("qid is not null").distinct(), "asked")
-    total, steps = keys.count(), 2 * n + 8
+    total, met, steps = keys.count(), 0, 2 * n + 8
     while True:
         have = chosen.groupBy("qid").agg(F.count("*").alias("have"))
         short = written(asked.join(have, "qid", "left").fillna(0, ["have"]).where(F.col("have") < n), "short")
-        if short.isEmpty() or steps >= 2 * total:
+        if met >= total or short.isEmpty():
             return chosen
         used = chosen.join(short.select("qid"), "qid", "left_semi").join(keys, "docid").select("qid", "key").distinct()
         got = drawn(short.select("qid", F.lit(steps).cast("bigint").alias("steps")), keys, seed).join(keys, "docid")
@@ -171,7 +171,7 @@ def filled_negatives(queries: DataFrame, run: DataFrame, golds: DataFrame, texts
         once = got.withColumn("k", F.row_number().over(Window.partitionBy("qid", "key").orderBy("step"))).where("k = 1")
         more = once.join(short, "qid").withColumn("place", F.col("have").cast("int") + F.row_number().over(Window.partitionBy("qid").orderBy("step"))).where(F.col("place") <= n)
         chosen = written(chosen.unionByName(more.select("qid", "docid", F.lit(3).alias("stage"), "place", F.lit(None).cast("bigint").alias("support"))), "chosen")
-        steps *= 2
+        met, steps = steps, 2 * steps
 
 
 def random_negatives(queries: DataFrame, corpus: DataFrame, golds: DataFrame, n: int, seed: str = "42") -> DataFrame:

@@ -199,3 +199,86 @@ def test_groups_are_topped_up_as_far_as_positives_go(spark, queries):
         own = sum(x[0] == f"q{i}" and x[2] == 0 for x in rows)
         free = queries - 1 - (own if i == 0 else 0)
         assert sum(r.qid == f"q{i}" for r in got) == max(own, min(12, own + free)), i
+
+
+def test_random_negatives_are_always_n(spark):
+    """Small corpora, many golds: n wherever the corpus has so many that are no positives."""
+    for docs_, golds_ in ((3, 0), (12, 9), (40, 30), (300, 5)):
+        corpus = spark.createDataFrame([(f"d{i}",) for i in range(docs_)], "docid string")
+        q = spark.createDataFrame([(f"q{i}",) for i in range(30)], "qid string")
+        g = spark.createDataFrame([(f"q{i}", f"d{(i + j) % docs_}") for i in range(30) for j in range(golds_)], "qid string, docid string")
+        rows = [tuple(r) for r in training.random_negatives(q, corpus, g, 5).collect()]
+        own = {tuple(r) for r in g.collect()}
+        assert len(set(rows)) == len(rows) and not own & set(rows)
+        assert all(sum(r[0] == f"q{i}" for r in rows) == min(5, docs_ - golds_) for i in range(30))
+
+
+def test_filled_negatives(spark):
+    run = spark.createDataFrame([("s", "q", "a", 1), ("s", "q", "b", 2), ("t", "q", "b", 1)], "system string, qid string, docid string, rank int")
+    # Half of the corpus has the positive's text: the first draws are not enough.
+    texts = spark.createDataFrame([(d, d) for d in "ab"] + [(f"x{i}", "gold" if i % 2 else f"text {i}") for i in range(60)] + [("g", "gold")], "docid string, text string")
+    gold = spark.createDataFrame([("q", "g"), ("r", "g")], "qid string, docid string")
+    queries = spark.createDataFrame([("q",), ("r",), (None,)], "qid string")
+    base = spark.createDataFrame([("q", "x2", 1), ("q", "x1", 2)], "qid string, docid string, pos int")
+    got = training.filled_negatives(queries, run, gold, texts, 20, base=base).collect()
+    for q in "qr":
+        mine = sorted((r for r in got if r.qid == q), key=lambda r: r.place)
+        assert [r.place for r in mine] == list(range(1, 21)) and len({r.docid for r in mine}) == 20 and not any(r.docid[1:].isdigit() and int(r.docid[1:]) % 2 for r in mine)
+    assert [(r.docid, r.stage, r.support) for r in sorted((r for r in got if r.qid == "q"), key=lambda r: r.place)[:3]] == [("b", 1, 2), ("a", 1, 1), ("x2", 2, None)]
+    few = training.filled_negatives(queries, run, gold, texts.where("docid in ('a', 'b', 'g', 'x2')"), 20).groupBy("qid").count().collect()
+    assert {r.qid: r["count"] for r in few} == {"q": 3, "r": 3}
+
+
+def test_gates(spark):
+    neg = spark.createDataFrame([("q", "a", 1, 2), ("q", "b", 3, None), ("r", "c", 3, None)], "qid string, docid string, stage int, support bigint")
+    m = quality.build_quality(neg, 2, runs=2, per_run=1)
+    r = m.first()
+    assert (r.rows, r.capacity_per_row, r.least_fallback, r.avg_selected, r.rows_with_run, r.rows_only_fallback, r.rows_underfilled, r.rows_with_overlap_negatives) == (2, 2, 0, 1.5, 0.5, 0.5, 0.5, 0.5)
+    with pytest.raises(ValueError, match="50.0% of the rows are short"):
+        quality.require_quality(m)
+    with pytest.raises(ValueError, match="have a run negative.*fallback only"):
+        quality.require_quality(m, least_with_run=0.9, most_only_fallback=0.1)
+    quality.require_quality(quality.build_quality(neg.where("qid = 'q'"), 2))
+    run = spark.createDataFrame([("s", "q", "a", 1), ("t", "z", "a", 1), ("u", "q", "g", 1)], "system string, qid string, docid string, rank int")
+    q, c, g = spark.createDataFrame([("q",), ("r",)], "qid string"), spark.createDataFrame([("a",), ("g",)], "docid string"), spark.createDataFrame([("q", "g")], "qid string, docid string")
+    a = quality.alignment(run, q, c, g)
+    with pytest.raises(ValueError, match="t has none of the 2 queries; u has no usable candidate"):
+        quality.require_runs(a, 2)
+    with pytest.raises(ValueError, match="less than 90.0%"):
+        quality.require_runs(a.where("system = 's'"), 2, least_overlap=0.9)
+    quality.require_runs(a.where("system = 's'"), 2, 0.5, 0.5)
+    st = training.negative_statistics(run.select("qid", "docid", "rank"), run.where("system = 's'"))
+    assert st.first().overlap == 1 and len(quality.coverage_warnings(st, 10, 5)) == 2 and quality.coverage_warnings(st, 10, 9, least_rank=0) == []
+    groups = spark.createDataFrame([("q", "a", 1), ("q", "b", 0), ("q", "c", 0), ("q", "x", 0)], "qid string, docid string, label int")
+    texts = spark.createDataFrame([("a", "One text of six whole words"), ("b", "one  TEXT of six whole words"), ("c", "another text with six whole words"), ("x", " ")], "docid string, text string")
+    assert {r.issue for r in quality.violations(groups, texts, 3.0, n=2).collect()} == {"text of a positive", "no text", "wrong number of negatives"}
+
+
+def test_metric_helpers(spark):
+    s = spark.createDataFrame([("q", "a", 1, 0.1), ("q", "b", 0, 0.5), ("r", "c", 1, 1.0), ("t", "d", 1, 0.5), ("t", "e", 0, 0.5)], "qid string, docid string, label int, score double")
+    assert tuple(metrics.candidate_mrr(s).first()) == (2, 1, 0.75)
+    assert [metrics.metric_name(n) for n in ("MRR@5", "map", "nDCG@10", "recall-100")] == ["mrr_5", "ap", "ndcg_10", "recall_100"]
+    with pytest.raises(ValueError):
+        metrics.metric_name("bleu")
+    a = spark.createDataFrame([("x", 0.5), ("y", 1.0)], "metric string, value double")
+    assert {tuple(r) for r in metrics.metric_delta(a, a.where("metric = 'x'").selectExpr("metric", "value + 0.1 as value")).collect()} == {("x", 0.5, 0.6, 0.1), ("y", 1.0, None, None)}
+    run = spark.createDataFrame([("q", "a", 1), ("q", "b", 2)], "qid string, docid string, rank int")
+    assert [r.score for r in metrics.synthetic_scores(run, 10).orderBy("rank").collect()] == [10.0, 9.0]
+    assert dense.query_prefix("BAAI/bge-m3") == "" and dense.query_prefix("BAAI/bge-large").startswith("Represent") and dense.query_prefix("x", "p") == "p"
+    assert dense.valid_positions(spark.createDataFrame([(-1,), (0,), (4,), (5,)], "position int"), 5).count() == 2
+    groups = spark.createDataFrame([("q", "p", 1), ("q", "a", 0), ("q", "b", 0), ("q", "p", 0)], "qid string, docid string, label int")
+    assert tuple(training.candidate_lists(groups, 2).first()) == ("q", ["p"], ["p", "a"])
+    assert training.split_rows(groups, ["qid", "docid", "label"], 0.25).where("split = 'dev'").count() == 1
+    with pytest.raises(ValueError, match="leave a split empty"):
+        training.split_by_query(groups, filled=True)
+
+
+def test_stored_index(spark, docs):
+    q = spark.createDataFrame([("q1", "red fox"), ("q2", "blue")], "qid string, query string")
+    i = index.stored(docs.unionByName(docs), "docid", fields(), buckets=2)
+    terms = index.query_terms(q, "qid", simple_tokens("query"))
+    a = {(r.qid, r.docid, round(r.score, 8)) for r in index.bm25_scores(terms, i.posts, i.statistics, frequencies=i.frequencies).collect()}
+    b = {(r.qid, r.docid, round(r.score, 8)) for r in index.bm25_scores(terms, index.postings(docs, "docid", fields()), index.field_statistics(docs, fields())).collect()}
+    assert a == b and a
+    plan = index.ranked(index.bm25_scores(terms, i.posts, i.statistics, frequencies=i.frequencies), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "SelectedBucketsCount: 2 out of 2" in plan

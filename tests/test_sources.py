@@ -122,3 +122,70 @@ def test_shared_folder_needs_a_setting_on_a_cluster(spark, monkeypatch):
     import os
 
     assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
+
+
+def test_shapes_and_missing_files(spark, tmp_path):
+    a = put(tmp_path, "a.json", [{"qid": "1", "text": "x"}])
+    b = put(tmp_path, "b.json", {"1": "x", "2": {"text": "y"}})
+    c = put(tmp_path, "c.json", {"1": ["d"], "2": []})
+    d = put(tmp_path, "d.jsonl", '{"qid": "1", "text": "x"}\n{"qid": "2", "text": "y"}\n')
+    e = put(tmp_path, "e.json", "")
+    assert [readers.shape(spark, p) for p in (a, b, c, d)] == ["records", "map of values", "map of lists", "lines"]
+    assert rows(readers.any_queries(spark, a), "qid", "query") == [("1", "x")] and readers.any_queries(spark, b).count() == readers.any_queries(spark, d).count() == 2
+    with pytest.raises(ValueError):
+        readers.shape(spark, e)
+    with pytest.raises(FileNotFoundError):
+        readers.existing(spark, [a, e])
+    with pytest.warns(UserWarning):
+        assert readers.existing(spark, [a, str(tmp_path / "none.json")], needed=False) == [a]
+    q = spark.createDataFrame([("3", "c", 1), ("1", " ", 0), ("2", "b", 2)], "qid string, query string, n int")
+    assert rows(readers.first_queries(q, 1, "q: ", "n"), "qid", "query") == [("3", "q: c")]
+    assert readers.query_ids(q).count() == 3
+    with pytest.raises(ValueError):
+        readers.query_ids(q.limit(0))
+    assert readers.discover_inputs(str(tmp_path), outputs=("a",)) == [b, c, e]
+
+
+def test_bad_lines_have_numbers(spark, tmp_path):
+    p = put(tmp_path, "x.jsonl", '{"a": "1"}\n' * 41 + "{oops\n" + '{"a": "1"}\n' * 3 + "[1\n")
+    assert [(r.line, r.value) for r in readers.bad_lines(spark, p).orderBy("line").collect()] == [(42, "{oops"), (46, "[1")]
+    with pytest.raises(ValueError, match="line 42: {oops"):
+        readers.json_lines(spark, p, "a string")
+    assert readers.json_lines(spark, put(tmp_path, "y.jsonl", '{"a": "1"}\n'), "a string").columns == ["a"]
+
+
+def test_first_text_of_an_id_and_caches(spark, tmp_path):
+    d = spark.createDataFrame([("1", "", "", 0), ("1", "z", "", 1), ("1", "a", "", 2)], "docid string, title string, abstract string, n int")
+    assert rows(readers.corpus(d, order="n"), "text") == [("z",)] and rows(readers.corpus(d), "text") == [("a",)]
+    for bad in ({"x": "y"}, {"x": {"a": None}}, ["a"]):
+        with pytest.raises(ValueError):
+            readers.translation_cache(spark, put(tmp_path, "t.json", bad))
+    assert readers.seen_trials(spark, str(tmp_path / "none"), ["w"]).count() == 0
+    sinks.append_trial(spark.createDataFrame([(0.5, 0.1)] * 2, "w double, v double"), str(tmp_path / "trials"))
+    assert rows(readers.seen_trials(spark, str(tmp_path / "trials"), ["w", "v"]), "w", "v") == [(0.5, 0.1)]
+
+
+def test_checked_writers(spark, tmp_path):
+    df = spark.createDataFrame([("1", "x"), ("2", " ")], "qid string, text string")
+    with pytest.raises(ValueError):
+        sinks.write_checked_json(df, str(tmp_path / "a"), ["text"])
+    assert not (tmp_path / "a").exists() and sinks.write_checked_json(df, str(tmp_path / "a"), ["qid"]) == 2
+    assert sinks.export_set({"q": df, "e": df.limit(0)}, str(tmp_path / "set")) == {"q": 2, "e": 0}
+    assert spark.read.json(str(tmp_path / "set/summary")).count() == 2
+    run = spark.createDataFrame([("s", "q", f"d{i}", i) for i in range(1, 8)], "system string, qid string, docid string, rank int")
+    assert json.loads(sinks.rankings_object(run, 2)) == {"q": ["d1", "d2"]}
+    with pytest.raises(ValueError):
+        sinks.rankings_object(run, 2, limit=0)
+    cov = spark.createDataFrame([("s", 2, 1, 0.5)], "system string, ranking_qids int, matched_qids int, coverage double")
+    m = sinks.manifest(cov, F.lit("x/dev_set/run_fr_dev.json")).first()
+    assert (m.split, m.language, m.coverage) == ("dev", "fr", "0.500000")
+    per = spark.createDataFrame([("s", "q", 1.0), ("t", "q", 0.0)], "system string, qid string, ap double")
+    totals = spark.createDataFrame([("s", 1, 1.0)], "system string, queries int, ap double")
+    assert {r.kind for r in sinks.metrics_document(per, totals, "s", with_queries=True).collect()} == {"metrics", "per_query"}
+
+
+def test_exact_keys(spark):
+    from quaero.operators import quality
+
+    df = spark.createDataFrame([('{"a": 1, "b": "x"}',), ('{"a": 1}',), ('{"a": 1, "b": 2, "c": 3}',), ("no",), ('{"a": "q", "b": 1}',)], "value string")
+    assert sorted(r.issue for r in quality.exact_keys(df, ["a", "b"], "a").collect()) == ["missing key", "no object", "no whole number", "unknown key"]
