@@ -41,7 +41,7 @@ SENTENCE = 4
 SURE, CONFIDENT = 6, 0.95
 #: Least share of the letters of a prompt that an answer has.
 SHORT = 0.6
-#: The same share where the answer has fewer sentences than the prompt.
+#: The same share where the texts share no anchor and the answer has fewer sentences than the prompt.
 FEWER = 0.75
 #: Letters after the last anchor of a prompt that count, and the share of them below which the answer has lost its end.
 TAIL, LOST = 30, 0.5
@@ -157,8 +157,9 @@ def truncated(prompt: str, answer: str) -> bool:
         if a.count(o) > a.count(e) and p.count(o) <= p.count(e):
             return True
     rest, left = tails(p, a)
-    share = FEWER if len(sentences(a)) < len(sentences(p)) else SHORT
-    return rest >= TAIL and left < LOST * rest or letters(a) < share * letters(p)
+    whole = letters(p)
+    share = FEWER if rest == whole and len(sentences(a)) < len(sentences(p)) else SHORT
+    return rest >= TAIL and left < LOST * rest or letters(a) < share * whole
 
 
 def refuses(prompt: str, answer: str) -> bool:
