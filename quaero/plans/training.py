@@ -9,7 +9,7 @@ from quaero.operators import augmentation, fusion, quality
 from quaero.operators import training as tr
 from quaero.plans import tables as t
 from quaero.plans.retrieval import DENSE, _dense_ranked
-from quaero.plans.texts import EMOJI, S
+from quaero.plans.texts import post_sql, ws
 from quaero.session import table, written
 from quaero.sources import sinks
 
@@ -189,19 +189,12 @@ def split_by_query(spark, d):
     return tr.split_by_query(table(spark, d, "en_train"))
 
 
-W = r"[\p{L}\p{M}\p{Nd}\p{Pc}\x{200c}\x{200d}]"
-
-
-CLEANED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'http\\S+|www\\S+', '', 'g'), '@" + W + "+', '', 'g'), '#(" + W + "+)', '\\1', 'g'), '" + EMOJI + "', '', 'g'), '" + S + "+', ' ', 'g'), '^ | $', '', 'g')"
-
-
-@query(f"""WITH {t.POSTS}, v AS (SELECT qid, regexp_replace(regexp_replace(text, '{S}+', ' ', 'g'), '^ | $', '', 'g') AS a, {CLEANED} AS b FROM posts),
-r AS (SELECT qid, 0 AS i, 'original' AS variant, a AS text FROM v UNION ALL SELECT qid, 1, 'cleaned', b FROM v UNION ALL SELECT qid, 2, 'lowered', lower(b) FROM v)
+@query(f"""WITH {t.POSTS}, r AS (SELECT qid, 0 AS i, 'original' AS variant, {ws('text')} AS text FROM posts UNION ALL SELECT qid, 1, 'cleaned', {post_sql('')} FROM posts UNION ALL SELECT qid, 2, 'anonymous', {post_sql('@user')} FROM posts)
 SELECT qid, arg_min(variant, i) AS variant, text FROM r WHERE text <> '' GROUP BY qid, text""")
 def variant_rows(spark, d):
     """Original and cleaned texts of posts; equal texts of a query once."""
-    p = t.posts(spark, d).select("qid", F.col("text").alias("original"), clean_post("text").alias("cleaned"), F.lower(clean_post("text")).alias("lowered"))
-    return tr.query_variants(p, ["original", "cleaned", "lowered"])
+    p = t.posts(spark, d).select("qid", F.col("text").alias("original"), clean_post("text").alias("cleaned"), clean_post("text", "@user").alias("anonymous"))
+    return tr.query_variants(p, ["original", "cleaned", "anonymous"])
 
 
 PAIRS = CAND + """, ps AS (SELECT qid, docid FROM golds WHERE qid IN (SELECT qid FROM ng)),
@@ -339,12 +332,12 @@ def translation_cache_misses(spark, d):
 BOTH = "SELECT text FROM en_train WHERE text IS NOT NULL UNION ALL SELECT text FROM en_eval WHERE text IS NOT NULL"
 
 
-@query(f"""WITH p AS ({BOTH}), c AS (SELECT DISTINCT text, lower({CLEANED}) AS pv FROM p), n AS (SELECT text, pv, lower(regexp_replace(regexp_replace(text, '{S}+', ' ', 'g'), '^ | $', '', 'g')) AS form FROM c WHERE trim(text) <> '')
+@query(f"""WITH p AS ({BOTH}), c AS (SELECT DISTINCT text, {post_sql('')} AS pv FROM p), n AS (SELECT text, pv, lower({ws('text')}) AS form FROM c WHERE trim(text) <> '')
 SELECT DISTINCT a.text, b.text AS variant FROM n a JOIN n b USING (pv) WHERE a.form <> b.form""")
 def back_translation_pairs(spark, d):
-    """Variants of posts over a pivot: here the pivot is the cleaned post in lower case, which reposts in another dress share."""
+    """Variants of posts over a pivot: here the pivot is the cleaned post, which reposts in another dress share."""
     p = table(spark, d, "en_train").select("text").unionByName(table(spark, d, "en_eval").select("text")).where("text is not null and trim(text) <> ''")
-    pivot = p.select(F.col("text").alias("source"), F.lower(clean_post("text")).alias("target")).distinct()
+    pivot = p.select(F.col("text").alias("source"), clean_post("text").alias("target")).distinct()
     return augmentation.back_translations(p, pivot, pivot.select(F.col("target").alias("source"), F.col("source").alias("target")))
 
 
