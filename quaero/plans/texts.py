@@ -238,7 +238,7 @@ def vocab_jaccard(spark, d):
 
 @query("SELECT lang, kind, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars, count(DISTINCT text) AS texts FROM documents GROUP BY lang, kind")
 def documents_by_language(spark, d):
-    return table(spark, d, "documents").groupBy("lang", "kind").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"), F.countDistinct("text").alias("texts"))
+    return table(spark, d, "documents").groupBy("lang", "kind").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"), F.countDistinct(F.md5(F.col("text").cast("binary"))).alias("texts"))
 
 
 @query("SELECT source_kind, count(*) AS documents, count(DISTINCT d.source) AS sources FROM documents d JOIN source_catalog USING (source) GROUP BY source_kind")
