@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaero.functions.text import identifier
+from quaero.session import written
 
 MISSING = 2147483647
 
@@ -72,24 +73,19 @@ def fusion_features(run: DataFrame, first: str, others: list[str]) -> DataFrame:
     return out.withColumns({k: F.round(c, 9) for k, c in cols.items()})
 
 
-def learned_fusion(features: DataFrame, qrels: DataFrame, seed: int = 7) -> DataFrame:
-    """(qid, docid, score, rank): a pointwise learned ranker; queries without a positive or without a negative do not train."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+def learned_fusion(features: DataFrame, qrels: DataFrame, **options: float) -> DataFrame:
+    """(qid, docid, score, rank): the candidates under a list-wise ranker of boosted trees that is fitted on the queries with gold; without such a query, by the first score.
+
+    ``options`` go to ``boosting.fit``.
+    """
+    from quaero.operators import boosting
 
     names = [c for c in features.columns if c not in ("qid", "docid", "rank")]
-    data = features.join(qrels.select("qid", "docid", F.lit(1.0).alias("label")), ["qid", "docid"], "left").fillna(0.0, ["label"])
-    data = VectorAssembler(inputCols=names, outputCol="x").transform(data)
-    w = Window.partitionBy("qid")
-    fit = data.withColumn("mean", F.avg("label").over(w)).where("mean > 0 and mean < 1")
-    if fit.isEmpty():
-        scored = data.withColumn("score", F.col("s0"))
-    else:
-        model = LogisticRegression(featuresCol="x", labelCol="label", maxIter=20, regParam=0.01, standardization=True).fit(fit.select("x", "label"))
-        scored = model.transform(data).withColumn("score", F.round(vector_to_array("probability")[1], 9))
-    v = w.orderBy(F.col("score").desc(), "docid")
-    return scored.select("qid", "docid", "score", F.row_number().over(v).alias("rank"))
+    data = written(features.join(qrels.select("qid", "docid", F.lit(1.0).alias("label")), ["qid", "docid"], "left").fillna(0.0, ["label"]), "features")
+    model = boosting.fit(data, names, **options)
+    out = boosting.scored(data, names, model) if model else data.withColumn("score", F.col("s0"))
+    v = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("s0").desc(), "docid")
+    return out.select("qid", "docid", "score", F.row_number().over(v).alias("rank"))
 
 
 def coverage(run: DataFrame, queries: DataFrame) -> DataFrame:

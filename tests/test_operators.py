@@ -282,3 +282,27 @@ def test_stored_index(spark, docs):
     assert a == b and a
     plan = index.ranked(index.bm25_scores(terms, i.posts, i.statistics, frequencies=i.frequencies), 3)._jdf.queryExecution().executedPlan().toString()
     assert "SelectedBucketsCount: 2 out of 2" in plan
+
+
+def test_boosted_ranker(spark, tmp_path):
+    """Learns an order that no single feature has, skips queries of one kind, and its file gives the same scores."""
+    from quaero.operators import boosting
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for q in range(60):
+        x = rng.normal(size=(20, 3))
+        good = int(np.argmax(x[:, 0] + x[:, 1]))
+        rows += [(f"q{q}", f"d{i:02}", i + 1, float(i == good and q != 7), *map(float, v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "qid string, docid string, rank int, label double, a double, b double, c double")
+    model = boosting.fit(df.where("qid < 'q5'"), ["a", "b", "c"], trees=12, depth=2)
+    out = boosting.scored(df, ["a", "b", "c"], model)
+    held = out.where("qid >= 'q5'").toPandas()
+    mrr = lambda by: np.mean([1 / (1 + (g[by] > g.loc[g.label == 1, by].iloc[0]).sum()) for _, g in held.groupby("qid") if g.label.max() > 0])
+    assert mrr("score") > 0.7 > mrr("a") and mrr("score") > mrr("b") + 0.15
+    boosting.write_booster(spark, model, ["a", "b", "c"], str(tmp_path / "m"))
+    names, again = boosting.read_booster(spark, str(tmp_path / "m"))
+    assert names == ["a", "b", "c"] and again == model
+    assert boosting.fit(df.where("qid = 'q7'"), names) == []
+    g, h = boosting.gradients(np.array([0.0, 1.0, 0.5]), np.array([1, 0, 0]))
+    assert g[0] > 0 and abs(g.sum()) < 1e-12 and (g[1:] < 0).all() and (h > 0).all()
