@@ -102,3 +102,15 @@ def query_set_differences(run: DataFrame) -> DataFrame:
     sq = run.select("system", "qid").distinct()
     n = sq.select("qid").distinct().agg(F.count("*").alias("n"))
     return sq.groupBy("system").agg(F.count("*").alias("has")).crossJoin(F.broadcast(n)).select("system", (F.col("n") - F.col("has")).alias("missing"))
+
+
+def symmetric_differences(run: DataFrame) -> DataFrame:
+    """(group1, group2, missing, extra) of each pair of systems: queries of group1 that group2 lacks, and the other way round. From counts of shared queries, not from sets."""
+    sq = run.select("system", "qid").distinct()
+    n = sq.groupBy("system").agg(F.count("*").alias("n"))
+    a, b = sq.select(F.col("system").alias("group1"), "qid"), sq.select(F.col("system").alias("group2"), "qid")
+    both = a.join(b, "qid").where("group1 < group2").groupBy("group1", "group2").agg(F.count("*").alias("both"))
+    pairs = n.select(F.col("system").alias("group1"), F.col("n").alias("n1")).join(n.select(F.col("system").alias("group2"), F.col("n").alias("n2")), F.expr("group1 < group2"))
+    j = pairs.join(both, ["group1", "group2"], "left")
+    k = F.coalesce("both", F.lit(0))
+    return j.select("group1", "group2", (F.col("n1") - k).alias("missing"), (F.col("n2") - k).alias("extra"))

@@ -78,15 +78,22 @@ def by_bucket(per: DataFrame, queries: DataFrame, bucket: Column, metric: str =
 
 
 def graded_ndcg(run: DataFrame, grades: DataFrame, k: int, exponential: bool = True) -> DataFrame:
-    """(system, qid, ndcg): graded gains, the ideal from the retrieved list."""
+    """(system, qid, ndcg, ap, p_1, mrr): graded gains with the ideal from the retrieved list; average precision over the relevant rows of the list, whether the first is relevant, and the reciprocal rank of the first relevant one."""
     g = F.coalesce("grade", F.lit(0)).cast("double")
     gain = F.pow(F.lit(2.0), g) - 1 if exponential else g
     j = run.join(grades.select("qid", "docid", "grade"), ["qid", "docid"], "left").withColumn("gain", gain)
     w = Window.partitionBy("system", "qid").orderBy(F.col("gain").desc(), "rank")
-    j = j.withColumn("best", F.row_number().over(w))
+    upto = Window.partitionBy("system", "qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    good = (F.col("gain") > 0).cast("int")
+    j = j.withColumn("best", F.row_number().over(w)).withColumn("hits", F.sum(good).over(upto))
     dcg = F.sum(F.when(F.col("rank") <= k, F.col("gain") * _gain(F.col("rank"))).otherwise(0.0))
     ideal = F.sum(F.when(F.col("best") <= k, F.col("gain") * _gain(F.col("best"))).otherwise(0.0))
-    return j.groupBy("system", "qid").agg(F.round(F.when(ideal > 0, dcg / ideal).otherwise(0.0), 9).alias("ndcg"))
+    ap = F.coalesce(F.sum(F.when(F.col("gain") > 0, F.col("hits") / F.col("rank"))) / F.sum(good), F.lit(0.0))
+    first = F.min(F.when(F.col("gain") > 0, F.col("rank")))
+    return j.groupBy("system", "qid").agg(
+        F.round(F.when(ideal > 0, dcg / ideal).otherwise(0.0), 9).alias("ndcg"), F.round(ap, 9).alias("ap"),
+        F.max(F.when((F.col("rank") == 1) & (F.col("gain") > 0), 1.0).otherwise(0.0)).alias("p_1"), F.round(F.coalesce(1.0 / first, F.lit(0.0)), 9).alias("mrr"),
+    )
 
 
 def histogram(values: DataFrame, value: str, width: int) -> DataFrame:

@@ -105,6 +105,18 @@ def ndcg_graded(spark, d):
     return m.graded_ndcg(run, g, 10).select("system", "qid", F.round("ndcg", 6).alias("ndcg"))
 
 
+@query(DENSE + """, g AS (SELECT de.*, CASE WHEN a.label = b.label THEN CASE WHEN de.docid % 2 = 0 THEN 2 ELSE 1 END ELSE 0 END AS grade FROM de JOIN embeddings a ON a.vec_id = qid JOIN embeddings b ON b.vec_id = docid),
+x AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, rank) AS best, sum(CASE WHEN grade > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY rank ROWS UNBOUNDED PRECEDING) AS hits FROM g)
+SELECT 'dense' AS system, qid, round(round(coalesce(sum(CASE WHEN rank <= 10 THEN grade / log2(rank + 1) ELSE 0 END) / nullif(sum(CASE WHEN best <= 10 THEN grade / log2(best + 1) ELSE 0 END), 0), 0), 9), 6) AS ndcg,
+round(coalesce(sum(CASE WHEN grade > 0 THEN hits / CAST(rank AS DOUBLE) END) / nullif(sum(CASE WHEN grade > 0 THEN 1 ELSE 0 END), 0), 0), 6) AS ap, max(CASE WHEN rank = 1 AND grade > 0 THEN CAST(1 AS DOUBLE) ELSE 0 END) AS p_1, round(coalesce(1 / CAST(min(CASE WHEN grade > 0 THEN rank END) AS DOUBLE), 0), 6) AS mrr FROM x GROUP BY qid""")
+def graded_linear(spark, d):
+    """Linear gains, with average precision, precision at 1 and the reciprocal rank of the same lists."""
+    run = written(_dense_ranked(spark, d).withColumn("system", F.lit("dense")), "run")
+    g = _labels(spark, d, run).withColumn("grade", F.when(F.col("docid") % 2 == 0, 2).otherwise(1))
+    r = m.graded_ndcg(run, g, 10, exponential=False)
+    return r.select("system", "qid", *[F.round(c, 6).alias(c) for c in ("ndcg", "ap")], "p_1", F.round("mrr", 6).alias("mrr"))
+
+
 @query(PER + """, b AS (SELECT system, CASE WHEN first_rank < 0 THEN 'missing' WHEN first_rank = 1 THEN '1' WHEN first_rank <= 5 THEN '2-5' WHEN first_rank <= 10 THEN '6-10' WHEN first_rank <= 100 THEN '11-100' ELSE '>100' END AS bucket FROM per)
 SELECT system, bucket, count(*) AS queries, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY system) AS DOUBLE), 6) AS share FROM b GROUP BY system, bucket""")
 def rank_buckets(spark, d):

@@ -327,6 +327,44 @@ def rerank_missing_text(spark, d):
     return out.select("system", "qid", "docid", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(RUN_TEXT.replace("WHERE query IS NULL OR trim(tx.text) <> ''", "WHERE query IS NOT NULL AND trim(tx.text) <> ''"))
+def rerank_dropped(spark, d):
+    """Queries without text go, with their candidates."""
+    q = table(spark, d, "en_eval").where("trim(text) <> ''").select("qid", F.col("text").alias("query")).distinct()
+    out = rerank.rerank(t.runs(spark, d), q, _texts(spark, d), k=20, on_missing="drop")
+    return out.select("system", "qid", "docid", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(f"""WITH {t.RUNS}, {t.CORPUS}, tx AS (SELECT docid, concat_ws(' ', nullif(trim(title), ''), nullif(trim(abstract), '')) AS text FROM corpus), qs AS (SELECT DISTINCT qid FROM en_eval WHERE trim(text) <> '')
+SELECT system, count(*) AS entries, CAST(sum(CASE WHEN qs.qid IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS no_query, CAST(sum(CASE WHEN tx.docid IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS no_text FROM runs LEFT JOIN qs USING (qid) LEFT JOIN (SELECT * FROM tx WHERE trim(text) <> '') tx USING (docid) GROUP BY system""")
+def rerank_missing_counts(spark, d):
+    """Entries that cannot be scored, by what is missing."""
+    q = table(spark, d, "en_eval").select("qid", F.col("text").alias("query"))
+    return rerank.missing_texts(t.runs(spark, d), q, _texts(spark, d))
+
+
+def lengths_model(prompts: list[str]) -> list[tuple[float, float]]:
+    """A stand-in for a model with yes and no logits, which SQL can state too: the share of the prompt before the passage."""
+    return [(4.0 * p.index("<Document>: ") / len(p), 1.0) for p in prompts]
+
+
+@query(BASE + t.bm25_sql("qt") + ", " + t.ranked_sql("sc", "h", 10) + f""", tx AS (SELECT docid, concat_ws(' ', nullif(trim(title), ''), nullif(trim(abstract), '')) AS text FROM corpus),
+pr AS (SELECT h.qid, h.docid, h.rank AS first, '<Instruct>: Given a web search query, retrieve relevant passages that answer the query' || chr(10) || '<Query>: ' || s.text || chr(10) || '<Document>: ' AS head, tx.text AS body FROM h JOIN shared_topics s USING (qid) JOIN tx USING (docid) WHERE trim(tx.text) <> ''),
+r AS (SELECT qid, docid, first, 1 / (1 + exp(1 - CAST(4 AS DOUBLE) * (length(head) - 12) / (length(head) + length(body)))) AS score FROM pr)
+SELECT 'bm25' AS system, qid, docid, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first) AS rank FROM r""")
+def rerank_prompted(spark, d):
+    """A model that reads an instruction prompt and gives two logits; a stand-in takes its place."""
+    run = written(index.ranked(_search(spark, d), 10).withColumn("system", F.lit("bm25")), "first")
+    out = rerank.rerank(run, t.topics(spark, d), _texts(spark, d), rerank.prompted_scorer(lengths_model, "instruct", "yes_no"))
+    return out.select("system", "qid", "docid", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(f"""WITH {t.RUNS}, s AS (SELECT DISTINCT system, qid FROM runs), n AS (SELECT system, count(*) AS n FROM s GROUP BY system), b AS (SELECT x.system AS group1, y.system AS group2, count(*) AS k FROM s x JOIN s y ON x.qid IS NOT DISTINCT FROM y.qid AND x.qid IS NOT NULL AND x.system < y.system GROUP BY ALL)
+SELECT p.system AS group1, q.system AS group2, p.n - coalesce(k, 0) AS missing, q.n - coalesce(k, 0) AS extra FROM n p JOIN n q ON p.system < q.system LEFT JOIN b ON group1 = p.system AND group2 = q.system""")
+def run_query_differences(spark, d):
+    return fusion.symmetric_differences(t.runs(spark, d))
+
+
 @query(BASE + t.bm25_sql("qt") + ", " + t.ranked_sql("sc", "h", 5) + f""", tk AS (SELECT docid, {t.tokens_sql('abstract')} AS tk FROM corpus),
 x AS (SELECT h.qid, unnest(tk) AS term, rank, generate_subscripts(tk, 1) - 1 AS pos, greatest(1, CAST(round_even(5 * CAST(1 AS DOUBLE) / rank, 0) AS INT)) AS worth FROM h JOIN tk USING (docid)),
 g AS (SELECT qid, term, sum(worth) AS weight, min((rank, pos)) AS f FROM x GROUP BY qid, term),

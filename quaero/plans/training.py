@@ -81,6 +81,13 @@ def _cand_all(spark, d):
     return tr.candidate_negatives(t.runs(spark, d), t.golds(spark, d), t.keys(spark, d))
 
 
+@query(f"""{TABLES}, c AS (SELECT system, qid, docid, rank, row_number() OVER (PARTITION BY system, qid ORDER BY rank) AS pos FROM runs WHERE rank <= 50 AND docid IN (SELECT docid FROM corpus) AND (qid, docid) NOT IN (SELECT qid, docid FROM golds)) SELECT system, qid, docid, rank, pos FROM c WHERE pos <= 5""")
+def neg_candidates_per_run(spark, d):
+    """The five first usable candidates among the fifty first of every list."""
+    c = tr.candidate_negatives(t.runs(spark, d), t.golds(spark, d), t.keys(spark, d), depth=50, per_run=5)
+    return _long(c.select("system", "qid", "docid", "rank", "pos"), "rank", "pos")
+
+
 @query(CAND + " SELECT qid, docid, kind, pos FROM ng")
 def neg_offsets(spark, d):
     return _long(tr.offset_negatives(_cand(spark, d)), "pos")
