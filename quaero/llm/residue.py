@@ -169,8 +169,9 @@ def recurring_groups(seen: DataFrame) -> DataFrame:
     return texts.join(parts, "hash", "left").select("hash", rule.alias("rule"), "copies", "sources").where("rule is not null")
 
 
-def _judged(seen: DataFrame) -> DataFrame:
-    groups = recurring_groups(seen).select(F.col("hash").alias("_hash"), F.col("rule").alias("_group"), F.col("copies").alias("_copies"), F.col("sources").alias("_sources"))
+def _judged(seen: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The rows of ``seen`` with the rule that takes them; ``candidates`` are the written evidence of the same rows."""
+    groups = recurring_groups(candidates).select(F.col("hash").alias("_hash"), F.col("rule").alias("_group"), F.col("copies").alias("_copies"), F.col("sources").alias("_sources"))
     joined = seen.join(groups, F.col("_seen.hash") == F.col("_hash"), "left")
     x = F.col("_seen")
     return joined.withColumn("_rule", F.when(x["placeholder"], "placeholder").when(x["latin"], "mock latin").when(F.col("_group").isNotNull(), F.col("_group")).when(x["shape"], "shape"))
@@ -186,10 +187,11 @@ def residue(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
     # The condition stands behind the written table: pushed into the map, it would compute what the rules saw twice.
     seen = written(with_evidence(df.select(key, text, source), text, source).select(key, "_seen"), "seen").where("_seen is not null")
     kind = F.when(F.col("_rule") == "placeholder", "placeholder").when(F.col("_rule") == "mock latin", "filler").otherwise(F.col("_seen.kind"))
-    return _judged(seen).where("_rule is not null").select(key, kind.alias("kind"), F.col("_rule").alias("rule"), F.col("_copies").alias("copies"), F.col("_sources").alias("sources"))
+    return _judged(seen, seen).where("_rule is not null").select(key, kind.alias("kind"), F.col("_rule").alias("rule"), F.col("_copies").alias("copies"), F.col("_sources").alias("sources"))
 
 
 def without_residue(df: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
     """The rows of ``df`` that are not residue, with all their columns, whatever their names."""
+    seen = written(with_evidence(df.select(F.col(text).alias("text"), F.col(source).alias("source"))).select("_seen"), "seen").where("_seen is not null")
     held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text).alias("text"), F.col(source).alias("source"))
-    return _judged(with_evidence(held)).where("_rule is null").select("row.*")
+    return _judged(with_evidence(held), seen).where("_rule is null").select("row.*")
