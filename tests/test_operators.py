@@ -306,3 +306,34 @@ def test_boosted_ranker(spark, tmp_path):
     assert boosting.fit(df.where("qid = 'q7'"), names) == []
     g, h = boosting.gradients(np.array([0.0, 1.0, 0.5]), np.array([1, 0, 0]))
     assert g[0] > 0 and abs(g.sum()) < 1e-12 and (g[1:] < 0).all() and (h > 0).all()
+
+
+def test_prompted_scorers(spark):
+    df = spark.createDataFrame([("q", "yes"), ("q", "no")], "q string, t string")
+
+    def logits(prompts):
+        assert all(p.startswith("question:q \n \n passage:") for p in prompts)
+        return [2.0 if p.endswith("yes") else -2.0 for p in prompts]
+
+    def full(prompts):
+        raise RuntimeError("CUDA out of memory")
+
+    def broken(prompts):
+        raise RuntimeError("no such model")
+
+    get = lambda s: [r[0] for r in df.orderBy(F.col("t").desc()).select(s(F.col("q"), F.col("t"))).collect()]
+    assert get(rerank.prompted_scorer(logits)) == pytest.approx([1 / (1 + math.exp(-2)), 1 / (1 + math.exp(2))])
+    assert get(rerank.prompted_scorer(logits, activation="raw")) == [2.0, -2.0]
+    two = lambda ps: [(1.0, 1.0) for _ in ps]
+    assert get(rerank.prompted_scorer(two, "instruct", "yes_no")) == [0.5, 0.5]
+    assert get(rerank.prompted_scorer(full, fallback=0.0)) == [0.0, 0.0]
+    with pytest.raises(Exception, match="no such model"):
+        get(rerank.prompted_scorer(broken))
+    with pytest.raises(ValueError):
+        rerank.prompted_scorer(logits, activation="tanh")
+
+
+def test_query_set_differences(spark):
+    run = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "2"), ("b", "3"), ("b", "4"), ("c", "9")], "system string, qid string")
+    got = {(r.group1, r.group2): (r.missing, r.extra) for r in fusion.symmetric_differences(run).collect()}
+    assert got == {("a", "b"): (1, 2), ("a", "c"): (2, 1), ("b", "c"): (3, 1)}
