@@ -56,8 +56,11 @@ def words_of(text: Column | str) -> Column:
     low = F.lower(text)
     dressed = low.contains("://") | low.contains("www.") | low.contains("@")
     c = F.when(dressed, F.regexp_replace(low, r"(?U)https?://\S+|www\.\S+|@\w+", " ")).otherwise(low)
-    c = F.regexp_replace(c, r"[^\p{L}\p{N}\p{M}\p{Z}\s\x{1c}-\x{1f}\x{85}]+", "")
-    return F.filter(F.split(c, r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]+"), lambda w: w != "")
+    # Texts of one-byte characters only take the same cuts by plain classes.
+    plain = F.octet_length(low) == F.length(low)
+    any_ = F.split(F.regexp_replace(c, r"[^\p{L}\p{N}\p{M}\p{Z}\s\x{1c}-\x{1f}\x{85}]+", ""), r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]+")
+    ascii_ = F.split(F.regexp_replace(c, r"[^a-z0-9\s\x1c-\x1f]+", ""), r"[\s\x1c-\x1f]+")
+    return F.array_remove(F.when(plain, ascii_).otherwise(any_), "")
 
 
 def _classed(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -137,11 +140,12 @@ class Index:
 def near(index: Index, flat: np.ndarray, offsets: np.ndarray, edits: int) -> np.ndarray:
     """Texts with at most ``edits`` disjoint stretches that do not occur."""
     sym = index.symbols(flat)
-    active = np.arange(len(offsets) - 1)
     at = offsets[1:] - 1
     first = offsets[:-1]
-    lo, hi = np.zeros(len(active), np.int64), np.full(len(active), index.n, np.int64)
-    broken = np.zeros(len(active), np.int32)
+    # Every unknown word is a broken stretch of its own; most texts leave by their number.
+    active = np.flatnonzero(np.add.reduceat(sym < 0, first, dtype=np.int64) <= edits)
+    lo, hi = np.zeros(len(first), np.int64), np.full(len(first), index.n, np.int64)
+    broken = np.zeros(len(first), np.int32)
     out = []
     while len(active):
         s = sym[at[active]]
