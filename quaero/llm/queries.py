@@ -80,11 +80,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs and records that overlap, for each split and source."""
+    """Pairs and records that overlap, for each split and source, with the number of training sources, and the merged matches of the pairs: their spans and the words they cover."""
     e = table(spark, d, "en_eval").select(F.col("qid").alias("eval_id"), "split", "source").dropDuplicates(["eval_id"])
+    t = table(spark, d, "en_train").select(F.col("qid").alias("train_id"), F.col("source").alias("train_source")).dropDuplicates(["train_id"])
     return (
-        _overlaps(spark, d).join(e, "eval_id").groupBy("split", "source")
-        .agg(F.count("*").alias("pairs"), F.sum((F.col("distance") == 0).cast("int")).alias("exact"), F.countDistinct("eval_id").alias("eval_records"), F.countDistinct("train_id").alias("train_records"))
+        _overlaps(spark, d).join(e, "eval_id").join(t, "train_id").groupBy("split", "source")
+        .agg(
+            F.count("*").alias("pairs"), F.sum((F.col("distance") == 0).cast("int")).alias("exact"), F.countDistinct("eval_id").alias("eval_records"), F.countDistinct("train_id").alias("train_records"),
+            F.countDistinct("train_source").alias("train_sources"), F.sum("spans").alias("spans"), F.sum("covered").alias("covered_words"),
+        )
     )
 
 
