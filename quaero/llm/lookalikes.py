@@ -87,12 +87,12 @@ _SEEN: dict[str, str] = {}
 def confusables(spark: SparkSession) -> dict[str, str]:
     """Letters of SCRIPTS that the confusables data take for one Latin letter. The data have one form for l, I and 1: a letter that is not lower case is I."""
     if not _SEEN:
-        checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
-        for c in (chr(x) for lo, hi in SCRIPTS for x in range(lo, hi + 1)):
-            if unicodedata.category(c).startswith("L"):
-                k = checker.getSkeleton(c)
-                if len(k) == 1 and k.isascii() and k.isalpha():
-                    _SEEN[c] = "I" if k == "l" and not c.islower() else k
+        chars = [c for c in (chr(x) for lo, hi in SCRIPTS for x in range(lo, hi + 1)) if unicodedata.category(c).startswith("L")]
+        # One call for all letters: a skeleton is made letter by letter, and a line end has none of its own.
+        skeleton = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton("\n".join(chars))
+        for c, k in zip(chars, skeleton.split("\n"), strict=True):
+            if len(k) == 1 and k.isascii() and k.isalpha():
+                _SEEN[c] = "I" if k == "l" and not c.islower() else k
     return _SEEN
 
 
