@@ -17,8 +17,8 @@ def _gain(rank: Column) -> Column:
     return 1.0 / F.log2(rank + 1.0)
 
 
-def per_query(run: DataFrame, qrels: DataFrame, grid: DataFrame, golds: DataFrame | None = None) -> DataFrame:
-    """A row of metrics for each (system, qid) of ``grid``; a query that a run lacks counts with zeros and rank -1.
+def per_query(run: DataFrame, qrels: DataFrame, grid: DataFrame | None, golds: DataFrame | None = None) -> DataFrame:
+    """A row of metrics for each (system, qid) of ``grid``; a query that a run lacks counts with zeros and rank -1. Without a grid (None) only the rows with a hit are given; those left out have zeros.
 
     run: (system, qid, docid, rank); qrels: (qid, docid), distinct. Precision
     is over k, never over the list's length; AP is over the whole list and all
@@ -32,7 +32,8 @@ def per_query(run: DataFrame, qrels: DataFrame, grid: DataFrame, golds: DataFram
     sums = [F.min("rank").alias("first_rank"), F.sum(F.col("so_far") / r).alias("ap_sum")]
     sums += [F.sum((r <= k).cast("int")).alias(f"h{k}") for k in sorted({*CUTS, *PRECISION_CUTS})]
     sums += [F.sum(F.when(r <= k, _gain(r)).otherwise(0.0)).alias(f"d{k}") for k in GAIN_CUTS]
-    g = grid.join(golds, "qid", "left").join(hits.groupBy("system", "qid").agg(*sums), ["system", "qid"], "left")
+    found = hits.groupBy("system", "qid").agg(*sums)
+    g = found.join(golds, "qid", "left") if grid is None else grid.join(golds, "qid", "left").join(found, ["system", "qid"], "left")
     n = F.coalesce("golds", F.lit(0))
     ideal = lambda k: F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(n, F.lit(k)), F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + _gain(i))
     z = lambda c: F.coalesce(c, F.lit(0.0))

@@ -185,6 +185,11 @@ def wilcoxon(scores: DataFrame) -> DataFrame:
     c, x = F.col("c"), F.col("d")
     moments = counts.groupBy(*pair).agg(F.sum(c * x).alias("s1"), F.sum(c * x * x).alias("s2"))
     g = g.join(moments, pair).join(_median(counts, pair, "d", "c"), pair)
+    return _tested(g)
+
+
+def _tested(g: DataFrame) -> DataFrame:
+    """The columns of ``wilcoxon`` from a pair's counts, rank sums (up, down), tie sum (tt), moments (s1, s2) and median."""
     n, z = F.col("n").cast("double"), F.col("ties").cast("double")
     mean = F.col("s1") / n
     half = F.when(n > 1, 1.96 * F.sqrt(F.greatest((F.col("s2") - n * mean * mean) / (n - 1), F.lit(0.0))) / F.sqrt(n)).otherwise(0.0)
@@ -192,11 +197,56 @@ def wilcoxon(scores: DataFrame) -> DataFrame:
     var = (n * (n + 1) * (2 * n + 1) - z * (z + 1) * (2 * z + 1) - 0.5 * F.col("tt")) / 24
     w = F.least("up", "down")
     return g.select(
-        *pair, "n", "wins", "losses", "ties", F.round(mean, 9).alias("mean_diff"), F.round(mean - half, 9).alias("ci_low"), F.round(mean + half, 9).alias("ci_high"),
+        "group1", "group2", "n", "wins", "losses", "ties", F.round(mean, 9).alias("mean_diff"), F.round(mean - half, 9).alias("ci_low"), F.round(mean + half, 9).alias("ci_high"),
         F.col("median").alias("median_diff"), w.alias("w"), F.round(F.when(var > 0, (w - mu) / F.sqrt(var)).otherwise(0.0), 6).alias("z"),
     )
 
 
+#: Rows of a task, about, of the pairs' distinct differences.
+IN_TASK = 1_000_000
+
+
+def wilcoxon_of_hits(hits: DataFrame, systems: DataFrame, queries: int) -> DataFrame:
+    """``wilcoxon`` of every system over the same ``queries`` queries, where ``hits`` (system, qid, score) may lack rows: what is absent has score 0.
+
+    Pairs of systems meet only in queries where both have a score that is not
+    0. Each system's counts of distinct scores give the differences of a pair
+    as if no such query existed; the queries where both have one are then
+    moved to their true difference. What is left are zeros.
+    """
+    names = systems.select("system", F.row_number().over(Window.orderBy("system")).alias("i"))
+    one = written(hits.where("score <> 0").join(F.broadcast(names), "system").select("qid", "i", F.round("score", 9).alias("s")), "scores")
+    counts = written(one.groupBy("i", "s").agg(F.count("*").alias("c")), "counts")
+    x, y = one.select("qid", "i", F.col("s").alias("x")), one.select("qid", F.col("i").alias("j"), F.col("s").alias("y"))
+    moves = F.explode(F.array(*[F.struct(d.alias("d"), F.lit(c).cast("bigint").alias("c")) for d, c in ((-F.col("x"), -1), (F.col("y"), -1), (F.round(F.col("y") - F.col("x"), 9), 1))]))
+    both = x.join(y, "qid").where("i < j").select("i", "j", moves.alias("m")).groupBy("i", "j", "m.d").agg(F.sum("m.c").alias("c")).where("c <> 0 and d <> 0")
+    n = systems.count()
+    others = names.select(F.col("i").alias("j"))
+    alone = counts.crossJoin(F.broadcast(others)).where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.when(F.col("i") < F.col("j"), -F.col("s")).otherwise(F.col("s")).alias("d"), "c")
+    tasks = max(hits.sparkSession.sparkContext.defaultParallelism, n * counts.count() // IN_TASK)
+    # The number of tasks is set: what follows has a pair's rows in one place, and few bytes for each row.
+    d = alone.unionByName(both).repartition(tasks, "i", "j")
+    a = d.groupBy("i", "j", F.abs("d").alias("a")).agg(F.sum(F.when(F.col("d") > 0, F.col("c")).otherwise(0)).alias("u"), F.sum(F.when(F.col("d") < 0, F.col("c")).otherwise(0)).alias("v"))
+    u, v, t = F.col("u"), F.col("v"), (F.col("u") + F.col("v")).cast("double")
+    of = Window.partitionBy("i", "j")
+    upto = of.orderBy("a").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    a = a.withColumns({"below": F.sum(u + v).over(upto) - (u + v), "u_": F.sum("u").over(upto), "v_": F.sum("v").over(upto), "wins": F.sum("u").over(of), "losses": F.sum("v").over(of)})
+    r = F.col("below") + (t + 1) / 2
+    # The k-th difference from below: the losses stand first, the largest of them in front, then the zeros, then the wins.
+    lost = lambda k: F.max(F.when((v > 0) & (F.col("losses") - F.col("v_") + v >= k), F.col("a")))
+    won = lambda k: F.min(F.when((u > 0) & (F.lit(queries) - F.col("wins") < k) & (F.col("u_") + queries - F.col("wins") >= k), F.col("a")))
+    kth = lambda k: F.coalesce(-lost(k), won(k), F.lit(0.0))
+    g = a.groupBy("i", "j").agg(
+        F.sum("u").alias("wins"), F.sum("v").alias("losses"), F.sum(u * r).alias("up"), F.sum(v * r).alias("down"), F.sum(t * t * t - t).alias("tt"),
+        F.sum((u - v) * F.col("a")).alias("s1"), F.sum(t * F.col("a") * F.col("a")).alias("s2"), ((kth((queries + 1) // 2) + kth((queries + 2) // 2)) / 2).alias("median"),
+    )
+    first, second = names.select(F.col("system").alias("group1"), "i"), names.select(F.col("system").alias("group2"), F.col("i").alias("j"))
+    pairs = first.crossJoin(F.broadcast(second)).where((F.col("i") < F.col("j")) & F.lit(queries > 0))
+    g = pairs.join(g, ["i", "j"], "left").fillna(0).withColumn("n", F.lit(queries).cast("bigint")).withColumn("ties", F.col("n") - F.col("wins") - F.col("losses"))
+    # Zeros have the first ranks.
+    return _tested(g.withColumns({"up": F.col("up") + F.col("wins") * F.col("ties"), "down": F.col("down") + F.col("losses") * F.col("ties")}))
+
+
 def _median(counts: DataFrame, by: list[str], value: str, count: str) -> DataFrame:
     """(by, median) from counts of distinct values: the mean of the two middle ones where their number is even."""
     w = Window.partitionBy(*by)

@@ -31,6 +31,20 @@ def _per(spark, d) -> DataFrame:
     return m.per_query(t.runs(spark, d), t.golds(spark, d), t.grid(spark, d))
 
 
+def _hits(spark, d) -> DataFrame:
+    """The rows of ``_per`` that have a hit; the metrics of all others are 0."""
+    return m.per_query(t.runs(spark, d), t.golds(spark, d), None)
+
+
+def _tested(spark, d, scores: DataFrame) -> DataFrame:
+    """The paired test of every two runs over the judged queries, from the scores of hits."""
+    return st.wilcoxon_of_hits(scores, written(t.systems(spark, d), "systems"), t.judged(spark, d).count())
+
+
+def _hit_scores(spark, d, metric="ndcg_10") -> DataFrame:
+    return _hits(spark, d).select("system", "qid", F.col(metric).alias("score"))
+
+
 def _long(df: DataFrame, *ints: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("bigint") for c in ints})
 
@@ -255,7 +269,7 @@ NORMAL_TAIL = "greatest(0, 1 - 2 / sqrt(2 * pi()) * " + simpson("exp(-{t} * {t}
 @query(WIL + f""", p AS (SELECT group1, group2, w, z, {NORMAL_TAIL} AS p FROM wz), s AS (SELECT *, least(p * (count(*) OVER () - row_number() OVER (ORDER BY p) + 1), 1) AS step FROM p)
 SELECT group1, group2, w, round(z, 4) AS z, round(p, 6) AS p, round(max(step) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING), 6) AS p_holm, max(step) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING) < 0.05 AS reject FROM s""")
 def wilcoxon_holm(spark, d):
-    t_ = st.holm(st.with_normal_p(st.wilcoxon(_scores(spark, d))))
+    t_ = st.holm(st.with_normal_p(_tested(spark, d, _hit_scores(spark, d))))
     return t_.select("group1", "group2", "w", F.round("z", 4).alias("z"), F.round("p", 6).alias("p"), F.round("p_holm", 6).alias("p_holm"), "reject")
 
 

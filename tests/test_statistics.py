@@ -133,3 +133,26 @@ def test_by_metric(scores):
 
     long = scores.withColumn("metric", F.lit("x")).unionByName(scores.withColumn("metric", F.lit("y")))
     assert st.by_metric(long, st.summary, ["x", "y"]).count() == 8
+
+
+def test_wilcoxon_of_hits(spark, scores):
+    """Absent rows are zeros: the same table as from complete blocks, with medians that are not 0, negative scores and a system without hits."""
+    full = scores.where("system <> 'd'").selectExpr("system", "qid", "if(system = 'b' and score < 0.3, -score, score) as score").unionByName(scores.where("system = 'd'").selectExpr("'d' as system", "qid", "0.0D as score"))
+    key = lambda df: sorted(tuple(r.asDict()[c] for c in st.wilcoxon(scores).columns) for r in df.collect())
+    got, want = key(st.wilcoxon_of_hits(full.where("score <> 0"), full.select("system").distinct(), 40)), key(st.wilcoxon(full))
+    assert len(got) == 6 and any(r[9] for r in want)
+    for x, y in zip(got, want):
+        assert x[:2] == y[:2] and x[2:] == pytest.approx(y[2:], abs=1e-9)
+    more = {(r.group1, r.group2): r for r in st.wilcoxon_of_hits(full, full.select("system").distinct(), 3_000_000_000).collect()}
+    assert more["a", "b"].n == 3_000_000_000 and more["a", "b"].median_diff == 0 and more["a", "b"].wins == got[0][3]
+    assert st.wilcoxon_of_hits(full.limit(0), full.select("system").distinct(), 0).count() == 0
+
+
+def test_paired_tests_read_hits_only(spark, monkeypatch):
+    from quaero.plans import evaluation
+
+    def no_grid(*_):
+        raise AssertionError("every run with every query")
+
+    monkeypatch.setattr(evaluation.t, "grid", no_grid)
+    assert evaluation.wilcoxon_holm(spark, "/root/testdata/sf0.001").count() == 66
