@@ -277,7 +277,7 @@ def wilcoxon_holm(spark, d):
 SELECT group1, group2, p, round(max(step) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM s""")
 def holm_steps(spark, d):
     """The step-down adjustment, on a stand-in p that both engines can compute."""
-    p = st.wilcoxon(_scores(spark, d)).select("group1", "group2", F.round(F.exp(-F.abs("z")), 6).alias("p"))
+    p = _tested(spark, d, _hit_scores(spark, d)).select("group1", "group2", F.round(F.exp(-F.abs("z")), 6).alias("p"))
     return st.holm(p).select("group1", "group2", "p", F.round("p_holm", 6).alias("p_holm"))
 
 

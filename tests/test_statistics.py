@@ -156,3 +156,10 @@ def test_paired_tests_read_hits_only(spark, monkeypatch):
 
     monkeypatch.setattr(evaluation.t, "grid", no_grid)
     assert evaluation.wilcoxon_holm(spark, "/root/testdata/sf0.001").count() == 66
+
+
+def test_holm_steps_read_hits_only(spark, monkeypatch):
+    from quaero.plans import evaluation
+
+    monkeypatch.delattr(evaluation.t, "grid")
+    assert evaluation.holm_steps(spark, "/root/testdata/sf0.001").count() == 66
