@@ -292,8 +292,20 @@ def metric_matrix(long: DataFrame, metrics: list[str]) -> DataFrame:
     return long.groupBy("system").agg(*[F.round(F.avg(F.when(F.col("metric") == m, F.col("score"))), 9).alias(m) for m in metrics])
 
 
-def symmetric_matrix(pairs: DataFrame, value: str) -> DataFrame:
-    """(row, col, value): both directions and a diagonal of 1."""
+def mean_differences(hits: DataFrame, systems: DataFrame, queries: int) -> DataFrame:
+    """(group1, group2, mean_diff) of every pair, as in ``wilcoxon_of_hits``: over the same queries the mean of the differences is the difference of the means."""
+    sums = systems.join(hits.groupBy("system").agg(F.sum("score").alias("s")), "system", "left").fillna(0.0, ["s"])
+    sums = written(sums, "sums")
+    first, second = sums.select(F.col("system").alias("group1"), F.col("s").alias("x")), sums.select(F.col("system").alias("group2"), F.col("s").alias("y"))
+    pairs = first.crossJoin(F.broadcast(second)).where((F.col("group1") < F.col("group2")) & F.lit(queries > 0))
+    return pairs.select("group1", "group2", F.round((F.col("y") - F.col("x")) / F.lit(float(queries)), 9).alias("mean_diff"))
+
+
+def symmetric_matrix(pairs: DataFrame, value: str, names: DataFrame | None = None) -> DataFrame:
+    """(row, col, value): both directions and a diagonal of 1. The diagonal is of the systems in ``names`` (system), else of those in the pairs."""
+    if names is not None:
+        ways = F.array(F.struct(F.col("group1").alias("row"), F.col("group2").alias("col")), F.struct(F.col("group2").alias("row"), F.col("group1").alias("col")))
+        return pairs.select(F.explode(ways).alias("p"), value).select("p.row", "p.col", value).unionByName(names.select(F.col("system").alias("row"), F.col("system").alias("col"), F.lit(1.0).alias(value)))
     both = pairs.select(F.col("group1").alias("row"), F.col("group2").alias("col"), value).unionByName(pairs.select(F.col("group2").alias("row"), F.col("group1").alias("col"), value))
     return both.unionByName(both.select("row", F.col("row").alias("col"), F.lit(1.0).alias(value)).distinct())
 

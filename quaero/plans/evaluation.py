@@ -299,8 +299,9 @@ def metric_matrix_pivot(spark, d):
 
 @query(WIL + " SELECT group1 AS row, group2 AS col, mean_diff AS value FROM wz UNION ALL SELECT group2, group1, mean_diff FROM wz UNION ALL SELECT DISTINCT system, system, CAST(1 AS DOUBLE) FROM sc")
 def symmetric_matrix(spark, d):
-    w = st.wilcoxon(_scores(spark, d)).select("group1", "group2", F.round("mean_diff", 6).alias("value"))
-    return st.symmetric_matrix(w, "value")
+    names, n = written(t.systems(spark, d), "systems"), t.judged(spark, d).count()
+    w = st.mean_differences(_hit_scores(spark, d), names, n).select("group1", "group2", F.round("mean_diff", 6).alias("value"))
+    return st.symmetric_matrix(w, "value", names.where(F.lit(n > 0)))
 
 
 @query(SC + " SELECT system, min(score) AS lowest, round(quantile_cont(score, 0.25), 6) AS q1, round(quantile_cont(score, 0.5), 6) AS median, round(quantile_cont(score, 0.75), 6) AS q3, max(score) AS highest FROM sc GROUP BY system")

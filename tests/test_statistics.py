@@ -163,3 +163,16 @@ def test_holm_steps_read_hits_only(spark, monkeypatch):
 
     monkeypatch.delattr(evaluation.t, "grid")
     assert evaluation.holm_steps(spark, "/root/testdata/sf0.001").count() == 66
+
+
+def test_mean_differences_and_diagonal(spark, scores, monkeypatch):
+    """The same means as the paired test; a single system still has its diagonal."""
+    from quaero.plans import evaluation
+
+    names = scores.select("system").distinct()
+    got = {(r.group1, r.group2): r.mean_diff for r in st.mean_differences(scores.where("score <> 0"), names, 40).collect()}
+    assert got == {(r.group1, r.group2): pytest.approx(r.mean_diff, abs=2e-9) for r in st.wilcoxon(scores).collect()}
+    one = names.where("system = 'a'")
+    assert [tuple(r) for r in st.symmetric_matrix(st.mean_differences(scores, one, 40), "mean_diff", one).collect()] == [("a", "a", 1.0)]
+    monkeypatch.delattr(evaluation.t, "grid")
+    assert evaluation.symmetric_matrix(spark, "/root/testdata/sf0.001").count() == 144
