@@ -259,7 +259,7 @@ wz AS (SELECT *, CASE WHEN var > 0 THEN round((w - mu) / sqrt(var), 6) ELSE 0 EN
 
 @query(WIL + " SELECT group1, group2, n, CAST(wins AS BIGINT) AS wins, CAST(losses AS BIGINT) AS losses, CAST(ties AS BIGINT) AS ties, mean_diff, ci_low, ci_high, median_diff, w, round(z, 4) AS z FROM wz")
 def wilcoxon_pratt(spark, d):
-    w = st.wilcoxon(_scores(spark, d))
+    w = _tested(spark, d, _hit_scores(spark, d))
     return w.withColumns({"mean_diff": F.round("mean_diff", 6), "ci_low": F.round("ci_low", 6), "ci_high": F.round("ci_high", 6), "median_diff": F.round("median_diff", 6), "z": F.round("z", 4)})
 
 

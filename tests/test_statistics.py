@@ -176,3 +176,10 @@ def test_mean_differences_and_diagonal(spark, scores, monkeypatch):
     assert [tuple(r) for r in st.symmetric_matrix(st.mean_differences(scores, one, 40), "mean_diff", one).collect()] == [("a", "a", 1.0)]
     monkeypatch.delattr(evaluation.t, "grid")
     assert evaluation.symmetric_matrix(spark, "/root/testdata/sf0.001").count() == 144
+
+
+def test_pratt_reads_hits_only(spark, monkeypatch):
+    from quaero.plans import evaluation
+
+    monkeypatch.delattr(evaluation.t, "grid")
+    assert evaluation.wilcoxon_pratt(spark, "/root/testdata/sf0.001").count() == 66
