@@ -351,8 +351,9 @@ def _metric_test(metric: str) -> str:
 @query(" UNION ALL ".join(f"SELECT * FROM ({_metric_test(x)})" for x in ("mrr_5", "ap")))
 def metrics_tested(spark, d):
     """The paired test for several metrics, from one table of per-query metrics."""
-    long = m.long_form(written(_per(spark, d), "per"), ["mrr_5", "ap"])
-    out = st.by_metric(long, st.wilcoxon, ["mrr_5", "ap"])
+    names, n = written(t.systems(spark, d), "systems"), t.judged(spark, d).count()
+    long = m.long_form(written(_hits(spark, d).select("system", "qid", "mrr_5", "ap"), "per"), ["mrr_5", "ap"])
+    out = st.by_metric(long, lambda s: st.wilcoxon_of_hits(s, names, n), ["mrr_5", "ap"])
     return out.select("metric", "group1", "group2", "wins", "losses", "w", F.round("z", 4).alias("z"))
 
 

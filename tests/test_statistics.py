@@ -183,3 +183,10 @@ def test_pratt_reads_hits_only(spark, monkeypatch):
 
     monkeypatch.delattr(evaluation.t, "grid")
     assert evaluation.wilcoxon_pratt(spark, "/root/testdata/sf0.001").count() == 66
+
+
+def test_metrics_tested_reads_hits_only(spark, monkeypatch):
+    from quaero.plans import evaluation
+
+    monkeypatch.delattr(evaluation.t, "grid")
+    assert evaluation.metrics_tested(spark, "/root/testdata/sf0.001").count() == 132
