@@ -337,3 +337,16 @@ def test_query_set_differences(spark):
     run = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "2"), ("b", "3"), ("b", "4"), ("c", "9")], "system string, qid string")
     got = {(r.group1, r.group2): (r.missing, r.extra) for r in fusion.symmetric_differences(run).collect()}
     assert got == {("a", "b"): (1, 2), ("a", "c"): (2, 1), ("b", "c"): (3, 1)}
+
+
+def test_synonyms_are_compared_in_many_tasks(spark, monkeypatch):
+    """The model's vectors come in one partition; they are spread before all words are compared."""
+    from pyspark.sql import functions as F
+
+    from quaero.operators import dense, index
+
+    seen, topk = [], dense.dense_topk
+    monkeypatch.setattr(dense, "dense_topk", lambda q, d, *a: seen.append(d.rdd.getNumPartitions()) or topk(q, d, *a))
+    docs = spark.createDataFrame([(" ".join(f"w{(i * k) % 30}" for k in range(1, 12)),) for i in range(60)], "text string")
+    rows = index.synonym_dictionary(docs, F.split("text", " "), size=8, window=3, passes=1, parts=1, threshold=-1.0).collect()
+    assert seen[0] > 1 and len(rows) == 30 and all(len({s.term for s in r.synonyms} - {r.term}) == 10 for r in rows)
